@@ -4,7 +4,8 @@ Level 0 holds the listed keys; each further level holds the keys of the other si
 none is left. A lookup walks the levels, so it needs no join and errs on no key of the universe.
 
 Keys are rule keys (a host suffix and a path prefix as long as some rule's path) and whole hosts. Listed are the rules and,
-as the method's own list, mobile mirrors: hosts `m.X` where the corpus has X too; those are blocked when no rule fits.
+as the method's own list, hosts that serve mostly session or tracking copies: at least half of their addresses in the corpus
+carry a query or a fragment. Those are blocked when no rule fits.
 
 Rows in: `page_id`, `url`. A null url, or one without `://`, has empty host and path, fits no rule and is allowed. Every row
 comes out once, repeated rows too. An empty table gives an empty result.
@@ -50,9 +51,12 @@ def _hashes(key: Column) -> tuple[Column, Column]:
     return F.xxhash64(key).bitwiseAND(F.lit((1 << 48) - 1)), F.xxhash64(key, F.lit(1)).bitwiseAND(F.lit((1 << 24) - 1)).bitwiseOR(F.lit(1))
 
 
-def _level(keys: DataFrame, n: int) -> tuple[int, np.ndarray]:
-    """A Bloom filter of n keys (h1, h2): words of bits are or-ed by Spark, the driver gets one row per used word."""
-    size = max(LEAST_BITS, n * BITS_PER_KEY)
+def _level(keys: DataFrame, n: int, depth: int) -> tuple[int, np.ndarray]:
+    """A Bloom filter of n keys (h1, h2): words of bits are or-ed by Spark, the driver gets one row per used word.
+
+    Sizes differ from level to level, so two keys that fall on the same bits of one level part on another.
+    """
+    size = (max(LEAST_BITS, n * BITS_PER_KEY) | 1) + 2 * depth
     bit = F.explode(F.transform(F.sequence(F.lit(0), F.lit(PROBES - 1)), lambda i: (F.col("h1") + i * F.col("h2")) % F.lit(size)))
     words = keys.select(bit.alias("bit")).groupBy(F.floor(F.col("bit") / 32).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 32 as int))")).alias("bits"))
     out = np.zeros(size // 32 + 1, np.uint32)
@@ -87,7 +91,7 @@ def build_cascade(universe: DataFrame) -> list[tuple[int, np.ndarray]]:
     inside, outside = universe.where("listed"), universe.where("not listed")
     levels: list[tuple[int, np.ndarray]] = []
     while n := inside.count():
-        levels.append(level := _level(inside, n))
+        levels.append(level := _level(inside, n, len(levels)))
         shared = universe.sparkSession.sparkContext.broadcast(level)
 
         def through(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -106,10 +110,12 @@ def url_filter(pages: DataFrame, rules: dict = RULES) -> DataFrame:
     named = pages.select(F.struct("*").alias("row"), host.alias("host"), path.alias("path"))
     keyed = named.withColumn("keys", _keys(F.col("host"), F.col("path"), rules))
     seen = keyed.select(F.explode("keys").alias("key")).distinct()
-    bare = seen.where("key like 'host:%'").select(F.concat(F.lit("host:m."), F.substring("key", 6, 1 << 30)).alias("key"), F.lit(True).alias("mirror"))
+    tagged = F.col("row.url").rlike("[?#]").cast("long")
+    copies = named.where("host != ''").groupBy("host").agg(F.count("*").alias("n"), F.sum(tagged).alias("n_tagged")).where("2 * n_tagged >= n")
+    copies = copies.select(F.concat(F.lit("host:"), "host").alias("key"), F.lit(True).alias("copying"))
     listed_rules = [h + p for h, p in rules]
     h1, h2 = _hashes(F.col("key"))
-    universe = stored(seen.join(bare, "key", "left").select("key", h1.alias("h1"), h2.alias("h2"), (F.col("key").isin(listed_rules) | F.coalesce("mirror", F.lit(False))).alias("listed")), "cascade-universe")
+    universe = stored(seen.join(copies, "key", "left").select("key", h1.alias("h1"), h2.alias("h2"), (F.col("key").isin(listed_rules) | F.coalesce("copying", F.lit(False))).alias("listed")), "cascade-universe")
 
     n = universe.where("listed").count()
     shards = max(1, -(-n * BITS_PER_KEY // MOST_BITS))
