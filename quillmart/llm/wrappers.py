@@ -65,7 +65,10 @@ def parse(source: str) -> tuple[Node, list[tuple[Node, str]]]:
     open_: list[str] = []
 
     def flush() -> None:
-        text = " ".join(entities.unescape("".join(open_)).split())
+        if not open_:
+            return
+        text = "".join(open_)
+        text = " ".join((entities.unescape(text) if "&" in text else text).split())
         open_.clear()
         if text:
             owner = node
@@ -122,6 +125,8 @@ def _skeleton(node: Node, blocks: list[tuple[Node, str]]) -> tuple:
 def align(a: tuple, b: tuple) -> tuple[int, list[tuple[tuple, tuple]]]:
     """Simple tree matching of two skeletons with equal labels: its size and its pairs of nodes."""
     rows, columns = a[2], b[2]
+    if len(rows) == len(columns) and all(x[0] == y[0] and not x[2] and not y[2] for x, y in zip(rows, columns, strict=True)):
+        return len(rows) + 1, [(a, b), *zip(rows, columns, strict=True)]
     best: list[list[tuple[int, list]]] = [[(0, [])] * (len(columns) + 1)]
     for x in rows:
         line: list[tuple[int, list]] = [(0, [])]
