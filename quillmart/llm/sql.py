@@ -27,14 +27,14 @@ from docs left join words using (doc_id) left join items using (doc_id)
 _OP2 = r"""
 with bodies as (select page_id, url, regexp_extract(regexp_replace(coalesce(html, ''), '<[^<>]*$', ''), '(?s)<article>(.*?)(?:</article>|$)', 1) body from pages),
 blocks as (select page_id, list_filter(list_transform(string_split_regex(replace(body, '<br>', ' '), '</?(?:p|h1)>'),
-  b -> trim(regexp_replace(replace(replace(replace(replace(regexp_replace(b, '<[^>]+>', '', 'g'), '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), '\s+', ' ', 'g'))), b -> b <> '') b from bodies)
+  lambda b: trim(regexp_replace(replace(replace(replace(replace(regexp_replace(b, '<[^>]+>', '', 'g'), '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), '\s+', ' ', 'g'))), b -> b <> '') b from bodies)
 select page_id, url, array_to_string(b, chr(10) || chr(10)) as "text", cast(length(array_to_string(b, chr(10) || chr(10))) as bigint) n_chars
 from bodies join blocks using (page_id)
 """
 
 _RATIOS = {"word_length": "word_chars / greatest(n_words, 1)", "symbol_ratio": "n_symbols / greatest(n_words, 1)", "dup_line_ratio": "n_dup_lines / greatest(n_lines, 1)", "repeat_ratio": "n_repeat_words / greatest(n_words, 1)"}
 _OP3 = f"""
-with docs as (select doc_id, lang, source, {_SPACE_WORDS} w, list_filter(string_split(coalesce(text, ''), chr(10)), x -> regexp_matches(x, '[^\\x20\\x09-\\x0D]')) lines from documents),
+with docs as (select doc_id, lang, source, {_SPACE_WORDS} w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) lines from documents),
 grams as (select doc_id, i, list_aggregate(w[i + 1:i + 3], 'string_agg', ' ') gram from (select doc_id, w, unnest(range(len(w) - 2)) i from docs where len(w) > 2)),
 again as (select doc_id, i from grams join (select doc_id, gram from grams group by all having count(*) > 1) using (doc_id, gram)),
 repeats as (select doc_id, count(distinct i + j) n from (select doc_id, i, unnest(range(3)) j from again) group by doc_id),
