@@ -8,8 +8,13 @@ the partner's first D + 1 too. Each band [2^g, 2^(g+1)) of the smaller set has 2
 below where its smallest partners lie. A set with fewer filled pieces than that (small sets) also keys its D + 1 smallest single
 shingles; if only one side is short the other side's pieces suffice, and if both are, the single shingles do.
 
-Equal keys only suggest pairs. They link each set of a key to the key's least set; the components of these links hold every pair,
-and inside them blocks of bounded size are compared exactly, block against block where sizes fit. Nothing is sampled or capped.
+Any order of the pieces will do if all sets keep it, so shingles that very many documents share get pieces of their own, which
+come last: a document that is not mostly made of them is never looked up by them.
+
+Equal keys only suggest pairs. They link each set of a key to the key's least set; the components of these links hold every pair.
+Inside them parity sketches of two to four bits a shingle are compared, in blocks of bounded size where sizes fit; pairs whose
+Hamming distance is above (a + b) / 7 are out. In the components of what is left the sets themselves are compared, in blocks
+again. Nothing is sampled or capped.
 
 Rows in: `doc_id`, `text`. Null and blank texts have an empty set, link with nothing and are their own component. Fewer than five
 words count as one shingle. Rows with equal sets stand as one class, so copies are not paired. Null doc_ids are never a
@@ -33,6 +38,10 @@ SHINGLE = 5
 BLOCK_SETS, BLOCK_SHINGLES = 256, 400_000
 #: A little over 4 / 3, the largest ratio of sizes that can reach 75 of 100.
 BAND_RATIO = 1.35
+#: Shingles in more than this share of all documents have pieces of their own. There are at most (mean set size) / share of them.
+HOT_SHARE = 0.001
+#: A batch of documents reports shingles that so many of its documents hold.
+HOT_IN_BATCH = 3
 _COLUMNS = 4096
 
 
@@ -63,16 +72,21 @@ def _need(smaller: int, larger: int) -> int:
     return (smaller + larger) // 7 + 1
 
 
-def keys(found: np.ndarray) -> np.ndarray:
-    """Parity sketches of the pieces, and single shingles where pieces fall short, that this set is looked up by."""
+def keys(found: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    """Parity sketches of the pieces, and single shingles where pieces fall short, that this set is looked up by; hot: sorted shingles whose pieces come last."""
     n = len(found)
+    common = np.zeros(n, bool)
+    if len(hot):
+        common = hot[np.minimum(np.searchsorted(hot, found), len(hot) - 1)] == found
+        found = np.concatenate([found[~common], found[common]])
+        common = np.sort(common)
     band = n.bit_length() - 1
     bands = [(band, _need(n, 4 * n // 3))]
     if band and 3 * n <= 4 * ((1 << band) - 1):
         bands.append((band - 1, _need((1 << band) - 1, n)))
     scrambled, out, short = mix(found), [], False
     for g, need in bands:
-        piece = found >> np.uint64(64 - g) if g else np.zeros(n, np.uint64)
+        piece = (found >> np.uint64(64 - g) if g else np.zeros(n, np.uint64)) | (common.astype(np.uint64) << np.uint64(40))
         starts = np.flatnonzero(np.concatenate([[True], piece[1:] != piece[:-1]]))
         short |= len(starts) < need
         ends = starts[need] if len(starts) > need else n
@@ -93,13 +107,81 @@ def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(columns, ["doc_id", "row", "n_shingles", "class"])
 
 
-def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in steps(batches, "text"):
+        flat = np.concatenate(shingle_sets(as_bytes(batch.column("text"))))
+        found, n = np.unique(flat, return_counts=True)
+        chosen = n >= HOT_IN_BATCH
+        yield pa.RecordBatch.from_arrays([pa.array(found[chosen].view(np.int64)), pa.array(n[chosen])], ["shingle", "n"])
+
+
+def hot_shingles(texts: DataFrame) -> np.ndarray:
+    """Sorted hashes of shingles that a share of all documents holds; batches report them and the reports add up. Only the order of pieces depends on this."""
+    total = texts.count()
+    seen = texts.select("text").mapInArrow(_frequent, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+    chosen = seen.where(F.col("n") > HOT_SHARE * total).select("shingle")
+    return np.sort(np.array([r[0] for r in chosen.toLocalIterator()], np.int64).view(np.uint64))
+
+
+def _keyer(hot):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in steps(batches, "text"):
+            sets = {set_name(s): s for s in shingle_sets(as_bytes(batch.column("text"))) if len(s)}
+            if sets:
+                found = [keys(s, hot.value) for s in sets.values()]
+                names = np.repeat(np.fromiter(sets, np.int64, len(sets)), [len(k) for k in found])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(names)], ["key", "class"])
+
+    return run
+
+
+def sketch(found: np.ndarray) -> np.ndarray:
+    """Parity bit sketch: each shingle flips one of 2^k bits, two to four bits a shingle. Its halves fold into the next smaller one by XOR."""
+    k = max(6, (2 * len(found) - 1).bit_length())
+    flips = np.bincount((mix(found ^ np.uint64(0xA5A5A5A5)) & np.uint64((1 << k) - 1)).astype(np.int64), minlength=1 << k)
+    return np.packbits((flips & 1).astype(np.uint8)).view(np.uint64)
+
+
+def folded(bits: np.ndarray, words: int) -> np.ndarray:
+    """The sketch of `words` 64-bit words: both halves laid over each other."""
+    while len(bits) > words:
+        bits = bits[: len(bits) // 2] ^ bits[len(bits) // 2 :]
+    return bits
+
+
+def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in steps(batches, "text"):
-        sets = {set_name(s): s for s in shingle_sets(as_bytes(batch.column("text"))) if len(s)}
-        if sets:
-            found = [keys(s) for s in sets.values()]
-            names = np.repeat(np.fromiter(sets, np.int64, len(sets)), [len(k) for k in found])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(names)], ["key", "class"])
+        sets = shingle_sets(as_bytes(batch.column("text")))
+        columns = [batch.column("class"), batch.column("tasks"), pa.array([len(s) for s in sets], pa.int64()), pa.array([sketch(s).tobytes() for s in sets], pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, ["class", "tasks", "n", "sketch"])
+
+
+def _forest(names: np.ndarray, near: np.ndarray) -> pa.Table:
+    """Links (a symmetric matrix) thinned to a forest with the same components."""
+    np.fill_diagonal(near, True)
+    label = np.arange(len(names))
+    while True:
+        least = np.where(near, label[None, :], len(names)).min(axis=1)
+        least = least[np.minimum(least, label)]
+        if (least == label).all():
+            break
+        label = least
+    moved = label != np.arange(len(names))
+    return pa.table({"a": pa.array(names[label[moved]], pa.int64()), "b": pa.array(names[moved], pa.int64())})
+
+
+def _sketches_meet(key: tuple, rows: pa.Table) -> pa.Table:
+    """Pairs of one block or pair of blocks that the sketches do not rule out, as a forest."""
+    sizes = rows.column("n").to_numpy()
+    bits = [np.frombuffer(x, np.uint64) for x in rows.column("sketch").to_pylist()]
+    words = min(map(len, bits))
+    table = np.array([folded(x, words) for x in bits])
+    near = np.zeros((len(bits), len(bits)), bool)
+    for i in range(0, len(bits), 32):
+        far = np.bitwise_count(table[i : i + 32, None, :] ^ table[None, :, :]).sum(axis=2, dtype=np.int64)
+        a, b = sizes[i : i + 32, None], sizes[None, :]
+        near[i : i + 32] = (7 * far <= a + b) & (4 * np.minimum(a, b) >= 3 * np.maximum(a, b))
+    return _forest(rows.column("class").to_numpy(), near)
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,21 +211,10 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
 
 def _linked(key: tuple, rows: pa.Table) -> pa.Table:
     """Links of one block or pair of blocks, thinned to a forest with the same components."""
-    names = rows.column("class").to_numpy()
     sets = [np.frombuffer(x, np.uint64) for x in rows.column("shingles").to_pylist()]
     sizes = np.array([len(s) for s in sets])
     both = overlaps(sets)
-    near = 100 * both >= 75 * (sizes[:, None] + sizes[None, :] - both)
-    np.fill_diagonal(near, True)
-    label = np.arange(len(sets))
-    while True:
-        least = np.where(near, label[None, :], len(sets)).min(axis=1)
-        least = least[np.minimum(least, label)]
-        if (least == label).all():
-            break
-        label = least
-    moved = label != np.arange(len(sets))
-    return pa.table({"a": pa.array(names[label[moved]], pa.int64()), "b": pa.array(names[moved], pa.int64())})
+    return _forest(rows.column("class").to_numpy(), 100 * both >= 75 * (sizes[:, None] + sizes[None, :] - both))
 
 
 def _tasks(members: DataFrame) -> DataFrame:
@@ -170,16 +241,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("row", row_key("doc_id", "text"))
     rows = stored(texts.mapInArrow(_classes, "doc_id long, row long, n_shingles long, class long"), "jaccard-classes")
 
-    keyed = texts.select("text").mapInArrow(_keyed, "key long, class long")
+    hot = docs.sparkSession.sparkContext.broadcast(hot_shingles(texts))
+    keyed = texts.select("text").mapInArrow(_keyer(hot), "key long, class long")
     least = F.first("class").over(Window.partitionBy("key").orderBy("class").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    suggested = stored(keyed.withColumn("least", least).where("least != class").select(F.col("least").alias("a"), F.col("class").alias("b")).distinct(), "jaccard-suggested")
-    groups = components(suggested, "jaccard-candidates").select(F.col("v").alias("class"), "label")
-    holders = rows.groupBy("class").agg(F.min("row").alias("row"), F.min("n_shingles").alias("n"))
-    members = stored(groups.join(holders, "class"), "jaccard-members")
-    wanted = members.select("class", "row").join(_tasks(members.select("class", "label", "n")), "class")
-    sets = texts.join(wanted, "row").select("class", "tasks", "text").mapInArrow(_packed, "class long, tasks array<bigint>, shingles binary")
-    compared = sets.select(F.explode("tasks").alias("task"), "class", "shingles").groupBy("task").applyInArrow(_linked, "a long, b long")
-    links = stored(compared, "jaccard-links")
+    links = stored(keyed.withColumn("least", least).where("least != class").select(F.col("least").alias("a"), F.col("class").alias("b")).distinct(), "jaccard-suggested")
+    holders = stored(rows.groupBy("class").agg(F.min("row").alias("row"), F.min("n_shingles").alias("n")), "jaccard-holders")
+    for name, pack, schema, compare in (("sketches", _sketched, "n long, sketch binary", _sketches_meet), ("sets", _packed, "shingles binary", _linked)):
+        groups = components(links, f"jaccard-{name}").select(F.col("v").alias("class"), "label")
+        members = stored(groups.join(holders, "class"), f"jaccard-{name}-members")
+        wanted = members.select("class", "row").join(_tasks(members.select("class", "label", "n")), "class")
+        packed = texts.join(wanted, "row").select("class", "tasks", "text").mapInArrow(pack, f"class long, tasks array<bigint>, {schema}")
+        dealt = packed.select(F.explode("tasks").alias("task"), *[c for c in packed.columns if c != "tasks"])
+        links = stored(dealt.groupBy("task").applyInArrow(compare, "a long, b long"), f"jaccard-{name}-links")
     linked = components(links, "jaccard-components").select(F.col("v").alias("class"), "label")
 
     grouped = rows.join(linked, "class", "left").withColumn("group", F.coalesce("label", "class"))

@@ -27,7 +27,7 @@ from docs left join words using (doc_id) left join items using (doc_id)
 _OP2 = r"""
 with bodies as (select page_id, url, regexp_extract(regexp_replace(coalesce(html, ''), '<[^<>]*$', ''), '(?s)<article>(.*?)(?:</article>|$)', 1) body from pages),
 blocks as (select page_id, list_filter(list_transform(string_split_regex(replace(body, '<br>', ' '), '</?(?:p|h1)>'),
-  lambda b: trim(regexp_replace(replace(replace(replace(replace(regexp_replace(b, '<[^>]+>', '', 'g'), '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), '\s+', ' ', 'g'))), b -> b <> '') b from bodies)
+  lambda b: trim(regexp_replace(replace(replace(replace(replace(regexp_replace(b, '<[^>]+>', '', 'g'), '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), '\s+', ' ', 'g')), lambda b: b <> '') b from bodies)
 select page_id, url, array_to_string(b, chr(10) || chr(10)) as "text", cast(length(array_to_string(b, chr(10) || chr(10))) as bigint) n_chars
 from bodies join blocks using (page_id)
 """
