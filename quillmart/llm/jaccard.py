@@ -11,10 +11,10 @@ shingles; if only one side is short the other side's pieces suffice, and if both
 Any order of the pieces will do if all sets keep it, so shingles that very many documents share get pieces of their own, which
 come last: a document that is not mostly made of them is never looked up by them.
 
-Equal keys only suggest pairs. They link each set of a key to the key's least set; the components of these links hold every pair.
-Inside them parity sketches of two to four bits a shingle are compared, in blocks of bounded size where sizes fit; pairs whose
-Hamming distance is above (a + b) / 7 are out. In the components of what is left the sets themselves are compared, in blocks
-again. Nothing is sampled or capped.
+Equal keys only suggest pairs. The few sets of a small key are paired. A key of more sets links each to its least one, so the
+components of those links hold all its pairs; inside them blocks of bounded size are compared where sizes fit. Either way parity
+sketches of one to two bits a shingle are compared first, and pairs whose Hamming distance is above (a + b) / 7 are out. In the
+components of what is left the sets themselves are compared, in blocks again. Nothing is sampled or capped.
 
 Rows in: `doc_id`, `text`. Null and blank texts have an empty set, link with nothing and are their own component. Fewer than five
 words count as one shingle. Rows with equal sets stand as one class, so copies are not paired. Null doc_ids are never a
@@ -40,6 +40,8 @@ BLOCK_SETS, BLOCK_SHINGLES = 256, 400_000
 BAND_RATIO = 1.35
 #: Shingles in more than this share of all documents have pieces of their own. There are at most (mean set size) / share of them.
 HOT_SHARE = 0.001
+#: A key with so many rows or fewer pairs its sets directly.
+SMALL_KEY = 8
 #: A batch of documents reports shingles that so many of its documents hold.
 HOT_IN_BATCH = 3
 _COLUMNS = 4096
@@ -103,8 +105,8 @@ def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in steps(batches, "text"):
         sets = shingle_sets(as_bytes(batch.column("text")))
         names = [set_name(s) if len(s) else None for s in sets]
-        columns = [batch.column("doc_id"), batch.column("row"), pa.array([len(s) for s in sets], pa.int64()), pa.array(names, pa.int64())]
-        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "row", "n_shingles", "class"])
+        columns = [batch.column("doc_id"), batch.column("row"), pa.array([len(s) for s in sets], pa.int64()), pa.array(names, pa.int64()), pa.array([sketch(s).tobytes() for s in sets], pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "row", "n_shingles", "class", "sketch"])
 
 
 def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,8 +138,8 @@ def _keyer(hot):
 
 
 def sketch(found: np.ndarray) -> np.ndarray:
-    """Parity bit sketch: each shingle flips one of 2^k bits, two to four bits a shingle. Its halves fold into the next smaller one by XOR."""
-    k = max(6, (2 * len(found) - 1).bit_length())
+    """Parity bit sketch: each shingle flips one of 2^k bits, one to two bits a shingle. Its halves fold into the next smaller one by XOR."""
+    k = max(6, (len(found) - 1).bit_length() if len(found) else 0)
     flips = np.bincount((mix(found ^ np.uint64(0xA5A5A5A5)) & np.uint64((1 << k) - 1)).astype(np.int64), minlength=1 << k)
     return np.packbits((flips & 1).astype(np.uint8)).view(np.uint64)
 
@@ -149,11 +151,13 @@ def folded(bits: np.ndarray, words: int) -> np.ndarray:
     return bits
 
 
-def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in steps(batches, "text"):
-        sets = shingle_sets(as_bytes(batch.column("text")))
-        columns = [batch.column("class"), batch.column("tasks"), pa.array([len(s) for s in sets], pa.int64()), pa.array([sketch(s).tobytes() for s in sets], pa.binary())]
-        yield pa.RecordBatch.from_arrays(columns, ["class", "tasks", "n", "sketch"])
+def _near_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs whose sketches are near enough."""
+    for batch in batches:
+        ones, twos = ([np.frombuffer(x, np.uint64) for x in batch.column(c).to_pylist()] for c in ("sketch_a", "sketch_b"))
+        far = np.fromiter((int(np.bitwise_count(folded(x, len(y)) ^ folded(y, len(x))).sum()) for x, y in zip(ones, twos, strict=True)), np.int64, len(ones))
+        near = 7 * far <= batch.column("n_a").to_numpy() + batch.column("n_b").to_numpy()
+        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(near))
 
 
 def _forest(names: np.ndarray, near: np.ndarray) -> pa.Table:
@@ -239,20 +243,35 @@ def _tasks(members: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """row (row_key of doc_id and text), doc_id, n_shingles and component_id of every row."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("row", row_key("doc_id", "text"))
-    rows = stored(texts.mapInArrow(_classes, "doc_id long, row long, n_shingles long, class long"), "jaccard-classes")
+    rows = stored(texts.mapInArrow(_classes, "doc_id long, row long, n_shingles long, class long, sketch binary"), "jaccard-classes")
+    held = rows.where("class is not null").groupBy("class").agg(F.min("row").alias("row"), F.min("n_shingles").alias("n"), F.min("sketch").alias("sketch"))
+    holders = stored(held, "jaccard-holders")
 
     hot = docs.sparkSession.sparkContext.broadcast(hot_shingles(texts))
     keyed = texts.select("text").mapInArrow(_keyer(hot), "key long, class long")
-    least = F.first("class").over(Window.partitionBy("key").orderBy("class").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    links = stored(keyed.withColumn("least", least).where("least != class").select(F.col("least").alias("a"), F.col("class").alias("b")).distinct(), "jaccard-suggested")
-    holders = stored(rows.groupBy("class").agg(F.min("row").alias("row"), F.min("n_shingles").alias("n")), "jaccard-holders")
-    for name, pack, schema, compare in (("sketches", _sketched, "n long, sketch binary", _sketches_meet), ("sets", _packed, "shingles binary", _linked)):
-        groups = components(links, f"jaccard-{name}").select(F.col("v").alias("class"), "label")
-        members = stored(groups.join(holders, "class"), f"jaccard-{name}-members")
-        wanted = members.select("class", "row").join(_tasks(members.select("class", "label", "n")), "class")
-        packed = texts.join(wanted, "row").select("class", "tasks", "text").mapInArrow(pack, f"class long, tasks array<bigint>, {schema}")
-        dealt = packed.select(F.explode("tasks").alias("task"), *[c for c in packed.columns if c != "tasks"])
-        links = stored(dealt.groupBy("task").applyInArrow(compare, "a long, b long"), f"jaccard-{name}-links")
+    whole, ordered = Window.partitionBy("key"), Window.partitionBy("key").orderBy("class")
+    counted = keyed.withColumn("n", F.count("*").over(whole)).withColumn("least", F.first("class").over(ordered)).where("n > 1")
+    shared = stored(counted.select("key", "class", "n", "least").where(f"n <= {SMALL_KEY} or least != class"), "jaccard-shared")
+    large = shared.where(f"n > {SMALL_KEY}").select(F.col("least").alias("a"), F.col("class").alias("b")).distinct()
+
+    few = shared.where(f"n <= {SMALL_KEY}").groupBy("key").agg(F.sort_array(F.collect_set("class")).alias("set")).where(F.size("set") > 1).select("set").distinct()
+    upper = few.select("set", F.posexplode("set").alias("i", "a"))
+    pairs = upper.select("a", F.explode(F.slice("set", F.col("i") + 2, F.size("set"))).alias("b")).distinct()
+    side = lambda c: holders.select(F.col("class").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"sketch_{c}"))
+    sized = pairs.join(side("a"), "a").join(side("b"), "b").where("4 * least(n_a, n_b) >= 3 * greatest(n_a, n_b)")
+    near = sized.mapInArrow(_near_pairs, "a long, b long")
+
+    groups = components(large, "jaccard-sketches").select(F.col("v").alias("class"), "label")
+    members = stored(groups.join(holders, "class"), "jaccard-sketch-members")
+    dealt = members.join(_tasks(members.select("class", "label", "n")), "class").select(F.explode("tasks").alias("task"), "class", "n", "sketch")
+    links = stored(near.union(dealt.groupBy("task").applyInArrow(_sketches_meet, "a long, b long")), "jaccard-sketch-links")
+
+    groups = components(links, "jaccard-sets").select(F.col("v").alias("class"), "label")
+    members = stored(groups.join(holders.drop("sketch"), "class"), "jaccard-set-members")
+    wanted = members.select("class", "row").join(_tasks(members.select("class", "label", "n")), "class")
+    packed = texts.join(wanted, "row").select("class", "tasks", "text").mapInArrow(_packed, "class long, tasks array<bigint>, shingles binary")
+    dealt = packed.select(F.explode("tasks").alias("task"), "class", "shingles")
+    links = stored(dealt.groupBy("task").applyInArrow(_linked, "a long, b long"), "jaccard-set-links")
     linked = components(links, "jaccard-components").select(F.col("v").alias("class"), "label")
 
     grouped = rows.join(linked, "class", "left").withColumn("group", F.coalesce("label", "class"))

@@ -24,12 +24,21 @@ select docs.doc_id, cast(len(w) as bigint) n_words, cast(coalesce(n_hit, 0) as b
 from docs left join words using (doc_id) left join items using (doc_id)
 """
 
-_OP2 = r"""
+_ENTITIES = (("&quot;", '"'), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"))
+
+
+def _block_text(block: str) -> str:
+    text = f"regexp_replace({block}, '<[^>]+>', '', 'g')"
+    for name, character in _ENTITIES:
+        text = f"replace({text}, '{name}', '{character}')"
+    return f"trim(regexp_replace({text}, '\\s+', ' ', 'g'))"
+
+
+_OP2 = f"""
 with bodies as (select page_id, url, regexp_extract(regexp_replace(coalesce(html, ''), '<[^<>]*$', ''), '(?s)<article>(.*?)(?:</article>|$)', 1) body from pages),
-blocks as (select page_id, list_filter(list_transform(string_split_regex(replace(body, '<br>', ' '), '</?(?:p|h1)>'),
-  lambda b: trim(regexp_replace(replace(replace(replace(replace(regexp_replace(b, '<[^>]+>', '', 'g'), '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), '\s+', ' ', 'g')), lambda b: b <> '') b from bodies)
-select page_id, url, array_to_string(b, chr(10) || chr(10)) as "text", cast(length(array_to_string(b, chr(10) || chr(10))) as bigint) n_chars
-from bodies join blocks using (page_id)
+pieces as (select page_id, url, list_transform(string_split_regex(replace(body, '<br>', ' '), '</?(?:p|h1)>'), lambda b: {_block_text("b")}) p from bodies),
+texts as (select page_id, url, array_to_string(list_filter(p, lambda b: b <> ''), chr(10) || chr(10)) as "text" from pieces)
+select page_id, url, "text", cast(length("text") as bigint) n_chars from texts
 """
 
 _RATIOS = {"word_length": "word_chars / greatest(n_words, 1)", "symbol_ratio": "n_symbols / greatest(n_words, 1)", "dup_line_ratio": "n_dup_lines / greatest(n_lines, 1)", "repeat_ratio": "n_repeat_words / greatest(n_words, 1)"}
