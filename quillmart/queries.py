@@ -1,6 +1,148 @@
-"""Registry of the commerce queries."""
+"""Registry of the commerce queries and their oracle SQL."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from pyspark.sql import functions as F
+
+from quillmart.functions.text import normalized, tokens
+from quillmart.operators import graph, reports, supply
+from quillmart.plans.canonical import products, purchases, sales, table
+
+_PRODUCTS = "products as (select cast(p_partkey as varchar) product_id, p_name product_name, p_type category, p_brand brand from part)"
+_SALES = """sales as (select cast(o_orderdate as date) date, c_name customer, cast(l_partkey as varchar) product_id, p_name product_name, cast(l_quantity as bigint) quantity,
+  cast(floor(l_extendedprice * (1 - l_discount) * 100 + 0.5) as bigint) total, l_returnflag <> 'R' is_active
+  from lineitem join part on l_partkey = p_partkey join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey)"""
+_PURCHASES = """purchases as (select cast(l_shipdate as date) date, s_name supplier, n_regionkey + 1 delivery_days, cast(l_partkey as varchar) product_id, cast(l_quantity as bigint) quantity,
+  cast(floor(l_extendedprice / l_quantity * 100 + 0.5) as bigint) unit_cost, cast(floor(l_extendedprice * 100 + 0.5) as bigint) total, l_returnflag <> 'R' is_active
+  from lineitem join part on l_partkey = p_partkey join supplier on l_suppkey = s_suppkey join nation on s_nationkey = n_nationkey)"""
+_BASKETS = "baskets as (select distinct customer, date, product_id from sales where is_active)"
+_OPTIONS = """capacity as (select supplier, max(units) supplier_capacity from (select supplier, date, sum(quantity) units from purchases where is_active group by all) group by supplier),
+options as (select product_id, supplier, min(unit_cost) unit_cost, cast(sum(unit_cost) as bigint) cost_sum, max(quantity) capacity_units, count(*) n_lines, max(date) last_purchase, cast(min(delivery_days) as bigint) delivery_days, cast(any_value(supplier_capacity) as bigint) supplier_capacity
+  from purchases left join capacity using (supplier) where is_active and quantity > 0 and unit_cost > 0 group by product_id, supplier)"""
+_OFFERS = """offers as (select o.product_id, supplier, unit_cost, reference_cost, n_suppliers, reference_cost - unit_cost saving, unit_cost - reference_cost edge_weight,
+  case when reference_cost > unit_cost then 'OFFER' when reference_cost < unit_cost then 'EXPENSIVE' else 'REFERENCE' end scenario
+  from options o join (select product_id, median(unit_cost) reference_cost, count(distinct supplier) n_suppliers from options group by product_id having count(distinct supplier) > 1) r using (product_id))"""
+_TOP_CLIENT = "client_top as (select * from (select *, row_number() over (partition by customer order by value desc, product_id) rank from (select customer, product_id, cast(sum(total) as bigint) value, cast(sum(quantity) as bigint) quantity, count(distinct date) n_dates, max(date) last_date from sales where is_active group by customer, product_id)))"
+_TOP_SUPPLIER = "supplier_top as (select * from (select *, row_number() over (partition by product_id order by least_cost, n_lines desc, supplier) rank from (select product_id, supplier, min(unit_cost) least_cost, cast(sum(quantity) as bigint) quantity, count(*) n_lines, max(date) last_date from purchases where is_active group by product_id, supplier)))"
+_ORDERED = "ordered as (select product_id, cast(greatest(1, sum(quantity) // 4) as bigint) ordered from sales where is_active group by product_id)"
+_STOP = "('DE', 'LA', 'EL', 'Y', 'CON', 'PARA', 'POR', 'EN', 'THE', 'OF', 'AND')"
+
+
+def _norm(column: str) -> str:
+    return f"trim(regexp_replace(upper(strip_accents(replace(coalesce({column}, ''), 'ß', 'ss'))), '[^A-Z0-9]+', ' ', 'g'))"
+
+
+def _tokens(column: str) -> str:
+    return f"list_filter(string_split({_norm(column)}, ' '), lambda t: t <> '' and t not in {_STOP})"
+
+
+_ATTRIBUTES = f"""edges as (
+  select product_id, 'WORD:' || unnest(list_distinct({_tokens("product_name")})) attribute, 'WORD' relation, 90 weight from products union all
+  select product_id, 'CATEGORY:' || unnest(list_distinct({_tokens("category")})), 'CATEGORY', 75 from products union all
+  select product_id, 'BRAND:' || {_norm("brand")}, 'BRAND', 80 from products)"""
+_PROJECTION = """kept as (select attribute from edges group by attribute having count(distinct product_id) <= greatest(2, floor(0.35 * (select count(distinct product_id) from edges)))),
+used as (select product_id, attribute, max(weight) w from edges where attribute in (select attribute from kept) group by all),
+mass as (select product_id, sum(w) mass from used group by all),
+projection as (select product_a, product_b, n_shared, cast(shared_weight as bigint) shared_weight, shared_weight / (a.mass + b.mass - shared_weight) similarity from
+  (select x.product_id product_a, y.product_id product_b, sum(least(x.w, y.w)) shared_weight, count(*) n_shared from used x join used y on x.attribute = y.attribute and x.product_id < y.product_id group by all having count(*) >= 2)
+  join mass a on a.product_id = product_a join mass b on b.product_id = product_b where shared_weight / (a.mass + b.mass - shared_weight) >= 0.3)"""
+
+
+def _transactions(lines: str, party: str, relation: str) -> str:
+    return f"""named as (select *, 'DOC|' || {party} || '|' || cast(date as varchar) doc from {lines} where is_active),
+edges as (select doc source, 'PRODUCT|' || product_id target, 'CONTAINS' relation, total weight from named union all
+  select distinct doc, 'PARTY|' || {party}, '{relation}', 1 from named union all select distinct doc, 'DATE|' || cast(date as varchar), 'ON_DATE', 1 from named)"""
+
+
+#: Supplier and nation graph for paths and components: suppliers and customers hang on their nations, nations on their regions.
+_PLACES = """places as (select 'S' || s_suppkey u, 'N' || s_nationkey v from supplier union all select 'C' || c_custkey, 'N' || c_nationkey from customer union all select 'N' || n_nationkey, 'R' || n_regionkey from nation),
+both_ways as (select u, v from places union select v, u from places)"""
+
+
+def _places(spark, sf_dir):
+    text = lambda prefix, c: F.concat(F.lit(prefix), F.col(c).cast("string"))
+    s = table(spark, sf_dir, "supplier").select(text("S", "s_suppkey").alias("u"), text("N", "s_nationkey").alias("v"))
+    c = table(spark, sf_dir, "customer").select(text("C", "c_custkey").alias("u"), text("N", "c_nationkey").alias("v"))
+    n = table(spark, sf_dir, "nation").select(text("N", "n_nationkey").alias("u"), text("R", "n_regionkey").alias("v"))
+    return graph.undirected(s.union(c).union(n), "u", "v")
+
+
+def _trade(spark, sf_dir):
+    """Suppliers and products, weighted by lines."""
+    e = purchases(spark, sf_dir).where("is_active").groupBy(F.concat(F.lit("S|"), "supplier").alias("u"), F.concat(F.lit("P|"), "product_id").alias("v")).agg(F.count("*").alias("w"))
+    return e.union(e.select("v", "u", "w"))
+
+
+def _pagerank_sql(rounds: int) -> str:
+    steps = "".join(f", r{i} as (select m.v node, 0.15 / (select count(*) from out_) + 0.85 * sum(rank * p) rank from m join r{i - 1} on r{i - 1}.node = m.u group by m.v)" for i in range(1, rounds + 1))
+    return f"""with {_PURCHASES}, e as (select 'S|' || supplier u, 'P|' || product_id v, count(*) w from purchases where is_active group by all), both_ways as (select u, v, w from e union all select v, u, w from e),
+out_ as (select u, sum(w) o from both_ways group by u), m as (select b.u, v, w / o p from both_ways b join out_ using (u)), r0 as (select u node, 1.0 / (select count(*) from out_) rank from out_){steps}
+select node, round(rank, 9) rank from r{rounds}"""
+
+
+def _ordered(spark, sf_dir):
+    """An order of a quarter of what was sold."""
+    return reports.demand(sales(spark, sf_dir)).select("product_id", F.greatest(F.lit(1), F.floor(F.col("units") / 4)).cast("long").alias("ordered"))
+
+
+def _options(spark, sf_dir):
+    return supply.supply_options(purchases(spark, sf_dir))
+
+
+def _alloc(spark, sf_dir, *by):
+    return supply.allocate(_options(spark, sf_dir), _ordered(spark, sf_dir), by)
+
+
+def _alloc_sql(order: str) -> str:
+    return f"""with {_SALES}, {_PURCHASES}, {_OPTIONS}, {_ORDERED},
+split as (select product_id, supplier, unit_cost, delivery_days, supplier_capacity, cast(greatest(0, least(capacity_units, ordered - coalesce(sum(capacity_units) over (partition by product_id order by {order}, supplier rows between unbounded preceding and 1 preceding), 0))) as bigint) units from options join ordered using (product_id))"""
+
+
+def _edges(spark, sf_dir):
+    return graph.attribute_edges(products(spark, sf_dir))
+
+
+_SPLIT = "select product_id, supplier, units, unit_cost, delivery_days, units * unit_cost cost from split where units > 0"
+_REGISTRY = {
+    "abc_classes": (lambda s, d: reports.abc_classes(sales(s, d)), f"""with {_SALES}, v as (select product_id, product_name, cast(sum(total) as bigint) value, cast(sum(quantity) as bigint) quantity from sales where is_active group by all),
+        c as (select *, cast(sum(value) over (order by value desc, product_id, product_name rows unbounded preceding) as bigint) cumulative, sum(value) over () all_value from v)
+        select product_id, product_name, value, quantity, cumulative, case when cumulative * 100 <= 80 * all_value then 'A' when cumulative * 100 <= 95 * all_value then 'B' else 'C' end class from c"""),
+    "co_sales_pairs": (lambda s, d: reports.co_sales(sales(s, d)), f"with {_SALES}, {_BASKETS} select x.product_id product_a, y.product_id product_b, count(*) n_baskets from baskets x join baskets y on x.customer = y.customer and x.date = y.date and x.product_id < y.product_id group by all"),
+    "association_rules": (lambda s, d: reports.association_rules(sales(s, d)), f"""with {_SALES}, {_BASKETS}, big as (select customer, date from baskets group by all having count(*) > 1), items as (select * from baskets join big using (customer, date)),
+        c as (select product_id, count(*) c from items group by all), n as (select count(*) n from big), p as (select x.product_id antecedent, y.product_id consequent, count(*) n_pairs from items x join items y on x.customer = y.customer and x.date = y.date and x.product_id <> y.product_id group by all having count(*) >= 2)
+        select antecedent, consequent, n_pairs, n_pairs / n support, n_pairs / a.c confidence, n_pairs * n / (a.c * b.c) lift from p join c a on a.product_id = antecedent join c b on b.product_id = consequent, n"""),
+    "supplier_dependency": (lambda s, d: reports.supplier_dependency(purchases(s, d)), f"""with {_PURCHASES}, v as (select supplier, cast(sum(total) as bigint) value, count(distinct product_id) n_products from purchases where is_active group by supplier), t as (select *, sum(value) over () a from v)
+        select supplier, value, n_products, value / a share, case when value * 100 > 30 * a then 'ALTA' when value * 100 > 15 * a then 'MEDIA' else 'BAJA' end alert from t"""),
+    "client_top_products": (lambda s, d: reports.client_top_products(sales(s, d)), f"with {_SALES}, {_TOP_CLIENT} select * from client_top where rank <= 5"),
+    "product_top_suppliers": (lambda s, d: reports.product_top_suppliers(purchases(s, d)), f"with {_PURCHASES}, {_TOP_SUPPLIER} select * from supplier_top where rank <= 3"),
+    "customer_supply_join": (lambda s, d: reports.customer_supply(sales(s, d), purchases(s, d)), f"with {_SALES}, {_PURCHASES}, {_TOP_CLIENT}, {_TOP_SUPPLIER} select c.customer, c.product_id, c.value, s.supplier, s.least_cost from client_top c left join supplier_top s on s.product_id = c.product_id and s.rank = 1 where c.rank <= 3"),
+    "transaction_flags": (lambda s, d: reports.transaction_flags(sales(s, d), purchases(s, d)), f"with {_SALES}, {_PURCHASES}, b as (select 'sales' dataset, is_active from sales union all select 'purchases', is_active from purchases) select dataset, count(*) n_rows, count(*) filter (is_active) n_active, count(*) filter (not is_active) n_cancelled from b group by all"),
+    "product_activity": (lambda s, d: reports.product_activity(products(s, d), sales(s, d), purchases(s, d)), f"""with {_PRODUCTS}, {_SALES}, {_PURCHASES}, a as (select product_id, cast(sum(quantity) as bigint) sold, count(*) n_sales from sales where is_active group by all), b as (select product_id, cast(sum(quantity) as bigint) bought, count(*) n_purchases from purchases where is_active group by all)
+        select product_id, product_name, coalesce(sold, 0) sold, coalesce(n_sales, 0) n_sales, coalesce(bought, 0) bought, coalesce(n_purchases, 0) n_purchases, sold is not null has_sales, bought is not null has_purchases from products left join a using (product_id) left join b using (product_id)"""),
+    "code_patterns": (lambda s, d: reports.code_patterns(sales(s, d)), f"with {_SALES}, c as (select 'NUM_' || length(product_id) || '_DIGITS' pattern, count(*) n_rows, count(*) filter (is_active) n_active from sales group by all) select *, n_rows / sum(n_rows) over () share from c"),
+    "amount_identity": (lambda s, d: reports.amount_identity(purchases(s, d)), f"with {_PURCHASES}, t as (select abs(quantity * unit_cost - total) <= 0.03 * total h from purchases where total > 0) select count(*) n_rows, count(*) filter (h) n_hold, count(*) filter (h) / count(*) rate from t"),
+    "demand": (lambda s, d: reports.demand(sales(s, d)), f"with {_SALES} select product_id, cast(sum(quantity) as bigint) units from sales where is_active group by product_id having sum(quantity) > 0"),
+    "supplier_removal_impact": (lambda s, d: reports.supplier_removal(purchases(s, d), sales(s, d)), f"""with {_SALES}, {_PURCHASES}, a as (select distinct supplier, product_id from purchases where is_active), n as (select product_id, count(*) n from a group by all), u as (select product_id, sum(quantity) units from sales where is_active group by all having sum(quantity) > 0)
+        select supplier, count(*) n_products, count(*) filter (n = 1) n_single_source, cast(coalesce(sum(units), 0) as bigint) units_at_risk from a join n using (product_id) left join u using (product_id) group by supplier"""),
+    "supplier_daily_capacity": (lambda s, d: supply.daily_capacity(purchases(s, d)), f"with {_PURCHASES}, {_OPTIONS} select supplier, cast(supplier_capacity as bigint) capacity from capacity"),
+    "supply_options": (_options, f"with {_PURCHASES}, {_OPTIONS} select * from options"),
+    "offer_candidates": (lambda s, d: supply.offer_candidates(_options(s, d)), f"with {_PURCHASES}, {_OPTIONS}, {_OFFERS} select * from offers"),
+    "offer_best_paths": (lambda s, d: supply.best_offers(supply.offer_candidates(_options(s, d))), f"with {_PURCHASES}, {_OPTIONS}, {_OFFERS} select product_id, supplier, edge_weight, unit_cost from offers qualify row_number() over (partition by product_id order by edge_weight, supplier) = 1"),
+    "cheapest_split": (lambda s, d: _alloc(s, d, "unit_cost"), f"{_alloc_sql('unit_cost')} {_SPLIT}"),
+    "fastest_split": (lambda s, d: _alloc(s, d, "delivery_days", "unit_cost"), f"{_alloc_sql('delivery_days, unit_cost')} {_SPLIT}"),
+    "capacity_violations": (lambda s, d: supply.flow_capacity_violations(_alloc(s, d, "unit_cost"), _options(s, d)), f"{_alloc_sql('unit_cost')} select supplier, cast(sum(units) as bigint) assigned, cast(sum(units * unit_cost) as bigint) cost, any_value(supplier_capacity) supplier_capacity, sum(units) > any_value(supplier_capacity) violated from split where units > 0 group by supplier"),
+    "normalized_names": (lambda s, d: table(s, d, "documents").select("doc_id", normalized(F.col("text")).alias("normalized")), f"select doc_id, {_norm('text')} normalized from documents"),
+    "token_profile": (lambda s, d: products(s, d).select("product_id", F.explode(tokens(F.col("product_name"))).alias("token")).groupBy("token").agg(F.count("*").alias("n"), F.count_distinct("product_id").alias("n_products")), f"with {_PRODUCTS}, t as (select product_id, unnest({_tokens('product_name')}) token from products) select token, count(*) n, count(distinct product_id) n_products from t group by token"),
+    "attr_graph_edges": (_edges, f"with {_PRODUCTS}, {_ATTRIBUTES} select * from edges"),
+    "degree_top": (lambda s, d: graph.attribute_degrees(_edges(s, d)).orderBy(F.col("degree").desc(), "attribute").limit(20), f"with {_PRODUCTS}, {_ATTRIBUTES} select attribute, count(distinct product_id) degree from edges group by attribute order by degree desc, attribute limit 20"),
+    "product_projection": (lambda s, d: graph.product_projection(_edges(s, d)), f"with {_PRODUCTS}, {_ATTRIBUTES}, {_PROJECTION} select * from projection"),
+    "top_similar": (lambda s, d: graph.top_similar(graph.product_projection(_edges(s, d))), f"with {_PRODUCTS}, {_ATTRIBUTES}, {_PROJECTION}, b as (select product_a product_id, product_b other, similarity from projection union all select product_b, product_a, similarity from projection) select *, row_number() over (partition by product_id order by similarity desc, other) rank from b qualify rank <= 5"),
+    "attribute_cooccurrence": (lambda s, d: graph.attribute_cooccurrence(_edges(s, d)), f"with {_PRODUCTS}, {_ATTRIBUTES}, e as (select distinct product_id, attribute from edges) select x.attribute attribute_a, y.attribute attribute_b, count(*) n_products from e x join e y on x.product_id = y.product_id and x.attribute < y.attribute group by all having count(*) >= 3"),
+    "txn_graph_sales": (lambda s, d: graph.relation_counts(graph.transaction_edges(sales(s, d), "customer", "SOLD_TO")), f"with {_SALES}, {_transactions('sales', 'customer', 'SOLD_TO')} select relation, count(*) n_edges, count(distinct source) n_sources, count(distinct target) n_targets from edges group by relation"),
+    "txn_graph_purchases": (lambda s, d: graph.relation_counts(graph.transaction_edges(purchases(s, d), "supplier", "ISSUED_BY")), f"with {_PURCHASES}, {_transactions('purchases', 'supplier', 'ISSUED_BY')} select relation, count(*) n_edges, count(distinct source) n_sources, count(distinct target) n_targets from edges group by relation"),
+    "connected_components": (lambda s, d: graph.components(_places(s, d)), f"with recursive {_PLACES}, reach(node, other) as (select u, u from both_ways union select node, v from reach join both_ways on u = other) select node, min(other) label from reach group by node"),
+    "bfs_distance": (lambda s, d: graph.hop_distances(_places(s, d), "S1"), f"with recursive {_PLACES}, walk(node, distance) as (select 'S1', 0 union select v, distance + 1 from walk join both_ways on u = node where distance < 6) select node, cast(min(distance) as bigint) distance from walk group by node"),
+    "pagerank_k": (lambda s, d: graph.pagerank(_trade(s, d)).select("node", F.round("rank", 9).alias("rank")), _pagerank_sql(5)),
+}
+QUERIES = {k: v[0] for k, v in _REGISTRY.items()}
+ORACLE_SQL = {k: v[1] for k, v in _REGISTRY.items()}
