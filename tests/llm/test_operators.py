@@ -204,3 +204,12 @@ def _heads(texts):
             x, y = find(a), find(b)
             parent[max(x, y)] = min(x, y)
     return {d for d in texts if find(d) == d}
+
+
+def test_compact_pairs_inside_a_large_key(spark):
+    """Forty texts share one line; text i and text i + 20 share that line with what follows it, and nobody else does."""
+    line = prose(25, 77)
+    own = [prose(45, 100 + i) for i in range(20)]
+    rows = [(i, f"{prose(60, 200 + i)} {line} {own[i % 20]} {prose(60, 300 + i)}") for i in range(40)]
+    found = compact.near_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {tuple(sorted((r.doc_id, r.partner_doc_id))) for r in found} == {(i, i + 20) for i in range(20)}
