@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillmart.functions.text import normalized, tokens
-from quillmart.operators import graph, reports, supply
+from quillmart.operators import attributes, budget, graph, linkage, paths, reports, supply
 from quillmart.plans.canonical import products, purchases, sales, table
 
 _PRODUCTS = "products as (select cast(p_partkey as varchar) product_id, p_name product_name, p_type category, p_brand brand from part)"
@@ -102,6 +102,77 @@ def _edges(spark, sf_dir):
     return graph.attribute_edges(products(spark, sf_dir))
 
 
+def _linked_lines(spark, sf_dir):
+    """Lines with the product's id as it is, as a number with leading zeros, or only the name."""
+    key, kind = F.col("l_partkey").cast("string"), F.col("l_linenumber") % 3
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_name")
+    lines = table(spark, sf_dir, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey"))
+    return lines.select(F.when(kind == 0, key).when(kind == 1, F.concat(F.lit("00"), key)).alias("source_id"), F.when(kind == 2, F.concat(F.lit(" "), F.upper("p_name"), F.lit("!"))).otherwise(F.col("p_name")).alias("source_name"))
+
+
+def _asked(spark, sf_dir):
+    """Texts that name products: ids, names, parts of names, and words turned round."""
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("i"), F.col("p_name").alias("n"))
+    return p.select(F.explode(F.array("i", "n", F.substring("n", 2, 5), F.array_join(F.reverse(F.split("n", " ")), " "))).alias("text"))
+
+
+def _lots(spark, sf_dir):
+    return budget.requests(sales(spark, sf_dir), _options(spark, sf_dir))
+
+
+def _rules(spark, sf_dir):
+    return attributes.rule_attributes(products(spark, sf_dir), RULES)
+
+
+def _walk_sql(seed: str, rounds: int) -> str:
+    steps = "".join(f", r{i} as (select node, sum(rank) rank from (select m.v node, 0.85 * rank * p rank from m join r{i - 1} on r{i - 1}.node = m.u union all select '{seed}', 0.15) group by node)" for i in range(1, rounds + 1))
+    return f"""with {_PURCHASES}, e as (select 'S|' || supplier u, 'P|' || product_id v, count(*) w from purchases where is_active group by all), both_ways as (select u, v, w from e union all select v, u, w from e),
+out_ as (select u, sum(w) o from both_ways group by u), m as (select b.u, v, w / o p from both_ways b join out_ using (u)), r0 as (select '{seed}' node, 1.0::double rank){steps}
+select '{seed}' seed, node, round(rank, 9) rank from r{rounds}"""
+
+
+#: Keyword rules of the registered queries: attribute, method, value, keywords, confidence.
+RULES = [
+    ("finish", "keyword_first_match", "bright", ["BLUE", "RED"], 0.94),
+    ("finish", "keyword_first_match", "matte", ["OLD", "COLD"], 0.85),
+    ("size", "keyword_any", "small", ["SMALL", "ROD"], 0.9),
+    ("size", "keyword_any", "large", ["LARGE", "SMALL"], 0.9),
+    ("fastener", "contains_any", "yes", ["BOLT", "RING", "GEAR"], 0.8),
+    ("set", "keyword_any", "cold widget", ["COLD WIDGET"], 0.7),
+    ("plain", "not_contains_any", "yes", ["BOLT", "HOT"], 0.6),
+]
+_LOTS = """spent as (select customer, product_id, sum(total) v, sum(quantity) quantity from sales where is_active group by all),
+top as (select * from spent qualify row_number() over (partition by customer order by v desc, product_id) <= 5),
+cheapest as (select product_id, unit_cost, capacity_units from options qualify row_number() over (partition by product_id order by unit_cost, supplier, capacity_units) = 1),
+priced as (select customer, product_id, unit_cost, cast(least(quantity, capacity_units) as bigint) units, cast(least(quantity, capacity_units) * unit_cost as bigint) cost from top join cheapest using (product_id)),
+lots as (select *, cast(floor(sum(cost) over (partition by customer) / 2) as bigint) budget, row_number() over (partition by customer order by unit_cost, product_id) i from priced)"""
+_RULES_SQL = """p as (select product_id, trim(regexp_replace(upper(product_name), '[^A-Z0-9]+', ' ', 'g')) n from products),
+ruled as (select product_id, 'finish' attribute, case when list_has_any(string_split(n, ' '), ['BLUE', 'RED']) then 'bright' when list_has_any(string_split(n, ' '), ['OLD', 'COLD']) then 'matte' end as value, case when list_has_any(string_split(n, ' '), ['BLUE', 'RED']) then 0.94::double else 0.85::double end confidence from p
+  union all select product_id, 'size', nullif(concat_ws('|', case when list_has_any(string_split(n, ' '), ['SMALL', 'ROD']) then 'small' end, case when list_has_any(string_split(n, ' '), ['LARGE', 'SMALL']) then 'large' end), ''), 0.9::double from p
+  union all select product_id, 'fastener', case when contains(n, 'BOLT') or contains(n, 'RING') or contains(n, 'GEAR') then 'yes' end, 0.8::double from p
+  union all select product_id, 'set', case when contains(n, 'COLD WIDGET') then 'cold widget' end, 0.7::double from p
+  union all select product_id, 'plain', case when not (contains(n, 'BOLT') or contains(n, 'HOT')) then 'yes' end, 0.6::double from p),
+attrs as (select * from ruled where value is not null)"""
+_SEARCH = f"""with recursive {_PRODUCTS}, {_ATTRIBUTES}, e as (select product_id, attribute, max(weight) w from edges group by all),
+seeds as (select distinct attribute from e where string_split(attribute, ':')[-1] in ('SMALL', 'BOLTS', 'BOLT')),
+second as (select distinct attribute from e where product_id in (select product_id from e where attribute in (select attribute from seeds))),
+reached(attribute) as (select attribute from seeds union select y.attribute from reached r join e x on x.attribute = r.attribute join e y on y.product_id = x.product_id),
+decay as (select attribute, case when attribute in (select attribute from seeds) then 5 when attribute in (select attribute from second) then 3 else 1 end d from reached),
+scored as (select product_id, sum(d * w) base, count(*) filter (d = 5) seed_coverage from e join decay using (attribute) group by product_id), t as (select count(*) total_seeds from seeds)
+select product_id, round(base * (power(seed_coverage / total_seeds, 2) * 20 + 1), 2) relevance, seed_coverage, total_seeds from scored, t order by relevance desc, product_id limit 10"""
+_UPPER = r"translate(regexp_replace(coalesce(text, ''), '[^\x00-\x7F]', ' ', 'g'), 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ')"
+_MEASURES = f"""with t as (select doc_id, {_UPPER} u from documents), m as (select doc_id, try_cast(replace(nullif(regexp_extract(u, '{attributes.CAPACITY}', 1), ''), ',', '.') as double) capacity_value, nullif(regexp_extract(u, '{attributes.CAPACITY}', 2), '') unit,
+  try_cast(coalesce(nullif(regexp_extract(u, '{attributes.MOUTH[0]}', 1), ''), nullif(regexp_extract(u, '{attributes.MOUTH[1]}', 1), '')) as double) mouth_size, nullif(regexp_extract(u, '{attributes.SIZE}', 1), '') size_text from t)
+select doc_id, capacity_value, case when unit in ('LT', 'LTR') then 'L' when unit = 'G' then 'GR' else unit end capacity_unit, mouth_size, size_text,
+  round((case when unit is null then 0 else 0.95::double end + case when mouth_size is null then 0 else 0.92::double end + case when size_text is null then 0 else 0.93::double end) / nullif((unit is not null)::int + (mouth_size is not null)::int + (size_text is not null)::int, 0), 6) confidence from m"""
+
+
+def _profile_sql(columns: list[str], source: str) -> str:
+    number = "case when regexp_matches(x, '^-?[0-9]+(\\.[0-9]+)?$') then try_cast(x as double) end"
+    one = lambda c: f"select '{c}' column_name, count(*) n_rows, count(*) filter (x is null) n_null, count(distinct x) n_distinct, count({number}) n_number, count(*) filter (regexp_matches(x, '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}')) n_date, min({number}) least, max({number}) largest from (select cast({c} as varchar) x from {source})"
+    return " union all ".join(map(one, columns))
+
+
 _SPLIT = "select product_id, supplier, units, unit_cost, delivery_days, units * unit_cost cost from split where units > 0"
 _REGISTRY = {
     "abc_classes": (lambda s, d: reports.abc_classes(sales(s, d)), f"""with {_SALES}, v as (select product_id, product_name, cast(sum(total) as bigint) value, cast(sum(quantity) as bigint) quantity from sales where is_active group by all),
@@ -142,6 +213,38 @@ _REGISTRY = {
     "txn_graph_purchases": (lambda s, d: graph.relation_counts(graph.transaction_edges(purchases(s, d), "supplier", "ISSUED_BY")), f"with {_PURCHASES}, {_transactions('purchases', 'supplier', 'ISSUED_BY')} select relation, count(*) n_edges, count(distinct source) n_sources, count(distinct target) n_targets from edges group by relation"),
     "connected_components": (lambda s, d: graph.components(_places(s, d)), f"with recursive {_PLACES}, reach(node, other) as (select u, u from both_ways union select node, v from reach join both_ways on u = other) select node, min(other) label from reach group by node"),
     "bfs_distance": (lambda s, d: graph.hop_distances(_places(s, d), "S1"), f"with recursive {_PLACES}, walk(node, distance) as (select 'S1', 0 union select v, distance + 1 from walk join both_ways on u = node where distance < 6) select node, cast(min(distance) as bigint) distance from walk group by node"),
+    "offer_edges": (lambda s, d: paths.offer_edges(supply.offer_candidates(_options(s, d))), f"""with {_PURCHASES}, {_OPTIONS}, {_OFFERS} select distinct 'SOURCE' source, 'PRODUCT:' || product_id target, 0::double weight, 'start_product' edge_type from offers
+        union all select 'PRODUCT:' || product_id, 'OPTION:' || product_id || ':' || supplier, edge_weight::double, scenario from offers union all select 'OPTION:' || product_id || ':' || supplier, 'SINK:' || product_id, 0, 'finish_product' from offers"""),
+    "bellman_ford_distances": (lambda s, d: paths.bellman_ford(paths.offer_edges(supply.offer_candidates(_options(s, d))), "SOURCE").select("node", "distance"), f"""with {_PURCHASES}, {_OPTIONS}, {_OFFERS} select 'SOURCE' node, 0::double distance union all select distinct 'PRODUCT:' || product_id, 0 from offers
+        union all select 'OPTION:' || product_id || ':' || supplier, edge_weight from offers union all select 'SINK:' || product_id, min(edge_weight) from offers group by product_id"""),
+    "bidirectional_path_length": (lambda s, d: paths.bidirectional_length(_places(s, d), "S1", "C7"), f"with recursive {_PLACES}, walk(node, distance) as (select 'S1', 0 union select v, distance + 1 from walk join both_ways on u = node where distance < 6) select 'S1' as start, 'C7' as goal, cast(min(distance) as bigint) length from walk where node = 'C7'"),
+    "ppr_k": (lambda s, d: paths.personalised_pagerank(_trade(s, d), s.range(1).select(F.lit("S|Supplier#000000001").alias("node"))).select("seed", "node", F.round("rank", 9).alias("rank")), _walk_sql("S|Supplier#000000001", 5)),
+    "greedy_budget": (lambda s, d: budget.greedy_budget(_lots(s, d)), f"""with recursive {_SALES}, {_PURCHASES}, {_OPTIONS}, {_LOTS}, fold(customer, budget, i, units, cost) as (select distinct customer, budget, 0::bigint, 0::bigint, 0::bigint from lots
+        union all select f.customer, f.budget, f.i + 1, case when f.cost + l.cost <= f.budget then f.units + l.units else f.units end, case when f.cost + l.cost <= f.budget then f.cost + l.cost else f.cost end from fold f join lots l on l.customer = f.customer and l.i = f.i + 1)
+        select customer, budget, units, cost from fold qualify row_number() over (partition by customer order by i desc) = 1"""),
+    "knapsack": (lambda s, d: budget.knapsack(_lots(s, d)), f"""with {_SALES}, {_PURCHASES}, {_OPTIONS}, {_LOTS}, chosen as (select customer, any_value(budget) budget, mask, cast(coalesce(sum(units) filter ((mask >> (i - 1)::int) & 1 = 1), 0) as bigint) units, cast(coalesce(sum(cost) filter ((mask >> (i - 1)::int) & 1 = 1), 0) as bigint) cost from lots, (select unnest(range(32))::int mask) group by customer, mask)
+        select customer, budget, units, cost from chosen where cost <= budget qualify row_number() over (partition by customer order by units desc, cost, mask) = 1"""),
+    "per_sku_order": (lambda s, d: _alloc(s, d, "unit_cost").groupBy("product_id").agg(F.sum("units").alias("units"), F.sum("cost").alias("cost"), F.count("*").alias("n_suppliers"), F.max("delivery_days").alias("delivery_days")), f"{_alloc_sql('unit_cost')} select product_id, cast(sum(units) as bigint) units, cast(sum(units * unit_cost) as bigint) cost, count(*) n_suppliers, max(delivery_days) delivery_days from split where units > 0 group by product_id"),
+    "attribute_measures": (lambda s, d: attributes.measures(table(s, d, "documents"), "doc_id", "text"), _MEASURES),
+    "attribute_extract": (_rules, f"with {_PRODUCTS}, {_RULES_SQL} select * from attrs"),
+    "attribute_coverage": (lambda s, d: attributes.coverage(_rules(s, d), products(s, d)), f"with {_PRODUCTS}, {_RULES_SQL} select attribute, count(distinct product_id) n_products, count(distinct value) n_values, round(avg(confidence), 6) mean_confidence, count(distinct product_id) / (select count(*) from products) share from attrs group by attribute"),
+    "threshold_sensitivity": (lambda s, d: attributes.threshold_sensitivity(_edges(s, d), products(s, d)), f"with {_PRODUCTS}, {_ATTRIBUTES} select threshold, count(*) n_edges, count(distinct product_id) n_products, count(distinct attribute) n_attributes, (select count(*) from products) - count(distinct product_id) n_orphans from edges, (select unnest(range(60, 95, 5))::int threshold) where weight >= threshold group by threshold"),
+    "focus_subgraph": (lambda s, d: attributes.focus_subgraph(_edges(s, d)), f"with {_PRODUCTS}, {_ATTRIBUTES}, e as (select distinct product_id, attribute from edges), t as (select attribute from e group by attribute order by count(*) desc, attribute limit 16), near as (select * from e where attribute in (select attribute from t)), c as (select product_id from near group by product_id order by count(*) desc, product_id limit 120) select * from near where product_id in (select product_id from c)"),
+    "semantic_search": (lambda s, d: attributes.search(_edges(s, d), "small bolts"), _SEARCH),
+    "product_linkage_exact": (lambda s, d: linkage.link_products(_linked_lines(s, d), products(s, d)), f"""with {_PRODUCTS}, first_named as (select {_norm('product_name')} n, min(product_id) id from products group by n), lines as (select distinct case l_linenumber % 3 when 0 then l_partkey::varchar when 1 then '00' || l_partkey end source_id, case when l_linenumber % 3 = 2 then ' ' || upper(p_name) || '!' else p_name end source_name from lineitem join part on l_partkey = p_partkey)
+        select source_id, source_name, coalesce(a.product_id, b.product_id, c.id) product_id, case when a.product_id is not null then 1.0::double when b.product_id is not null then 0.98::double when c.id is not null then 0.95::double else 0 end confidence,
+        case when a.product_id is not null then 'product_id_exact' when b.product_id is not null then 'product_id_numeric_equivalent' when c.id is not null then 'product_name_exact_normalized' else 'none' end as method
+        from lines left join products a on a.product_id = source_id left join products b on b.product_id = cast(try_cast(source_id as bigint) as varchar) left join first_named c on c.n = {_norm('source_name')}"""),
+    "entity_resolution": (lambda s, d: linkage.resolve(_asked(s, d), products(s, d)), f"""with {_PRODUCTS}, names as (select {_norm('product_name')} n, min(product_id) id from products group by n), asked as (select distinct unnest([product_id, product_name, substring(product_name, 2, 5), array_to_string(list_reverse(string_split(product_name, ' ')), ' ')]) as text from products), q as (select text, {_norm('text')} t from asked),
+        hits as (select text, 1 tier, 0 size, product_id from q join products on product_id = text union all select text, 2, 0, id from q join names on n = t union all select text, 3, 0, id from q join names on contains(n, t) where t <> '' union all select text, 4, length(n), id from q join names on list_has_all(string_split(n, ' '), string_split(t, ' ')) where t <> '')
+        select text, product_id, cast(tier as bigint) tier from hits qualify row_number() over (partition by text order by tier, size, product_id) = 1"""),
+    "column_profile": (lambda s, d: linkage.column_profile(table(s, d, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size")), _profile_sql(["p_partkey", "p_name", "p_brand", "p_type", "p_size"], "part")),
+    "cross_sell_for_product": (lambda s, d: reports.association_rules(sales(s, d)).where("antecedent = '1'"), f"""with {_SALES}, {_BASKETS}, big as (select customer, date from baskets group by all having count(*) > 1), items as (select * from baskets join big using (customer, date)),
+        c as (select product_id, count(*) c from items group by all), n as (select count(*) n from big), p as (select x.product_id antecedent, y.product_id consequent, count(*) n_pairs from items x join items y on x.customer = y.customer and x.date = y.date and x.product_id <> y.product_id where x.product_id = '1' group by all having count(*) >= 2)
+        select antecedent, consequent, n_pairs, n_pairs / n support, n_pairs / a.c confidence, n_pairs * n / (a.c * b.c) lift from p join c a on a.product_id = antecedent join c b on b.product_id = consequent, n"""),
+    "business_graph_metrics": (lambda s, d: graph.relation_counts(graph.transaction_edges(sales(s, d), "customer", "SOLD_TO").unionByName(graph.transaction_edges(purchases(s, d), "supplier", "ISSUED_BY"))), f"""with {_SALES}, {_PURCHASES}, s as (select *, 'DOC|' || customer || '|' || cast(date as varchar) doc from sales where is_active), p as (select *, 'DOC|' || supplier || '|' || cast(date as varchar) doc from purchases where is_active),
+        edges as (select doc source, 'PRODUCT|' || product_id target, 'CONTAINS' relation from s union all select distinct doc, 'PARTY|' || customer, 'SOLD_TO' from s union all select distinct doc, 'DATE|' || cast(date as varchar), 'ON_DATE' from s union all select doc, 'PRODUCT|' || product_id, 'CONTAINS' from p union all select distinct doc, 'PARTY|' || supplier, 'ISSUED_BY' from p union all select distinct doc, 'DATE|' || cast(date as varchar), 'ON_DATE' from p)
+        select relation, count(*) n_edges, count(distinct source) n_sources, count(distinct target) n_targets from edges group by relation"""),
     "pagerank_k": (lambda s, d: graph.pagerank(_trade(s, d)).select("node", F.round("rank", 9).alias("rank")), _pagerank_sql(5)),
 }
 QUERIES = {k: v[0] for k, v in _REGISTRY.items()}

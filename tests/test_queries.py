@@ -46,3 +46,25 @@ def test_text_functions(spark):
     assert rows[2][1] == ["NANDU", "CRISTAL", "500ML"]
     assert [r[2] for r in rows] == [None, None, -500.0, 1.5, 12.0]
     assert [r[3] for r in rows] == ["EMPTY", "EMPTY", "OTHER", "OTHER", "LEADING_ZERO_NUM_4"]
+
+
+def test_negative_cycle_and_unreached(spark):
+    from quillmart.operators import paths
+
+    edges = spark.createDataFrame([("a", "b", 1.0), ("b", "c", -3.0), ("a", "c", 0.5), ("x", "y", 1.0), ("a", "b", 4.0)], "source string, target string, weight double")
+    found = paths.bellman_ford(edges, "a")
+    assert {(r.node, r.distance, r.predecessor) for r in found.collect()} == {("a", 0.0, None), ("b", 1.0, "a"), ("c", -2.0, "b")}
+    assert paths.negative_cycle_edges(edges, found).isEmpty()
+    turning = edges.union(spark.createDataFrame([("c", "b", 1.0)], edges.schema))
+    assert not paths.negative_cycle_edges(turning, paths.bellman_ford(turning, "a")).isEmpty()
+    assert paths.bidirectional_length(edges.selectExpr("source u", "target v"), "a", "y").first().length is None
+
+
+def test_delimited_files(spark, tmp_path):
+    from quillmart.sources import files
+
+    (tmp_path / "a.csv").write_text("\ufeffid;name\n1;x\n2;\n", encoding="utf-8")
+    frame = files.read_delimited(spark, str(tmp_path / "a.csv"))
+    assert frame.columns == ["id", "name"] and [tuple(r) for r in frame.collect()] == [("1", "x"), ("2", None)]
+    files.write_delimited(spark.createDataFrame([(1, 'a "b", c')], "k int, t string"), str(tmp_path / "b"))
+    assert [tuple(r) for r in files.read_delimited(spark, str(tmp_path / "b")).collect()] == [("1", 'a "b", c')]
