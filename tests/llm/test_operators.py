@@ -138,6 +138,17 @@ def test_compact_windows_cover_every_stretch():
             assert sum(a <= low <= c and c <= high <= b and c == at for a, c, b in windows) == 1
 
 
+def test_compact_windows_with_equal_values():
+    r = np.random.default_rng(8)
+    for top in (2, 5, 30):
+        values = r.integers(1, top, 90).astype(np.uint64)
+        least = {low + int(values[low:high].argmin()) for low in range(90) for high in range(low + 10, 91)}
+        assert set(compact.tree_nodes(values, np.full(90, 90), 10).tolist()) == least
+        parts = compact.tree_nodes(values, np.repeat([40, 90], [40, 50]), 10).tolist()
+        one, two = (compact.tree_nodes(v, np.full(len(v), len(v)), 10).tolist() for v in (values[:40], values[40:]))
+        assert parts == one + [40 + x for x in two]
+
+
 def test_near_passages(spark):
     shared = prose(80, 11)
     edited = shared.split()
