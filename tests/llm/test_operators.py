@@ -224,3 +224,24 @@ def test_compact_pairs_inside_a_large_key(spark):
     rows = [(i, f"{prose(60, 200 + i)} {line} {own[i % 20]} {prose(60, 300 + i)}") for i in range(40)]
     found = compact.near_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {tuple(sorted((r.doc_id, r.partner_doc_id))) for r in found} == {(i, i + 20) for i in range(20)}
+
+
+def test_compact_pairs_around_a_common_notice(spark):
+    """Two hundred texts, all rows twice, share 49 words that are no passage; each ten times two of them also share the next five words or more."""
+    notice = prose(49, 900)
+    more = {i: prose(5 + i, 1000 + i) for i in range(10)}
+    rows = [(i, f"{prose(30, 2000 + i)} {notice} {more.get(i % 100, '')} {prose(30, 3000 + i)}") for i in range(200)]
+    found = compact.near_passages(spark.createDataFrame(rows + rows, "doc_id long, text string")).where("doc_id != partner_doc_id").collect()
+    assert sorted(tuple(sorted((r.doc_id, r.partner_doc_id))) for r in found if r.similarity == 1) == [(i, i + 100) for i in range(10)]
+
+
+def test_compact_links_every_holder(spark):
+    """Thirty texts hold one passage of sixty words at different places and nothing else of each other."""
+    passage = prose(60, 910)
+    rows = [(i, f"{prose(20 + i, 4000 + i)} {passage} {prose(40, 5000 + i)}") for i in range(30)]
+    found = compact.near_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    linked = defaultdict(set)
+    for r in found:
+        linked[r.doc_id].add(r.partner_doc_id)
+        linked[r.partner_doc_id].add(r.doc_id)
+    assert max(map(len, linked.values())) == 29 and len(linked) == 30
