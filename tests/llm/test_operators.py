@@ -245,3 +245,41 @@ def test_compact_links_every_holder(spark):
         linked[r.doc_id].add(r.partner_doc_id)
         linked[r.partner_doc_id].add(r.doc_id)
     assert max(map(len, linked.values())) == 29 and len(linked) == 30
+
+
+def _similar(one, two, a, b, c, d):
+    p, q = set(one[a:b].tolist()), set(two[c:d].tolist())
+    return len(p & q) / max(1, len(p | q))
+
+
+def test_passages_when_growth_runs_too_far():
+    """One change inside a good stretch, then changes every 22 words: the whole span is not similar enough, a part of it is. Brute force: all spans on the diagonal."""
+    words = prose(500, 920).split()
+    edited = list(words)
+    for at in [*range(0, 50), 100, *range(150, 450, 22)]:
+        edited[at] = f"changed{at}"
+    one, two = compact.tokens([" ".join(words).encode(), " ".join(edited).encode()])
+    longest = max(b - a for a in range(0, 120) for b in range(a + compact.LEAST, len(one), 3) if _similar(one, two, a, b, a, b) >= compact.SIMILAR)
+    for place in (60, 95, 105, 130):
+        found = compact.passages(one, two, [(place, place)])
+        assert found and all(b - a >= 90 and s >= compact.SIMILAR and s == _similar(one, two, a, b, c, d) for a, b, c, d, s in found)
+        assert found[0][1] - found[0][0] >= longest - compact.LEAST
+
+
+def test_passages_against_brute_force():
+    """Random edits: wherever a span around the meeting qualifies by itself between two edits, some passage is found there."""
+    r = random.Random(9)
+    for seed in range(60):
+        words = prose(260, 6000 + seed).split()
+        edited = [f"new{k}" if r.random() < r.choice((0.01, 0.04, 0.08)) else w for k, w in enumerate(words)]
+        one, two = compact.tokens([" ".join(words).encode(), " ".join(edited).encode()])
+        same = np.flatnonzero(one == two)
+        if len(same):
+            place = int(same[len(same) // 2])
+            found = compact.passages(one, two, [(place, place)])
+            exact = [(a, b) for a in range(0, place + 1) for b in range(place + 1, len(one) + 1) if b - a >= compact.LEAST and one[a] == two[a] and one[b - 1] == two[b - 1]]
+            runs = np.concatenate([[0], np.cumsum(one == two)])
+            fits = [(a, b) for a, b in exact if (n := runs[b] - runs[a]) >= compact.SIMILAR * (2 * (b - a) - n)]
+            low, high = (compact._grown(x, y)[-1][0] for x, y in ((one[:place][::-1], two[:place][::-1]), (one[place:], two[place:])))
+            inside = [(a, b) for a, b in fits if a >= place - low and b <= place + high]
+            assert found or not inside
