@@ -20,10 +20,21 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every component of near-duplicates the document that names it, the one with the least doc_id."""
-    kept = jaccard.near_duplicates(docs).where("doc_id <=> component_id").select(F.col("row").alias("kept_row")).distinct()
+    """One row of every group of near-duplicates: that with the least doc_id (null last), of such the one with the least row key. Empty texts all stay.
+
+    Of rows equal in doc_id and text the one whose other columns have the least hash stays.
+    """
+    rows = jaccard.near_duplicates(docs).groupBy("group", "row", "doc_id").agg(F.count("*").alias("n"))
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row", "n")
+    heads = rows.where("group is not null").groupBy("group").agg(F.min(place).alias("head")).select("head.row", "head.n")
+    empty = rows.where("group is null").select("row", F.lit(1).cast("long").alias("n"))
+    kept = stored(heads.union(empty).select(F.col("row").alias("kept_row"), "n"), "pipeline-kept")
     row = F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return docs.join(kept, row == F.col("kept_row"), "left_semi")
+    once = docs.join(kept.where("n = 1").select("kept_row").distinct(), row == F.col("kept_row"), "left_semi")
+    repeated = docs.join(kept.where("n > 1").select("kept_row").distinct(), row == F.col("kept_row"), "left_semi")
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    one = repeated.groupBy(row.alias("key")).agg(F.min_by(whole, F.xxhash64(F.to_json(whole))).alias("doc")).select("doc.*")
+    return once.union(one)
 
 
 def _with_text(packed: DataFrame, struct: str, columns: list[str]) -> DataFrame:

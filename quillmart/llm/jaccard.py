@@ -241,7 +241,7 @@ def _tasks(members: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """row (row_key of doc_id and text), doc_id, n_shingles and component_id of every row."""
+    """row (row_key of doc_id and text), doc_id, n_shingles, component_id and group (null for empty sets) of every row."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("row", row_key("doc_id", "text"))
     rows = stored(texts.mapInArrow(_classes, "doc_id long, row long, n_shingles long, class long, sketch binary"), "jaccard-classes")
     held = rows.where("class is not null").groupBy("class").agg(F.min("row").alias("row"), F.min("n_shingles").alias("n"), F.min("sketch").alias("sketch"))
@@ -276,4 +276,4 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     grouped = rows.join(linked, "class", "left").withColumn("group", F.coalesce("label", "class"))
     named = grouped.where("group is not null").groupBy("group").agg(F.min("doc_id").alias("least_id"))
-    return grouped.join(named, "group", "left").select("row", "doc_id", "n_shingles", F.when(F.col("group").isNull(), F.col("doc_id")).otherwise(F.col("least_id")).alias("component_id"))
+    return grouped.join(named, "group", "left").select("row", "doc_id", "n_shingles", F.when(F.col("group").isNull(), F.col("doc_id")).otherwise(F.col("least_id")).alias("component_id"), "group")

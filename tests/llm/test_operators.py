@@ -283,3 +283,15 @@ def test_passages_against_brute_force():
             low, high = (compact._grown(x, y)[-1][0] for x, y in ((one[:place][::-1], two[:place][::-1]), (one[place:], two[place:])))
             inside = [(a, b) for a, b in fits if a >= place - low and b <= place + high]
             assert found or not inside
+
+
+def test_pipeline_keeps_one_row_of_each_group(spark):
+    """Repeated rows, equal ids with different texts, groups of null ids, and empty texts."""
+    a, b, c, d = (prose(60, 7000 + i) for i in range(4))
+    near = a.rsplit(" ", 1)[0]
+    rows = [(1, a, "x"), (1, a, "y"), (1, near, "x"), (2, a, "x"), (None, b, "x"), (None, b, "x"), (None, f"{b} more", "x"), (3, c, "x"), (3, c, "x"), (None, c, "x"), (4, d, "x"), (5, "", "x"), (5, "", "x"), (None, None, "x"), (6, " ", "x")]
+    kept = corpus_pipeline.keep_one_of_each(spark, spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3), SF).collect()
+    full = [(r.doc_id, r.text) for r in kept if r.text and r.text.strip()]
+    assert len(full) == 4 and {d for d, _ in full} == {1, None, 3, 4}
+    assert [t for d, t in full if d == 1][0] in (a, near) and [t for d, t in full if d is None][0] in (b, f"{b} more")
+    assert len(kept) - len(full) == 4
