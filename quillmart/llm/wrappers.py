@@ -40,7 +40,9 @@ _VOID = frozenset("area base br col embed hr img input link meta source track wb
 _RAW = frozenset("svg math iframe object select option button canvas".split())
 _BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 _BOILERPLATE = frozenset("nav header footer aside form dialog menu head".split())
-_WORDS = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|cookies?|disqus|footer|header|masthead|menu|nav|navbar|navigation|newsletter|notice|popup|promo\w*|related|share|sharing|sidebar|social|sponsor\w*|subscribe|widget|contentinfo|complementary|search)(?=$|[\s_-])", re.I)
+_PART = r"(?:ads?|advert\w*|banner|breadcrumbs?|comments?|cookies?|disqus|footer|header|masthead|menu|nav|navbar|navigation|newsletter|notice|popup|promo\w*|related|share|sharing|sidebar|social|sponsor\w*|subscribe|widget|contentinfo|complementary|search)"
+#: Whole names made of such words; other names that hold one say nothing sure.
+_WORDS = re.compile(rf"(?:^|\s){_PART}(?:[_-]{_PART})*(?=$|\s)", re.I)
 #: A new block closes an open paragraph up to these.
 _SCOPE = frozenset("p li article main section div td body".split())
 _MARKUP = frozenset("abcdefghijklmnopqrstuvwxyz/!?")
@@ -49,10 +51,10 @@ _MARKUP = frozenset("abcdefghijklmnopqrstuvwxyz/!?")
 class Node:
     """An element: its tag, how it names itself, its children and the numbers of the blocks of text whose element it is."""
 
-    __slots__ = ("children", "label", "parent", "skipped", "tag", "texts")
+    __slots__ = ("children", "label", "marked", "parent", "skipped", "tag", "texts")
 
-    def __init__(self, tag: str, label: str, parent: Node | None, skipped: bool):
-        self.tag, self.label, self.parent, self.skipped = tag, label, parent, skipped
+    def __init__(self, tag: str, label: str, parent: Node | None, skipped: bool, marked: bool = False):
+        self.tag, self.label, self.parent, self.skipped, self.marked = tag, label, parent, skipped, marked
         self.children: list[Node] = []
         self.texts: list[int] = []
 
@@ -61,21 +63,18 @@ def parse(source: str) -> tuple[Node, list[tuple[Node, str]]]:
     """The element tree and the blocks (their element and their text, white space made single) in page order. Boilerplate has no blocks."""
     source = _UNREAD.sub("", source)
     root = node = Node("", "", None, False)
-    blocks: list[tuple[Node, str]] = []
-    open_: list[str] = []
+    nodes: list[Node] = []
+    found_: list[tuple[Node, list[tuple[Node, str]]]] = []
+    open_: list[tuple[Node, str]] = []
 
     def flush() -> None:
         if not open_:
             return
-        text = "".join(open_)
-        text = " ".join((entities.unescape(text) if "&" in text else text).split())
+        owner = node
+        while owner.tag and owner.tag not in _BLOCK:
+            owner = owner.parent
+        found_.append((owner, open_.copy()))
         open_.clear()
-        if text:
-            owner = node
-            while owner.tag and owner.tag not in _BLOCK:
-                owner = owner.parent
-            owner.texts.append(len(blocks))
-            blocks.append((owner, text))
 
     def up_to(tags: frozenset | set) -> Node | None:
         at = node
@@ -90,11 +89,11 @@ def parse(source: str) -> tuple[Node, list[tuple[Node, str]]]:
             if piece == "<" and (source[found.end() : found.end() + 1] or "!").lower() in _MARKUP:
                 break  # cut off inside a tag
             if (piece == "<" or piece[0] != "<") and not node.skipped:
-                open_.append(piece)
+                open_.append((node, piece))
             continue
         tag = tag.lower()
         if tag == "br":
-            open_.append(" ")
+            open_.append((node, " "))
             continue
         if tag in _BLOCK:
             flush()
@@ -107,14 +106,55 @@ def parse(source: str) -> tuple[Node, list[tuple[Node, str]]]:
         if tag in _VOID:
             continue
         marks = " ".join(a or b or c for _, a, b, c in _ATTRIBUTE.findall(found[3])) if found[3] else ""
-        skipped = node.skipped or tag in _BOILERPLATE or tag in _RAW or bool(marks and tag not in ("html", "body") and _WORDS.search(marks))
-        inner = Node(tag, f"{tag}.{marks}" if marks else tag, node, skipped)
+        marked = bool(marks and tag not in ("html", "body") and _WORDS.search(marks))
+        inner = Node(tag, f"{tag}.{marks}" if marks else tag, node, node.skipped or tag in _BOILERPLATE or tag in _RAW, marked)
+        nodes.append(inner)
         node.children.append(inner)
         node = inner
     flush()
+    _settle(nodes, found_)
+    blocks: list[tuple[Node, str]] = []
+    for owner, pieces in found_:
+        text = "".join(piece for at, piece in pieces if not at.skipped)
+        text = " ".join((entities.unescape(text) if "&" in text else text).split())
+        if text:
+            owner.texts.append(len(blocks))
+            blocks.append((owner, text))
     return root, blocks
 
 
+def _settle(nodes: list[Node], found: list[tuple[Node, list[tuple[Node, str]]]]) -> None:
+    """Skip elements whose names mark them, with all inside them, but none that a page's content lies in.
+
+    That is one with the page's article or main elements, or without any its h1, where all of those lie in marked elements;
+    and, on a page without article and main, one with four fifths of the text.
+    """
+    if not any(n.marked and not n.skipped for n in nodes):
+        return
+    chars: dict[int, int] = defaultdict(int)
+    for _, pieces in found:
+        for at, piece in pieces:
+            chars[id(at)] += len(piece.strip())
+    total = sum(chars.values())
+    under: dict[int, bool] = {}
+    for n in nodes:
+        under[id(n)] = n.marked or under.get(id(n.parent), False)
+    articles = [n for n in nodes if n.tag in ("article", "main") and not n.skipped]
+    keys = articles or [n for n in nodes if n.tag == "h1" and not n.skipped]
+    holds = set()
+    if all(under[id(n)] for n in keys):
+        for n in keys:
+            at = n
+            while at is not None and id(at) not in holds:
+                holds.add(id(at))
+                at = at.parent
+    for n in reversed(nodes):
+        chars[id(n.parent)] += chars[id(n)]
+    for n in nodes:
+        content = id(n) in holds or (not articles and 5 * chars[id(n)] >= 4 * total)
+        n.skipped = n.skipped or n.parent.skipped or (n.marked and not content)
+
+
 def _skeleton(node: Node, blocks: list[tuple[Node, str]]) -> tuple:
     """(label, hash and length of its texts, children) of a tree, without boilerplate."""
     texts = [blocks[i][1] for i in node.texts]
