@@ -2,8 +2,8 @@
 
 Pages become element trees. Within dealt-out groups of pages of one host, every tree is aligned with the group's first by simple
 tree matching (the largest order-preserving match of equal elements, level by level). Aligned nodes with one constant text are
-template, nodes whose texts vary are slots. The counts of all groups of a host add up, so any number of pages is covered without
-gathering them. A host's content container is the element, outside menus, headers, footers, sidebars, notices, adverts, forms and
+template, nodes whose texts vary are slots. Equal trees of a host enter once, with their number, so a group stays small however
+often a page comes. The counts of all groups of a host add up, so any number of pages is covered without gathering them. A host's content container is the element, outside menus, headers, footers, sidebars, notices, adverts, forms and
 comments, that holds most slot text; an article or main element is preferred. Pages without an own article or main element take
 that container, and lose template blocks. A page's text is the blocks of its container in page order.
 
@@ -30,7 +30,9 @@ from .urls import host_and_path
 
 #: Pages of one host that are aligned together.
 GROUP_PAGES = 64
-#: Aligned pages with one same text that make a node template, where the host has other slots.
+#: Parts that the trees of a host with several groups are dealt to on their way into groups.
+SALTS = 32
+#: Aligned different pages with one same text that make a node template, where the host has other slots.
 LEAST_SAME = 3
 _UNREAD = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|textarea|title|noscript|iframe|template)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
 _TOKEN = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|[^<]+|<", re.S)
@@ -204,11 +206,11 @@ def _induced(key: tuple, rows: pa.Table) -> pa.Table:
     trees = [pickle.loads(x) for x in rows.column("tree").to_pylist()]
     first = min(trees, key=lambda t: crc32(pickle.dumps(t)))
     found: dict[int, list] = defaultdict(lambda: [0, 1 << 40, -1, 0])
-    for tree in trees:
+    for tree, copies in zip(trees, rows.column("copies").to_pylist(), strict=True):
         for mine, other in align(first, tree)[1]:
             if other[1]:
                 f = found[id(mine)]
-                f[:] = f[0] + 1, min(f[1], other[1][0]), max(f[2], other[1][0]), f[3] + other[1][1]
+                f[:] = f[0] + 1, min(f[1], other[1][0]), max(f[2], other[1][0]), f[3] + copies * other[1][1]
     out = [(path, *found[id(node)]) for path, node in _paths(first) if id(node) in found]
     columns = list(zip(*out, strict=True)) if out else [[]] * 5
     names = ["path", "pages", "low", "high", "chars"]
@@ -219,15 +221,19 @@ def _induced(key: tuple, rows: pa.Table) -> pa.Table:
 def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in steps(batches, "html"):
         trees = [pickle.dumps(_skeleton(*parse(h or ""))) for h in batch.column("html").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("host"), batch.column("spread"), pa.array(trees, pa.binary())], ["host", "spread", "tree"])
+        yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(trees, pa.binary())], ["host", "tree"])
 
 
 def induce(pages: DataFrame) -> DataFrame:
     """host, container (path) and template (paths of constant nodes) of every host; pages: host, html."""
-    spread = pages.select("host", F.xxhash64("html").alias("spread"), F.col("html"))
-    counts = pages.groupBy("host").agg(F.ceil(F.count("*") / GROUP_PAGES).alias("groups"))
-    trees = spread.mapInArrow(_trees, "host string, spread long, tree binary").join(counts, "host")
-    grouped = trees.groupBy("host", F.pmod("spread", F.col("groups")).alias("group"))
+    made = pages.select("host", "html").mapInArrow(_trees, "host string, tree binary").withColumn("spread", F.xxhash64("tree"))
+    trees = stored(made.groupBy("host", "spread").agg(F.first("tree").alias("tree"), F.count("*").alias("copies")), "wrapper-trees")
+    counts = trees.groupBy("host").agg(F.ceil(F.count("*") / GROUP_PAGES).alias("groups")).where("groups > 1")
+    salts = counts.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    # the group comes from other bits of the hash than the salt
+    dealt = trees.withColumn("salt", F.pmod("spread", F.lit(SALTS).cast("long"))).join(salts, ["host", "salt"], "left")
+    group = F.pmod(F.xxhash64("spread"), F.coalesce("groups", F.lit(1).cast("long")))
+    grouped = dealt.select("host", "tree", "copies", group.alias("group")).groupBy("host", "group")
     seen = grouped.applyInArrow(_induced, "host string, path string, pages long, low long, high long, chars long")
     nodes = stored(seen.groupBy("host", "path").agg(F.sum("pages").alias("pages"), F.min("low").alias("low"), F.max("high").alias("high"), F.sum("chars").alias("chars")), "wrapper-nodes")
 

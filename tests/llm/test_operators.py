@@ -305,3 +305,21 @@ def test_layout_classes_keep_the_article():
         assert wrappers.main_text(page.replace("article", "div"), None, None).startswith("T\n\na b")
     related = '<body><article><p>a</p></article><div class="related"><article><p>r</p></article></div><div class="cookie-banner"><p>k</p></div>'
     assert wrappers.main_text(related, None, None) == "a"
+
+
+def test_copies_of_a_page_are_one_tree(spark, monkeypatch):
+    """Two thirds of a host's pages, and all without html, are copies: no group holds them all, and the counts still add up."""
+    pages = [(f"http://h/{i}", f"<body><p>{prose(20, 1) if i % 3 else prose(20, i + 2)}</p><p>same</p>") for i in range(300)]
+    pages += [(None, None)] * 300
+    frame = spark.createDataFrame(pages, "url string, html string").select(wrappers.host_and_path(wrappers.F.col("url"))[0].alias("host"), "html")
+    sizes = []
+    applied = type(frame.groupBy("host")).applyInArrow
+
+    def spy(grouped, function, schema):
+        counted = applied(grouped, lambda key, rows: wrappers.pa.table({"n": [rows.num_rows], "copies": [sum(rows.column("copies").to_pylist())]}), "n long, copies long")
+        sizes.extend(counted.collect())
+        return applied(grouped, function, schema)
+
+    monkeypatch.setattr(type(frame.groupBy("host")), "applyInArrow", spy)
+    assert [r.container for r in wrappers.induce(frame).where("host = 'h'").collect()] == ["/body[1]/p[1]"]
+    assert sum(r.copies for r in sizes) == 600 and sum(r.n for r in sizes) == 102 and max(r.n for r in sizes) < 2 * wrappers.GROUP_PAGES
