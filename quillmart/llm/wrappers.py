@@ -4,8 +4,9 @@ Pages become element trees. Within dealt-out groups of pages of one host, every
 tree matching (the largest order-preserving match of equal elements, level by level). Aligned nodes with one constant text are
 template, nodes whose texts vary are slots. Equal trees of a host enter once, with their number, so a group stays small however
 often a page comes. The counts of all groups of a host add up, so any number of pages is covered without gathering them. A host's content container is the element, outside menus, headers, footers, sidebars, notices, adverts, forms and
-comments, that holds most slot text; an article or main element is preferred. Pages without an own article or main element take
-that container, and lose template blocks. A page's text is the blocks of its container in page order.
+comments, that holds most slot text; an article or main element is preferred. Every page loses its host's template: blocks at a
+template node's place that have the template's own text. Of the rest it takes what is in its article or main elements, or without
+any what is in the container, in page order. A page that has nothing but template there keeps it.
 
 Rows in: `url`, `html`. Null and empty html has an empty text; unclosed and cut-off markup is read as far as it goes. A null url
 is a host of its own. Repeated rows come out as often; other columns, whatever their names, stay inside `row`. An empty table
@@ -160,7 +161,7 @@ def _settle(nodes: list[Node], found: list[tuple[Node, list[tuple[Node, str]]]])
 def _skeleton(node: Node, blocks: list[tuple[Node, str]]) -> tuple:
     """(label, hash and length of its texts, children) of a tree, without boilerplate."""
     texts = [blocks[i][1] for i in node.texts]
-    mine = (crc32("\n".join(texts).encode()), sum(map(len, texts))) if texts else None
+    mine = (_text_hash(node, blocks), sum(map(len, texts))) if texts else None
     return node.label, mine, [_skeleton(c, blocks) for c in node.children if not c.skipped]
 
 
@@ -239,18 +240,19 @@ def induce(pages: DataFrame) -> DataFrame:
 
     slots = nodes.where("low != high").select("host", "path", "chars")
     steps_ = F.split("path", "/")
-    above = slots.select("host", "chars", F.explode(F.sequence(F.lit(1), F.size(steps_))).alias("depth"), steps_.alias("steps"))
+    # elements around a slot, not the slot: one long paragraph is not all of the content
+    above = slots.select("host", "chars", F.explode(F.sequence(F.lit(1), F.greatest(F.size(steps_) - 1, F.lit(1)))).alias("depth"), steps_.alias("steps"))
     held = above.groupBy("host", F.array_join(F.slice("steps", F.lit(1), F.col("depth")), "/").alias("container"), "depth").agg(F.sum("chars").alias("chars"))
     total = slots.groupBy("host").agg(F.sum("chars").alias("total"))
     own = F.col("container").rlike(r"/(?:article|main)[^/]*$")
     enough = held.join(total, "host").where(5 * F.col("chars") >= 4 * F.col("total"))
     containers = enough.groupBy("host").agg(F.max_by("container", F.struct(own, "depth", "chars", "container")).alias("container"))
-    templates = nodes.where((F.col("low") == F.col("high")) & (F.col("pages") >= LEAST_SAME)).groupBy("host").agg(F.collect_set("path").alias("template"))
+    templates = nodes.where((F.col("low") == F.col("high")) & (F.col("pages") >= LEAST_SAME)).groupBy("host").agg(F.collect_set(F.concat_ws("\t", "path", "low")).alias("template"))
     return stored(containers.join(templates, "host", "left"), "wrappers")
 
 
 def main_text(source: str, container: str | None, template: list[str] | None) -> str:
-    """Blocks of the page's article or main element, else of its host's container without template."""
+    """Blocks of the page's article or main elements, else of its host's container; without the host's template (place, tab, hash of its text)."""
     root, blocks = parse(source)
     inside: dict[int, bool] = {}
 
@@ -259,12 +261,20 @@ def main_text(source: str, container: str | None, template: list[str] | None) ->
             inside[id(node)] = node.tag in ("article", "main") or (node.parent is not None and in_article(node.parent))
         return inside[id(node)]
 
-    chosen = [text for node, text in blocks if in_article(node)]
-    if not chosen and not _has_article(root):
-        places = _places(root)
-        left = [(places[id(node)], text) for node, text in blocks if places[id(node)] not in set(template or ())]
-        chosen = [text for path, text in left if container is None or f"{path}/".startswith(f"{container}/")] or [text for _, text in left]
-    return "\n\n".join(chosen)
+    if not template and _has_article(root):
+        return "\n\n".join(text for node, text in blocks if in_article(node))
+    places, constant = _places(root), set(template or ())
+    same = {id(node): f"{places[id(node)]}\t{_text_hash(node, blocks)}" in constant for node, _ in blocks} if constant else {}
+    if _has_article(root):
+        scope = [(node, text) for node, text in blocks if in_article(node)]
+    else:
+        left = [b for b in blocks if not same.get(id(b[0]))]
+        scope = [b for b in left if container is None or f"{places[id(b[0])]}/".startswith(f"{container}/")] or left or blocks
+    return "\n\n".join(text for _, text in [b for b in scope if not same.get(id(b[0]))] or scope)
+
+
+def _text_hash(node: Node, blocks: list[tuple[Node, str]]) -> int:
+    return crc32("\n".join(blocks[i][1] for i in node.texts).encode())
 
 
 def _has_article(node: Node) -> bool:

@@ -321,5 +321,21 @@ def test_copies_of_a_page_are_one_tree(spark, monkeypatch):
         return applied(grouped, function, schema)
 
     monkeypatch.setattr(type(frame.groupBy("host")), "applyInArrow", spy)
-    assert [r.container for r in wrappers.induce(frame).where("host = 'h'").collect()] == ["/body[1]/p[1]"]
+    assert [r.container for r in wrappers.induce(frame).where("host = 'h'").collect()] == ["/body[1]"]
     assert sum(r.copies for r in sizes) == 600 and sum(r.n for r in sizes) == 102 and max(r.n for r in sizes) < 2 * wrappers.GROUP_PAGES
+
+
+def test_induced_template_acts_on_every_page(spark):
+    """Hosts of many pages, with and without article: constant nodes go, slots stay, also inside the article."""
+    shell = "<body><div class=top><p>Brand</p></div>{}<div class=end><p>Imprint</p></div>"
+    inner = "<h1>{0}</h1><p class=hint>Share this page</p><p>{1}</p><p class=hint2>All rights reserved</p>"
+    pages, want = [], {}
+    for i in range(150):
+        title, text = prose(3, 8000 + i), prose(40, 9000 + i)
+        for host, tag in (("a", "article"), ("d", "div")):
+            pages.append((f"http://{host}/{i}", shell.format(f"<{tag}>{inner.format(title, text)}</{tag}>")))
+            want[pages[-1][0]] = f"{title}\n\n{text}"
+    pages += [("http://one/", shell.format(f"<article>{inner.format('t', 'x')}</article>"))]
+    want["http://one/"] = "t\n\nShare this page\n\nx\n\nAll rights reserved"
+    got = {r.url: r.text for r in wrappers.extract(spark.createDataFrame(pages, "url string, html string")).select("row.url", "text").collect()}
+    assert got == want
