@@ -83,6 +83,15 @@ select docs.doc_id, cast(len(w) as bigint) n_words, cast(coalesce(n_base, 0) as
 from docs left join bases using (doc_id) left join method using (doc_id)
 """
 
+_OP6 = """
+with sums as (select page_id, octet_length(encode(coalesce(html, ''))) n, sha1(coalesce(html, '')) s from pages),
+digests as (select page_id, n, array_to_string(list_transform(range(32),
+  lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((cast('0x' || substr(s, 1 + 5 * (i // 4), 5) as bigint) >> (15 - 5 * (i % 4))) & 31), 1)), '') d from sums),
+firsts as (select d, min(page_id) first from digests group by d)
+select page_id, cast(n as bigint) payload_bytes, d payload_digest, case when page_id = first then 'response' else 'revisit' end record_type, case when page_id <> first then first end refers_to
+from digests join firsts using (d)
+"""
+
 _HOST = "translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _OP7 = f"""
 with rules(rule_host, rule_path, verdict) as (values {", ".join(f"('{h}', '{p}', '{v}')" for (h, p), v in RULES.items())}),
@@ -120,5 +129,5 @@ from texts x left join texts y on x.doc_id = y.doc_id and y.only_later where not
 """
 
 ORACLE_SQL = {
-    "op1_decontamination": _OP1, "op2_html_extraction": _OP2, "op3_quality_rules": _OP3, "op5_license_scan": _OP5, "op7_url_filter": _OP7, "op8_ngram_jaccard": _OP8, "op10_suffix_dedup": _OP10,
+    "op1_decontamination": _OP1, "op2_html_extraction": _OP2, "op3_quality_rules": _OP3, "op5_license_scan": _OP5, "op6_warc": _OP6, "op7_url_filter": _OP7, "op8_ngram_jaccard": _OP8, "op10_suffix_dedup": _OP10,
 }

@@ -1,7 +1,7 @@
 """WARC archives: written by Spark's text writer, read back in splits and checked by boundary chains.
 
-Writing: one record per page; equal payloads of at least `least_bytes` bytes are stored once, by the smallest page_id, and the
-others become revisit records that refer to it.
+Writing: one record per page; equal payloads of at least `least_bytes` bytes are stored once, by the smallest page_id (null last),
+and the others become revisit records that refer to it. A payload is only shuffled if its digest comes more than once.
 
 Reading: every task cuts its split at the record magic and emits candidates with the offset of their successor (header and
 payload length). Inside a split candidates are joined into chains. Pointer jumping over the chains, from the start of each
@@ -29,6 +29,8 @@ from .common import scratch, stored
 MAGIC = "WARC/1.0\r\n"
 END = "\r\n\r\n"
 LEAST_BYTES = 0
+#: Bits of the marks of digests that come more than once: 2 MB, broadcast.
+MARK_BITS = 1 << 24
 DATE = "2024-01-01T00:00:00Z"
 _HEX32, _BASE32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
@@ -39,16 +41,35 @@ def base32_sha1(text: Column) -> Column:
     return F.translate(F.concat(*[F.lpad(F.conv(F.substring(digest, 1 + 5 * i, 5), 16, 32), 4, "0") for i in range(8)]), _HEX32, _BASE32)
 
 
+def _marked(digests: DataFrame) -> DataFrame:
+    """One row with an array of 2^18 words of 64 bits: one bit set for every given digest. Its size does not grow with the data."""
+    bit = F.pmod(F.xxhash64("digest"), F.lit(MARK_BITS))
+    words = digests.groupBy(F.shiftright(bit, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(xxhash64(digest), {MARK_BITS}) % 64 as int))")).alias("bits"))
+    out = [0] * (MARK_BITS // 64)
+    for r in words.toLocalIterator():
+        out[r.word] = r.bits
+    return digests.sparkSession.createDataFrame([(out,)], "marks array<bigint>")
+
+
 def write_archives(pages: DataFrame, path: str, least_bytes: int = LEAST_BYTES) -> None:
-    """Archives under `path`, one per partition of pages. The text writer ends each record with the blank lines that WARC asks for."""
-    id_text = F.coalesce(F.col("page_id").cast("string"), F.lit(""))
+    """Archives under `path`. The text writer ends each record with the blank lines that WARC asks for.
+
+    Only digests that come twice or more matter to others. Their rows are picked out by marked bits, so a row whose digest
+    has none is written straight from the scan. The payload of the others goes through one join with the first of their
+    digest (false marks find none there and are written as they are).
+    """
     rows = pages.select(
-        "page_id", id_text.alias("id"), F.regexp_replace(F.regexp_replace(F.coalesce("url", F.lit("")), "\r", "%0D"), "\n", "%0A").alias("uri"),
-        F.coalesce("html", F.lit("")).alias("payload"),
+        "page_id", F.coalesce(F.col("page_id").cast("string"), F.lit("")).alias("id"),
+        F.regexp_replace(F.regexp_replace(F.coalesce("url", F.lit("")), "\r", "%0D"), "\n", "%0A").alias("uri"), F.coalesce("html", F.lit("")).alias("payload"),
     ).withColumn("digest", base32_sha1(F.col("payload")))
     order = F.struct(F.col("page_id").isNull().alias("last"), "page_id", "uri")
-    firsts = rows.where(F.octet_length("payload") >= least_bytes).groupBy("digest").agg(F.min(order).alias("first"))
-    chosen = rows.join(firsts, "digest", "left").withColumn("revisit", F.coalesce(order != F.col("first"), F.lit(False)) & (F.octet_length("payload") >= least_bytes))
+    large = rows.where(F.octet_length("payload") >= least_bytes)
+    firsts = stored(large.groupBy("digest").agg(F.min(order).alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first"), "warc-firsts")
+    mark = F.expr(f"shiftright(marks[cast(shiftright(pmod(xxhash64(digest), {MARK_BITS}), 6) as int)], cast(pmod(xxhash64(digest), {MARK_BITS}) % 64 as int)) & 1 = 1")
+    told = rows.crossJoin(F.broadcast(_marked(firsts))).withColumn("marked", mark & (F.octet_length("payload") >= least_bytes)).drop("marks")
+    none = F.lit(None).cast(firsts.schema["first"].dataType)
+    alone = told.where("not marked").select("id", "uri", "payload", "digest", F.lit(False).alias("revisit"), none.alias("first"))
+    shared = told.where("marked").join(firsts, "digest", "left").select("id", "uri", "payload", "digest", F.coalesce(order != F.col("first"), F.lit(False)).alias("revisit"), "first")
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
     head = F.concat(
         F.lit(MAGIC), line("WARC-Type", F.when(F.col("revisit"), "revisit").otherwise("response")),
@@ -57,7 +78,8 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = LEAST_BYTES)
         F.when(F.col("revisit"), line("WARC-Refers-To", F.concat(F.lit("<urn:page:"), F.coalesce(F.col("first.page_id").cast("string"), F.lit("")), F.lit(">")))).otherwise(""),
         F.lit("Content-Type: text/html; charset=utf-8\r\n"), F.lit("Content-Length: "), F.when(F.col("revisit"), "0").otherwise(F.octet_length("payload").cast("string")), F.lit(END),
     )
-    chosen.select(F.concat(head, F.when(F.col("revisit"), "").otherwise(F.col("payload"))).alias("value")).write.option("lineSep", END).text(path)
+    records = alone.union(shared).select(F.concat(head, F.when(F.col("revisit"), "").otherwise(F.col("payload"))).alias("value"))
+    records.write.option("lineSep", END).text(path)
 
 
 _FIELD = re.compile(rb"(?m)^([A-Za-z-]+): ?([^\r\n]*)\r?$")
@@ -69,7 +91,7 @@ _NAMES = [f.split()[0] for f in _CANDIDATE.split(", ")]
 
 
 def _number(value: bytes) -> int | None:
-    found = re.search(rb"(\d+)>?$", value)
+    found = re.search(rb":(-?\d+)>$", value)
     return int(found[1]) if found else None
 
 
@@ -174,7 +196,7 @@ _RECORD = ["page_id", "record_type", "refers_to", "uri", "payload_bytes", "paylo
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """page_id, record_type, refers_to, uri, payload_bytes and payload_digest of every true record."""
-    found = stored(candidates(spark, path), "warc-placed").where("at >= 0")
+    found = candidates(spark, path).where("at >= 0")
     marked = found.join(reachable(found), ["file", "chain"], "left").withColumn("true", F.coalesce(F.col("at") >= F.col("entry"), F.lit(False)))
     whole = marked.where("true and whole").select(*_RECORD)
     torn = marked.where("true and not whole").select("file", F.col("at").alias("owner"), F.col("successor").alias("until"))
