@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -9,8 +11,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 #: Bytes of text that one numpy step takes at once; bounds a Python worker's memory.
 STEP_BYTES = 2_000_000
@@ -31,9 +34,11 @@ ALNUM_TABLE = bytes(32 if NONWORD[b] else _LOWER[b] for b in range(256))
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder under spark.checkpoint.dir; a temporary one is set only where the session has none."""
+    """A new folder under spark.checkpoint.dir. Only a local session without that setting, as in tests, gets a temporary folder."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not re.fullmatch(r"local(\[[\d*, ]+\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.sparkContext.setCheckpointDir(root)
     return f"{root}/{name}-{uuid.uuid4().hex}"
@@ -46,9 +51,31 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def row_key(*cols: str):
-    """One 64-bit key for the content of a row, the same for equal rows (nulls count as skipped values)."""
-    return F.xxhash64(*[F.col(c) for c in cols])
+def dropped(*frames: DataFrame) -> None:
+    """Delete what stored() wrote for these frames, which nothing reads any more."""
+    for df in frames:
+        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
+            where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def row_key(seed: int = 0) -> Column:
+    """One 64-bit key for doc_id and text of a row, the same for equal rows."""
+    return F.xxhash64(F.lit(seed), F.col("doc_id").cast("long"), F.col("text").cast("string"))
+
+
+def row_seed(docs: DataFrame) -> int:
+    """The first seed under which different rows have different keys: no key holds two values of a second hash, so 128 bits tell rows apart."""
+    other = F.xxhash64(F.lit("check"), F.col("text").cast("string"), F.col("doc_id").cast("long"))
+    for seed in itertools.count():
+        held = docs.select(row_key(seed).alias("key"), other.alias("other")).groupBy("key").agg(F.min("other").alias("low"), F.max("other").alias("high"))
+        if held.where("low != high").isEmpty():
+            return seed
+
+
+def packed_schema(row: StructField, more: str) -> StructType:
+    """The packed column of a row, whatever the names in it, and further columns as DDL."""
+    return StructType([row, *StructType.fromDDL(more).fields])
 
 
 def mix(x: np.ndarray) -> np.ndarray:

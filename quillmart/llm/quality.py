@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, steps, stored
+from .common import as_bytes, packed_schema, steps, stored
 
 #: Items that a sketch keeps per level; quantiles of groups up to this size are exact, larger ones within about 1 / size.
 SKETCH_K = 1024
@@ -70,7 +70,7 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def measure(docs: DataFrame) -> DataFrame:
     """`row` (all columns of docs) and its counts; one pass, no shuffle."""
     packed = docs.select(F.struct("*").alias("row"), F.col("text").cast("string").alias("text"))
-    return packed.mapInArrow(_measure, "row " + packed.schema["row"].dataType.simpleString() + "".join(f", {c} long" for c in COUNTS))
+    return packed.mapInArrow(_measure, packed_schema(packed.schema["row"], ", ".join(f"{c} long" for c in COUNTS)))
 
 
 def base_failed() -> Column:

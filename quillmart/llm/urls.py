@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import stored
 
@@ -103,7 +104,7 @@ def build_cascade(universe: DataFrame) -> list[tuple[int, np.ndarray]]:
     return levels
 
 
-def url_filter(pages: DataFrame, rules: dict = RULES) -> DataFrame:
+def url_filter(pages: DataFrame, rules: dict = RULES, most_bits: int = MOST_BITS) -> DataFrame:
     """`row` (all columns of pages), host, path, rule and verdict of every page."""
     spark = pages.sparkSession
     host, path = host_and_path(F.col("url"))
@@ -118,10 +119,9 @@ def url_filter(pages: DataFrame, rules: dict = RULES) -> DataFrame:
     universe = stored(seen.join(copies, "key", "left").select("key", h1.alias("h1"), h2.alias("h2"), (F.col("key").isin(listed_rules) | F.coalesce("copying", F.lit(False))).alias("listed")), "cascade-universe")
 
     n = universe.where("listed").count()
-    shards = max(1, -(-n * BITS_PER_KEY // MOST_BITS))
+    shards = max(1, -(-n * BITS_PER_KEY // most_bits))
     out = keyed.withColumn("listed", F.array().cast("array<boolean>"))
     names = keyed.columns
-    rest = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in keyed.schema)
     for shard in range(shards):
         levels = build_cascade(universe.where(F.pmod("h1", F.lit(shards)) == shard))
         shared = spark.sparkContext.broadcast(levels)
@@ -138,7 +138,7 @@ def url_filter(pages: DataFrame, rules: dict = RULES) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([b.column(c) for c in names] + [listed], [*names, "listed"])
 
         probes = out.select(*names, "listed", F.transform("keys", lambda k: _hashes(k)[0]).alias("h1"), F.transform("keys", lambda k: _hashes(k)[1]).alias("h2"))
-        out = probes.mapInArrow(look, f"{rest}, listed array<boolean>")
+        out = probes.mapInArrow(look, StructType([*keyed.schema.fields, *StructType.fromDDL("listed array<boolean>").fields]))
     hits = F.transform(F.filter(F.arrays_zip("keys", "listed"), lambda x: x["listed"]), lambda x: x["keys"])
     fit = F.filter(hits, lambda k: ~k.startswith("host:"))
     rule = F.get(F.sort_array(F.transform(fit, lambda k: F.struct(F.length(k).alias("n"), k.alias("key"))), asc=False), 0)["key"]
