@@ -12,20 +12,21 @@ out once in `row`, repeated rows too; other columns, whatever their names, stay
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField
 
-from .common import ALNUM_TABLE, as_bytes, steps
+from .common import ALNUM_TABLE, as_bytes, packed_schema, steps, stored
 
 PHRASE = 10
 SAMPLE = 8
-#: Bytes of benchmark text that one broadcast holds; a larger benchmark is split by hash and searched block after block.
-BLOCK_BYTES = 16_000_000
+#: Bytes of benchmark text that one broadcast holds; a larger benchmark is split by hash and searched block after block, one of them in memory at a time.
+BLOCK_BYTES = 4_000_000
 #: Symbols of one shard's index.
 SHARD_SYMBOLS = 1 << 19
 
@@ -33,7 +34,7 @@ SHARD_SYMBOLS = 1 << 19
 class Phrases:
     """Test phrases as rows of word numbers (1 on), and the items of each."""
 
-    def __init__(self, items: list[tuple[int | None, str | None]]):
+    def __init__(self, items: Iterable[tuple[int | None, str | None]]):
         self.vocabulary: dict[bytes, int] = {}
         found: dict[tuple[int, ...], set] = {}
         for item, text in items:
@@ -194,28 +195,45 @@ def merged(starts: np.ndarray, ends: np.ndarray) -> list[dict]:
     return out
 
 
-def _blocks(benchmark: DataFrame) -> list[Phrases]:
-    """The test phrases in blocks of bounded size, each read by the driver on its own."""
-    asked = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
+def _with_hits(docs: DataFrame, block: Broadcast, row: StructField) -> DataFrame:
+    return docs.mapInArrow(_searcher(block), packed_schema(row, f"text string, n_words long, items array<bigint>, {_SPANS_DDL}"))
+
+
+_SPANS_DDL = "spans array<struct<start:bigint,end:bigint>>"
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """`row`, n_words, items (ids found, each once) and spans [start, end) of hit words, merged, of every document.
+
+    All blocks of the benchmark but the last are searched one by one, each with a broadcast of its own that is destroyed
+    afterwards; what they find is stored by text, and the last block's pass takes it along.
+    """
+    spark = docs.sparkSession
+    asked = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).distinct()
     total = asked.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    n = max(1, -(-total // BLOCK_BYTES))
-    return [Phrases([tuple(r) for r in asked.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b).collect()]) for b in range(n)]
-
-
-def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """`row`, n_words, items (ids found, each once) and spans [start, end) of hit words, merged, of every document."""
-    sc = docs.sparkSession.sparkContext
-    out = docs.select(F.struct("*").alias("row"), F.col("text").cast("string").alias("text"))
-    kind = out.schema["row"].dataType.simpleString()
-    out = out.select("row", "text", F.lit(0).cast("long").alias("n_words"), F.array().cast("array<bigint>").alias("items"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("spans"))
-    blocks = _blocks(benchmark)
-    for phrases in blocks:
-        out = out.mapInArrow(_searcher(sc.broadcast(phrases)), f"row {kind}, text string, n_words long, items array<bigint>, spans array<struct<start:bigint,end:bigint>>")
-    spans = F.col("spans")
-    if len(blocks) > 1:  # spans of several blocks are merged once more
-        join = lambda acc, x: F.when((F.size(acc) > 0) & (x["start"] <= F.element_at(acc, -1)["end"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["end"], x["end"]).alias("end"))))).otherwise(F.concat(acc, F.array(x)))
-        spans = F.aggregate(F.array_sort("spans"), F.array().cast("array<struct<start:bigint,end:bigint>>"), join)
-    return out.select("row", "n_words", F.array_distinct("items").alias("items"), spans.alias("spans"))
+    n = max(1, -(-total // block_bytes))
+    block = lambda b: spark.sparkContext.broadcast(Phrases((r.item_id, r.text) for r in asked.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b).toLocalIterator()))
+    packed = docs.select(F.struct("*").alias("row"), F.col("text").cast("string").alias("text"))
+    row = packed.schema["row"]
+    nothing = [F.lit(0).cast("long").alias("n_words"), F.array().cast("array<bigint>").alias("items"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("spans")]
+    if n == 1:
+        return _with_hits(packed.select("row", "text", *nothing), block(0), row).select("row", "n_words", F.array_distinct("items").alias("items"), "spans")
+    name = F.struct(F.xxhash64("text"), F.xxhash64(F.lit(1), F.col("text")))  # 128 bits name a text
+    texts = packed.where("text is not null").select(name.alias("row"), "text", *nothing)
+    found = None
+    for b in range(n - 1):
+        shared = block(b)
+        hits = stored(_with_hits(texts, shared, texts.schema["row"]).where("size(spans) > 0").select(F.col("row").alias("name"), "items", "spans"), "decontaminate-block")
+        found = hits if found is None else found.union(hits)
+        shared.destroy()
+    once = found.distinct().groupBy("name").agg(F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"), F.flatten(F.collect_list("spans")).alias("spans"))
+    before = stored(once, "decontaminate-before")
+    joined = packed.withColumn("name", name).join(before, "name", "left")
+    known = joined.select("row", "text", nothing[0], *(F.coalesce(c, e).alias(c) for c, e in zip(("items", "spans"), nothing[1:], strict=True)))
+    # spans of several blocks are merged once more
+    join = lambda acc, x: F.when((F.size(acc) > 0) & (x["start"] <= F.element_at(acc, -1)["end"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["end"], x["end"]).alias("end"))))).otherwise(F.concat(acc, F.array(x)))
+    spans = F.aggregate(F.array_sort("spans"), nothing[2], join)
+    return _with_hits(known, block(n - 1), row).select("row", "n_words", F.array_distinct("items").alias("items"), spans.alias("spans"))
 
 
 def report(found: DataFrame) -> DataFrame:
@@ -248,5 +266,4 @@ def remove_words(text: str, spans: list[tuple[int, int]]) -> str:
 
 def removed(found: DataFrame) -> DataFrame:
     """`row` with `text` being what is left of the document after its spans are removed."""
-    kind = found.schema["row"].dataType.simpleString()
-    return found.select("row", F.col("row.text").cast("string").alias("text"), "spans").mapInArrow(_cut, f"row {kind}, text string")
+    return found.select("row", F.col("row.text").cast("string").alias("text"), "spans").mapInArrow(_cut, packed_schema(found.schema["row"], "text string"))
