@@ -1,16 +1,20 @@
 """HTML extraction by wrapper induction.
 
-Pages become element trees. Within dealt-out groups of pages of one host, every tree is aligned with the group's first by simple
-tree matching (the largest order-preserving match of equal elements, level by level). Aligned nodes with one constant text are
-template, nodes whose texts vary are slots. Equal trees of a host enter once, with their number, so a group stays small however
-often a page comes. The counts of all groups of a host add up, so any number of pages is covered without gathering them. A host's content container is the element, outside menus, headers, footers, sidebars, notices, adverts, forms and
-comments, that holds most slot text; an article or main element is preferred. Every page loses its host's template: blocks at a
-template node's place that have the template's own text. Of the rest it takes what is in its article or main elements, or without
-any what is in the container, in page order. A page that has nothing but template there keeps it.
-
-Rows in: `url`, `html`. Null and empty html has an empty text; unclosed and cut-off markup is read as far as it goes. A null url
-is a host of its own. Repeated rows come out as often; other columns, whatever their names, stay inside `row`. An empty table
-gives an empty result.
+Pages become element trees. The trees of a host are aligned by simple tree matching (the largest order-preserving match of equal
+elements, level by level) and merged into one wrapper tree: up to GROUP_PAGES trees in a task, then those results again, until
+the host has one. Each node of a wrapper counts the different pages that have it and whether its text is one and the same: such
+nodes are template, nodes whose texts vary are slots. Equal trees of a host enter once, with their number.
+
+A host's content container is the element, outside menus, headers, footers, sidebars, notices, adverts, forms and comments, around
+four fifths of the slot text; of several an article or main element, else the innermost. Every page is aligned with its host's
+wrapper: its text is what lies in the element aligned with the container, less blocks that are template there (a node of LEAST_SAME
+pages or more whose one text it is, while the container's slots hold more text than its constant nodes; else the host's pages are
+copies of each other and none is). Pages without such a wrapper (fewer than LEAST_SAME different trees, no slots, or the
+container is not in the page) take the blocks of their own article or main elements, else all blocks outside boilerplate.
+
+Rows in: `url`, `html`. Null and empty html has an empty text; unclosed, cut-off, deeply nested and very long markup is read as far
+as it goes, without recursion. A null url is a host of its own. Repeated rows come out as often; other columns, whatever their
+names, stay inside `row`. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,19 +26,22 @@ from collections import defaultdict
 from collections.abc import Iterator
 from zlib import crc32
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import steps, stored
+from .common import packed_schema, steps, stored
 from .urls import host_and_path
 
-#: Pages of one host that are aligned together.
+#: Trees of one host that are merged in one task.
 GROUP_PAGES = 64
 #: Parts that the trees of a host with several groups are dealt to on their way into groups.
 SALTS = 32
-#: Aligned different pages with one same text that make a node template, where the host has other slots.
+#: Different pages with one same text that make a node template, and different trees that make a wrapper.
 LEAST_SAME = 3
+#: A merged wrapper keeps the nodes that one of so many of its pages has.
+RARE = 50
 _UNREAD = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|textarea|title|noscript|iframe|template)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
 _TOKEN = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|[^<]+|<", re.S)
 _ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -158,149 +165,342 @@ def _settle(nodes: list[Node], found: list[tuple[Node, list[tuple[Node, str]]]])
         n.skipped = n.skipped or n.parent.skipped or (n.marked and not content)
 
 
-def _skeleton(node: Node, blocks: list[tuple[Node, str]]) -> tuple:
-    """(label, hash and length of its texts, children) of a tree, without boilerplate."""
-    texts = [blocks[i][1] for i in node.texts]
-    mine = (_text_hash(node, blocks), sum(map(len, texts))) if texts else None
-    return node.label, mine, [_skeleton(c, blocks) for c in node.children if not c.skipped]
-
-
-def align(a: tuple, b: tuple) -> tuple[int, list[tuple[tuple, tuple]]]:
-    """Simple tree matching of two skeletons with equal labels: its size and its pairs of nodes."""
-    rows, columns = a[2], b[2]
-    if len(rows) == len(columns) and all(x[0] == y[0] and not x[2] and not y[2] for x, y in zip(rows, columns, strict=True)):
-        return len(rows) + 1, [(a, b), *zip(rows, columns, strict=True)]
-    best: list[list[tuple[int, list]]] = [[(0, [])] * (len(columns) + 1)]
-    for x in rows:
-        line: list[tuple[int, list]] = [(0, [])]
-        for j, y in enumerate(columns):
-            now = max(best[-1][j + 1], line[j], key=lambda t: t[0])
-            if x[0] == y[0]:
-                size, pairs = align(x, y) if x[2] or y[2] else (1, [(x, y)])
-                if best[-1][j][0] + size > now[0]:
-                    now = (best[-1][j][0] + size, [best[-1][j][1], pairs])
-            line.append(now)
-        best.append(line)
-    size, linked = best[-1][-1]
-    return size + 1, [(a, b), *_flat(linked)]
-
-
-def _flat(pairs: list) -> Iterator[tuple[tuple, tuple]]:
-    for p in pairs:
-        if isinstance(p, tuple):
-            yield p
-        else:
-            yield from _flat(p)
-
-
-def _paths(node: tuple, at: str = "") -> Iterator[tuple[str, tuple]]:
-    """Every node with its path; equal siblings are numbered."""
-    seen: dict[str, int] = defaultdict(int)
-    yield at, node
-    for child in node[2]:
-        seen[child[0]] += 1
-        yield from _paths(child, f"{at}/{child[0]}[{seen[child[0]]}]")
-
-
-def _induced(key: tuple, rows: pa.Table) -> pa.Table:
-    """Statistics of the nodes of one group's first tree over all pages that align with it."""
-    trees = [pickle.loads(x) for x in rows.column("tree").to_pylist()]
-    first = min(trees, key=lambda t: crc32(pickle.dumps(t)))
-    found: dict[int, list] = defaultdict(lambda: [0, 1 << 40, -1, 0])
-    for tree, copies in zip(trees, rows.column("copies").to_pylist(), strict=True):
-        for mine, other in align(first, tree)[1]:
-            if other[1]:
-                f = found[id(mine)]
-                f[:] = f[0] + 1, min(f[1], other[1][0]), max(f[2], other[1][0]), f[3] + copies * other[1][1]
-    out = [(path, *found[id(node)]) for path, node in _paths(first) if id(node) in found]
-    columns = list(zip(*out, strict=True)) if out else [[]] * 5
-    names = ["path", "pages", "low", "high", "chars"]
-    host = pa.array([key[0].as_py()] * len(out), pa.string())
-    return pa.table([host, pa.array(columns[0], pa.string()), *(pa.array(c, pa.int64()) for c in columns[1:])], names=["host", *names])
-
-
-def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in steps(batches, "html"):
-        trees = [pickle.dumps(_skeleton(*parse(h or ""))) for h in batch.column("html").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(trees, pa.binary())], ["host", "tree"])
+class Tree:
+    """An element tree as lists: labels, parents and children by node, nodes in page order at first. texts: node -> [pages, least hash, largest hash, characters]; seen: pages that have the node."""
+
+    __slots__ = ("kids", "labels", "pages", "parents", "seen", "texts")
+
+    def __init__(self) -> None:
+        self.labels: list[str] = []
+        self.parents: list[int] = []
+        self.kids: list[list[int]] = []
+        self.seen: list[int] = []
+        self.texts: dict[int, list[int]] = {}
+        self.pages = 1
+
+    def add(self, label: str, parent: int, seen: int, after: int | None = None) -> int:
+        """A new node, the last child of its parent or the one after a given child (-1: the first)."""
+        at = len(self.labels)
+        self.labels.append(label)
+        self.parents.append(parent)
+        self.kids.append([])
+        self.seen.append(seen)
+        if parent >= 0:
+            kids = self.kids[parent]
+            kids.insert(len(kids) if after is None else kids.index(after) + 1 if after >= 0 else 0, at)
+        return at
+
+    def dumped(self) -> bytes:
+        return pickle.dumps((self.labels, self.parents, self.kids, self.seen, self.texts, self.pages))
+
+    @classmethod
+    def loaded(cls, data: bytes) -> Tree:
+        tree = cls()
+        tree.labels, tree.parents, tree.kids, tree.seen, tree.texts, tree.pages = pickle.loads(data)
+        return tree
+
+    def down(self, start: int = 0) -> Iterator[int]:
+        """Nodes from the given one down, parents first, in page order."""
+        open_ = [start]
+        while open_:
+            at = open_.pop()
+            yield at
+            open_.extend(reversed(self.kids[at]))
+
+
+def skeleton(root: Node, blocks: list[tuple[Node, str]]) -> tuple[Tree, dict[int, int]]:
+    """The tree of a page without boilerplate, and the tree's node of every element (by id) that it has."""
+    tree, place = Tree(), {}
+    open_ = [(root, -1)]
+    while open_:
+        node, parent = open_.pop()
+        at = place[id(node)] = tree.add(node.label, parent, 1)
+        if node.texts:
+            texts = [blocks[i][1] for i in node.texts]
+            mine = crc32("\n".join(texts).encode())
+            tree.texts[at] = [1, mine, mine, sum(map(len, texts))]
+        open_.extend((c, at) for c in reversed(node.children) if not c.skipped)
+    return tree, place
+
+
+class Shapes:
+    """Interned shapes of subtrees (label and the children's shapes) and how well two of them match."""
+
+    MOST = 1_000_000
+
+    def __init__(self) -> None:
+        self.clear()
+
+    def clear(self) -> None:
+        self.ids: dict[tuple, int] = {}
+        self.labels: list[str] = []
+        self.kids: list[tuple[int, ...]] = []
+        self.sizes: list[int] = []
+        self.known: dict[tuple[int, int], int] = {}
+
+    def of(self, tree: Tree) -> list[int]:
+        """Shape of each node."""
+        out = [0] * len(tree.labels)
+        for at in reversed(list(tree.down())):
+            key = (tree.labels[at], tuple(out[c] for c in tree.kids[at]))
+            if (known := self.ids.get(key)) is None:
+                known = self.ids[key] = len(self.labels)
+                self.labels.append(key[0])
+                self.kids.append(key[1])
+                self.sizes.append(1 + sum(self.sizes[c] for c in key[1]))
+            out[at] = known
+        return out
+
+    def match(self, a: int, b: int) -> int:
+        """Size of the largest match of two shapes: 0 if their labels differ."""
+        if self.labels[a] != self.labels[b]:
+            return 0
+        if a == b:
+            return self.sizes[a]
+        open_ = [(a, b)]
+        while open_:
+            pair = open_[-1]
+            if pair in self.known:
+                open_.pop()
+                continue
+            rows, columns, same = trimmed(*(self.kids[x] for x in pair))
+            wanted = {(x, y) for x in set(rows) for y in set(columns) if x != y and self.labels[x] == self.labels[y] and (x, y) not in self.known}
+            if wanted:
+                open_.extend(wanted)
+                continue
+            self.known[pair] = 1 + sum(self.sizes[x] for x in same) + int(self._best(rows, columns, len(rows), False)[-1])
+            open_.pop()
+        return self.known[a, b]
+
+    def _known(self, a: int, b: int) -> int:
+        return 0 if self.labels[a] != self.labels[b] else self.sizes[a] if a == b else self.known[a, b]
+
+    def _best(self, rows: tuple[int, ...], columns: tuple[int, ...], upto: int, backward: bool) -> np.ndarray:
+        """Best order-preserving match of the first (backward: last) `upto` rows with each prefix (suffix) of the columns. One line of the table at a time."""
+        if backward:
+            rows, columns = rows[::-1], columns[::-1]
+        kinds, column = np.unique(np.array(columns, np.int64), return_inverse=True)
+        weights: dict[int, np.ndarray] = {}
+        line = np.zeros(len(columns) + 1, np.int64)
+        for x in rows[:upto]:
+            if x not in weights:
+                weights[x] = np.array([self._known(x, int(y)) for y in kinds], np.int64)[column] if len(columns) else np.zeros(0, np.int64)
+            line[1:] = np.maximum(line[1:], line[:-1] + weights[x])
+            np.maximum.accumulate(line, out=line)
+        return line
+
+    def pairs(self, rows: tuple[int, ...], columns: tuple[int, ...]) -> list[tuple[int, int]]:
+        """Places of the rows and columns that a best order-preserving match pairs, by halving the rows: memory in proportion to the columns."""
+        out, open_ = [], [(0, len(rows), 0, len(columns))]
+        while open_:
+            a, b, c, d = open_.pop()
+            if a == b or c == d:
+                continue
+            if b - a == 1:
+                scores = [self._known(rows[a], columns[j]) for j in range(c, d)]
+                best = max(range(d - c), key=lambda j: scores[j])
+                if scores[best]:
+                    out.append((a, c + best))
+                continue
+            middle = (a + b) // 2
+            ahead, back = self._best(rows[a:middle], columns[c:d], middle - a, False), self._best(rows[middle:b], columns[c:d], b - middle, True)
+            cut = c + int((ahead + back[::-1]).argmax())
+            open_ += [(a, middle, c, cut), (middle, b, cut, d)]
+        return out
+
+
+def trimmed(rows: tuple[int, ...], columns: tuple[int, ...]) -> tuple[tuple[int, ...], tuple[int, ...], tuple[int, ...]]:
+    """What is left of two lists of shapes without equal ends, and the equal ones. Equal shapes at an end are in some best match."""
+    low, most = 0, min(len(rows), len(columns))
+    while low < most and rows[low] == columns[low]:
+        low += 1
+    high = 0
+    while high < most - low and rows[-1 - high] == columns[-1 - high]:
+        high += 1
+    return rows[low : len(rows) - high], columns[low : len(columns) - high], rows[:low] + rows[len(rows) - high :]
+
+
+def align(one: Tree, two: Tree, shapes: Shapes) -> dict[int, int]:
+    """Simple tree matching: node of `two` -> node of `one`, parents before their children."""
+    if len(shapes.labels) > shapes.MOST or len(shapes.known) > shapes.MOST:
+        shapes.clear()
+    a, b = shapes.of(one), shapes.of(two)
+    out, open_ = {}, [(0, 0)]
+    while open_:
+        x, y = open_.pop()
+        out[y] = x
+        mine, other = one.kids[x], two.kids[y]
+        if a[x] == b[y]:
+            open_.extend(zip(mine, other, strict=True))
+            continue
+        rows, columns = tuple(a[k] for k in mine), tuple(b[k] for k in other)
+        shapes.match(a[x], b[y])
+        left, right, _ = trimmed(rows, columns)
+        low = 0
+        while low < min(len(rows), len(columns)) and rows[low] == columns[low]:
+            low += 1
+        open_.extend(zip(mine[:low], other[:low], strict=True))
+        tail = len(rows) - low - len(left)
+        open_.extend(zip(mine[len(mine) - tail :], other[len(other) - tail :], strict=True))
+        open_.extend((mine[low + i], other[low + j]) for i, j in shapes.pairs(left, right))
+    return out
 
 
-def induce(pages: DataFrame) -> DataFrame:
-    """host, container (path) and template (paths of constant nodes) of every host; pages: host, html."""
-    made = pages.select("host", "html").mapInArrow(_trees, "host string, tree binary").withColumn("spread", F.xxhash64("tree"))
-    trees = stored(made.groupBy("host", "spread").agg(F.first("tree").alias("tree"), F.count("*").alias("copies")), "wrapper-trees")
-    counts = trees.groupBy("host").agg(F.ceil(F.count("*") / GROUP_PAGES).alias("groups")).where("groups > 1")
-    salts = counts.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-    # the group comes from other bits of the hash than the salt
-    dealt = trees.withColumn("salt", F.pmod("spread", F.lit(SALTS).cast("long"))).join(salts, ["host", "salt"], "left")
-    group = F.pmod(F.xxhash64("spread"), F.coalesce("groups", F.lit(1).cast("long")))
-    grouped = dealt.select("host", "tree", "copies", group.alias("group")).groupBy("host", "group")
-    seen = grouped.applyInArrow(_induced, "host string, path string, pages long, low long, high long, chars long")
-    nodes = stored(seen.groupBy("host", "path").agg(F.sum("pages").alias("pages"), F.min("low").alias("low"), F.max("high").alias("high"), F.sum("chars").alias("chars")), "wrapper-nodes")
-
-    slots = nodes.where("low != high").select("host", "path", "chars")
-    steps_ = F.split("path", "/")
-    # elements around a slot, not the slot: one long paragraph is not all of the content
-    above = slots.select("host", "chars", F.explode(F.sequence(F.lit(1), F.greatest(F.size(steps_) - 1, F.lit(1)))).alias("depth"), steps_.alias("steps"))
-    held = above.groupBy("host", F.array_join(F.slice("steps", F.lit(1), F.col("depth")), "/").alias("container"), "depth").agg(F.sum("chars").alias("chars"))
-    total = slots.groupBy("host").agg(F.sum("chars").alias("total"))
-    own = F.col("container").rlike(r"/(?:article|main)[^/]*$")
-    enough = held.join(total, "host").where(5 * F.col("chars") >= 4 * F.col("total"))
-    containers = enough.groupBy("host").agg(F.max_by("container", F.struct(own, "depth", "chars", "container")).alias("container"))
-    templates = nodes.where((F.col("low") == F.col("high")) & (F.col("pages") >= LEAST_SAME)).groupBy("host").agg(F.collect_set(F.concat_ws("\t", "path", "low")).alias("template"))
-    return stored(containers.join(templates, "host", "left"), "wrappers")
-
-
-def main_text(source: str, container: str | None, template: list[str] | None) -> str:
-    """Blocks of the page's article or main elements, else of its host's container; without the host's template (place, tab, hash of its text)."""
-    root, blocks = parse(source)
-    inside: dict[int, bool] = {}
+def merge(one: Tree, two: Tree, shapes: Shapes) -> None:
+    """Put the pages of `two` into `one`: aligned nodes add up, the others are inserted after their aligned or inserted sibling."""
+    place = align(one, two, shapes)
+    for at in two.down():
+        if at in place:
+            one.seen[place[at]] += two.seen[at]
+        else:
+            siblings = two.kids[two.parents[at]]
+            before = siblings.index(at)
+            place[at] = one.add(two.labels[at], place[two.parents[at]], two.seen[at], place[siblings[before - 1]] if before else -1)
+        if mine := two.texts.get(at):
+            if held := one.texts.get(place[at]):
+                held[:] = held[0] + mine[0], min(held[1], mine[1]), max(held[2], mine[2]), held[3] + mine[3]
+            else:
+                one.texts[place[at]] = list(mine)
+    one.pages += two.pages
+
+
+def pruned(tree: Tree) -> Tree:
+    """Without nodes that fewer than one of RARE pages has, so that a wrapper's size is bounded by that of its pages. Trees of few pages keep all."""
+    least = -(-tree.pages // RARE)
+    if all(n >= least for n in tree.seen):
+        return tree
+    out, place = Tree(), {-1: -1}
+    out.pages = tree.pages
+    for at in tree.down():
+        if tree.seen[at] >= least and tree.parents[at] in place:
+            place[at] = out.add(tree.labels[at], place[tree.parents[at]], tree.seen[at])
+            if at in tree.texts:
+                out.texts[place[at]] = tree.texts[at]
+    return out
 
-    def in_article(node: Node) -> bool:
-        if id(node) not in inside:
-            inside[id(node)] = node.tag in ("article", "main") or (node.parent is not None and in_article(node.parent))
-        return inside[id(node)]
 
-    if not template and _has_article(root):
-        return "\n\n".join(text for node, text in blocks if in_article(node))
-    places, constant = _places(root), set(template or ())
-    same = {id(node): f"{places[id(node)]}\t{_text_hash(node, blocks)}" in constant for node, _ in blocks} if constant else {}
-    if _has_article(root):
-        scope = [(node, text) for node, text in blocks if in_article(node)]
-    else:
-        left = [b for b in blocks if not same.get(id(b[0]))]
-        scope = [b for b in left if container is None or f"{places[id(b[0])]}/".startswith(f"{container}/")] or left or blocks
-    return "\n\n".join(text for _, text in [b for b in scope if not same.get(id(b[0]))] or scope)
+_shapes = Shapes()
 
 
-def _text_hash(node: Node, blocks: list[tuple[Node, str]]) -> int:
-    return crc32("\n".join(blocks[i][1] for i in node.texts).encode())
+def _merged(key: tuple, rows: pa.Table) -> pa.Table:
+    """The trees of one group as one."""
+    data = sorted(rows.column("tree").to_pylist(), key=crc32)
+    whole = Tree.loaded(data[0])
+    for more in data[1:]:
+        merge(whole, Tree.loaded(more), _shapes)
+    host = pa.array([key[0].as_py()], pa.string())
+    return pa.table([host, pa.array([pruned(whole).dumped()], pa.binary())], names=["host", "tree"])
 
 
-def _has_article(node: Node) -> bool:
-    return (node.tag in ("article", "main") and not node.skipped) or any(map(_has_article, node.children))
+def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in steps(batches, "html"):
+        trees = [skeleton(*parse(h or ""))[0].dumped() for h in batch.column("html").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(trees, pa.binary())], ["host", "tree"])
 
 
-def _places(node: Node, at: str = "") -> dict[int, str]:
-    """Path of every node, as in _paths()."""
-    seen: dict[str, int] = defaultdict(int)
-    out = {id(node): at}
-    for child in node.children:
-        if not child.skipped:
-            seen[child.label] += 1
-            out |= _places(child, f"{at}/{child.label}[{seen[child.label]}]")
+def induce(pages: DataFrame) -> DataFrame:
+    """host and wrapper (a pickled tree) of every host; pages: host, html. Each round merges groups of trees, so no group gathers a host."""
+    made = pages.select("host", "html").mapInArrow(_trees, "host string, tree binary")
+    trees = stored(made.groupBy("host", F.xxhash64("tree").alias("own")).agg(F.first("tree").alias("tree")).select("host", "tree"), "wrapper-trees")
+    while True:
+        counts = trees.groupBy("host").agg(F.count("*").alias("n"))
+        many = stored(counts.where("n > 1").select("host", F.ceil(F.col("n") / GROUP_PAGES).alias("groups")), "wrapper-counts")
+        if many.isEmpty():
+            return trees.withColumnRenamed("tree", "wrapper")
+        # a host's number of groups goes to each of its trees; the first round has most, and hot hosts are dealt by a salt
+        dealt = trees.withColumn("own", F.xxhash64("tree"))
+        first = dealt.join(many.where("groups = 1"), "host").select("host", "tree", F.lit(0).cast("long").alias("group"))
+        hot = dealt.withColumn("salt", F.pmod("own", F.lit(SALTS).cast("long"))).join(_spread(many), ["host", "salt"]).select("host", "tree", F.pmod(F.xxhash64("own"), "groups").alias("group"))
+        alone = trees.join(many, "host", "left_anti")
+        merged = first.union(hot).groupBy("host", "group").applyInArrow(_merged, "host string, tree binary")
+        trees = stored(alone.select("host", "tree").union(merged), "wrapper-trees")
+
+
+def _spread(many: DataFrame) -> DataFrame:
+    """Hosts of several groups, once for each salt."""
+    return many.where("groups > 1").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+
+
+def container_of(wrapper: Tree) -> int | None:
+    """The node around four fifths of the slot text: an article or main element, else the innermost."""
+    slots = {at: t[3] for at, t in wrapper.texts.items() if t[1] != t[2]}
+    total = sum(slots.values())
+    if wrapper.pages < LEAST_SAME or not total:
+        return None
+    held, order = [0] * len(wrapper.labels), list(wrapper.down())
+    depth = [0] * len(wrapper.labels)
+    for at in order:
+        depth[at] = depth[wrapper.parents[at]] + 1 if wrapper.parents[at] >= 0 else 0
+    for at in reversed(order):
+        if wrapper.parents[at] >= 0:
+            # elements around a slot, not the slot: one long paragraph is not all of the content
+            held[wrapper.parents[at]] += held[at] + slots.get(at, 0)
+    enough = [at for at in order if 5 * held[at] >= 4 * total]
+    named = [at for at in enough if wrapper.labels[at].partition(".")[0] in ("article", "main")]
+    return max(named or enough, key=lambda at: depth[at], default=None)
+
+
+def template_of(wrapper: Tree, container: int) -> dict[int, int]:
+    """Constant nodes in the container and the hash of their text; none if they hold more than the slots there."""
+    inside = [(at, wrapper.texts[at]) for at in wrapper.down(container) if at in wrapper.texts]
+    same = {at: t for at, t in inside if t[0] >= LEAST_SAME and t[1] == t[2]}
+    slots = sum(t[3] for at, t in inside if t[1] != t[2])
+    return {at: t[1] for at, t in same.items()} if sum(t[3] for t in same.values()) < slots else {}
+
+
+class Wrapper:
+    """A host's tree with its container and template, ready to be applied."""
+
+    def __init__(self, tree: Tree):
+        self.tree, self.container = tree, container_of(tree)
+        self.template = {} if self.container is None else template_of(tree, self.container)
+
+
+def main_text(source: str, wrapper: Wrapper | None) -> str:
+    """The text of a page by its host's wrapper, else by the page's own elements."""
+    root, blocks = parse(source)
+    if not blocks:
+        return ""
+    if wrapper and wrapper.container is not None:
+        tree, place = skeleton(root, blocks)
+        aligned = align(wrapper.tree, tree, _shapes)
+        top = next((at for at, other in aligned.items() if other == wrapper.container), None)
+        inside = set(tree.down(top)) if top is not None else ()
+        scope = [(place[id(node)], text) for node, text in blocks if place[id(node)] in inside]
+        left = [text for at, text in scope if wrapper.template.get(aligned.get(at)) != tree.texts[at][1]]
+        if scope:
+            return "\n\n".join(left or [text for _, text in scope])
+    own = _articles(root)
+    return "\n\n".join([text for node, text in blocks if id(node) in own] or [text for _, text in blocks])
+
+
+def _articles(root: Node) -> set[int]:
+    """Elements (by id) in article and main elements."""
+    out, open_ = set(), [(root, False)]
+    while open_:
+        node, inside = open_.pop()
+        inside = inside or (node.tag in ("article", "main") and not node.skipped)
+        if inside:
+            out.add(id(node))
+        open_.extend((c, inside) for c in node.children)
     return out
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: dict[bytes | None, Wrapper | None] = {}
     for batch in steps(batches, "html"):
-        pages = zip(*(batch.column(c).to_pylist() for c in ("html", "container", "template")), strict=True)
-        yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array([main_text(h or "", c, t) for h, c, t in pages], pa.string())], ["row", "text"])
+        texts = []
+        for source, data in zip(batch.column("html").to_pylist(), batch.column("wrapper").to_pylist(), strict=True):
+            if data not in held:
+                held = {} if len(held) > 100 else held
+                held[data] = None if data is None else Wrapper(Tree.loaded(data))
+            texts.append(main_text(source or "", held[data]))
+        yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(texts, pa.string())], ["row", "text"])
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """`row` (all columns of pages) and `text` of every page. The html is read twice: to induce wrappers and to apply them."""
     read = pages.select(F.struct("*").alias("row"), host_and_path(F.col("url"))[0].alias("host"), F.col("html").cast("string").alias("html"))
     wrappers = induce(read.select("host", "html"))
-    joined = read.join(wrappers, "host", "left").select("row", "html", "container", "template")
-    return joined.mapInArrow(_texts, f"row {joined.schema['row'].dataType.simpleString()}, text string")
+    joined = read.join(wrappers, "host", "left").select("row", "html", "wrapper")
+    return joined.mapInArrow(_texts, packed_schema(joined.schema["row"], "text string"))

@@ -301,10 +301,10 @@ def test_layout_classes_keep_the_article():
     """Wrappers named after a layout hold the article; marked elements beside it stay out."""
     for name in ("content no-sidebar", "page has-sidebar", "site-content with-header", "wrapper header-fixed", "post comments-open", "sidebar", "header"):
         page = f'<body><div class="{name}"><article><h1>T</h1><p>a <span class="ad">x</span> b</p></article></div><div class="comments"><p>c</p></div>'
-        assert wrappers.main_text(page, None, None) == "T\n\na b"
-        assert wrappers.main_text(page.replace("article", "div"), None, None).startswith("T\n\na b")
+        assert wrappers.main_text(page, None) == "T\n\na b"
+        assert wrappers.main_text(page.replace("article", "div"), None).startswith("T\n\na b")
     related = '<body><article><p>a</p></article><div class="related"><article><p>r</p></article></div><div class="cookie-banner"><p>k</p></div>'
-    assert wrappers.main_text(related, None, None) == "a"
+    assert wrappers.main_text(related, None) == "a"
 
 
 def test_copies_of_a_page_are_one_tree(spark, monkeypatch):
