@@ -22,12 +22,15 @@ import public_tokenizers
 import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .common import steps
+from .common import packed_schema, steps
 
-#: Characters of a leaf.
-LEAF = 2048
+#: Characters of a leaf, so that all but the shortest texts are put together by the tree.
+LEAF = 128
 WINDOW = 32
+#: White space as the pattern's \\s has it.
+WHITE = frozenset("\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -69,7 +72,7 @@ class Codec:
 
     @staticmethod
     def _stable(text: str, at: int) -> bool:
-        return text[at].isspace() and not text[at - 1].isspace()
+        return text[at] in WHITE and text[at - 1] not in WHITE
 
     def _border(self, text: str, middle: int, bound: int, way: int) -> int:
         """The stable place nearest to the border on one side, looked for in growing windows; the part's end if it has none."""
@@ -94,7 +97,7 @@ class Codec:
 _codecs: dict[str, Codec] = {}
 
 
-def _with_codec(df: DataFrame, path: str, pattern: str, step: Callable, schema: str) -> DataFrame:
+def _with_codec(df: DataFrame, path: str, pattern: str, step: Callable, schema: StructType) -> DataFrame:
     """Run step(codec, batch) on every batch; the vocabulary (of a fixed size) is broadcast, so only the driver reads its file."""
     shared = df.sparkSession.sparkContext.broadcast((read_ranks(path), pattern))
 
@@ -119,7 +122,7 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None)
         ids = [codec.encode(t) for t in batch.column("text").to_pylist()]
         return pa.RecordBatch.from_arrays([batch.column("row"), pa.array(ids, pa.list_(pa.int32()))], ["row", "ids"])
 
-    return _with_codec(packed, path or vocabulary()[0], pattern or vocabulary()[1], step, f"row {packed.schema['row'].dataType.simpleString()}, ids array<int>")
+    return _with_codec(packed, path or vocabulary()[0], pattern or vocabulary()[1], step, packed_schema(packed.schema["row"], "ids array<int>"))
 
 
 def round_trip(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
@@ -134,4 +137,4 @@ def round_trip(docs: DataFrame, path: str | None = None, pattern: str | None = N
         n, of_ids, of_bytes = zip(*found, strict=True)
         return pa.RecordBatch.from_arrays([batch.column("row"), pa.array(n, pa.int64()), pa.array(of_ids), pa.array(of_bytes)], ["row", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return _with_codec(packed, path or vocabulary()[0], pattern or vocabulary()[1], step, f"row {packed.schema['row'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return _with_codec(packed, path or vocabulary()[0], pattern or vocabulary()[1], step, packed_schema(packed.schema["row"], "n_tokens long, ids_sha256 string, decoded_sha256 string"))
