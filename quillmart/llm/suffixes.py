@@ -1,16 +1,18 @@
 """Suffix-array dedup with sparse suffix arrays: passages of fifty words or more that occur twice.
 
 Only suffixes at minimisers are kept: the least eight-word hash among those inside each fifty-word window, so both places of any
-passage that long keep the same suffixes. The suffixes are ordered by Spark's shuffle on the hash of their first eight words;
-those alone in their place are dropped. The others are extended left and right: every fifty-word window that contains the suffix
-start as its minimiser gets a hash, windows are sorted, and equal neighbours are repeated passages. Overlapping windows merge
-into spans. So a word is in a span exactly if it lies in a fifty-word window that occurs at two places.
+passage that long keep the same suffixes. Spark's shuffle brings the suffixes that begin with the same eight words together, each
+with the words around it that its windows reach; those alone in their place are dropped. There they are sorted, neighbours are
+compared, and matches are extended to the right by the lengths that neighbours share; the words before them, sorted backwards,
+extend the matches to the left in the same way. A window of a words before and 50 - a words from a suffix on is repeated exactly if
+another suffix shares that much on both sides. Overlapping windows merge into spans. So a word is in a span exactly if it lies in a
+fifty-word window that occurs at two places.
 
 A suffix that very many places share is dealt over several tasks; what each finds once there is compared once more by hash.
 
 Rows in: `doc_id`, `text`; words are `[^\\x20\\x09-\\x0D]+`. Null, empty and short texts have no passages and no result row. Rows
 equal in doc_id and text count as one document. The first place of a passage is that with the least doc_id (null last), then the
-least start. Other columns are not carried; an empty table gives an empty result.
+least start. Texts may be as long as Spark can hold (2^31 bytes). Other columns are not carried; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,19 +25,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import SPACE, Words, as_bytes, gram_hashes, row_key, steps, stored
+from .common import SPACE, Words, as_bytes, gram_hashes, packed_schema, row_key, row_seed, steps, stored
 
 PASSAGE = 50
 PREFIX = 8
 #: Places of one suffix prefix that one task takes.
-MOST_PLACES = 50_000
+MOST_PLACES = 10_000
 #: Rows that a task compares at once, cut between prefixes.
-TOGETHER = 50_000
-_POSITION_BITS = 28
+TOGETHER = 10_000
+#: A text of 2^31 bytes has at most 2^30 words.
+_POSITION_BITS = 30
 
 
 def minimisers(grams: np.ndarray) -> np.ndarray:
-    """For each fifty-word window of a text the place of its least eight-word hash (the first of equals); block-wise running minima."""
+    """For each fifty-word window of a text the place of its least eight-word hash (its upper bits; the first of equals); block-wise running minima."""
     width = PASSAGE - PREFIX + 1
     n = len(grams) - width + 1
     if n <= 0:
@@ -69,47 +72,89 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _extended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each kept suffix of a text its windows: the first one's start and the hashes of all."""
+    """For each kept suffix of a text the start of its first window, the words before it, its number of windows, and the bytes of all words that they reach."""
     for batch in steps(batches, "text"):
-        words = Words(as_bytes(batch.column("text")), SPACE, False)
-        grams, windows = gram_hashes(words.hashes, PREFIX), gram_hashes(words.hashes, PASSAGE)
-        columns: list[list] = [[], [], [], [], [], []]
+        texts = as_bytes(batch.column("text"))
+        words = Words(texts, SPACE, False)
+        grams = gram_hashes(words.hashes, PREFIX)
+        columns: list[list] = [[] for _ in _EXTENDED_NAMES]
         for i, (low, high) in enumerate(zip(words.first[:-1].tolist(), words.first[1:].tolist(), strict=True)):
             at = minimisers(grams[low : high - PREFIX + 1])
             starts = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
             ends = np.append(starts[1:], len(at))
+            from_, to = words.starts[low + starts] - words.base[i], words.ends[low + ends + PASSAGE - 2] - words.base[i]
             hits = {h["at"]: h for h in batch.column("hits")[i].as_py()}
-            for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
-                if hit := hits.get(int(at[a])):
-                    values = (hit["prefix"], hit["salts"], batch.column("row")[i].as_py(), batch.column("doc_id")[i].as_py(), a, windows[low + a : low + b].tobytes())
+            for place, a, b, c, d in zip(at[starts].tolist(), starts.tolist(), ends.tolist(), from_.tolist(), to.tolist(), strict=True):
+                if hit := hits.get(place):
+                    values = (hit["prefix"], hit["salts"], batch.column("row")[i].as_py(), batch.column("doc_id")[i].as_py(), a, place - a, b - a, texts[i][c:d])
                     for column, value in zip(columns, values, strict=True):
                         column.append(value)
         if columns[0]:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _EXTENDED_TYPES, strict=True)], _EXTENDED_NAMES)
 
 
-_EXTENDED = "prefix long, salts int, row long, doc_id long, start long, windows binary"
+_EXTENDED = "prefix long, salts int, row long, doc_id long, start long, before int, windows int, words binary"
 _EXTENDED_NAMES = [f.split()[0] for f in _EXTENDED.split(", ")]
-_EXTENDED_TYPES = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+_EXTENDED_TYPES = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
 _FOUND = "row long, doc_id long, start long, end long, later boolean, hash long, places long"
 _FOUND_NAMES = [f.split()[0] for f in _FOUND.split(", ")]
 _FOUND_TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64()]
 
 
+def _shared_lengths(groups: np.ndarray, lines: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorts lines of words within their groups: the order, and how many words each shares with the one before (-1 across groups)."""
+    order = np.lexsort((*lines.T[::-1], groups))
+    same = lines[order[1:]] == lines[order[:-1]]
+    shared = np.where(same.all(axis=1), lines.shape[1], same.argmin(axis=1))
+    return order, np.concatenate([[-1], np.where(groups[order[1:]] == groups[order[:-1]], shared, -1)])
+
+
+def window_classes(groups: np.ndarray, words: np.ndarray, first: np.ndarray, before: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(suffix, window's place among its windows, class) of all windows of the suffixes; equal windows of one group, and only those, have one class.
+
+    words: hashes of the words around all suffixes, those of suffix i beginning at first[i], its own first word being before[i] words on.
+    """
+    n, at = len(first), first + before
+    reach = first + windows + PASSAGE - 1  # the end of each suffix's words
+    right = at[:, None] + np.arange(PASSAGE)
+    left = at[:, None] - 1 - np.arange(PASSAGE - PREFIX)
+    padded = np.append(words, np.uint64(0))
+    # beyond a suffix's own words no window of it reaches; the filler may match only filler
+    after = np.where(right < reach[:, None], padded[np.minimum(right, len(words))], np.uint64(0))
+    ahead = np.where(left >= first[:, None], padded[np.maximum(left, 0)], np.uint64(0))
+    order_right, share_right = _shared_lengths(groups, after)
+    order_left, share_left = _shared_lengths(groups, ahead)
+    owners, places, classes = [], [], []
+    made = 0
+    run_right, run_left = np.empty(n, np.int64), np.empty(n, np.int64)
+    for a in range(PASSAGE - PREFIX + 1):
+        offset = before - a
+        own = np.flatnonzero((offset >= 0) & (offset < windows))
+        if not len(own):
+            continue
+        run_right[order_right] = np.cumsum(share_right < PASSAGE - a)
+        run_left[order_left] = np.cumsum(share_left < a)
+        _, found = np.unique(run_right[own] * (n + 1) + run_left[own], return_inverse=True)
+        owners.append(own)
+        places.append(offset[own])
+        classes.append(found + made)
+        made += int(found.max()) + 1
+    return np.concatenate(owners), np.concatenate(places), np.concatenate(classes)
+
+
 def _matched(table: pa.Table) -> pa.RecordBatch:
     """Repeated windows of these suffixes as runs; of dealt-out suffixes also each window's first place here, still open (later is null)."""
-    packed = table.column("windows").to_pylist()
-    counts = np.array([len(x) // 8 for x in packed])
-    hashes = np.frombuffer(b"".join(packed), np.uint64)
-    owner = np.repeat(np.arange(len(packed)), counts)
-    rows, starts = table.column("row").to_numpy()[owner], table.column("start").to_numpy()[owner] + np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
-    docs = table.column("doc_id").to_numpy()
-    docs = np.where(np.isnan(docs), np.inf, docs)[owner] if docs.dtype.kind == "f" else docs[owner]
-    order = np.lexsort((starts, rows, docs, hashes))
-    hashes, rows, starts, docs, owner = hashes[order], rows[order], starts[order], docs[order], owner[order]
-    same = np.concatenate([[False], hashes[1:] == hashes[:-1]])
+    held = Words(table.column("words").to_pylist(), SPACE, False)
+    prefixes, before, windows = (table.column(c).to_numpy().astype(np.int64) for c in ("prefix", "before", "windows"))
+    owner, place, kinds = window_classes(prefixes, held.hashes, held.first[:-1], before, windows)
+    rows, starts = table.column("row").to_numpy()[owner], table.column("start").to_numpy()[owner] + place
+    last = np.asarray(table.column("doc_id").is_null())[owner]
+    docs = table.column("doc_id").fill_null(0).to_numpy()[owner]
+    order = np.lexsort((starts, rows, docs, last, kinds))
+    kinds, rows, starts, owner, place = (x[order] for x in (kinds, rows, starts, owner, place))
+    same = np.concatenate([[False], kinds[1:] == kinds[:-1]])
     copy = same & np.concatenate([[False], (rows[1:] == rows[:-1]) & (starts[1:] == starts[:-1])])
-    hashes, rows, starts, owner, same = (x[~copy] for x in (hashes, rows, starts, owner, same))
+    rows, starts, owner, place, same = (x[~copy] for x in (rows, starts, owner, place, same))
     first = np.flatnonzero(~same)
     places = np.diff(np.append(first, len(same)))
     dealt = table.column("salts").to_numpy()[owner] > 1
@@ -125,8 +170,9 @@ def _matched(table: pa.Table) -> pa.RecordBatch:
             tails = np.append(heads[1:], len(chosen)) - 1
             out += [(int(rows[chosen[h]]), ids[owner[chosen[h]]], int(starts[chosen[h]]), int(starts[chosen[t]]) + PASSAGE, is_later, None, None) for h, t in zip(heads, tails, strict=True)]
     open_ = np.flatnonzero(~same & dealt)
-    sizes = dict(zip(first.tolist(), places.tolist(), strict=True)) if len(open_) else {}
-    out += [(int(rows[i]), ids[owner[i]], int(starts[i]), int(starts[i]) + PASSAGE, None, int(hashes[i].view(np.int64)), sizes[i]) for i in open_.tolist()]
+    if len(open_):
+        sizes, names = dict(zip(first.tolist(), places.tolist(), strict=True)), gram_hashes(held.hashes, PASSAGE).view(np.int64)
+        out += [(int(rows[i]), ids[owner[i]], int(starts[i]), int(starts[i]) + PASSAGE, None, int(names[held.first[owner[i]] + place[i]]), sizes[i]) for i in open_.tolist()]
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 7, _FOUND_TYPES, strict=True)], _FOUND_NAMES)
 
 
@@ -146,9 +192,9 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _matched(pa.Table.from_batches(held).combine_chunks())
 
 
-def repeats(docs: DataFrame, most_places: int = MOST_PLACES) -> DataFrame:
+def repeats(docs: DataFrame, most_places: int = MOST_PLACES, seed: int | None = None) -> DataFrame:
     """Runs of repeated words: row (row_key of doc_id and text), doc_id, start, end, later (not the first place). Runs may overlap."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("row", row_key("doc_id", "text"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), row_key(row_seed(docs) if seed is None else seed).alias("row"))
     anchors = stored(texts.select("row", "text").mapInArrow(_anchors, "prefix long, row long, at long"), "suffix-anchors")
     shared = anchors.groupBy("prefix").agg(F.count("*").alias("n")).where("n > 1").select("prefix", F.ceil(F.col("n") / most_places).cast("int").alias("salts"))
     hits = anchors.join(shared, "prefix").groupBy("row").agg(F.collect_set(F.struct("at", "prefix", "salts")).alias("hits"))
@@ -174,9 +220,9 @@ def _spans(runs: DataFrame) -> DataFrame:
     return joined.groupBy("row").agg(F.min("doc_id").alias("doc_id"), F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
 
 
-def repeated_passages(docs: DataFrame) -> DataFrame:
+def repeated_passages(docs: DataFrame, seed: int | None = None) -> DataFrame:
     """For each document with repeated passages: row, doc_id, spans of all their words and later_spans of those whose first place is elsewhere."""
-    runs = stored(repeats(docs), "suffix-runs")
+    runs = stored(repeats(docs, seed=seed), "suffix-runs")
     all_ = _spans(runs.select("row", "doc_id", "start", "end"))
     later = _spans(runs.where("later").select("row", "doc_id", "start", "end")).select("row", F.col("spans").alias("later_spans"))
     return all_.join(later, "row", "left").select("row", "doc_id", "spans", F.coalesce("later_spans", F.array().cast("array<struct<start:bigint,end:bigint>>")).alias("later_spans"))
@@ -203,7 +249,8 @@ def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def without_copies(docs: DataFrame) -> DataFrame:
     """`doc` (all columns of docs) and `text`: what is left when later copies of repeated passages are cut out."""
-    found = repeated_passages(docs).select(F.col("row").alias("found_row"), "later_spans")
-    packed = docs.select(F.struct("*").alias("doc"), F.col("text").cast("string").alias("text"), F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")).alias("row"))
+    seed = row_seed(docs)
+    found = repeated_passages(docs, seed).select(F.col("row").alias("found_row"), "later_spans")
+    packed = docs.select(F.struct("*").alias("doc"), F.col("text").cast("string").alias("text"), row_key(seed).alias("row"))
     joined = packed.join(found, F.col("row") == F.col("found_row"), "left").select("doc", "text", "later_spans")
-    return joined.mapInArrow(_without, f"doc {joined.schema['doc'].dataType.simpleString()}, text string")
+    return joined.mapInArrow(_without, packed_schema(joined.schema["doc"], "text string"))
