@@ -11,10 +11,15 @@ shingles; if only one side is short the other side's pieces suffice, and if both
 Any order of the pieces will do if all sets keep it, so shingles that very many documents share get pieces of their own, which
 come last: a document that is not mostly made of them is never looked up by them.
 
-Equal keys only suggest pairs. The few sets of a small key are paired. A key of more sets links each to its least one, so the
-components of those links hold all its pairs; inside them blocks of bounded size are compared where sizes fit. Either way parity
-sketches of one to two bits a shingle are compared first, and pairs whose Hamming distance is above (a + b) / 7 are out. In the
-components of what is left the sets themselves are compared, in blocks again. Nothing is sampled or capped.
+Equal keys only suggest pairs, and what is asked for is which documents hang together, so pairs are tried in three rounds and only
+between documents that no earlier round has joined:
+1. Each key of many sets has a leader, the member that meets most others in all its keys; every member is tried with it.
+2. The few sets of a small key are paired. In a large key that round 1 left in pieces, each member outside the leader's piece is
+   set against all the others by its bit sketch and tried with the nearest one.
+3. In large keys that are still in pieces such members are tried with all others that their sketches allow.
+A large group of near copies is therefore done after one pass over its rows; only members that its leader does not reach meet all
+others, by sketch, in blocks of bounded size. Sketches have two to four bits a shingle, and pairs whose Hamming distance is above
+(a + b) / 7 are out; the rest is verified on the sets themselves. Nothing is sampled or capped.
 
 Rows in: `doc_id`, `text`. Null and blank texts have an empty set, link with nothing and are their own component. Fewer than five
 words count as one shingle. Rows with equal sets stand as one class, so copies are not paired. Null doc_ids are never a
@@ -23,6 +28,7 @@ component's name unless nobody else is in it. Other columns are not carried; an
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,20 +37,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import SPACE, Words, as_bytes, components, gram_hashes, mix, row_key, steps, stored
+from .common import SPACE, Words, as_bytes, components, dropped, gram_hashes, mix, row_key, row_seed, steps, stored
 
 SHINGLE = 5
-#: Two blocks of at most so many sets, or so many shingles, are compared in one task.
-BLOCK_SETS, BLOCK_SHINGLES = 256, 400_000
-#: A little over 4 / 3, the largest ratio of sizes that can reach 75 of 100.
-BAND_RATIO = 1.35
+#: Sketches of at most so many sets, or of so many shingles, are set against each other in one task.
+BLOCK_SETS, BLOCK_SHINGLES = 4096, 16_000_000
+#: Partners, and shingles of partners, that one set is verified against in one task.
+PARTNERS, PARTNER_SHINGLES = 256, 4_000_000
 #: Shingles in more than this share of all documents have pieces of their own. There are at most (mean set size) / share of them.
 HOT_SHARE = 0.001
 #: A key with so many rows or fewer pairs its sets directly.
 SMALL_KEY = 8
 #: A batch of documents reports shingles that so many of its documents hold.
 HOT_IN_BATCH = 3
-_COLUMNS = 4096
 
 
 def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
@@ -64,10 +69,10 @@ def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
     return out
 
 
-def set_name(found: np.ndarray) -> int:
+def set_name(found: np.ndarray, seed: int = 0) -> int:
     """A 64-bit name of a set."""
     with np.errstate(over="ignore"):
-        return int(mix(np.array([mix(found).sum() + np.uint64(len(found))], np.uint64)).view(np.int64)[0])
+        return int(mix(np.array([mix(found + np.uint64(seed)).sum() + np.uint64(len(found))], np.uint64)).view(np.int64)[0])
 
 
 def _need(smaller: int, larger: int) -> int:
@@ -101,12 +106,15 @@ def keys(found: np.ndarray, hot: np.ndarray) -> np.ndarray:
     return np.concatenate(out)
 
 
-def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in steps(batches, "text"):
-        sets = shingle_sets(as_bytes(batch.column("text")))
-        names = [set_name(s) if len(s) else None for s in sets]
-        columns = [batch.column("doc_id"), batch.column("row"), pa.array([len(s) for s in sets], pa.int64()), pa.array(names, pa.int64()), pa.array([sketch(s).tobytes() for s in sets], pa.binary())]
-        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "row", "n_shingles", "class", "sketch"])
+def _classer(seed: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in steps(batches, "text"):
+            sets = shingle_sets(as_bytes(batch.column("text")))
+            names, others = ([set_name(s, x) if len(s) else None for s in sets] for x in (seed, ~seed & 0xFFFFFFFF))
+            columns = [batch.column("doc_id"), batch.column("row"), pa.array([len(s) for s in sets], pa.int64()), pa.array(names, pa.int64()), pa.array(others, pa.int64()), pa.array([sketch(s).tobytes() for s in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "row", "n_shingles", "class", "other", "sketch"])
+
+    return run
 
 
 def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,10 +133,10 @@ def hot_shingles(texts: DataFrame) -> np.ndarray:
     return np.sort(np.array([r[0] for r in chosen.toLocalIterator()], np.int64).view(np.uint64))
 
 
-def _keyer(hot):
+def _keyer(hot, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches, "text"):
-            sets = {set_name(s): s for s in shingle_sets(as_bytes(batch.column("text"))) if len(s)}
+            sets = {set_name(s, seed): s for s in shingle_sets(as_bytes(batch.column("text"))) if len(s)}
             if sets:
                 found = [keys(s, hot.value) for s in sets.values()]
                 names = np.repeat(np.fromiter(sets, np.int64, len(sets)), [len(k) for k in found])
@@ -138,8 +146,8 @@ def _keyer(hot):
 
 
 def sketch(found: np.ndarray) -> np.ndarray:
-    """Parity bit sketch: each shingle flips one of 2^k bits, one to two bits a shingle. Its halves fold into the next smaller one by XOR."""
-    k = max(6, (len(found) - 1).bit_length() if len(found) else 0)
+    """Parity bit sketch: each shingle flips one of 2^k bits, two to four bits a shingle. Its halves fold into the next smaller one by XOR."""
+    k = max(6, (len(found) - 1).bit_length() + 1 if len(found) else 0)
     flips = np.bincount((mix(found ^ np.uint64(0xA5A5A5A5)) & np.uint64((1 << k) - 1)).astype(np.int64), minlength=1 << k)
     return np.packbits((flips & 1).astype(np.uint8)).view(np.uint64)
 
@@ -160,120 +168,144 @@ def _near_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(near))
 
 
-def _forest(names: np.ndarray, near: np.ndarray) -> pa.Table:
-    """Links (a symmetric matrix) thinned to a forest with the same components."""
-    np.fill_diagonal(near, True)
-    label = np.arange(len(names))
-    while True:
-        least = np.where(near, label[None, :], len(names)).min(axis=1)
-        least = least[np.minimum(least, label)]
-        if (least == label).all():
-            break
-        label = least
-    moved = label != np.arange(len(names))
-    return pa.table({"a": pa.array(names[label[moved]], pa.int64()), "b": pa.array(names[moved], pa.int64())})
-
-
-def _sketches_meet(key: tuple, rows: pa.Table) -> pa.Table:
-    """Pairs of one block or pair of blocks that the sketches do not rule out, as a forest."""
-    sizes = rows.column("n").to_numpy()
-    bits = [np.frombuffer(x, np.uint64) for x in rows.column("sketch").to_pylist()]
-    words = min(map(len, bits))
-    table = np.array([folded(x, words) for x in bits])
-    near = np.zeros((len(bits), len(bits)), bool)
-    for i in range(0, len(bits), 32):
-        far = np.bitwise_count(table[i : i + 32, None, :] ^ table[None, :, :]).sum(axis=2, dtype=np.int64)
-        a, b = sizes[i : i + 32, None], sizes[None, :]
-        near[i : i + 32] = (7 * far <= a + b) & (4 * np.minimum(a, b) >= 3 * np.maximum(a, b))
-    return _forest(rows.column("class").to_numpy(), near)
+def _meeter(nearest: bool):
+    """In one task of a large key: partners of another piece that sketches allow each member outside the leader's piece; the nearest one or all."""
+
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        names, labels, sizes, asks = (rows.column(c).to_numpy() for c in ("class", "label", "n", "asks"))
+        bits = [np.frombuffer(x, np.uint64) for x in rows.column("sketch").to_pylist()]
+        words = min(map(len, bits))
+        table = np.array([folded(x, words) for x in bits])
+        asking, others = np.flatnonzero(asks), np.flatnonzero(~asks)
+        ones, twos = [], []
+        chunk = max(1, 4_000_000 // max(1, len(others) * words))
+        for i in range(0, len(asking), chunk):
+            mine = asking[i : i + chunk]
+            far = 7 * np.bitwise_count(table[mine, None, :] ^ table[None, others, :]).sum(axis=2, dtype=np.int64)
+            a, b = sizes[mine, None], sizes[None, others]
+            near = (far <= a + b) & (4 * np.minimum(a, b) >= 3 * np.maximum(a, b)) & (labels[mine, None] != labels[None, others])
+            if nearest:
+                best = np.where(near, far / (a + b), 2.0).argmin(axis=1) if len(others) else np.empty(0, np.int64)
+                found = np.flatnonzero(near[np.arange(len(best)), best])
+                ones.append(others[best[found]])
+                twos.append(mine[found])
+            else:
+                x, y = np.nonzero(near)
+                ones.append(others[y])
+                twos.append(mine[x])
+        a, b = (names[np.concatenate(x).astype(np.int64)] if x else names[:0] for x in (ones, twos))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return run
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in steps(batches, "text"):
         sets = [s.tobytes() for s in shingle_sets(as_bytes(batch.column("text")))]
-        yield pa.RecordBatch.from_arrays([batch.column("class"), batch.column("tasks"), pa.array(sets, pa.binary())], ["class", "tasks", "shingles"])
-
-
-def overlaps(sets: list[np.ndarray]) -> np.ndarray:
-    """Sizes of all intersections, by products of incidence matrices over the shared shingles."""
-    sizes = np.array([len(s) for s in sets])
-    flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
-    order = np.argsort(flat, kind="stable")
-    flat, owner = flat[order], owner[order]
-    new = np.concatenate([[True], flat[1:] != flat[:-1]])
-    number = np.cumsum(new) - 1
-    shared = np.bincount(number)[number] > 1
-    number, owner = np.cumsum(new[shared]) - 1, owner[shared]
-    out = np.zeros((len(sets), len(sets)), np.float32)
-    for low in range(0, int(number[-1]) + 1 if len(number) else 0, _COLUMNS):
-        a, b = np.searchsorted(number, (low, low + _COLUMNS))
-        part = np.zeros((len(sets), _COLUMNS), np.float32)
-        part[owner[a:b], number[a:b] - low] = 1
-        out += part @ part.T
-    return out
+        yield pa.RecordBatch.from_arrays([batch.column("class"), batch.column("asked"), pa.array(sets, pa.binary())], ["class", "asked", "shingles"])
 
 
 def _linked(key: tuple, rows: pa.Table) -> pa.Table:
-    """Links of one block or pair of blocks, thinned to a forest with the same components."""
-    sets = [np.frombuffer(x, np.uint64) for x in rows.column("shingles").to_pylist()]
-    sizes = np.array([len(s) for s in sets])
-    both = overlaps(sets)
-    return _forest(rows.column("class").to_numpy(), 100 * both >= 75 * (sizes[:, None] + sizes[None, :] - both))
-
-
-def _tasks(members: DataFrame) -> DataFrame:
-    """(class, tasks): the comparisons that each candidate takes part in. members: class, label, n."""
-    by = ["label", "band"]
-    whole = members.groupBy("label").agg(F.count("*").alias("sets"), F.sum("n").alias("shingles"))
-    whole = whole.withColumn("small", (F.col("sets") <= BLOCK_SETS) & (F.col("shingles") <= BLOCK_SHINGLES))
-    joined = members.join(whole.select("label", "small"), "label")
-    small = joined.where("small").select("class", F.array(F.col("label")).alias("tasks"))
-
-    banded = stored(joined.where("not small").withColumn("band", F.floor(F.log("n") / F.log(F.lit(BAND_RATIO)))), "jaccard-banded")
-    counts = banded.groupBy(by).agg(F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("blocks"))
-    blocks = counts.select(*by, F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
-    left, right = (blocks.select("label", F.struct("band", "block").alias(side)) for side in ("x", "y"))
-    fits = ((F.col("x.band") == F.col("y.band")) & (F.col("x.block") <= F.col("y.block"))) | (F.col("x.band") + 1 == F.col("y.band"))
-    pairs = left.join(right, "label").where(fits).withColumn("task", F.xxhash64("label", "x", "y"))
-    ends = pairs.select("label", "x.*", "task").union(pairs.select("label", "y.*", "task")).distinct()
-    placed = banded.join(counts, by).withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")))
-    return small.union(placed.join(ends, ["label", "band", "block"]).groupBy("class").agg(F.collect_list("task").alias("tasks")))
+    """Those of a task's sets that overlap enough with the set of the row that owns the task."""
+    owns = rows.column("owns").to_pylist()
+    names, sets = rows.column("class").to_pylist(), [np.frombuffer(x, np.uint64) for x in rows.column("shingles").to_pylist()]
+    one = sets[owns.index(True)]
+    out = []
+    for name, two, own in zip(names, sets, owns, strict=True):
+        if not own:
+            small, large = (one, two) if len(one) < len(two) else (two, one)
+            both = int((large[np.minimum(np.searchsorted(large, small), len(large) - 1)] == small).sum())
+            if 100 * both >= 75 * (len(one) + len(two) - both):
+                out.append(name)
+    return pa.table({"a": pa.array([key[0].as_py()] * len(out), pa.int64()), "b": pa.array(out, pa.int64())})
+
+
+def verified(texts: DataFrame, holders: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Those of the distinct pairs (a, b) of classes that link. A set with many partners is brought to several tasks, each of bounded size."""
+    sized = pairs.join(holders.select(F.col("class").alias("b"), "n"), "b")
+    tasks = sized.groupBy("a").agg(F.greatest(F.ceil(F.count("*") / PARTNERS), F.ceil(F.sum("n") / PARTNER_SHINGLES)).alias("tasks"))
+    placed = pairs.join(tasks, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("tasks")).alias("task"))
+    asked = placed.select(F.col("b").alias("class"), F.struct("a", "task", F.lit(False).alias("owns")).alias("ask"))
+    owners = placed.select(F.col("a").alias("class"), F.struct("a", "task", F.lit(True).alias("owns")).alias("ask")).distinct()
+    wanted = asked.union(owners).groupBy("class").agg(F.collect_list("ask").alias("asked")).join(holders.select("class", "row"), "class")
+    held = texts.join(wanted, "row").dropDuplicates(["row"]).select("class", "asked", "text")
+    packed = held.mapInArrow(_packed, "class long, asked array<struct<a:bigint,task:bigint,owns:boolean>>, shingles binary")
+    return packed.select("class", F.explode("asked").alias("ask"), "shingles").select("class", "ask.*", "shingles").groupBy("a", "task").applyInArrow(_linked, "a long, b long")
+
+
+def _near(pairs: DataFrame, sides: DataFrame) -> DataFrame:
+    """Pairs (a, b) of classes of different pieces that sizes and sketches allow; sides: class, label, n, sketch."""
+    side = lambda c: sides.select(F.col("class").alias(c), *(F.col(x).alias(f"{x}_{c}") for x in ("label", "n", "sketch")))
+    sized = pairs.join(side("a"), "a").join(side("b"), "b").where("label_a != label_b and 4 * least(n_a, n_b) >= 3 * greatest(n_a, n_b)")
+    return sized.mapInArrow(_near_pairs, "a long, b long")
+
+
+def _across(large: DataFrame, leaders: DataFrame, sides: DataFrame, nearest: bool) -> DataFrame:
+    """Pairs of large keys that are in pieces. large: key, class; leaders: key, leader.
+
+    Members outside the leader's piece ask, all members answer. Both are dealt into blocks, and each block of
+    asking members meets each block of all members in one task.
+    """
+    named = large.select("key", "class").join(sides.select("class", "label", "n"), "class").join(leaders.join(sides.select(F.col("class").alias("leader"), F.col("label").alias("lead")), "leader").select("key", "lead"), "key")
+    named = named.withColumn("asks", F.col("label") != F.col("lead"))
+    blocks = lambda which: F.greatest(F.ceil(F.count(F.when(which, 1)) / BLOCK_SETS), F.ceil(F.coalesce(F.sum(F.when(which, F.col("n"))), F.lit(0)) / BLOCK_SHINGLES))
+    open_ = stored(named.groupBy("key").agg(blocks(F.col("asks")).alias("asking"), blocks(F.lit(True)).alias("all")).where("asking > 0"), "jaccard-open")
+    members = named.select("key", "class", "asks").join(open_, "key").withColumn("own", F.xxhash64("class"))
+    upto = lambda c: F.sequence(F.lit(0).cast("long"), F.col(c) - 1)
+    answers = members.select("key", "class", F.lit(False).alias("asks"), F.explode(upto("asking")).alias("x"), F.pmod("own", "all").alias("y"))
+    asks = members.where("asks").select("key", "class", "asks", F.pmod("own", "asking").alias("x"), F.explode(upto("all")).alias("y"))
+    dealt = answers.union(asks).join(sides, "class")
+    return dealt.groupBy("key", "x", "y").applyInArrow(_meeter(nearest), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """row (row_key of doc_id and text), doc_id, n_shingles, component_id and group (null for empty sets) of every row."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("row", row_key("doc_id", "text"))
-    rows = stored(texts.mapInArrow(_classes, "doc_id long, row long, n_shingles long, class long, sketch binary"), "jaccard-classes")
-    held = rows.where("class is not null").groupBy("class").agg(F.min("row").alias("row"), F.min("n_shingles").alias("n"), F.min("sketch").alias("sketch"))
-    holders = stored(held, "jaccard-holders")
+    seed = row_seed(docs)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), row_key(seed).alias("row"))
+    for naming in itertools.count():
+        rows = stored(texts.mapInArrow(_classer(naming), "doc_id long, row long, n_shingles long, class long, other long, sketch binary"), "jaccard-classes")
+        held = rows.where("class is not null").groupBy("class").agg(F.min("row").alias("row"), F.min("n_shingles").alias("n"), F.min("sketch").alias("sketch"), F.min("doc_id").alias("least_id"), (F.min("other") != F.max("other")).alias("mixed"))
+        holders = stored(held, "jaccard-holders")
+        if holders.where("mixed").isEmpty():
+            break  # no name stands for two sets
 
     hot = docs.sparkSession.sparkContext.broadcast(hot_shingles(texts))
-    keyed = texts.select("text").mapInArrow(_keyer(hot), "key long, class long")
-    whole, ordered = Window.partitionBy("key"), Window.partitionBy("key").orderBy("class")
-    counted = keyed.withColumn("n", F.count("*").over(whole)).withColumn("least", F.first("class").over(ordered)).where("n > 1")
-    shared = stored(counted.select("key", "class", "n", "least").where(f"n <= {SMALL_KEY} or least != class"), "jaccard-shared")
-    large = shared.where(f"n > {SMALL_KEY}").select(F.col("least").alias("a"), F.col("class").alias("b")).distinct()
+    keyed = texts.select("text").mapInArrow(_keyer(hot, naming), "key long, class long")
+    counted = keyed.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1")
+    shared = stored(counted, "jaccard-shared")
+    large = shared.where(f"n > {SMALL_KEY}").select("key", "class", "n").distinct()
+
+    met = large.groupBy("class").agg(F.sum("n").alias("met"))
+    leaders = stored(large.join(met, "class").groupBy("key").agg(F.max(F.struct("met", "class"))["class"].alias("leader")), "jaccard-leaders")
+    sides = holders.select("class", F.col("class").alias("label"), "n", "sketch")
+    led = large.join(leaders, "key").select(F.col("leader").alias("a"), F.col("class").alias("b")).where("a != b").distinct()
+    links = verified(texts, holders, stored(_near(led, sides), "jaccard-led"))
+    labels = _joined(holders.select("class", F.col("class").alias("label")), links)
 
     few = shared.where(f"n <= {SMALL_KEY}").groupBy("key").agg(F.sort_array(F.collect_set("class")).alias("set")).where(F.size("set") > 1).select("set").distinct()
     upper = few.select("set", F.posexplode("set").alias("i", "a"))
     pairs = upper.select("a", F.explode(F.slice("set", F.col("i") + 2, F.size("set"))).alias("b")).distinct()
-    side = lambda c: holders.select(F.col("class").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"sketch_{c}"))
-    sized = pairs.join(side("a"), "a").join(side("b"), "b").where("4 * least(n_a, n_b) >= 3 * greatest(n_a, n_b)")
-    near = sized.mapInArrow(_near_pairs, "a long, b long")
-
-    groups = components(large, "jaccard-sketches").select(F.col("v").alias("class"), "label")
-    members = stored(groups.join(holders, "class"), "jaccard-sketch-members")
-    dealt = members.join(_tasks(members.select("class", "label", "n")), "class").select(F.explode("tasks").alias("task"), "class", "n", "sketch")
-    links = stored(near.union(dealt.groupBy("task").applyInArrow(_sketches_meet, "a long, b long")), "jaccard-sketch-links")
-
-    groups = components(links, "jaccard-sets").select(F.col("v").alias("class"), "label")
-    members = stored(groups.join(holders.drop("sketch"), "class"), "jaccard-set-members")
-    wanted = members.select("class", "row").join(_tasks(members.select("class", "label", "n")), "class")
-    packed = texts.join(wanted, "row").select("class", "tasks", "text").mapInArrow(_packed, "class long, tasks array<bigint>, shingles binary")
-    dealt = packed.select(F.explode("tasks").alias("task"), "class", "shingles")
-    links = stored(dealt.groupBy("task").applyInArrow(_linked, "a long, b long"), "jaccard-set-links")
-    linked = components(links, "jaccard-components").select(F.col("v").alias("class"), "label")
-
-    grouped = rows.join(linked, "class", "left").withColumn("group", F.coalesce("label", "class"))
-    named = grouped.where("group is not null").groupBy("group").agg(F.min("doc_id").alias("least_id"))
-    return grouped.join(named, "group", "left").select("row", "doc_id", "n_shingles", F.when(F.col("group").isNull(), F.col("doc_id")).otherwise(F.col("least_id")).alias("component_id"), "group")
+    sides = holders.drop("row", "least_id", "mixed").join(labels, "class")
+    tried = stored(_near(pairs, sides).union(_across(large, leaders, sides, True)).distinct(), "jaccard-tried")
+    labels = _joined(labels, verified(texts, holders, tried))
+
+    sides = holders.drop("row", "least_id", "mixed").join(labels, "class")
+    left = stored(_across(large, leaders, sides, False).join(tried, ["a", "b"], "left_anti"), "jaccard-left")
+    if not left.isEmpty():
+        labels = _joined(labels, verified(texts, holders, left))
+    dropped(shared)
+
+    named = stored(labels.join(holders.select("class", "least_id"), "class").groupBy("label").agg(F.min("least_id").alias("least_id")), "jaccard-named")
+    classes = stored(labels.join(named, "label").select("class", F.col("label").alias("group"), "least_id"), "jaccard-groups")
+    grouped = rows.select("row", "doc_id", "n_shingles", "class").join(classes, "class", "left")
+    return grouped.select("row", "doc_id", "n_shingles", F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("least_id")).alias("component_id"), "group")
+
+
+def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels (class, label) after links (a, b) between classes."""
+    end = lambda c: labels.select(F.col("class").alias(c), F.col("label").alias(f"label_{c}"))
+    between = stored(links.join(end("a"), "a").join(end("b"), "b").where("label_a != label_b").select(F.col("label_a").alias("a"), F.col("label_b").alias("b")).distinct(), "jaccard-links")
+    if between.isEmpty():
+        return labels
+    merged = components(between, "jaccard").select(F.col("v").alias("label"), F.col("label").alias("to"))
+    return stored(labels.join(merged, "label", "left").select("class", F.coalesce("to", "label").alias("label")), "jaccard-labels")
