@@ -16,7 +16,8 @@ between documents that no earlier round has joined:
 1. Each key of many sets has a leader, the member that meets most others in all its keys; every member is tried with it.
 2. The few sets of a small key are paired. In a large key that round 1 left in pieces, each member outside the leader's piece is
    set against all the others by its bit sketch and tried with the nearest one.
-3. In large keys that are still in pieces such members are tried with all others that their sketches allow.
+3. A member for which round 2 found more than one near sketch in a key, and that is still outside, is compared there with all
+   members of other pieces: sketches first, then the sets themselves, in the same blocks.
 A large group of near copies is therefore done after one pass over its rows; only members that its leader does not reach meet all
 others, by sketch, in blocks of bounded size. Sketches have two to four bits a shingle, and pairs whose Hamming distance is above
 (a + b) / 7 are out; the rest is verified on the sets themselves. Nothing is sampled or capped.
@@ -168,35 +169,56 @@ def _near_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(near))
 
 
-def _meeter(nearest: bool):
-    """In one task of a large key: partners of another piece that sketches allow each member outside the leader's piece; the nearest one or all."""
-
-    def run(key: tuple, rows: pa.Table) -> pa.Table:
-        names, labels, sizes, asks = (rows.column(c).to_numpy() for c in ("class", "label", "n", "asks"))
-        bits = [np.frombuffer(x, np.uint64) for x in rows.column("sketch").to_pylist()]
-        words = min(map(len, bits))
-        table = np.array([folded(x, words) for x in bits])
-        asking, others = np.flatnonzero(asks), np.flatnonzero(~asks)
-        ones, twos = [], []
-        chunk = max(1, 4_000_000 // max(1, len(others) * words))
-        for i in range(0, len(asking), chunk):
-            mine = asking[i : i + chunk]
-            far = 7 * np.bitwise_count(table[mine, None, :] ^ table[None, others, :]).sum(axis=2, dtype=np.int64)
-            a, b = sizes[mine, None], sizes[None, others]
-            near = (far <= a + b) & (4 * np.minimum(a, b) >= 3 * np.maximum(a, b)) & (labels[mine, None] != labels[None, others])
-            if nearest:
-                best = np.where(near, far / (a + b), 2.0).argmin(axis=1) if len(others) else np.empty(0, np.int64)
-                found = np.flatnonzero(near[np.arange(len(best)), best])
-                ones.append(others[best[found]])
-                twos.append(mine[found])
-            else:
-                x, y = np.nonzero(near)
-                ones.append(others[y])
-                twos.append(mine[x])
-        a, b = (names[np.concatenate(x).astype(np.int64)] if x else names[:0] for x in (ones, twos))
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-    return run
+def _sketch_hits(rows: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Asking members of a task (places), the others, which of those sizes, pieces and sketches allow, and how far they are (times 7, over both sizes)."""
+    labels, sizes, asks = (rows.column(c).to_numpy() for c in ("label", "n", "asks"))
+    bits = [np.frombuffer(x, np.uint64) for x in rows.column("sketch").to_pylist()]
+    words = min(map(len, bits))
+    table = np.array([folded(x, words) for x in bits])
+    asking, others = np.flatnonzero(asks), np.flatnonzero(~asks)
+    chunk = max(1, 4_000_000 // max(1, len(others) * words))
+    for i in range(0, len(asking) if len(others) else 0, chunk):
+        mine = asking[i : i + chunk]
+        far = 7 * np.bitwise_count(table[mine, None, :] ^ table[None, others, :]).sum(axis=2, dtype=np.int64)
+        a, b = sizes[mine, None], sizes[None, others]
+        near = (far <= a + b) & (4 * np.minimum(a, b) >= 3 * np.maximum(a, b)) & (labels[mine, None] != labels[None, others])
+        yield mine, others, near, far / (a + b)
+
+
+def _nearest(key: tuple, rows: pa.Table) -> pa.Table:
+    """For each asking member of one task of a large key the nearest other, and whether there are more."""
+    names = rows.column("class").to_numpy()
+    ones, twos, more = [names[:0]], [names[:0]], [np.empty(0, bool)]
+    for mine, others, near, far in _sketch_hits(rows):
+        n = near.sum(axis=1)
+        found = np.flatnonzero(n)
+        best = np.where(near, far, 2.0).argmin(axis=1)[found]
+        ones.append(names[others[best]])
+        twos.append(names[mine[found]])
+        more.append(n[found] > 1)
+    a, b, more = map(np.concatenate, (ones, twos, more))
+    return pa.table({"key": pa.array([key[0].as_py()] * len(a), pa.int64()), "a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "more": pa.array(more)})
+
+
+def _all_links(key: tuple, rows: pa.Table) -> pa.Table:
+    """Links of the asking members of one task of a large key, one into each other piece: by their sets where sketches allow."""
+    names, labels = rows.column("class").to_numpy(), rows.column("label").to_numpy()
+    sets = [np.frombuffer(x, np.uint64) for x in rows.column("shingles").to_pylist()]
+    links = []
+    for mine, others, near, _ in _sketch_hits(rows):
+        for i, j in zip(*(x.tolist() for x in np.nonzero(near)), strict=True):
+            x, y = int(mine[i]), int(others[j])
+            if near[i, j] and overlap_enough(sets[x], sets[y]):
+                links.append((int(names[y]), int(names[x])))
+                near[i, labels[others] == labels[y]] = False
+    columns = list(zip(*links, strict=True)) if links else [[], []]
+    return pa.table({"a": pa.array(columns[0], pa.int64()), "b": pa.array(columns[1], pa.int64())})
+
+
+def overlap_enough(one: np.ndarray, two: np.ndarray) -> bool:
+    small, large = (one, two) if len(one) < len(two) else (two, one)
+    both = int((large[np.minimum(np.searchsorted(large, small), len(large) - 1)] == small).sum())
+    return 100 * both >= 75 * (len(one) + len(two) - both)
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,16 +232,14 @@ def _linked(key: tuple, rows: pa.Table) -> pa.Table:
     owns = rows.column("owns").to_pylist()
     names, sets = rows.column("class").to_pylist(), [np.frombuffer(x, np.uint64) for x in rows.column("shingles").to_pylist()]
     one = sets[owns.index(True)]
-    out = []
-    for name, two, own in zip(names, sets, owns, strict=True):
-        if not own:
-            small, large = (one, two) if len(one) < len(two) else (two, one)
-            both = int((large[np.minimum(np.searchsorted(large, small), len(large) - 1)] == small).sum())
-            if 100 * both >= 75 * (len(one) + len(two) - both):
-                out.append(name)
+    out = [name for name, two, own in zip(names, sets, owns, strict=True) if not own and overlap_enough(one, two)]
     return pa.table({"a": pa.array([key[0].as_py()] * len(out), pa.int64()), "b": pa.array(out, pa.int64())})
 
 
+_ASKED = "array<struct<a:bigint,task:bigint,owns:boolean>>"
+_PACKED = f"class long, asked {_ASKED}, shingles binary"
+
+
 def verified(texts: DataFrame, holders: DataFrame, pairs: DataFrame) -> DataFrame:
     """Those of the distinct pairs (a, b) of classes that link. A set with many partners is brought to several tasks, each of bounded size."""
     sized = pairs.join(holders.select(F.col("class").alias("b"), "n"), "b")
@@ -229,7 +249,7 @@ def verified(texts: DataFrame, holders: DataFrame, pairs: DataFrame) -> DataFram
     owners = placed.select(F.col("a").alias("class"), F.struct("a", "task", F.lit(True).alias("owns")).alias("ask")).distinct()
     wanted = asked.union(owners).groupBy("class").agg(F.collect_list("ask").alias("asked")).join(holders.select("class", "row"), "class")
     held = texts.join(wanted, "row").dropDuplicates(["row"]).select("class", "asked", "text")
-    packed = held.mapInArrow(_packed, "class long, asked array<struct<a:bigint,task:bigint,owns:boolean>>, shingles binary")
+    packed = held.mapInArrow(_packed, _PACKED)
     return packed.select("class", F.explode("asked").alias("ask"), "shingles").select("class", "ask.*", "shingles").groupBy("a", "task").applyInArrow(_linked, "a long, b long")
 
 
@@ -240,27 +260,28 @@ def _near(pairs: DataFrame, sides: DataFrame) -> DataFrame:
     return sized.mapInArrow(_near_pairs, "a long, b long")
 
 
-def _across(large: DataFrame, leaders: DataFrame, sides: DataFrame, nearest: bool) -> DataFrame:
-    """Pairs of large keys that are in pieces. large: key, class; leaders: key, leader.
+def _dealt(large: DataFrame, leaders: DataFrame, sides: DataFrame, asking: DataFrame | None = None) -> DataFrame:
+    """Members of large keys that are in pieces: key, x, y (the task), class, asks. large: key, class; leaders: key, leader.
 
-    Members outside the leader's piece ask, all members answer. Both are dealt into blocks, and each block of
-    asking members meets each block of all members in one task.
+    Members outside the leader's piece ask (only those in `asking`, if given), all members answer. Both are dealt into
+    blocks, and each block of asking members meets each block of all members in one task.
     """
     named = large.select("key", "class").join(sides.select("class", "label", "n"), "class").join(leaders.join(sides.select(F.col("class").alias("leader"), F.col("label").alias("lead")), "leader").select("key", "lead"), "key")
     named = named.withColumn("asks", F.col("label") != F.col("lead"))
+    if asking is not None:
+        named = named.join(asking.select("key").distinct(), "key", "left_semi").join(asking.withColumn("asked", F.lit(True)), ["key", "class"], "left").withColumn("asks", F.col("asks") & F.coalesce("asked", F.lit(False)))
     blocks = lambda which: F.greatest(F.ceil(F.count(F.when(which, 1)) / BLOCK_SETS), F.ceil(F.coalesce(F.sum(F.when(which, F.col("n"))), F.lit(0)) / BLOCK_SHINGLES))
     open_ = stored(named.groupBy("key").agg(blocks(F.col("asks")).alias("asking"), blocks(F.lit(True)).alias("all")).where("asking > 0"), "jaccard-open")
     members = named.select("key", "class", "asks").join(open_, "key").withColumn("own", F.xxhash64("class"))
     upto = lambda c: F.sequence(F.lit(0).cast("long"), F.col(c) - 1)
     answers = members.select("key", "class", F.lit(False).alias("asks"), F.explode(upto("asking")).alias("x"), F.pmod("own", "all").alias("y"))
     asks = members.where("asks").select("key", "class", "asks", F.pmod("own", "asking").alias("x"), F.explode(upto("all")).alias("y"))
-    dealt = answers.union(asks).join(sides, "class")
-    return dealt.groupBy("key", "x", "y").applyInArrow(_meeter(nearest), "a long, b long").distinct()
+    return answers.union(asks)
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """row (row_key of doc_id and text), doc_id, n_shingles, component_id and group (null for empty sets) of every row."""
-    seed = row_seed(docs)
+def near_duplicates(docs: DataFrame, seed: int | None = None) -> DataFrame:
+    """row (row_key of doc_id and text under the seed, or one that row_seed() finds), doc_id, n_shingles, component_id and group (null for empty sets) of every row."""
+    seed = row_seed(docs) if seed is None else seed
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), row_key(seed).alias("row"))
     for naming in itertools.count():
         rows = stored(texts.mapInArrow(_classer(naming), "doc_id long, row long, n_shingles long, class long, other long, sketch binary"), "jaccard-classes")
@@ -286,13 +307,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     upper = few.select("set", F.posexplode("set").alias("i", "a"))
     pairs = upper.select("a", F.explode(F.slice("set", F.col("i") + 2, F.size("set"))).alias("b")).distinct()
     sides = holders.drop("row", "least_id", "mixed").join(labels, "class")
-    tried = stored(_near(pairs, sides).union(_across(large, leaders, sides, True)).distinct(), "jaccard-tried")
+    nearest = _dealt(large, leaders, sides).join(sides, "class").groupBy("key", "x", "y").applyInArrow(_nearest, "key long, a long, b long, more boolean")
+    nearest = stored(nearest, "jaccard-nearest")
+    tried = stored(_near(pairs, sides).union(nearest.select("a", "b")).distinct(), "jaccard-tried")
     labels = _joined(labels, verified(texts, holders, tried))
 
     sides = holders.drop("row", "least_id", "mixed").join(labels, "class")
-    left = stored(_across(large, leaders, sides, False).join(tried, ["a", "b"], "left_anti"), "jaccard-left")
-    if not left.isEmpty():
-        labels = _joined(labels, verified(texts, holders, left))
+    dealt = stored(_dealt(large, leaders, sides, nearest.where("more").select("key", F.col("b").alias("class")).distinct()), "jaccard-left")
+    if not dealt.isEmpty():
+        wanted = holders.join(dealt.select("class").distinct(), "class", "left_semi").select("row", "class", F.array().cast(_ASKED).alias("asked"))
+        packed = texts.join(wanted, "row").dropDuplicates(["row"]).select("class", "asked", "text").mapInArrow(_packed, _PACKED).select("class", "shingles")
+        links = dealt.join(sides, "class").join(packed, "class").groupBy("key", "x", "y").applyInArrow(_all_links, "a long, b long")
+        labels = _joined(labels, links)
     dropped(shared)
 
     named = stored(labels.join(holders.select("class", "least_id"), "class").groupBy("label").agg(F.min("least_id").alias("least_id")), "jaccard-named")
