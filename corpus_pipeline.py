@@ -1,8 +1,9 @@
 """A training corpus from documents: quality rules, near-duplicate removal, passage dedup, decontamination, tokens.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; each result is written as Parquet in the shared folder and read
-again as the next stage's docs. Nulls, empty and very long texts, ties, repeated rows, empty tables and further columns are
-treated as the operator that a stage calls says.
+again as the next stage's docs. Rows with a null or empty text fail the quality rules of stage 1; the later stages keep such rows.
+Of equal rows and near-duplicates one stays (stage 2), by its least doc_id, null last. An empty table stays empty. All columns but
+text and n_chars are carried to stage 4 unchanged, whatever their names; the last stage returns doc_id and the tokens' digests.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmart.llm import bpe, decontaminate, jaccard, quality, suffixes
-from quillmart.llm.common import stored
+from quillmart.llm.common import row_key, row_seed, stored
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,17 +25,17 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     Of rows equal in doc_id and text the one whose other columns have the least hash stays.
     """
-    rows = jaccard.near_duplicates(docs).groupBy("group", "row", "doc_id").agg(F.count("*").alias("n"))
+    seed = row_seed(docs)
+    rows = jaccard.near_duplicates(docs, seed).groupBy("group", "row", "doc_id").agg(F.count("*").alias("n"))
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row", "n")
     heads = rows.where("group is not null").groupBy("group").agg(F.min(place).alias("head")).select("head.row", "head.n")
     empty = rows.where("group is null").select("row", F.lit(1).cast("long").alias("n"))
-    kept = stored(heads.union(empty).select(F.col("row").alias("kept_row"), "n"), "pipeline-kept")
-    row = F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    once = docs.join(kept.where("n = 1").select("kept_row").distinct(), row == F.col("kept_row"), "left_semi")
-    repeated = docs.join(kept.where("n > 1").select("kept_row").distinct(), row == F.col("kept_row"), "left_semi")
-    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    one = repeated.groupBy(row.alias("key")).agg(F.min_by(whole, F.xxhash64(F.to_json(whole))).alias("doc")).select("doc.*")
-    return once.union(one)
+    kept = stored(heads.union(empty).groupBy("row").agg(F.max("n").alias("n")), "pipeline-kept")
+    packed = docs.select(row_key(seed).alias("row"), F.struct("*").alias("doc"))
+    once = packed.join(kept.where("n = 1"), "row", "left_semi").select("doc")
+    repeated = packed.join(kept.where("n > 1"), "row", "left_semi")
+    one = repeated.groupBy("row").agg(F.min_by("doc", F.xxhash64(F.to_json("doc"))).alias("doc")).select("doc")
+    return once.union(one).select("doc.*")
 
 
 def _with_text(packed: DataFrame, struct: str, columns: list[str]) -> DataFrame:
