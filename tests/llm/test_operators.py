@@ -308,21 +308,67 @@ def test_layout_classes_keep_the_article():
 
 
 def test_copies_of_a_page_are_one_tree(spark, monkeypatch):
-    """Two thirds of a host's pages, and all without html, are copies: no group holds them all, and the counts still add up."""
+    """Two thirds of a host's pages, and all without html, are copies: equal trees enter once, no group is large, and rounds of merging reach one tree a host."""
     pages = [(f"http://h/{i}", f"<body><p>{prose(20, 1) if i % 3 else prose(20, i + 2)}</p><p>same</p>") for i in range(300)]
     pages += [(None, None)] * 300
     frame = spark.createDataFrame(pages, "url string, html string").select(wrappers.host_and_path(wrappers.F.col("url"))[0].alias("host"), "html")
+    monkeypatch.setattr(wrappers, "GROUP_PAGES", 8)
     sizes = []
     applied = type(frame.groupBy("host")).applyInArrow
 
     def spy(grouped, function, schema):
-        counted = applied(grouped, lambda key, rows: wrappers.pa.table({"n": [rows.num_rows], "copies": [sum(rows.column("copies").to_pylist())]}), "n long, copies long")
-        sizes.extend(counted.collect())
+        sizes.extend(r.n for r in applied(grouped, lambda key, rows: wrappers.pa.table({"n": [rows.num_rows]}), "n long").collect())
         return applied(grouped, function, schema)
 
     monkeypatch.setattr(type(frame.groupBy("host")), "applyInArrow", spy)
-    assert [r.container for r in wrappers.induce(frame).where("host = 'h'").collect()] == ["/body[1]"]
-    assert sum(r.copies for r in sizes) == 600 and sum(r.n for r in sizes) == 102 and max(r.n for r in sizes) < 2 * wrappers.GROUP_PAGES
+    found = {r.host: wrappers.Tree.loaded(r.wrapper) for r in wrappers.induce(frame).collect()}
+    assert found["h"].pages == 101 and wrappers.container_of(found["h"]) is not None and max(sizes) < 4 * 8
+    same = [t for t in found["h"].texts.values() if t[1] == t[2]]
+    assert [t[0] for t in same] == [101]
+
+
+def test_wrappers_of_many_groups(spark, monkeypatch):
+    """The result does not depend on how a host's pages are dealt, also with one optional element before the content."""
+    monkeypatch.setattr(wrappers, "GROUP_PAGES", 5)
+    pages, want = [], {}
+    for i in range(60):
+        text, notice = prose(30, 400 + i), "<div class=x><p>only here</p></div>" if i % 2 else ""
+        pages.append((f"http://w/{i}", f"<body>{notice}<div><p>Brand and motto</p></div><div><h2>{prose(3, 700 + i)}</h2><p>{text}</p><p>Read more below</p></div>"))
+        want[pages[-1][0]] = f"{prose(3, 700 + i)}\n\n{text}"
+    got = {r.url: r.text for r in wrappers.extract(spark.createDataFrame(pages, "url string, html string")).select("row.url", "text").collect()}
+    assert got == want
+
+
+def test_alignment_is_simple_tree_matching():
+    """Against the textbook recursion, on random trees; deep and wide pages need neither recursion nor square memory."""
+    def textbook(x, y):
+        if x[0] != y[0]:
+            return 0
+        table = [[0] * (len(y[1]) + 1) for _ in range(len(x[1]) + 1)]
+        for i, a in enumerate(x[1]):
+            for j, b in enumerate(y[1]):
+                table[i + 1][j + 1] = max(table[i + 1][j], table[i][j + 1], table[i][j] + textbook(a, b))
+        return table[-1][-1] + 1
+
+    def tree(x):
+        out, open_ = wrappers.Tree(), [(x, -1)]
+        while open_:
+            node, parent = open_.pop()
+            at = out.add(node[0], parent, 1)
+            open_ += [(c, at) for c in reversed(node[1])]
+        return out
+
+    r = random.Random(1)
+    grow = lambda depth: (r.choice("ab"), [grow(depth - 1) for _ in range(r.randint(0, 4))] if depth else [])
+    for _ in range(150):
+        x, y = ("", [grow(3)]), ("", [grow(3)])
+        found = wrappers.align(tree(x), tree(y), wrappers.Shapes())
+        assert len(found) == textbook(x, y) and len(set(found.values())) == len(found)
+    for one, two in (("<div>" * 5000 + "x", "<div>" * 5001 + "y"), ("<b>" * 5000 + "x", "<p>" + "<b>" * 5001 + "y"), ("<p>x" * 5000, "<p>y" * 5001), ("".join(f"<p class=c{i % 7}>x" for i in range(5000)), "".join(f"<p class=c{i % 5}>y" for i in range(5000)))):
+        whole = wrappers.skeleton(*wrappers.parse(one))[0]
+        wrappers.merge(whole, wrappers.skeleton(*wrappers.parse(two))[0], wrappers.Shapes())
+        assert whole.pages == 2 and wrappers.Tree.loaded(whole.dumped()).labels == whole.labels
+        assert wrappers.main_text(one, wrappers.Wrapper(whole))
 
 
 def test_induced_template_acts_on_every_page(spark):
