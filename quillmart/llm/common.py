@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
 #: Bytes of text that one numpy step takes at once; bounds a Python worker's memory.
-STEP_BYTES = 2_000_000
+STEP_BYTES = 1_000_000
 
 _U = np.uint64
 _RADIX = 0x9E3779B97F4A7C15 | 1
@@ -124,6 +124,19 @@ class Words:
             self.hashes = mix((total[self.ends] - total[self.starts]) * down[self.starts] + (self.ends - self.starts).astype(_U))
 
 
+def word_hashes(texts: list[bytes], separators: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of many texts and where those of each text begin, in steps of bounded size."""
+    hashes, first, low, size = [np.empty(0, _U)], [np.zeros(1, np.int64)], 0, 0
+    for i, text in enumerate(texts):
+        size += len(text)
+        if size >= STEP_BYTES or i + 1 == len(texts):
+            part = Words(texts[low : i + 1], separators, lower)
+            hashes.append(part.hashes)
+            first.append(part.first[1:] + first[-1][-1])
+            low, size = i + 1, 0
+    return np.concatenate(hashes), np.concatenate(first)
+
+
 def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
     """Hash of every run of n consecutive words (by the hashes of the words)."""
     m = len(words) - n + 1

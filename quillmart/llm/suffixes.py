@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import SPACE, Words, as_bytes, gram_hashes, packed_schema, row_key, row_seed, steps, stored
+from .common import SPACE, Words, as_bytes, gram_hashes, packed_schema, row_key, row_seed, steps, stored, word_hashes
 
 PASSAGE = 50
 PREFIX = 8
@@ -144,9 +144,9 @@ def window_classes(groups: np.ndarray, words: np.ndarray, first: np.ndarray, bef
 
 def _matched(table: pa.Table) -> pa.RecordBatch:
     """Repeated windows of these suffixes as runs; of dealt-out suffixes also each window's first place here, still open (later is null)."""
-    held = Words(table.column("words").to_pylist(), SPACE, False)
+    hashes, begins = word_hashes(table.column("words").to_pylist(), SPACE, False)
     prefixes, before, windows = (table.column(c).to_numpy().astype(np.int64) for c in ("prefix", "before", "windows"))
-    owner, place, kinds = window_classes(prefixes, held.hashes, held.first[:-1], before, windows)
+    owner, place, kinds = window_classes(prefixes, hashes, begins[:-1], before, windows)
     rows, starts = table.column("row").to_numpy()[owner], table.column("start").to_numpy()[owner] + place
     last = np.asarray(table.column("doc_id").is_null())[owner]
     docs = table.column("doc_id").fill_null(0).to_numpy()[owner]
@@ -171,8 +171,8 @@ def _matched(table: pa.Table) -> pa.RecordBatch:
             out += [(int(rows[chosen[h]]), ids[owner[chosen[h]]], int(starts[chosen[h]]), int(starts[chosen[t]]) + PASSAGE, is_later, None, None) for h, t in zip(heads, tails, strict=True)]
     open_ = np.flatnonzero(~same & dealt)
     if len(open_):
-        sizes, names = dict(zip(first.tolist(), places.tolist(), strict=True)), gram_hashes(held.hashes, PASSAGE).view(np.int64)
-        out += [(int(rows[i]), ids[owner[i]], int(starts[i]), int(starts[i]) + PASSAGE, None, int(names[held.first[owner[i]] + place[i]]), sizes[i]) for i in open_.tolist()]
+        sizes, names = dict(zip(first.tolist(), places.tolist(), strict=True)), gram_hashes(hashes, PASSAGE).view(np.int64)
+        out += [(int(rows[i]), ids[owner[i]], int(starts[i]), int(starts[i]) + PASSAGE, None, int(names[begins[owner[i]] + place[i]]), sizes[i]) for i in open_.tolist()]
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 7, _FOUND_TYPES, strict=True)], _FOUND_NAMES)
 
 
