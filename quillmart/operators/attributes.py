@@ -9,9 +9,9 @@ from quillmart.functions.text import normalized, tokens
 from quillmart.operators.graph import components
 
 #: Patterns of capacities and sizes, and the confidence of each.
-CAPACITY = r"\b([0-9]+(?:[.,][0-9]+)?)[ ]*(ML|CC|L|LT|LTR|GR|G|KG|MG|W|V)\b"
-MOUTH = (r"\b[BTN][ ]*([0-9]{2,3})[ ]*(?:MM)?\b", r"\b([0-9]{2,3})[ ]*/[ ]*410\b")
-SIZE = r"(\b[0-9]+(?:[.,][0-9]+)?[ ]*(?:CM|MM|M)?[ ]*[*X][ ]*[0-9]+(?:[.,][0-9]+)?[ ]*(?:CM|MM|M)?\b)"
+CAPACITY = r"\b(\d+(?:[\.,]\d+)?)\s*(ML|CC|L|LT|LTR|GR|G|KG|MG|W|V)\b"
+MOUTH = (r"\b[BTN]\s*([0-9]{2,3})\s*(?:MM)?\b", r"\b([0-9]{2,3})\s*/\s*410\b")
+SIZE = r"\b\d+(?:[\.,]\d+)?\s*(?:CM|MM|M)?\s*[*X]\s*\d+(?:[\.,]\d+)?\s*(?:CM|MM|M)?\b"
 CONFIDENCE = {"capacity": 0.95, "mouth": 0.92, "size": 0.93}
 #: What an attribute edge gives by its distance to the words searched for, 0, 2 and 4 or more.
 DECAY = (5, 3, 1)
@@ -32,7 +32,7 @@ def measures(df: DataFrame, key: str, text: str) -> DataFrame:
         F.replace(some(CAPACITY, 1), F.lit(","), F.lit(".")).try_cast("double").alias("capacity_value"),
         F.when(unit.isin("LT", "LTR"), "L").when(unit == "G", "GR").otherwise(unit).alias("capacity_unit"),
         F.coalesce(some(MOUTH[0], 1), some(MOUTH[1], 1)).try_cast("double").alias("mouth_size"),
-        some(SIZE, 1).alias("size_text"),
+        some(SIZE, 0).alias("size_text"),
     )
     held = [F.when(F.col(c).isNotNull(), v) for c, v in (("capacity_unit", CONFIDENCE["capacity"]), ("mouth_size", CONFIDENCE["mouth"]), ("size_text", CONFIDENCE["size"]))]
     n = sum((F.when(h.isNotNull(), 1).otherwise(0) for h in held), F.lit(0))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -43,10 +44,12 @@ def purchases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder named by spark.checkpoint.dir (a temporary one only if that is unset) and read it again."""
+    """Write df to the shared folder named by spark.checkpoint.dir and read it again. Only a local session without that setting, as in tests, gets a temporary folder."""
     spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not re.fullmatch(r"local(\[[\d*, ]+\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.sparkContext.setCheckpointDir(root)
     path = f"{root}/{name}-{uuid.uuid4().hex}"

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quillmart.functions.text import normalized, tokens
-from quillmart.operators import attributes, budget, graph, linkage, paths, reports, supply
+from quillmart.functions.text import STOP_WORDS, normalized, tokens
+from quillmart.operators import attributes, budget, graph, linkage, normalize, paths, reports, supply
 from quillmart.plans.canonical import products, purchases, sales, table
 
 _PRODUCTS = "products as (select cast(p_partkey as varchar) product_id, p_name product_name, p_type category, p_brand brand from part)"
@@ -25,7 +25,7 @@ _OFFERS = """offers as (select o.product_id, supplier, unit_cost, reference_cost
 _TOP_CLIENT = "client_top as (select * from (select *, row_number() over (partition by customer order by value desc, product_id) rank from (select customer, product_id, cast(sum(total) as bigint) value, cast(sum(quantity) as bigint) quantity, count(distinct date) n_dates, max(date) last_date from sales where is_active group by customer, product_id)))"
 _TOP_SUPPLIER = "supplier_top as (select * from (select *, row_number() over (partition by product_id order by least_cost, n_lines desc, supplier) rank from (select product_id, supplier, min(unit_cost) least_cost, cast(sum(quantity) as bigint) quantity, count(*) n_lines, max(date) last_date from purchases where is_active group by product_id, supplier)))"
 _ORDERED = "ordered as (select product_id, cast(greatest(1, sum(quantity) // 4) as bigint) ordered from sales where is_active group by product_id)"
-_STOP = "('DE', 'LA', 'EL', 'Y', 'CON', 'PARA', 'POR', 'EN', 'THE', 'OF', 'AND')"
+_STOP = f"({', '.join(repr(w) for w in STOP_WORDS)})"
 
 
 def _norm(column: str) -> str:
@@ -85,6 +85,14 @@ def _ordered(spark, sf_dir):
     return reports.demand(sales(spark, sf_dir)).select("product_id", F.greatest(F.lit(1), F.floor(F.col("units") / 4)).cast("long").alias("ordered"))
 
 
+def _activity(spark, sf_dir):
+    return reports.product_activity(products(spark, sf_dir), sales(spark, sf_dir), purchases(spark, sf_dir))
+
+
+_ACTIVITY = """a as (select product_id, cast(sum(quantity) as bigint) sold, count(*) n_sales, cast(sum(total) as bigint) sales_total from sales where is_active group by all), b as (select product_id, cast(sum(quantity) as bigint) bought, count(*) n_purchases, cast(sum(total) as bigint) purchases_total from purchases where is_active group by all),
+activity as (select product_id, product_name, coalesce(sold, 0) sold, coalesce(n_sales, 0) n_sales, coalesce(sales_total, 0) sales_total, coalesce(bought, 0) bought, coalesce(n_purchases, 0) n_purchases, coalesce(purchases_total, 0) purchases_total, sold is not null has_sales, bought is not null has_purchases from products left join a using (product_id) left join b using (product_id))"""
+
+
 def _options(spark, sf_dir):
     return supply.supply_options(purchases(spark, sf_dir))
 
@@ -162,14 +170,15 @@ scored as (select product_id, sum(d * w) base, count(*) filter (d = 5) seed_cove
 select product_id, round(base * (power(seed_coverage / total_seeds, 2) * 20 + 1), 2) relevance, seed_coverage, total_seeds from scored, t order by relevance desc, product_id limit 10"""
 _UPPER = r"translate(regexp_replace(coalesce(text, ''), '[^\x00-\x7F]', ' ', 'g'), 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ')"
 _MEASURES = f"""with t as (select doc_id, {_UPPER} u from documents), m as (select doc_id, try_cast(replace(nullif(regexp_extract(u, '{attributes.CAPACITY}', 1), ''), ',', '.') as double) capacity_value, nullif(regexp_extract(u, '{attributes.CAPACITY}', 2), '') unit,
-  try_cast(coalesce(nullif(regexp_extract(u, '{attributes.MOUTH[0]}', 1), ''), nullif(regexp_extract(u, '{attributes.MOUTH[1]}', 1), '')) as double) mouth_size, nullif(regexp_extract(u, '{attributes.SIZE}', 1), '') size_text from t)
+  try_cast(coalesce(nullif(regexp_extract(u, '{attributes.MOUTH[0]}', 1), ''), nullif(regexp_extract(u, '{attributes.MOUTH[1]}', 1), '')) as double) mouth_size, nullif(regexp_extract(u, '{attributes.SIZE}', 0), '') size_text from t)
 select doc_id, capacity_value, case when unit in ('LT', 'LTR') then 'L' when unit = 'G' then 'GR' else unit end capacity_unit, mouth_size, size_text,
   round((case when unit is null then 0 else 0.95::double end + case when mouth_size is null then 0 else 0.92::double end + case when size_text is null then 0 else 0.93::double end) / nullif((unit is not null)::int + (mouth_size is not null)::int + (size_text is not null)::int, 0), 6) confidence from m"""
 
 
 def _profile_sql(columns: list[str], source: str) -> str:
-    number = "case when regexp_matches(x, '^-?[0-9]+(\\.[0-9]+)?$') then try_cast(x as double) end"
-    one = lambda c: f"select '{c}' column_name, count(*) n_rows, count(*) filter (x is null) n_null, count(distinct x) n_distinct, count({number}) n_number, count(*) filter (regexp_matches(x, '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}')) n_date, min({number}) least, max({number}) largest from (select cast({c} as varchar) x from {source})"
+    number = "try_cast(replace(regexp_replace(x, '[^0-9,.-]', '', 'g'), ',', '.') as double)"
+    one = lambda c: f"""select '{c}' column_name, count(*) n_rows, count(*) filter (x is null) n_null, count(distinct x) n_distinct, count({number}) n_number, count(*) filter (regexp_matches(x, '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}$')) n_date, min({number}) least, max({number}) largest,
+        array_to_string(list_sort(list(distinct x))[1:5], '|') samples from (select cast({c} as varchar) x from {source})"""
     return " union all ".join(map(one, columns))
 
 
@@ -182,15 +191,15 @@ _REGISTRY = {
     "association_rules": (lambda s, d: reports.association_rules(sales(s, d)), f"""with {_SALES}, {_BASKETS}, big as (select customer, date from baskets group by all having count(*) > 1), items as (select * from baskets join big using (customer, date)),
         c as (select product_id, count(*) c from items group by all), n as (select count(*) n from big), p as (select x.product_id antecedent, y.product_id consequent, count(*) n_pairs from items x join items y on x.customer = y.customer and x.date = y.date and x.product_id <> y.product_id group by all having count(*) >= 2)
         select antecedent, consequent, n_pairs, n_pairs / n support, n_pairs / a.c confidence, n_pairs * n / (a.c * b.c) lift from p join c a on a.product_id = antecedent join c b on b.product_id = consequent, n"""),
-    "supplier_dependency": (lambda s, d: reports.supplier_dependency(purchases(s, d)), f"""with {_PURCHASES}, v as (select supplier, cast(sum(total) as bigint) value, count(distinct product_id) n_products from purchases where is_active group by supplier), t as (select *, sum(value) over () a from v)
-        select supplier, value, n_products, value / a share, case when value * 100 > 30 * a then 'ALTA' when value * 100 > 15 * a then 'MEDIA' else 'BAJA' end alert from t"""),
+    "supplier_dependency": (lambda s, d: reports.supplier_dependency(purchases(s, d)), f"""with {_PURCHASES}, v as (select supplier, count(*) purchase_lines, cast(sum(total) as bigint) value, count(distinct product_id) n_products from purchases where is_active group by supplier), t as (select *, sum(value) over () a, sum(purchase_lines) over () l from v)
+        select supplier, purchase_lines, value, n_products, purchase_lines / l line_share, value / a share, case when value * 100 > 30 * a then 'ALTA' when value * 100 > 15 * a then 'MEDIA' else 'ok' end alert from t"""),
     "client_top_products": (lambda s, d: reports.client_top_products(sales(s, d)), f"with {_SALES}, {_TOP_CLIENT} select * from client_top where rank <= 5"),
     "product_top_suppliers": (lambda s, d: reports.product_top_suppliers(purchases(s, d)), f"with {_PURCHASES}, {_TOP_SUPPLIER} select * from supplier_top where rank <= 3"),
     "customer_supply_join": (lambda s, d: reports.customer_supply(sales(s, d), purchases(s, d)), f"with {_SALES}, {_PURCHASES}, {_TOP_CLIENT}, {_TOP_SUPPLIER} select c.customer, c.product_id, c.value, s.supplier, s.least_cost from client_top c left join supplier_top s on s.product_id = c.product_id and s.rank = 1 where c.rank <= 3"),
-    "transaction_flags": (lambda s, d: reports.transaction_flags(sales(s, d), purchases(s, d)), f"with {_SALES}, {_PURCHASES}, b as (select 'sales' dataset, is_active from sales union all select 'purchases', is_active from purchases) select dataset, count(*) n_rows, count(*) filter (is_active) n_active, count(*) filter (not is_active) n_cancelled from b group by all"),
-    "product_activity": (lambda s, d: reports.product_activity(products(s, d), sales(s, d), purchases(s, d)), f"""with {_PRODUCTS}, {_SALES}, {_PURCHASES}, a as (select product_id, cast(sum(quantity) as bigint) sold, count(*) n_sales from sales where is_active group by all), b as (select product_id, cast(sum(quantity) as bigint) bought, count(*) n_purchases from purchases where is_active group by all)
-        select product_id, product_name, coalesce(sold, 0) sold, coalesce(n_sales, 0) n_sales, coalesce(bought, 0) bought, coalesce(n_purchases, 0) n_purchases, sold is not null has_sales, bought is not null has_purchases from products left join a using (product_id) left join b using (product_id)"""),
-    "code_patterns": (lambda s, d: reports.code_patterns(sales(s, d)), f"with {_SALES}, c as (select 'NUM_' || length(product_id) || '_DIGITS' pattern, count(*) n_rows, count(*) filter (is_active) n_active from sales group by all) select *, n_rows / sum(n_rows) over () share from c"),
+    "product_activity": (_activity, f"with {_PRODUCTS}, {_SALES}, {_PURCHASES}, {_ACTIVITY} select * from activity"),
+    "code_patterns": (lambda s, d: reports.code_patterns(_activity(s, d)), f"""with {_PRODUCTS}, {_SALES}, {_PURCHASES}, {_ACTIVITY}, c as (select case when length(product_id) > 1 and product_id like '0%' then 'LEADING_ZERO_NUM_' || length(product_id) else 'NUM_' || length(product_id) || '_DIGITS' end pattern, count(*) products, count(*) filter (has_sales) products_with_sales, count(*) filter (has_purchases) products_with_purchases, cast(sum(sales_total) as bigint) sales_total, cast(sum(purchases_total) as bigint) purchases_total from activity group by all),
+        x as (select *, sales_total / greatest(sum(sales_total) over (), 1) sales_share, purchases_total / greatest(sum(purchases_total) over (), 1) purchases_share from c)
+        select *, case when products_with_sales = 0 and products_with_purchases = 0 then 'inactive_pattern' when sales_share >= 0.95 then 'dominant_commercial_pattern' else 'review' end suggested_interpretation from x"""),
     "amount_identity": (lambda s, d: reports.amount_identity(purchases(s, d)), f"with {_PURCHASES}, t as (select abs(quantity * unit_cost - total) <= 0.03 * total h from purchases where total > 0) select count(*) n_rows, count(*) filter (h) n_hold, count(*) filter (h) / count(*) rate from t"),
     "demand": (lambda s, d: reports.demand(sales(s, d)), f"with {_SALES} select product_id, cast(sum(quantity) as bigint) units from sales where is_active group by product_id having sum(quantity) > 0"),
     "supplier_removal_impact": (lambda s, d: reports.supplier_removal(purchases(s, d), sales(s, d)), f"""with {_SALES}, {_PURCHASES}, a as (select distinct supplier, product_id from purchases where is_active), n as (select product_id, count(*) n from a group by all), u as (select product_id, sum(quantity) units from sales where is_active group by all having sum(quantity) > 0)
@@ -238,10 +247,12 @@ _REGISTRY = {
     "entity_resolution": (lambda s, d: linkage.resolve(_asked(s, d), products(s, d)), f"""with {_PRODUCTS}, names as (select {_norm('product_name')} n, min(product_id) id from products group by n), asked as (select distinct unnest([product_id, product_name, substring(product_name, 2, 5), array_to_string(list_reverse(string_split(product_name, ' ')), ' ')]) as text from products), q as (select text, {_norm('text')} t from asked),
         hits as (select text, 1 tier, 0 size, product_id from q join products on product_id = text union all select text, 2, 0, id from q join names on n = t union all select text, 3, 0, id from q join names on contains(n, t) where t <> '' union all select text, 4, length(n), id from q join names on list_has_all(string_split(n, ' '), string_split(t, ' ')) where t <> '')
         select text, product_id, cast(tier as bigint) tier from hits qualify row_number() over (partition by text order by tier, size, product_id) = 1"""),
-    "column_profile": (lambda s, d: linkage.column_profile(table(s, d, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size")), _profile_sql(["p_partkey", "p_name", "p_brand", "p_type", "p_size"], "part")),
-    "cross_sell_for_product": (lambda s, d: reports.association_rules(sales(s, d)).where("antecedent = '1'"), f"""with {_SALES}, {_BASKETS}, big as (select customer, date from baskets group by all having count(*) > 1), items as (select * from baskets join big using (customer, date)),
-        c as (select product_id, count(*) c from items group by all), n as (select count(*) n from big), p as (select x.product_id antecedent, y.product_id consequent, count(*) n_pairs from items x join items y on x.customer = y.customer and x.date = y.date and x.product_id <> y.product_id where x.product_id = '1' group by all having count(*) >= 2)
-        select antecedent, consequent, n_pairs, n_pairs / n support, n_pairs / a.c confidence, n_pairs * n / (a.c * b.c) lift from p join c a on a.product_id = antecedent join c b on b.product_id = consequent, n"""),
+    "column_profile": (lambda s, d: normalize.profile(table(s, d, "part")), _profile_sql(["p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"], "part")),
+    "column_profile_dates": (lambda s, d: normalize.profile(table(s, d, "orders").select("o_orderkey", "o_orderstatus", F.to_date("o_orderdate").alias("o_orderdate"), "o_orderpriority")), _profile_sql(["o_orderkey", "o_orderstatus", "o_orderdate", "o_orderpriority"], "(select * replace (cast(o_orderdate as date) as o_orderdate) from orders)")),
+    "cross_sell_for_product": (lambda s, d: reports.cross_sell(reports.association_rules(sales(s, d)), products(s, d), reports.frequent_products(sales(s, d), 3)), f"""with {_PRODUCTS}, {_SALES}, {_BASKETS}, asked as (select product_id from baskets group by product_id order by count(*) desc, product_id limit 3), big as (select customer, date from baskets group by all having count(*) > 1), items as (select * from baskets join big using (customer, date)),
+        c as (select product_id, count(*) c from items group by all), n as (select count(*) n from big), p as (select x.product_id antecedent, y.product_id consequent, count(*) n_pairs from items x join items y on x.customer = y.customer and x.date = y.date and x.product_id <> y.product_id where x.product_id in (select product_id from asked) group by all having count(*) >= 2),
+        r as (select antecedent, consequent, n_pairs, n_pairs * n / (a.c * b.c) lift from p join c a on a.product_id = antecedent join c b on b.product_id = consequent, n)
+        select antecedent, row_number() over (partition by antecedent order by lift desc, consequent) rank, consequent, product_name recommended, n_pairs, lift from r left join products on product_id = consequent qualify rank <= 10"""),
     "business_graph_metrics": (lambda s, d: graph.relation_counts(graph.transaction_edges(sales(s, d), "customer", "SOLD_TO").unionByName(graph.transaction_edges(purchases(s, d), "supplier", "ISSUED_BY"))), f"""with {_SALES}, {_PURCHASES}, s as (select *, 'DOC|' || customer || '|' || cast(date as varchar) doc from sales where is_active), p as (select *, 'DOC|' || supplier || '|' || cast(date as varchar) doc from purchases where is_active),
         edges as (select doc source, 'PRODUCT|' || product_id target, 'CONTAINS' relation from s union all select distinct doc, 'PARTY|' || customer, 'SOLD_TO' from s union all select distinct doc, 'DATE|' || cast(date as varchar), 'ON_DATE' from s union all select doc, 'PRODUCT|' || product_id, 'CONTAINS' from p union all select distinct doc, 'PARTY|' || supplier, 'ISSUED_BY' from p union all select distinct doc, 'DATE|' || cast(date as varchar), 'ON_DATE' from p)
         select relation, count(*) n_edges, count(distinct source) n_sources, count(distinct target) n_targets from edges group by relation"""),
