@@ -65,7 +65,7 @@ def value_words(text: Column) -> Column:
 
 def plain_number(value: Column) -> Column:
     """A number without needless zeros, as text."""
-    return F.regexp_replace(F.format_string("%.6f", value.cast("double")), r"\.?0+$", "")
+    return F.when(value.isNotNull(), F.regexp_replace(F.format_string("%.6f", value.cast("double")), r"\.?0+$", ""))
 
 
 def code_pattern(code: Column) -> Column:

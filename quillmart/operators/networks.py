@@ -12,6 +12,8 @@ from quillmart.plans.canonical import stored
 
 #: The least weight of an edge in a walk, and the change of all ranks together that ends the rounds.
 LEAST_WEIGHT, STOP = 1e-9, 1e-8
+#: Rounds of a walk between two stored tables.
+ROUNDS = 5
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -23,7 +25,8 @@ def both_ways(edges: DataFrame) -> DataFrame:
 def pagerank_converged(both: DataFrame, seeds: DataFrame | None = None, damping: float = 0.85, most_rounds: int = 100, stop: float = STOP) -> DataFrame:
     """node, rank of a symmetric weighted graph (u, v, w) by power iteration until the ranks change by less than `stop` together.
 
-    seeds: node, weight of restarts; none restarts anywhere alike. The moves are laid out by u once; each round only shuffles ranks.
+    seeds: node, weight of restarts; none restarts anywhere alike. The moves are laid out by u once and
+    each round only shuffles ranks; every ROUNDS rounds these are stored and the change is looked at.
     """
     out = both.groupBy("u").agg(F.sum("w").alias("out"))
     moves = stored(both.groupBy("u", "v").agg(F.sum("w").alias("w")).join(out, "u").select("u", "v", (F.col("w") / F.col("out")).alias("p")), "rank-moves").repartition("u").persist()
@@ -35,10 +38,12 @@ def pagerank_converged(both: DataFrame, seeds: DataFrame | None = None, damping:
         total = F.broadcast(seeds.agg(F.sum("weight").alias("all")))
         start = nodes.join(seeds.crossJoin(total).groupBy("node").agg(F.sum(F.col("weight") / F.col("all")).alias("restart")), "node", "left").withColumn("restart", F.coalesce("restart", F.lit(0.0)))
     ranks = stored(start.select("node", "restart", F.col("restart").alias("rank")), "rank")
-    for _ in range(most_rounds):
-        given = moves.join(ranks.where("rank > 0").select(F.col("node").alias("u"), "rank"), "u").groupBy(F.col("v").alias("node")).agg(F.sum(F.col("rank") * F.col("p")).alias("given"))
-        new = F.lit(1 - damping) * F.col("restart") + damping * F.coalesce("given", F.lit(0.0))
-        ranks = stored(ranks.join(given, "node", "left").select("node", "restart", new.alias("rank"), F.abs(new - F.col("rank")).alias("change")), "rank")
+    for _ in range(0, most_rounds, ROUNDS):
+        for _ in range(ROUNDS):
+            given = moves.join(ranks.select(F.col("node").alias("u"), "rank"), "u").groupBy(F.col("v").alias("node")).agg(F.sum(F.col("rank") * F.col("p")).alias("given"))
+            new = F.lit(1 - damping) * F.col("restart") + damping * F.coalesce("given", F.lit(0.0))
+            ranks = ranks.select("node", "restart", "rank").join(given, "node", "left").select("node", "restart", new.alias("rank"), F.abs(new - F.col("rank")).alias("change"))
+        ranks = stored(ranks, "rank")
         if (ranks.agg(F.sum("change")).first()[0] or 0.0) < stop:
             break
     moves.unpersist()

@@ -56,9 +56,9 @@ def link_all(tables: dict[str, DataFrame], products: DataFrame) -> DataFrame:
     for name, df in tables.items():
         part = df.select(F.lit(name).alias("dataset"), "source_id", "source_name").distinct()
         lines = part if lines is None else lines.unionByName(part)
-    matched = link_fuzzy(lines, products)
-    same = [lines[c].eqNullSafe(matched[c]) for c in ("source_id", "source_name")]
-    return lines.join(matched, same).select(lines["dataset"], *[matched[c] for c in matched.columns])
+    a, b = lines.alias("a"), link_fuzzy(lines, products).alias("b")
+    same = F.col("a.source_id").eqNullSafe(F.col("b.source_id")) & F.col("a.source_name").eqNullSafe(F.col("b.source_name"))
+    return a.join(b, same).select("a.dataset", "b.*")
 
 
 def suggestions(texts: DataFrame, names: DataFrame, k: int = 5, least: float = SUGGEST) -> DataFrame:
