@@ -1,6 +1,7 @@
 """License scans by diagonal voting, in DataFrame expressions alone.
 
-Every rolling three-word hash of every text is joined to the template positions with that hash. A hit votes for the diagonal
+Every rolling three-word hash of every text is joined to the template positions with that hash (hashes that no template has are left
+out before the join: a semi-join reduction by the fixed list). A hit votes for the diagonal
 (text position minus template position); neighbouring diagonals of a template merge, so inserted or missing words do not split
 a span; each hit is verified word by word and a merged span counts when it covers enough of the template. A base phrase counts
 at each place where its whole diagonal stands.
@@ -24,17 +25,33 @@ NEAR_DIAGONALS = 3
 LEAST_COVERED = 0.75
 #: Phrases and their labels, matched as consecutive words.
 BASE = {"the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
-#: Longer passages that name or grant a licence.
+#: Passages that name a licence, grant it, state its conditions or disclaim, as plain words.
 TEMPLATES = {
     "this work is licensed under the gnu general public license": "gpl",
     "gnu general public license version 3": "gpl-3",
     "gnu lesser general public license": "lgpl",
     "mozilla public license version 2": "mpl-2",
-    "redistribution and use in source and binary forms with or without modification are permitted": "bsd",
-    "permission is hereby granted free of charge to any person obtaining a copy of this software": "mit",
     "creative commons attribution share alike": "cc-by-sa",
     "creative commons attribution noncommercial": "cc-by-nc",
     "released into the public domain": "public-domain",
+    "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction "
+    "including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions": "mit",
+    "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software": "mit",
+    "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement "
+    "in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software": "mit",
+    "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at": "apache-2",
+    "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied "
+    "see the license for the specific language governing permissions and limitations under the license": "apache-2",
+    "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met": "bsd",
+    "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer": "bsd",
+    "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution": "bsd",
+    "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies": "isc",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version": "gpl-3",
+    "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details": "gpl",
+    "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation": "lgpl",
+    "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at": "mpl-2",
+    "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software": "public-domain",
+    "attribution you must give appropriate credit provide a link to the license and indicate if changes were made": "cc-by",
 }
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _SEPARATORS = "".join(chr(b) for b in range(128) if not chr(b).isalnum() and chr(b) != " ")

@@ -385,3 +385,15 @@ def test_induced_template_acts_on_every_page(spark):
     want["http://one/"] = "t\n\nShare this page\n\nx\n\nAll rights reserved"
     got = {r.url: r.text for r in wrappers.extract(spark.createDataFrame(pages, "url string, html string")).select("row.url", "text").collect()}
     assert got == want
+
+
+def test_license_passages_with_changed_words(spark, monkeypatch):
+    """A grant with two words inserted and three missing needs neighbouring diagonals; half a passage and shuffled words are no licence."""
+    grant = next(p for p, k in licenses.TEMPLATES.items() if p.startswith("permission is hereby granted"))
+    w = grant.split()
+    changed = " ".join([*w[:15], "well", "and", *w[15:30], *w[33:]])
+    rows = [(1, f"{prose(40, 1)} {changed} {prose(30, 2)}"), (2, " ".join(w[: len(w) // 2])), (3, " ".join(random.Random(1).sample(w, len(w)))), (4, grant.upper().replace(" ", ", ")), (None, grant), (5, None)]
+    scan = lambda: {r.doc_id: r.labels for r in licenses.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert scan() == {1: "mit", 2: "", 3: "", 4: "mit", None: "mit", 5: ""}
+    monkeypatch.setattr(licenses, "NEAR_DIAGONALS", 0)
+    assert scan()[1] == ""
