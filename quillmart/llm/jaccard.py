@@ -16,8 +16,8 @@ between documents that no earlier round has joined:
 1. Each key of many sets has a leader, the member that meets most others in all its keys; every member is tried with it.
 2. The few sets of a small key are paired. In a large key that round 1 left in pieces, each member outside the leader's piece is
    set against all the others by its bit sketch and tried with the nearest one.
-3. A member for which round 2 found more than one near sketch in a key, and that is still outside, is compared there with all
-   members of other pieces: sketches first, then the sets themselves, in the same blocks.
+3. A member for which round 2 found more than one near sketch in a key, and that is still outside, has all near sketches of its keys
+   gathered under one leader of its keys. Each of those sets is brought once for a block of such members and compared exactly.
 A large group of near copies is therefore done after one pass over its rows; only members that its leader does not reach meet all
 others, by sketch, in blocks of bounded size. Sketches have two to four bits a shingle, and pairs whose Hamming distance is above
 (a + b) / 7 are out; the rest is verified on the sets themselves. Nothing is sampled or capped.
@@ -43,6 +43,8 @@ from .common import SPACE, Words, as_bytes, components, dropped, gram_hashes, mi
 SHINGLE = 5
 #: Sketches of at most so many sets, or of so many shingles, are set against each other in one task.
 BLOCK_SETS, BLOCK_SHINGLES = 4096, 16_000_000
+#: Sets, or shingles of sets, that are compared exactly with as many others in one task.
+EXACT_SETS, EXACT_SHINGLES = 1024, 1_000_000
 #: Partners, and shingles of partners, that one set is verified against in one task.
 PARTNERS, PARTNER_SHINGLES = 256, 4_000_000
 #: Shingles in more than this share of all documents have pieces of their own. There are at most (mean set size) / share of them.
@@ -200,8 +202,22 @@ def _nearest(key: tuple, rows: pa.Table) -> pa.Table:
     return pa.table({"key": pa.array([key[0].as_py()] * len(a), pa.int64()), "a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "more": pa.array(more)})
 
 
+def _met(key: tuple, rows: pa.Table) -> pa.Table:
+    """Asking members of one task of a large key, and all others near one of them, each under the asking members' homes."""
+    names, homes = rows.column("class").to_numpy(), rows.column("home").fill_null(0).to_numpy()
+    out: list[tuple[np.ndarray, ...]] = [(homes[:0], names[:0], np.empty(0, bool))]
+    for mine, others, near, _ in _sketch_hits(rows):
+        mine, near = mine[near.any(axis=1)], near[near.any(axis=1)]
+        for home in np.unique(homes[mine]):
+            own = homes[mine] == home
+            for who, asks in ((mine[own], True), (others[near[own].any(axis=0)], False)):
+                out.append((np.full(len(who), home), names[who], np.full(len(who), asks)))
+    home, name, asks = (np.concatenate(x) for x in zip(*out, strict=True))
+    return pa.table({"home": pa.array(home, pa.int64()), "class": pa.array(name, pa.int64()), "asks": pa.array(asks)})
+
+
 def _all_links(key: tuple, rows: pa.Table) -> pa.Table:
-    """Links of the asking members of one task of a large key, one into each other piece: by their sets where sketches allow."""
+    """Links of the asking members of one task, one into each other piece: by their sets where sketches allow."""
     names, labels = rows.column("class").to_numpy(), rows.column("label").to_numpy()
     sets = [np.frombuffer(x, np.uint64) for x in rows.column("shingles").to_pylist()]
     links = []
@@ -260,23 +276,24 @@ def _near(pairs: DataFrame, sides: DataFrame) -> DataFrame:
     return sized.mapInArrow(_near_pairs, "a long, b long")
 
 
-def _dealt(large: DataFrame, leaders: DataFrame, sides: DataFrame, asking: DataFrame | None = None) -> DataFrame:
-    """Members of large keys that are in pieces: key, x, y (the task), class, asks. large: key, class; leaders: key, leader.
+def _tasks(members: DataFrame, by: str, sets: int, shingles: int) -> DataFrame:
+    """by, x, y, class, asks: every block of asking members of a group meets every block of answering ones in the task (by, x, y). members: by, class, n, asks, answers."""
+    blocks = lambda which: F.greatest(F.ceil(F.count_if(which) / sets), F.ceil(F.coalesce(F.sum(F.when(F.col(which), F.col("n"))), F.lit(0)) / shingles))
+    open_ = stored(members.groupBy(by).agg(blocks("asks").alias("asking"), blocks("answers").alias("all")).where("asking > 0"), "jaccard-open")
+    placed = members.join(open_, by).withColumn("own", F.xxhash64("class"))
+    upto = lambda c: F.sequence(F.lit(0).cast("long"), F.col(c) - 1)
+    answers = placed.where("answers").select(by, "class", F.lit(False).alias("asks"), F.explode(upto("asking")).alias("x"), F.pmod("own", "all").alias("y"))
+    asks = placed.where("asks").select(by, "class", "asks", F.pmod("own", "asking").alias("x"), F.explode(upto("all")).alias("y"))
+    return answers.union(asks)
+
 
-    Members outside the leader's piece ask (only those in `asking`, if given), all members answer. Both are dealt into
-    blocks, and each block of asking members meets each block of all members in one task.
-    """
+def _dealt(large: DataFrame, leaders: DataFrame, sides: DataFrame, asking: DataFrame | None = None) -> DataFrame:
+    """Tasks of large keys that are in pieces: members outside the leader's piece ask (only those in `asking`, if given), all members answer. large: key, class; leaders: key, leader."""
     named = large.select("key", "class").join(sides.select("class", "label", "n"), "class").join(leaders.join(sides.select(F.col("class").alias("leader"), F.col("label").alias("lead")), "leader").select("key", "lead"), "key")
     named = named.withColumn("asks", F.col("label") != F.col("lead"))
     if asking is not None:
         named = named.join(asking.select("key").distinct(), "key", "left_semi").join(asking.withColumn("asked", F.lit(True)), ["key", "class"], "left").withColumn("asks", F.col("asks") & F.coalesce("asked", F.lit(False)))
-    blocks = lambda which: F.greatest(F.ceil(F.count(F.when(which, 1)) / BLOCK_SETS), F.ceil(F.coalesce(F.sum(F.when(which, F.col("n"))), F.lit(0)) / BLOCK_SHINGLES))
-    open_ = stored(named.groupBy("key").agg(blocks(F.col("asks")).alias("asking"), blocks(F.lit(True)).alias("all")).where("asking > 0"), "jaccard-open")
-    members = named.select("key", "class", "asks").join(open_, "key").withColumn("own", F.xxhash64("class"))
-    upto = lambda c: F.sequence(F.lit(0).cast("long"), F.col(c) - 1)
-    answers = members.select("key", "class", F.lit(False).alias("asks"), F.explode(upto("asking")).alias("x"), F.pmod("own", "all").alias("y"))
-    asks = members.where("asks").select("key", "class", "asks", F.pmod("own", "asking").alias("x"), F.explode(upto("all")).alias("y"))
-    return answers.union(asks)
+    return _tasks(named.withColumn("answers", F.lit(True)), "key", BLOCK_SETS, BLOCK_SHINGLES)
 
 
 def near_duplicates(docs: DataFrame, seed: int | None = None) -> DataFrame:
@@ -297,7 +314,7 @@ def near_duplicates(docs: DataFrame, seed: int | None = None) -> DataFrame:
     large = shared.where(f"n > {SMALL_KEY}").select("key", "class", "n").distinct()
 
     met = large.groupBy("class").agg(F.sum("n").alias("met"))
-    leaders = stored(large.join(met, "class").groupBy("key").agg(F.max(F.struct("met", "class"))["class"].alias("leader")), "jaccard-leaders")
+    leaders = stored(large.join(met, "class").groupBy("key").agg(F.max(F.struct("met", "class"))["class"].alias("leader"), F.count("*").alias("size")), "jaccard-leaders")
     sides = holders.select("class", F.col("class").alias("label"), "n", "sketch")
     led = large.join(leaders, "key").select(F.col("leader").alias("a"), F.col("class").alias("b")).where("a != b").distinct()
     links = verified(texts, holders, stored(_near(led, sides), "jaccard-led"))
@@ -313,11 +330,15 @@ def near_duplicates(docs: DataFrame, seed: int | None = None) -> DataFrame:
     labels = _joined(labels, verified(texts, holders, tried))
 
     sides = holders.drop("row", "least_id", "mixed").join(labels, "class")
-    dealt = stored(_dealt(large, leaders, sides, nearest.where("more").select("key", F.col("b").alias("class")).distinct()), "jaccard-left")
-    if not dealt.isEmpty():
-        wanted = holders.join(dealt.select("class").distinct(), "class", "left_semi").select("row", "class", F.array().cast(_ASKED).alias("asked"))
+    asking = stored(nearest.where("more").select("key", F.col("b").alias("class")).distinct(), "jaccard-asking")
+    homes = asking.join(leaders, "key").groupBy("class").agg(F.max(F.struct("size", "leader"))["leader"].alias("home"))
+    rows_ = _dealt(large, leaders, sides, asking).join(sides, "class").join(homes, "class", "left")
+    met = stored(rows_.groupBy("key", "x", "y").applyInArrow(_met, "home long, class long, asks boolean").distinct(), "jaccard-met")
+    if not met.isEmpty():
+        wanted = holders.join(met.select("class").distinct(), "class", "left_semi").select("row", "class", F.array().cast(_ASKED).alias("asked"))
         packed = texts.join(wanted, "row").dropDuplicates(["row"]).select("class", "asked", "text").mapInArrow(_packed, _PACKED).select("class", "shingles")
-        links = dealt.join(sides, "class").join(packed, "class").groupBy("key", "x", "y").applyInArrow(_all_links, "a long, b long")
+        dealt = _tasks(met.join(sides.select("class", "n"), "class").withColumn("answers", ~F.col("asks")), "home", EXACT_SETS, EXACT_SHINGLES)
+        links = dealt.join(sides, "class").join(packed, "class").groupBy("home", "x", "y").applyInArrow(_all_links, "a long, b long")
         labels = _joined(labels, links)
     dropped(shared)
 
