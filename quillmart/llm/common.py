@@ -124,6 +124,16 @@ class Words:
             self.hashes = mix((total[self.ends] - total[self.starts]) * down[self.starts] + (self.ends - self.starts).astype(_U))
 
 
+def range_hashes(values: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Hash of values[low:high] for many ranges at once, whatever their lengths."""
+    up, down = _radix_powers(len(values) + 1)
+    with np.errstate(over="ignore"):
+        total = np.empty(len(values) + 1, _U)
+        total[0] = 0
+        np.cumsum((mix(values) | _U(1)) * up[:-1], out=total[1:])
+        return mix((total[high] - total[low]) * down[low] + (high - low).astype(_U))
+
+
 def word_hashes(texts: list[bytes], separators: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words of many texts and where those of each text begin, in steps of bounded size."""
     hashes, first, low, size = [np.empty(0, _U)], [np.zeros(1, np.int64)], 0, 0
