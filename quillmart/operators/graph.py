@@ -23,16 +23,27 @@ def attribute_degrees(edges: DataFrame) -> DataFrame:
 
 
 def product_projection(edges: DataFrame, hub_share: float = 0.35, least_shared: int = 2, least_similarity: float = 0.3) -> DataFrame:
-    """Products that share attributes, by weighted Jaccard; attributes of too many products are left out first."""
+    """Products that share attributes, by weighted Jaccard; attributes of too many products are left out first.
+
+    Products with equal attributes and weights are one class, so pairs are made and measured between classes; only pairs that are
+    similar enough are spelled out for their products, which is as large as the result itself.
+    """
     n = edges.agg(F.count_distinct("product_id").alias("n"))
     kept = attribute_degrees(edges).crossJoin(F.broadcast(n)).where(F.col("degree") <= F.greatest(F.lit(2), F.floor(F.lit(hub_share) * F.col("n")))).select("attribute")
     used = edges.join(kept, "attribute").groupBy("product_id", "attribute").agg(F.max("weight").alias("w"))
-    mass = used.groupBy("product_id").agg(F.sum("w").alias("mass"))
-    both = used.alias("x").join(used.alias("y"), (F.col("x.attribute") == F.col("y.attribute")) & (F.col("x.product_id") < F.col("y.product_id")))
-    pairs = both.groupBy(F.col("x.product_id").alias("product_a"), F.col("y.product_id").alias("product_b")).agg(F.sum(F.least("x.w", "y.w")).alias("shared_weight"), F.count("*").alias("n_shared")).where(F.col("n_shared") >= least_shared)
-    a, b = (mass.select(F.col("product_id").alias(f"product_{s}"), F.col("mass").alias(f"mass_{s}")) for s in "ab")
+    sets = used.groupBy("product_id").agg(F.sort_array(F.collect_list(F.struct("attribute", "w"))).alias("items"))
+    named = stored(sets.select("items", F.struct("product_id").alias("p")).groupBy("items").agg(F.min("p.product_id").alias("class"), F.collect_list("p.product_id").alias("members")), "projection-classes")
+    members = named.select("class", F.explode("members").alias("product_id"))
+    mass = F.aggregate("items", F.lit(0).cast("long"), lambda a, i: a + i["w"])
+    classes = named.select("class", mass.alias("mass"), F.explode("items").alias("i")).select("class", "mass", "i.*")
+    both = classes.alias("x").join(classes.alias("y"), (F.col("x.attribute") == F.col("y.attribute")) & (F.col("x.class") < F.col("y.class")))
+    shared = both.groupBy(F.col("x.class").alias("a"), F.col("y.class").alias("b")).agg(F.sum(F.least("x.w", "y.w")).alias("shared_weight"), F.count("*").alias("n_shared"), F.first("x.mass").alias("mass_a"), F.first("y.mass").alias("mass_b"))
     similar = F.col("shared_weight") / (F.col("mass_a") + F.col("mass_b") - F.col("shared_weight"))
-    return pairs.join(a, "product_a").join(b, "product_b").select("product_a", "product_b", "n_shared", "shared_weight", similar.alias("similarity")).where(F.col("similarity") >= least_similarity)
+    near = shared.where(F.col("n_shared") >= least_shared).select("a", "b", "n_shared", "shared_weight", similar.alias("similarity")).where(F.col("similarity") >= least_similarity)
+    own = named.where((F.size("items") >= least_shared) & (F.size("members") > 1)).select(F.col("class").alias("a"), F.col("class").alias("b"), F.size("items").cast("long").alias("n_shared"), mass.alias("shared_weight"), F.lit(1.0).alias("similarity"))
+    side = lambda c: members.select(F.col("class").alias(c), F.col("product_id").alias(f"p_{c}"))
+    pairs = near.unionByName(own).join(side("a"), "a").join(side("b"), "b").where("a != b or p_a < p_b")
+    return pairs.select(F.least("p_a", "p_b").alias("product_a"), F.greatest("p_a", "p_b").alias("product_b"), "n_shared", "shared_weight", "similarity")
 
 
 def top_similar(projection: DataFrame, k: int = 5) -> DataFrame:
@@ -67,17 +78,23 @@ def undirected(edges: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def hop_distances(both: DataFrame, start: str) -> DataFrame:
-    """Breadth-first distances from a node over symmetric edges (u, v); each round joins the frontier alone."""
+    """Breadth-first distances from a node over symmetric edges (u, v); each round joins the frontier alone.
+
+    A neighbour of a level lies in that level, the one before or the next, so those two are all that a round looks back at.
+    """
     both = stored(both, "bfs-edges")
-    seen = stored(both.where(F.col("u") == start).select(F.col("u").alias("node"), F.lit(0).cast("long").alias("distance")).distinct(), "bfs")
-    frontier, depth = seen.select("node"), 0
+    level = stored(both.where(F.col("u") == start).select(F.col("u").alias("node"), F.lit(0).cast("long").alias("distance")).distinct(), "bfs")
+    seen, before, depth = level, level, 0
     while True:
         depth += 1
-        found = both.join(frontier.withColumnRenamed("node", "u"), "u").select(F.col("v").alias("node")).distinct().join(seen, "node", "left_anti")
-        frontier = stored(found, "bfs-frontier")
-        if frontier.isEmpty():
+        near = level.select("node").union(before.select("node"))
+        found = both.join(level.select(F.col("node").alias("u")), "u").select(F.col("v").alias("node")).distinct().join(near, "node", "left_anti")
+        before, level = level, stored(found.withColumn("distance", F.lit(depth).cast("long")), "bfs-level")
+        if level.isEmpty():
             return seen
-        seen = seen.unionByName(frontier.withColumn("distance", F.lit(depth).cast("long")))
+        seen = seen.unionByName(level)
+        if depth % 8 == 0:
+            seen = stored(seen, "bfs")
 
 
 def components(both: DataFrame) -> DataFrame:
@@ -95,12 +112,18 @@ def components(both: DataFrame) -> DataFrame:
 
 
 def pagerank(edges: DataFrame, rounds: int = 5, damping: float = 0.85) -> DataFrame:
-    """PageRank of a symmetric weighted graph (u, v, w) after a fixed number of rounds from equal ranks."""
+    """PageRank of a symmetric weighted graph (u, v, w) after a fixed number of rounds from equal ranks.
+
+    The moves are laid out by u once, so a round only shuffles ranks; ranks are stored every five rounds.
+    """
     out = edges.groupBy("u").agg(F.sum("w").alias("out"))
-    moves = stored(edges.join(out, "u").select("u", "v", (F.col("w") / F.col("out")).alias("p")), "rank-moves")
+    moves = stored(edges.join(out, "u").select("u", "v", (F.col("w") / F.col("out")).alias("p")), "rank-moves").repartition("u").persist()
     n = out.count()
-    ranks = out.select(F.col("u").alias("node"), F.lit(1.0 / n).alias("rank"))
-    for _ in range(rounds):
+    ranks = moves.select(F.col("u").alias("node")).distinct().withColumn("rank", F.lit(1.0 / max(n, 1)))
+    for i in range(1, rounds + 1):
         given = moves.join(ranks.withColumnRenamed("node", "u"), "u").groupBy(F.col("v").alias("node")).agg(F.sum(F.col("rank") * F.col("p")).alias("given"))
-        ranks = stored(given.select("node", (F.lit((1 - damping) / n) + damping * F.col("given")).alias("rank")), "rank")
+        ranks = given.select("node", (F.lit((1 - damping) / n) + damping * F.col("given")).alias("rank"))
+        if i % 5 == 0 or i == rounds:
+            ranks = stored(ranks, "rank")
+    moves.unpersist()
     return ranks
