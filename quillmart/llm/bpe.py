@@ -15,16 +15,15 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import pyarrow as pa
 import public_tokenizers
 import tiktoken
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
-from .common import packed_schema, steps
+from .common import on_texts, struct_array
 
 #: Characters of a leaf, so that all but the shortest texts are put together by the tree.
 LEAF = 128
@@ -97,17 +96,16 @@ class Codec:
 _codecs: dict[str, Codec] = {}
 
 
-def _with_codec(df: DataFrame, path: str, pattern: str, step: Callable, schema: StructType) -> DataFrame:
-    """Run step(codec, batch) on every batch; the vocabulary (of a fixed size) is broadcast, so only the driver reads its file."""
-    shared = df.sparkSession.sparkContext.broadcast((read_ranks(path), pattern))
+def _with_codec(spark: SparkSession, path: str, pattern: str, step: Callable[[Codec, list[str]], pa.Array], kind: str) -> Callable[[Column], Column]:
+    """A function of a text column that runs step(codec, texts); the vocabulary (of a fixed size) is broadcast, so only the driver reads its file."""
+    shared = spark.sparkContext.broadcast((read_ranks(path), pattern))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in steps(batches, "text"):
-            if path not in _codecs:
-                _codecs[path] = Codec(*shared.value)
-            yield step(_codecs[path], batch)
+    def run(texts: pa.Array) -> pa.Array:
+        if path not in _codecs:
+            _codecs[path] = Codec(*shared.value)
+        return step(_codecs[path], [t or "" for t in texts.to_pylist()])
 
-    return df.mapInArrow(run, schema)
+    return on_texts(kind, run)
 
 
 def vocabulary() -> tuple[str, str]:
@@ -116,25 +114,25 @@ def vocabulary() -> tuple[str, str]:
 
 def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
     """`row` (all columns of docs) and its ids."""
-    packed = docs.select(F.struct("*").alias("row"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
-    def step(codec: Codec, batch: pa.RecordBatch) -> pa.RecordBatch:
-        ids = [codec.encode(t) for t in batch.column("text").to_pylist()]
-        return pa.RecordBatch.from_arrays([batch.column("row"), pa.array(ids, pa.list_(pa.int32()))], ["row", "ids"])
+    def step(codec: Codec, texts: list[str]) -> pa.Array:
+        return pa.array([codec.encode(t) for t in texts], pa.list_(pa.int32()))
 
-    return _with_codec(packed, path or vocabulary()[0], pattern or vocabulary()[1], step, packed_schema(packed.schema["row"], "ids array<int>"))
+    ids = _with_codec(docs.sparkSession, path or vocabulary()[0], pattern or vocabulary()[1], step, "array<int>")
+    return docs.select(F.struct("*").alias("row"), ids(F.col("text").cast("string")).alias("ids"))
 
 
 def round_trip(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
     """`row`, n_tokens and the SHA-256 of the ids and of the bytes decoded from them, in one pass over the texts."""
-    packed = docs.select(F.struct("*").alias("row"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
-    def step(codec: Codec, batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = []
-        for text in batch.column("text").to_pylist():
+    def step(codec: Codec, texts: list[str]) -> pa.Array:
+        n, of_ids, of_bytes = [], [], []
+        for text in texts:
             ids = codec.encode(text)
-            found.append((len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(codec.decode(ids)).hexdigest()))
-        n, of_ids, of_bytes = zip(*found, strict=True)
-        return pa.RecordBatch.from_arrays([batch.column("row"), pa.array(n, pa.int64()), pa.array(of_ids), pa.array(of_bytes)], ["row", "n_tokens", "ids_sha256", "decoded_sha256"])
+            n.append(len(ids))
+            of_ids.append(hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
+            of_bytes.append(hashlib.sha256(codec.decode(ids)).hexdigest())
+        return struct_array({"n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(of_ids, pa.string()), "decoded_sha256": pa.array(of_bytes, pa.string())})
 
-    return _with_codec(packed, path or vocabulary()[0], pattern or vocabulary()[1], step, packed_schema(packed.schema["row"], "n_tokens long, ids_sha256 string, decoded_sha256 string"))
+    found = _with_codec(docs.sparkSession, path or vocabulary()[0], pattern or vocabulary()[1], step, "struct<n_tokens:bigint,ids_sha256:string,decoded_sha256:string>")
+    return docs.select(F.struct("*").alias("row"), found(F.col("text").cast("string")).alias("found")).select("row", "found.*")

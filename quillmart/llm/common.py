@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
+import gc
 import itertools
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructField, StructType
+from pyspark.sql.types import DataType, StructField, StructType
 
 #: Bytes of text that one numpy step takes at once; bounds a Python worker's memory.
 STEP_BYTES = 1_000_000
@@ -45,8 +46,14 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it again: cuts the lineage and survives lost executors."""
+    """Write df to the shared folder and read it again: cuts the lineage and survives lost executors.
+
+    Spark deletes shuffle files once the driver has collected the plans that made them, so that is asked for first: what stands
+    on disk is then one step's shuffles and not those of all steps before.
+    """
     path = scratch(df.sparkSession, name)
+    gc.collect()
+    df.sparkSession._jvm.System.gc()
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -176,6 +183,25 @@ def steps(batches: Iterator[pa.RecordBatch], column: str, limit: int = STEP_BYTE
         yield batch.slice(at)
 
 
+def on_texts(kind: str, step: Callable[[pa.Array], pa.Array]) -> Callable[[Column], Column]:
+    """A function of a text column that works on Arrow arrays of bounded size; only the texts go to Python, the rest of the row stays where it is. kind: DDL of its type."""
+
+    def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for array in texts:
+            parts = [step(b.column(0)) for b in steps(iter([pa.RecordBatch.from_arrays([array], ["text"])]), "text")]
+            yield pa.concat_arrays(parts) if parts else step(array)
+
+    return F.arrow_udf(run, _parsed(kind))
+
+
+def _parsed(kind: str) -> DataType:
+    return StructType.fromDDL(f"x {kind}")["x"].dataType
+
+
+def struct_array(columns: dict[str, pa.Array]) -> pa.Array:
+    return pa.StructArray.from_arrays(list(columns.values()), list(columns))
+
+
 def as_bytes(column: pa.Array) -> list[bytes]:
     """Texts as UTF-8, null as empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

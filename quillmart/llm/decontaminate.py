@@ -12,23 +12,21 @@ out once in `row`, repeated rows too; other columns, whatever their names, stay
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable
 
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructField
+from pyspark.sql.types import StringType
 
-from .common import ALNUM_TABLE, as_bytes, packed_schema, steps, stored
+from .common import ALNUM_TABLE, NONWORD, Words, as_bytes, on_texts, stored, struct_array
 
 PHRASE = 10
 SAMPLE = 8
 #: Bytes of benchmark text that one broadcast holds; a larger benchmark is split by hash and searched block after block, one of them in memory at a time.
 BLOCK_BYTES = 4_000_000
-#: Symbols of one shard's index.
-SHARD_SYMBOLS = 1 << 19
 
 
 class Phrases:
@@ -148,37 +146,34 @@ def search_shard(ids: np.ndarray, phrases: Phrases) -> tuple[np.ndarray, np.ndar
     return source[index.locate(rows)], which
 
 
-def _shards(batches: Iterator[pa.RecordBatch], vocabulary: dict[bytes, int]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """Batches with their word numbers, a 0 after each document, and the documents' bounds."""
-    number = vocabulary.get
-    for batch in steps(batches, "text", SHARD_SYMBOLS * 4):
-        parts, bounds, at = [], [0], 0
-        for text in as_bytes(batch.column("text")):
-            words = text.translate(ALNUM_TABLE).split()
-            parts.append(np.fromiter((number(w, 0) for w in words), np.int64, len(words)))
-            parts.append(np.zeros(1, np.int64))
-            at += len(words) + 1
-            bounds.append(at)
-        yield batch, np.concatenate(parts), np.array(bounds)
+def _numbered(texts: pa.Array, vocabulary: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Word numbers of a shard, a 0 after each document, and the documents' bounds."""
+    number, parts, bounds = vocabulary.get, [np.empty(0, np.int64)], [0]
+    for text in as_bytes(texts):
+        words = text.translate(ALNUM_TABLE).split()
+        parts += [np.fromiter((number(w, 0) for w in words), np.int64, len(words)), np.zeros(1, np.int64)]
+        bounds.append(bounds[-1] + len(words) + 1)
+    return np.concatenate(parts), np.array(bounds)
 
 
-def _searcher(shared: Broadcast):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _searcher(shared: Broadcast) -> Callable[[Column], Column]:
+    """A function of a text column: its number of words, the items found and their merged spans."""
+
+    def run(texts: pa.Array) -> pa.Array:
         phrases: Phrases = shared.value
-        for batch, ids, bounds in _shards(batches, phrases.vocabulary):
-            at, which = search_shard(ids, phrases)
-            order = np.argsort(at, kind="stable")
-            at, which = at[order], which[order]
-            cut = np.searchsorted(at, bounds)
-            items, spans = [], []
-            for i in range(batch.num_rows):
-                mine, kinds = at[cut[i] : cut[i + 1]] - bounds[i], which[cut[i] : cut[i + 1]]
-                items.append([*batch.column("items")[i].as_py(), *{x for k in set(kinds.tolist()) for x in phrases.items[k]}])
-                spans.append(batch.column("spans")[i].as_py() + merged(mine, mine + phrases.sizes[kinds]))
-            columns = [batch.column("row"), batch.column("text"), pa.array(np.diff(bounds) - 1), pa.array(items, pa.list_(pa.int64())), pa.array(spans, pa.list_(_SPAN))]
-            yield pa.RecordBatch.from_arrays(columns, ["row", "text", "n_words", "items", "spans"])
-
-    return run
+        ids, bounds = _numbered(texts, phrases.vocabulary)
+        at, which = search_shard(ids, phrases)
+        order = np.argsort(at, kind="stable")
+        at, which = at[order], which[order]
+        cut = np.searchsorted(at, bounds)
+        items, spans = [], []
+        for i in range(len(texts)):
+            mine, kinds = at[cut[i] : cut[i + 1]] - bounds[i], which[cut[i] : cut[i + 1]]
+            items.append(sorted({x for k in set(kinds.tolist()) for x in phrases.items[k]}))
+            spans.append(merged(mine, mine + phrases.sizes[kinds]))
+        return struct_array({"n_words": pa.array(np.diff(bounds) - 1), "items": pa.array(items, pa.list_(pa.int64())), "spans": pa.array(spans, pa.list_(_SPAN))})
+
+    return on_texts("struct<n_words:bigint,items:array<bigint>,spans:array<struct<start:bigint,end:bigint>>>", run)
 
 
 _SPAN = pa.struct([("start", pa.int64()), ("end", pa.int64())])
@@ -195,13 +190,6 @@ def merged(starts: np.ndarray, ends: np.ndarray) -> list[dict]:
     return out
 
 
-def _with_hits(docs: DataFrame, block: Broadcast, row: StructField) -> DataFrame:
-    return docs.mapInArrow(_searcher(block), packed_schema(row, f"text string, n_words long, items array<bigint>, {_SPANS_DDL}"))
-
-
-_SPANS_DDL = "spans array<struct<start:bigint,end:bigint>>"
-
-
 def decontaminate(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """`row`, n_words, items (ids found, each once) and spans [start, end) of hit words, merged, of every document.
 
@@ -214,26 +202,22 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOC
     n = max(1, -(-total // block_bytes))
     block = lambda b: spark.sparkContext.broadcast(Phrases((r.item_id, r.text) for r in asked.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b).toLocalIterator()))
     packed = docs.select(F.struct("*").alias("row"), F.col("text").cast("string").alias("text"))
-    row = packed.schema["row"]
-    nothing = [F.lit(0).cast("long").alias("n_words"), F.array().cast("array<bigint>").alias("items"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("spans")]
     if n == 1:
-        return _with_hits(packed.select("row", "text", *nothing), block(0), row).select("row", "n_words", F.array_distinct("items").alias("items"), "spans")
-    name = F.struct(F.xxhash64("text"), F.xxhash64(F.lit(1), F.col("text")))  # 128 bits name a text
-    texts = packed.where("text is not null").select(name.alias("row"), "text", *nothing)
-    found = None
+        return packed.select("row", _searcher(block(0))(F.col("text")).alias("found")).select("row", "found.*")
+    name = F.struct(F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), F.col("text")).alias("h2"))  # 128 bits name a text
+    texts, hits = packed.where("text is not null").select(name.alias("name"), "text"), None
     for b in range(n - 1):
         shared = block(b)
-        hits = stored(_with_hits(texts, shared, texts.schema["row"]).where("size(spans) > 0").select(F.col("row").alias("name"), "items", "spans"), "decontaminate-block")
-        found = hits if found is None else found.union(hits)
+        part = stored(texts.select("name", _searcher(shared)(F.col("text")).alias("found")).where("size(found.spans) > 0").select("name", "found.items", "found.spans").distinct(), "decontaminate-block")
+        hits = part if hits is None else hits.union(part)
         shared.destroy()
-    once = found.distinct().groupBy("name").agg(F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"), F.flatten(F.collect_list("spans")).alias("spans"))
-    before = stored(once, "decontaminate-before")
-    joined = packed.withColumn("name", name).join(before, "name", "left")
-    known = joined.select("row", "text", nothing[0], *(F.coalesce(c, e).alias(c) for c, e in zip(("items", "spans"), nothing[1:], strict=True)))
+    before = stored(hits.groupBy("name").agg(F.flatten(F.collect_list("items")).alias("more_items"), F.flatten(F.collect_list("spans")).alias("more_spans")), "decontaminate-before")
+    last = packed.withColumn("name", name).join(before, "name", "left").withColumn("found", _searcher(block(n - 1))(F.col("text")))
+    both = lambda c: F.concat(F.col(f"found.{c}"), F.coalesce(F.col(f"more_{c}"), F.array().cast(dict(before.dtypes)[f"more_{c}"])))
     # spans of several blocks are merged once more
     join = lambda acc, x: F.when((F.size(acc) > 0) & (x["start"] <= F.element_at(acc, -1)["end"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["end"], x["end"]).alias("end"))))).otherwise(F.concat(acc, F.array(x)))
-    spans = F.aggregate(F.array_sort("spans"), nothing[2], join)
-    return _with_hits(known, block(n - 1), row).select("row", "n_words", F.array_distinct("items").alias("items"), spans.alias("spans"))
+    spans = F.aggregate(F.array_sort(both("spans")), F.array().cast("array<struct<start:bigint,end:bigint>>"), join)
+    return last.select("row", "found.n_words", F.array_distinct(both("items")).alias("items"), spans.alias("spans"))
 
 
 def report(found: DataFrame) -> DataFrame:
@@ -243,18 +227,8 @@ def report(found: DataFrame) -> DataFrame:
     return found.select(F.col("row.doc_id").alias("doc_id"), "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(ids, 256).alias("items_sha256"), (hit > 0).alias("contaminated"))
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = []
-        for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
-            texts.append(remove_words(text, [(s["start"], s["end"]) for s in spans]) if spans else text)
-        yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(texts, pa.string())], ["row", "text"])
-
-
 def remove_words(text: str, spans: list[tuple[int, int]]) -> str:
     """The text without the bytes from the first to the last word of each span, spans being sorted and apart."""
-    from .common import NONWORD, Words
-
     data = text.encode()
     words = Words([data], NONWORD, True)
     at, out = 0, []
@@ -264,6 +238,12 @@ def remove_words(text: str, spans: list[tuple[int, int]]) -> str:
     return b"".join([*out, data[at:]]).decode()
 
 
+def _cut(texts: pa.Array, spans: pa.Array) -> pa.Array:
+    return pa.array([None if t is None else remove_words(t, [(s["start"], s["end"]) for s in x]) for t, x in zip(texts.to_pylist(), spans.to_pylist(), strict=True)], pa.string())
+
+
 def removed(found: DataFrame) -> DataFrame:
-    """`row` with `text` being what is left of the document after its spans are removed."""
-    return found.select("row", F.col("row.text").cast("string").alias("text"), "spans").mapInArrow(_cut, packed_schema(found.schema["row"], "text string"))
+    """`row` with `text` being what is left of the document after its spans are removed. Only texts with spans go to Python for that."""
+    text, hit = F.col("row.text").cast("string"), F.size("spans") > 0
+    left = F.arrow_udf(_cut, StringType())(F.when(hit, text), F.col("spans"))
+    return found.select("row", F.coalesce(left, text).alias("text"))

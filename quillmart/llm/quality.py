@@ -1,21 +1,21 @@
 """Quality rules: cut-offs learnt from mergeable quantile sketches per language and source, then a join that filters.
 
 Rows in: `text` with optional `lang` and `source` columns. Every row comes out once, in `row`, with its counts and verdict.
-Null and empty texts have no words and fail the base rule. Null languages and sources form groups of their own. Repeated
-rows are judged alike. Other columns, whatever their names, stay inside `row`. An empty table gives an empty result.
+Null and empty texts have no words and fail the base rule. Null (or missing) languages and sources form groups of their own. Repeated
+rows are judged alike. Quantiles of groups of more than SKETCH_K rows come from a randomised sketch: a text within about 1 / SKETCH_K of
+a fence's rank may be judged differently on another run. Other columns, whatever their names, stay inside `row`. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, packed_schema, steps, stored
+from .common import as_bytes, on_texts, stored, struct_array
 
 #: Items that a sketch keeps per level; quantiles of groups up to this size are exact, larger ones within about 1 / size.
 SKETCH_K = 1024
@@ -61,16 +61,16 @@ def _counts(text: bytes) -> tuple[int, ...]:
     return len(words), chars, symbols, repeats, _repeated_words(words), len(lines)
 
 
-def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in steps(batches, "text"):
-        found = np.array([_counts(t) for t in as_bytes(batch.column("text"))], np.int64).reshape(-1, len(COUNTS))
-        yield pa.RecordBatch.from_arrays([batch.column("row"), *map(pa.array, found.T)], ["row", *COUNTS])
+def _measure(texts: pa.Array) -> pa.Array:
+    found = np.array([_counts(t) for t in as_bytes(texts)], np.int64).reshape(-1, len(COUNTS))
+    return struct_array({c: pa.array(v) for c, v in zip(COUNTS, found.T, strict=True)})
 
 
 def measure(docs: DataFrame) -> DataFrame:
-    """`row` (all columns of docs) and its counts; one pass, no shuffle."""
-    packed = docs.select(F.struct("*").alias("row"), F.col("text").cast("string").alias("text"))
-    return packed.mapInArrow(_measure, packed_schema(packed.schema["row"], ", ".join(f"{c} long" for c in COUNTS)))
+    """`row` (all columns of docs), its lang and source (null if docs have no such column) and its counts; one pass, no shuffle."""
+    counts = on_texts("struct<" + ",".join(f"{c}:bigint" for c in COUNTS) + ">", _measure)
+    group = [(F.col(c) if c in docs.columns else F.lit(None)).cast("string").alias(c) for c in ("lang", "source")]
+    return docs.select(F.struct("*").alias("row"), *group, counts(F.col("text").cast("string")).alias("counts")).select("row", "lang", "source", "counts.*")
 
 
 def base_failed() -> Column:
@@ -105,11 +105,8 @@ def quality_rules(docs: DataFrame) -> DataFrame:
 
     The texts are measured twice, once for the sketches and once for the verdicts, so that no text is shuffled or stored.
     """
-    docs = docs if "lang" in docs.columns else docs.withColumn("lang", F.lit(None).cast("string"))
-    docs = docs if "source" in docs.columns else docs.withColumn("source", F.lit(None).cast("string"))
-    group = [F.col("row.lang").alias("lang"), F.col("row.source").alias("source")]
-    fit = stored(thresholds(measure(docs.select("text", "lang", "source")).select(*COUNTS, *group)), "quality-thresholds")
-    judged = measure(docs).alias("m").join(fit.alias("t"), F.col("m.row.lang").eqNullSafe(F.col("t.lang")) & F.col("m.row.source").eqNullSafe(F.col("t.source")), "left")
+    fit = stored(thresholds(measure(docs).drop("row")), "quality-thresholds")
+    judged = measure(docs).alias("m").join(fit.alias("t"), F.col("m.lang").eqNullSafe(F.col("t.lang")) & F.col("m.source").eqNullSafe(F.col("t.source")), "left")
     inside = F.lit(True)
     for k, ratio in _ratios().items():
         inside = inside & F.coalesce(ratio <= F.col(f"t.most_{k}"), F.lit(True))

@@ -397,3 +397,69 @@ def test_license_passages_with_changed_words(spark, monkeypatch):
     assert scan() == {1: "mit", 2: "", 3: "", 4: "mit", None: "mit", 5: ""}
     monkeypatch.setattr(licenses, "NEAR_DIAGONALS", 0)
     assert scan()[1] == ""
+
+
+def test_warc_ids_and_hot_payloads(spark):
+    """Negative and null ids, one payload shared by most rows, an empty table; all columns against a plain version."""
+    rows = [(i - 40, f"u{i}", "same" if i % 3 else prose(5, i)) for i in range(120)] + [(None, "n", "same"), (None, "m", None), (500, None, "")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    first = {}
+    for i, _, h in rows:
+        if i is not None:
+            first[h or ""] = min(first.get(h or "", i), i)
+    digest = lambda t: base64.b32encode(hashlib.sha1((t or "").encode()).digest()).decode()
+    want = sorted((str(i), len((h or "").encode()), digest(h), "response" if first[h or ""] == i else "revisit", str(None if first[h or ""] == i else first[h or ""])) for i, _, h in rows)
+    assert sorted((str(r.page_id), r.payload_bytes, r.payload_digest, r.record_type, str(r.refers_to)) for r in warc.archive_pages(pages).collect()) == want
+    assert warc.archive_pages(pages.limit(0)).count() == 0
+
+
+def test_benchmark_in_blocks(spark):
+    """Several blocks find what one block finds, spans that touch across blocks merge, and repeated benchmark rows change nothing."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet")
+    one = sorted(map(tuple, decontaminate.report(decontaminate.decontaminate(docs, bench)).collect()))
+    assert sorted(map(tuple, decontaminate.report(decontaminate.decontaminate(docs, bench.union(bench), 1500)).collect())) == one
+    assert any(r[-1] for r in one)
+
+
+def test_several_cascades(spark):
+    pages = spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "url")
+    verdicts = lambda most: sorted(map(tuple, urls.url_filter(pages, most_bits=most).select("row.page_id", "rule", "verdict").na.fill("").collect()))
+    assert verdicts(40) == verdicts(1 << 20)
+
+
+def test_extra_columns_of_any_name(spark):
+    """Spaces, dots, the operators' own names and upper case; null and missing groups of the quality rules."""
+    columns = ["doc_id", "text", "my col", "a.b", "row", "kept_row", "found", "spans", "Text2"]
+    docs = spark.createDataFrame([(1, prose(80, 1), "a", "b", "c", "d", "e", "f", "g"), (2, None, None, None, None, None, None, None, None), (3, prose(80, 1), "a", "b", "c", "d", "e", "f", "g")], ", ".join(f"`{c}` {'long' if c == 'doc_id' else 'string'}" for c in columns))
+    bench = spark.createDataFrame([(1, prose(80, 1))], "item_id long, text string")
+    assert quality.quality_rules(docs).select("row.*").columns == columns and quality.quality_rules(docs).where("kept").count() == 2
+    assert decontaminate.removed(decontaminate.decontaminate(docs, bench)).where("text = ''").count() == 2
+    assert bpe.encode(docs).select("row.*").columns == bpe.round_trip(docs).select("row.*").columns == columns
+    assert suffixes.without_copies(docs).select("doc.*").columns == columns
+    pages = docs.withColumnRenamed("text", "html").withColumn("url", wrappers.F.lit("http://h/p"))
+    assert wrappers.extract(pages).select("row.*").columns == pages.columns and urls.url_filter(pages).select("row.*").columns == pages.columns
+
+
+def test_pipeline_on_odd_rows(spark, tmp_path):
+    """Nulls, empty texts, repeated rows, odd names and an empty table go through all stages."""
+    good = {i: prose(120, 40 + i) for i in range(4)}
+    rows = [(i, t, "x") for i, t in good.items()] + [(0, good[0], "x"), (9, good[0].rsplit(" ", 1)[0], "y"), (None, good[1], "z"), (7, None, "x"), (8, "", "x"), (10, " \n", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `my col` string")
+    for frame, ids in ((docs, [0, 1, 2, 3]), (docs.limit(0), [])):
+        sf = str(tmp_path / str(len(ids)))
+        frame.write.parquet(f"{sf}/documents.parquet")
+        spark.createDataFrame([(1, prose(12, 999)), (2, None)], "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
+        out = corpus_pipeline.run(spark, sf).collect()
+        assert sorted(r.doc_id for r in out) == ids
+        assert {r.decoded_sha256 for r in out} == {hashlib.sha256(good[i].encode()).hexdigest() for i in ids}
+
+
+def test_quality_groups(spark):
+    """Small groups take their language's fences, missing columns form one group, and the fences follow the group's own texts."""
+    noisy = lambda i: " ".join(f"{w}#" for w in prose(60, i).split())
+    rows = [(i, noisy(i), "en", "hash") for i in range(40)] + [(100 + i, prose(60, 100 + i), "en", "plain") for i in range(40)] + [(500, noisy(500), "en", "plain"), (501, noisy(501), "en", "hash"), (502, noisy(502), "de", "few")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    kept = {r.doc_id: r.kept for r in quality.quality_rules(docs).select("row.doc_id", "kept").collect()}
+    assert not kept[500] and kept[501] and kept[502] and sum(kept.values()) == 82
+    assert quality.quality_rules(docs.select("doc_id", "text")).count() == 83
