@@ -17,19 +17,20 @@ ATTRIBUTE_HIT, NAME_HIT, FUZZY, EXACT, BREADTH = 1.1, 1.4, 0.35, 1.0, 0.01
 SEARCHED = ("product_type", "subtype", "accessory", "shape", "feature", "material", "color", "capacity_text", "mouth_size_text", "use_category", "material_family")
 
 
-def _runs(name: Column) -> Column:
-    """Runs of three characters of a name (the name itself if it is shorter)."""
-    return F.when(F.length(name) < 3, F.array(name)).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(name) - 2), lambda i: name.substr(i, F.lit(3)))))
+def _pairs_of_letters(name: Column) -> Column:
+    """Pairs of neighbouring letters in the words of a name; a word of one letter stands for itself."""
+    of = lambda w: F.when(F.length(w) < 2, F.array(w)).otherwise(F.transform(F.sequence(F.lit(1), F.length(w) - 1), lambda i: w.substr(i, F.lit(2))))
+    return F.array_distinct(F.flatten(F.transform(F.split(name, " "), of)))
 
 
 def scored_names(asked: DataFrame, names: DataFrame) -> DataFrame:
-    """asked, name, score of normalised texts (column asked) and names (column name) that share a run of three characters.
+    """asked, name, score of normalised texts (column asked) and names (column name) that share a quarter of the letter pairs of either.
 
-    Only such pairs can be alike enough to be accepted or ambiguous; both sides are distinct names, so copies cost nothing.
+    What is alike enough to be accepted or ambiguous does; both sides are distinct names, so copies cost nothing.
     """
-    left = asked.select("asked").where("asked != ''").distinct().withColumn("run", F.explode(_runs(F.col("asked"))))
-    right = names.select("name").where("name != ''").distinct().withColumn("run", F.explode(_runs(F.col("name"))))
-    return left.join(right, "run").select("asked", "name").distinct().withColumn("score", F.round(similarity("asked", "name"), 4))
+    split = lambda df, c: df.select(c).where(F.col(c) != "").distinct().withColumn("pairs", _pairs_of_letters(F.col(c))).select(c, F.size("pairs").alias(f"n_{c}"), F.explode("pairs").alias("pair"))
+    both = split(asked, "asked").join(split(names, "name"), "pair").groupBy("asked", "name").agg(F.count("*").alias("n"), F.first("n_asked").alias("n_asked"), F.first("n_name").alias("n_name"))
+    return both.where("4 * n >= least(n_asked, n_name)").select("asked", "name").withColumn("score", F.round(similarity("asked", "name"), 4))
 
 
 def link_fuzzy(lines: DataFrame, products: DataFrame, accept: float = ACCEPT, lead: float = LEAD) -> DataFrame:
@@ -62,7 +63,7 @@ def link_all(tables: dict[str, DataFrame], products: DataFrame) -> DataFrame:
 
 
 def suggestions(texts: DataFrame, names: DataFrame, k: int = 5, least: float = SUGGEST) -> DataFrame:
-    """text, name, score: the k most similar names of each text, from a least score on, among those that share a run of three characters."""
+    """text, name, score: the k most similar names of each text, from a least score on, among those that scored_names() finds."""
     asked = texts.select("text").where("text is not null").distinct().withColumn("asked", normalized(F.col("text")))
     pairs = scored_names(asked, names.select(normalized(F.col("name")).alias("name"))).where(F.col("score") >= least)
     rank = F.row_number().over(Window.partitionBy("asked").orderBy(F.col("score").desc(), "name"))
