@@ -310,11 +310,11 @@ _REGISTRY = {
     "answer_offers": (lambda s, d: answers.offer_summary(supply.offer_candidates(base._options(s, d))), f"with {base._PURCHASES}, {base._OPTIONS}, {base._OFFERS}, b as (select min(edge_weight) w from offers group by product_id) select case when w < 0 then 'OFFER' when w > 0 then 'EXPENSIVE' else 'REFERENCE' end scenario, count(*) n_products, cast(-sum(w) as double) saving from b group by all"),
     "answer_budget": (lambda s, d: answers.budget_answers(budget.greedy_budget(base._lots(s, d)), budget.knapsack(base._lots(s, d))), None),
     "answer_cross_sell": (
-        lambda s, d: answers.cross_sell_answers(reports.association_rules(sales(s, d), 2, 0.0002, 0.01), reports.co_sales(sales(s, d)), products(s, d), reports.frequent_products(sales(s, d), 3)),
+        lambda s, d: answers.cross_sell_answers(reports.association_rules(sales(s, d), 2, 0.0001, 0.01), reports.co_sales(sales(s, d)), products(s, d), reports.frequent_products(sales(s, d), 3)),
         f"""with {base._PRODUCTS}, {base._SALES}, {base._BASKETS}, asked as (select product_id from baskets group by product_id order by count(*) desc, product_id limit 3), big as (select customer, date from baskets group by all having count(*) > 1), every as (select * from baskets join big using (customer, date)), n as (select count(*) n from big),
-        c as (select product_id, count(*) c from every group by all having count(*) >= 0.0002 * (select n from n)), items as (select * from every where product_id in (select product_id from c)),
+        c as (select product_id, count(*) c from every group by all having count(*) >= 0.0001 * (select n from n)), items as (select * from every where product_id in (select product_id from c)),
         p as (select x.product_id antecedent, y.product_id consequent, count(*) n_pairs from items x join items y on x.customer = y.customer and x.date = y.date and x.product_id <> y.product_id where x.product_id in (select product_id from asked) group by all having count(*) >= 2),
-        r as (select antecedent, consequent, n_pairs, n_pairs * n / (a.c * b.c) lift from p join c a on a.product_id = antecedent join c b on b.product_id = consequent, n where n_pairs >= 0.0002 * n and n_pairs >= 0.01 * a.c), best as (select * from r qualify row_number() over (partition by antecedent order by lift desc, consequent) <= 10),
+        r as (select antecedent, consequent, n_pairs, n_pairs * n / (a.c * b.c) lift from p join c a on a.product_id = antecedent join c b on b.product_id = consequent, n where n_pairs >= 0.0001 * n and n_pairs >= 0.01 * a.c), best as (select * from r qualify row_number() over (partition by antecedent order by lift desc, consequent) <= 10),
         plain as (select x.product_id antecedent, y.product_id consequent, row_number() over (partition by x.product_id order by count(*) desc, y.product_id) co_rank from baskets x join baskets y on x.customer = y.customer and x.date = y.date and x.product_id <> y.product_id where x.product_id in (select product_id from asked) group by x.product_id, y.product_id qualify co_rank <= 10)
         select antecedent, consequent, product_name recommended, n_pairs, lift, co_rank from best left join products on product_id = consequent left join plain using (antecedent, consequent)""",
     ),
