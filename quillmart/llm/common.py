@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import itertools
 import re
@@ -66,6 +67,26 @@ def dropped(*frames: DataFrame) -> None:
             where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
+#: Bits of a mark: 2 MB, broadcast.
+MARK_BITS = 1 << 24
+
+
+def marks(values: DataFrame, column: str) -> DataFrame:
+    """One row with `marks`, an array of 2^18 words of 64 bits: one bit set for every value of a column. Its size does not grow with the data."""
+    place = f"pmod(xxhash64({column}), {MARK_BITS})"
+    words = values.groupBy(F.expr(f"shiftright({place}, 6)").alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast({place} % 64 as int))")).alias("bits"))
+    out = [0] * (MARK_BITS // 64)
+    for r in words.toLocalIterator():
+        out[r.word] = r.bits
+    return values.sparkSession.createDataFrame([(out,)], "marks array<bigint>")
+
+
+def is_marked(column: str) -> Column:
+    """Whether a value's bit is set in `marks`: all marked values, and few others."""
+    place = f"pmod(xxhash64({column}), {MARK_BITS})"
+    return F.expr(f"shiftright(marks[cast(shiftright({place}, 6) as int)], cast({place} % 64 as int)) & 1 = 1")
+
+
 def row_key(seed: int = 0) -> Column:
     """One 64-bit key for doc_id and text of a row, the same for equal rows."""
     return F.xxhash64(F.lit(seed), F.col("doc_id").cast("long"), F.col("text").cast("string"))
@@ -168,9 +189,20 @@ def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
         return mix(out)
 
 
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def _let_go() -> None:
+    """Give back memory of what is done: Python workers live on from task to task beside the JVM."""
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
 def steps(batches: Iterator[pa.RecordBatch], column: str, limit: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that each holds about `limit` bytes of a text column, one whole text at least."""
     for batch in batches:
+        _let_go()
         if not batch.num_rows:
             continue
         sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0).cast(pa.int64()))
@@ -181,6 +213,7 @@ def steps(batches: Iterator[pa.RecordBatch], column: str, limit: int = STEP_BYTE
                 at, total = i, 0
             total += int(size)
         yield batch.slice(at)
+    _let_go()
 
 
 def on_texts(kind: str, step: Callable[[pa.Array], pa.Array]) -> Callable[[Column], Column]:
@@ -191,7 +224,8 @@ def on_texts(kind: str, step: Callable[[pa.Array], pa.Array]) -> Callable[[Colum
             parts = [step(b.column(0)) for b in steps(iter([pa.RecordBatch.from_arrays([array], ["text"])]), "text")]
             yield pa.concat_arrays(parts) if parts else step(array)
 
-    return F.arrow_udf(run, _parsed(kind))
+    # not to be copied into filters above: texts are worked on once
+    return F.arrow_udf(run, _parsed(kind)).asNondeterministic()
 
 
 def _parsed(kind: str) -> DataType:

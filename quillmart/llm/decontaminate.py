@@ -156,8 +156,8 @@ def _numbered(texts: pa.Array, vocabulary: dict[bytes, int]) -> tuple[np.ndarray
     return np.concatenate(parts), np.array(bounds)
 
 
-def _searcher(shared: Broadcast) -> Callable[[Column], Column]:
-    """A function of a text column: its number of words, the items found and their merged spans."""
+def _searcher(shared: Broadcast, cut: bool = False) -> Callable[[Column], Column]:
+    """A function of a text column: its number of words, the items found and their merged spans; with `cut` also what is left of a text that has spans."""
 
     def run(texts: pa.Array) -> pa.Array:
         phrases: Phrases = shared.value
@@ -165,15 +165,18 @@ def _searcher(shared: Broadcast) -> Callable[[Column], Column]:
         at, which = search_shard(ids, phrases)
         order = np.argsort(at, kind="stable")
         at, which = at[order], which[order]
-        cut = np.searchsorted(at, bounds)
+        low = np.searchsorted(at, bounds)
         items, spans = [], []
         for i in range(len(texts)):
-            mine, kinds = at[cut[i] : cut[i + 1]] - bounds[i], which[cut[i] : cut[i + 1]]
+            mine, kinds = at[low[i] : low[i + 1]] - bounds[i], which[low[i] : low[i + 1]]
             items.append(sorted({x for k in set(kinds.tolist()) for x in phrases.items[k]}))
             spans.append(merged(mine, mine + phrases.sizes[kinds]))
-        return struct_array({"n_words": pa.array(np.diff(bounds) - 1), "items": pa.array(items, pa.list_(pa.int64())), "spans": pa.array(spans, pa.list_(_SPAN))})
+        found = {"n_words": pa.array(np.diff(bounds) - 1), "items": pa.array(items, pa.list_(pa.int64())), "spans": pa.array(spans, pa.list_(_SPAN))}
+        if cut:
+            found["left"] = pa.array([_left(texts[i].as_py(), s) if s else None for i, s in enumerate(spans)], pa.string())
+        return struct_array(found)
 
-    return on_texts("struct<n_words:bigint,items:array<bigint>,spans:array<struct<start:bigint,end:bigint>>>", run)
+    return on_texts("struct<n_words:bigint,items:array<bigint>,spans:array<struct<start:bigint,end:bigint>>" + ",left:string" * cut + ">", run)
 
 
 _SPAN = pa.struct([("start", pa.int64()), ("end", pa.int64())])
@@ -190,9 +193,11 @@ def merged(starts: np.ndarray, ends: np.ndarray) -> list[dict]:
     return out
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES, cut: bool = False) -> DataFrame:
     """`row`, n_words, items (ids found, each once) and spans [start, end) of hit words, merged, of every document.
 
+    With `cut` a benchmark of one block also gives `left`, the texts that have spans without them, in the same pass.
+
     All blocks of the benchmark but the last are searched one by one, each with a broadcast of its own that is destroyed
     afterwards; what they find is stored by text, and the last block's pass takes it along.
     """
@@ -203,7 +208,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOC
     block = lambda b: spark.sparkContext.broadcast(Phrases((r.item_id, r.text) for r in asked.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b).toLocalIterator()))
     packed = docs.select(F.struct("*").alias("row"), F.col("text").cast("string").alias("text"))
     if n == 1:
-        return packed.select("row", _searcher(block(0))(F.col("text")).alias("found")).select("row", "found.*")
+        return packed.select("row", _searcher(block(0), cut)(F.col("text")).alias("found")).select("row", "found.*")
     name = F.struct(F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), F.col("text")).alias("h2"))  # 128 bits name a text
     texts, hits = packed.where("text is not null").select(name.alias("name"), "text"), None
     for b in range(n - 1):
@@ -238,12 +243,16 @@ def remove_words(text: str, spans: list[tuple[int, int]]) -> str:
     return b"".join([*out, data[at:]]).decode()
 
 
+def _left(text: str, spans: list[dict]) -> str:
+    return remove_words(text, [(s["start"], s["end"]) for s in spans])
+
+
 def _cut(texts: pa.Array, spans: pa.Array) -> pa.Array:
-    return pa.array([None if t is None else remove_words(t, [(s["start"], s["end"]) for s in x]) for t, x in zip(texts.to_pylist(), spans.to_pylist(), strict=True)], pa.string())
+    return pa.array([None if t is None else _left(t, x) for t, x in zip(texts.to_pylist(), spans.to_pylist(), strict=True)], pa.string())
 
 
 def removed(found: DataFrame) -> DataFrame:
-    """`row` with `text` being what is left of the document after its spans are removed. Only texts with spans go to Python for that."""
-    text, hit = F.col("row.text").cast("string"), F.size("spans") > 0
-    left = F.arrow_udf(_cut, StringType())(F.when(hit, text), F.col("spans"))
+    """`row` with `text` being what is left of the document after its spans are removed. Only texts with spans go to Python for that, if decontaminate() has not done it."""
+    text = F.col("row.text").cast("string")
+    left = F.col("left") if "left" in found.columns else F.arrow_udf(_cut, StringType())(F.when(F.size("spans") > 0, text), F.col("spans"))
     return found.select("row", F.coalesce(left, text).alias("text"))

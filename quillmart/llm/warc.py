@@ -24,13 +24,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import scratch, stored
+from .common import is_marked, marks, scratch, stored
 
 MAGIC = "WARC/1.0\r\n"
 END = "\r\n\r\n"
 LEAST_BYTES = 0
-#: Bits of the marks of digests that come more than once: 2 MB, broadcast.
-MARK_BITS = 1 << 24
 DATE = "2024-01-01T00:00:00Z"
 _HEX32, _BASE32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
@@ -41,16 +39,6 @@ def base32_sha1(text: Column) -> Column:
     return F.translate(F.concat(*[F.lpad(F.conv(F.substring(digest, 1 + 5 * i, 5), 16, 32), 4, "0") for i in range(8)]), _HEX32, _BASE32)
 
 
-def _marked(digests: DataFrame) -> DataFrame:
-    """One row with an array of 2^18 words of 64 bits: one bit set for every given digest. Its size does not grow with the data."""
-    bit = F.pmod(F.xxhash64("digest"), F.lit(MARK_BITS))
-    words = digests.groupBy(F.shiftright(bit, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(xxhash64(digest), {MARK_BITS}) % 64 as int))")).alias("bits"))
-    out = [0] * (MARK_BITS // 64)
-    for r in words.toLocalIterator():
-        out[r.word] = r.bits
-    return digests.sparkSession.createDataFrame([(out,)], "marks array<bigint>")
-
-
 def write_archives(pages: DataFrame, path: str, least_bytes: int = LEAST_BYTES) -> None:
     """Archives under `path`. The text writer ends each record with the blank lines that WARC asks for.
 
@@ -65,8 +53,7 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = LEAST_BYTES)
     order = F.struct(F.col("page_id").isNull().alias("last"), "page_id", "uri")
     large = rows.where(F.octet_length("payload") >= least_bytes)
     firsts = stored(large.groupBy("digest").agg(F.min(order).alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first"), "warc-firsts")
-    mark = F.expr(f"shiftright(marks[cast(shiftright(pmod(xxhash64(digest), {MARK_BITS}), 6) as int)], cast(pmod(xxhash64(digest), {MARK_BITS}) % 64 as int)) & 1 = 1")
-    told = rows.crossJoin(F.broadcast(_marked(firsts))).withColumn("marked", mark & (F.octet_length("payload") >= least_bytes)).drop("marks")
+    told = rows.crossJoin(F.broadcast(marks(firsts, "digest"))).withColumn("marked", is_marked("digest") & (F.octet_length("payload") >= least_bytes)).drop("marks")
     none = F.lit(None).cast(firsts.schema["first"].dataType)
     alone = told.where("not marked").select("id", "uri", "payload", "digest", F.lit(False).alias("revisit"), none.alias("first"))
     shared = told.where("marked").join(firsts, "digest", "left").select("id", "uri", "payload", "digest", F.coalesce(order != F.col("first"), F.lit(False)).alias("revisit"), "first")
