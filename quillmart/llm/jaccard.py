@@ -278,6 +278,7 @@ def _near(pairs: DataFrame, sides: DataFrame) -> DataFrame:
 
 def _tasks(members: DataFrame, by: str, sets: int, shingles: int) -> DataFrame:
     """by, x, y, class, asks: every block of asking members of a group meets every block of answering ones in the task (by, x, y). members: by, class, n, asks, answers."""
+    members = stored(members, "jaccard-members")
     blocks = lambda which: F.greatest(F.ceil(F.count_if(which) / sets), F.ceil(F.coalesce(F.sum(F.when(F.col(which), F.col("n"))), F.lit(0)) / shingles))
     open_ = stored(members.groupBy(by).agg(blocks("asks").alias("asking"), blocks("answers").alias("all")).where("asking > 0"), "jaccard-open")
     placed = members.join(open_, by).withColumn("own", F.xxhash64("class"))
