@@ -7,6 +7,7 @@ import gc
 import itertools
 import re
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -35,11 +36,19 @@ for _b in range(128):
 ALNUM_TABLE = bytes(32 if NONWORD[b] else _LOWER[b] for b in range(256))
 
 
+#: Seconds that a finished step's events are given.
+SETTLE_S = 0.5
+
+
+def _is_local(spark: SparkSession) -> bool:
+    return bool(re.fullmatch(r"local(\[[\d*, ]+\])?", spark.sparkContext.master))
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder under spark.checkpoint.dir. Only a local session without that setting, as in tests, gets a temporary folder."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
-        if not re.fullmatch(r"local(\[[\d*, ]+\])?", spark.sparkContext.master):
+        if not _is_local(spark):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.sparkContext.setCheckpointDir(root)
@@ -53,8 +62,10 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     on disk is then one step's shuffles and not those of all steps before.
     """
     path = scratch(df.sparkSession, name)
-    gc.collect()
-    df.sparkSession._jvm.System.gc()
+    if not _is_local(df.sparkSession):
+        time.sleep(SETTLE_S)  # until the events of the step before, which hold its plan, are dealt with
+        gc.collect()
+        df.sparkSession._jvm.System.gc()
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
