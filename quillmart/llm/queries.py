@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, compact, decontaminate, jaccard, licenses, quality, suffixes, urls, warc, wrappers
+from . import align, bpe, compact, decontaminate, jaccard, licenses, merkle, pieces, quality, suffixes, urls, warc, wrappers
 from . import sql as oracle
 
 
@@ -58,8 +58,21 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.report(suffixes.repeated_passages(_read(spark, sf_dir, "documents")))
 
 
+def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.round_trip(_read(spark, sf_dir, "documents").select("doc_id", "text")).select("row.doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "spans_sha256")
+
+
+def op12_cross_tokenizer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = align.cross_tokens(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("row.doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.tampered_manifest(_read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_decontamination, op2_html_extraction, op3_quality_rules, op4_substring_dedup, op5_license_scan, op6_warc, op7_url_filter, op8_ngram_jaccard, op9_byte_bpe, op10_suffix_dedup)
+    for f in (op1_decontamination, op2_html_extraction, op3_quality_rules, op4_substring_dedup, op5_license_scan, op6_warc, op7_url_filter, op8_ngram_jaccard, op9_byte_bpe, op10_suffix_dedup, op11_sentencepiece, op12_cross_tokenizer, op13_merkle_manifest)
 }
 ORACLE_SQL: dict[str, str] = oracle.ORACLE_SQL

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .licenses import BASE, GRAM, LEAST_COVERED, NEAR_DIAGONALS, TEMPLATES
+from .merkle import FIELDS
 from .quality import FENCES, LEAST_ROWS, MIN_WORDS
 from .urls import RULES
 
@@ -128,6 +129,45 @@ select x.doc_id, cast(x.n as bigint) n_repeated, cast(coalesce(y.n, 0) as bigint
 from texts x left join texts y on x.doc_id = y.doc_id and y.only_later where not x.only_later
 """
 
+
+
+def _levels(name: str, levels: int) -> str:
+    """Runs r of 16 nodes and the nodes above them, level by level; a tree of one node stays as it is."""
+    out = []
+    for k in range(levels):
+        out.append(f"{name}_r{k} as (select tree, pos // 16 up, list(digest order by pos) kids, any_value(size) size from (select *, count(*) over (partition by tree) size from {name}{k}) group by tree, pos // 16)")
+        out.append(f"{name}{k + 1} as (select tree, up pos, case when size = 1 then kids[1] else sha256(array_to_string(kids, '')) end digest from {name}_r{k})")
+    return ",\n".join(out)
+
+
+def _walk(name: str, at: int, levels: int) -> str:
+    """One more sibling pair for each level: their digests join the proof, and the digest of the way is folded with them."""
+    step = "array_to_string(kids[1:(pos % 16)], '') l, array_to_string(kids[(pos % 16 + 2):], '') r"
+    return ",\n".join(
+        f"w{at + k + 1} as (select doc_id, leaf, subtree, tree, up pos, case when size = 1 then proof else proof || l || r end proof, case when size = 1 then way else sha256(l || way || r) end way from (select w{at + k}.*, up, size, {step} from w{at + k} join {name}_r{k} on w{at + k}.tree = {name}_r{k}.tree and pos // 16 = up))"
+        for k in range(levels)
+    )
+
+
+_part = lambda c: f"coalesce(octet_length(encode(cast({c} as varchar))) || ':' || cast({c} as varchar), '-')"
+_CRC = "list_reduce(list_prepend(4294967295, flatten(list_transform(string_split(cast(doc_id as varchar), ''), lambda c: [cast(ascii(c) as bigint), -1, -1, -1, -1, -1, -1, -1, -1]))), lambda c, v: case when v >= 0 then xor(c, v) else xor(c >> 1, 3988292384 * (c & 1)) end)"
+_LEAF = f"sha256({' || '.join(map(_part, FIELDS[:-1]))} || {{}})"
+#: Levels for 16^5 rows of a source and 16^3 sources.
+_OP13 = f"""
+with docs as (select doc_id, source, text, {_LEAF.format(_part("text"))} leaf, {_LEAF.format(_part(_LOWER.format("text").replace("coalesce(text, '')", "text")))} forged,
+    xor({_CRC}, 4294967295) % 5 = 0 chosen from documents),
+placed as (select *, dense_rank() over (order by source nulls first) - 1 tree, row_number() over (partition by source order by doc_id nulls first, leaf) - 1 pos from docs),
+s0 as (select tree, pos, leaf digest from placed),
+{_levels("s", 5)},
+t0 as (select 0 tree, tree pos, digest from s5),
+{_levels("t", 3)},
+w0 as (select doc_id, leaf, tree subtree, tree, pos, '' proof, case when chosen and text is not null then forged else leaf end way from placed),
+{_walk("s", 0, 5)},
+w6 as (select doc_id, leaf, subtree, 0 tree, subtree pos, proof, way from w5),
+{_walk("t", 6, 3)}
+select doc_id, leaf, s5.digest subroot, t3.digest root, sha256(proof) proof_sha256, way folded_root, way = t3.digest verified from w9 join s5 on subtree = s5.tree, t3
+"""
+
 ORACLE_SQL = {
-    "op1_decontamination": _OP1, "op2_html_extraction": _OP2, "op3_quality_rules": _OP3, "op5_license_scan": _OP5, "op6_warc": _OP6, "op7_url_filter": _OP7, "op8_ngram_jaccard": _OP8, "op10_suffix_dedup": _OP10,
+    "op1_decontamination": _OP1, "op2_html_extraction": _OP2, "op3_quality_rules": _OP3, "op5_license_scan": _OP5, "op6_warc": _OP6, "op7_url_filter": _OP7, "op8_ngram_jaccard": _OP8, "op10_suffix_dedup": _OP10, "op13_merkle_manifest": _OP13,
 }
