@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillmart import queries as base
-from quillmart.operators import answers, budget, extraction, flows, graph, networks, normalize, paths, reports, retrieval, supply
+from quillmart.operators import answers, budget, communities, cuts, extraction, flows, graph, networks, normalize, paths, reports, retrieval, supply
 from quillmart.operators.attributes import CONFIDENCE, search
-from quillmart.plans.canonical import products, purchases, sales, table
+from quillmart.plans.canonical import products, purchases, sales, stored, table
 
 #: Mapping of the raw sales table: canonical field to its header.
 SALES_MAPPING = {"date": "Fecha", "product_id": "Codigo", "product_name": "Producto", "customer": "Cliente", "quantity": "Cantidad", "unit_price_net": "Valor Unitario", "subtotal_net": "Subtotal", "is_cancelled": "Anulado", "description": "Detalle"}
@@ -153,9 +153,37 @@ def _supplier_between(spark, sf_dir):
     return networks.betweenness(around, e.select(F.col("supplier").alias("node")))
 
 
-def _words(spark, sf_dir):
-    """Attributes that occur together, as a weighted graph."""
-    return graph.attribute_cooccurrence(base._edges(spark, sf_dir)).select(F.col("attribute_a").alias("source"), F.col("attribute_b").alias("target"), F.col("n_products").alias("weight"))
+def _described(spark, sf_dir, found):
+    return networks.describe_communities(found.select(F.col("product_id").alias("node"), "community"), products(spark, sf_dir).select(F.col("product_id").alias("node"), F.col("product_name").alias("label")))
+
+
+def _community_terms(spark, sf_dir):
+    return _described(spark, sf_dir, communities.product_communities(base._edges(spark, sf_dir)))
+
+
+def _answer_families(spark, sf_dir):
+    found = stored(communities.product_communities(base._edges(spark, sf_dir)), "families")
+    return answers.families(found, _described(spark, sf_dir, found))
+
+
+def _demand(spark, sf_dir):
+    """Units sold of every product: what the whole network is asked for."""
+    return sales(spark, sf_dir).where("is_active and quantity > 0").groupBy("product_id").agg(F.sum("quantity").alias("ordered"))
+
+
+def _network_flow(spark, sf_dir):
+    demand, options = stored(_demand(spark, sf_dir), "demand"), stored(base._options(spark, sf_dir), "options")
+    return cuts.shared_flow(demand, options, cuts.shared_cut(demand, options))
+
+
+#: Two products that share no supplier, or few, in the graph of suppliers and products.
+_ENDS = ("P|1", "P|57")
+_SHORTEST = f"""with recursive {base._PURCHASES}, trade as (select distinct 'S|' || supplier u, 'P|' || product_id v from purchases where is_active), both_ways as (select u, v from trade union select v, u from trade),
+walk(node, distance) as (select '{_ENDS[0]}', 0 union select v, distance + 1 from walk join both_ways on u = node where distance < 6),
+d as (select node, min(distance) distance from walk group by node), goal as (select * from d where node = '{_ENDS[1]}'),
+parents as (select b.u node, min(b.v) parent from both_ways b join d x on b.u = x.node join d y on b.v = y.node where y.distance = x.distance - 1 group by b.u),
+path(node, step) as (select node, distance from goal union all select parent, step - 1 from path join parents using (node)),
+seen as (select count(*) n from d where distance < (select distance from goal))"""
 
 
 def _sales_graph(spark, sf_dir):
@@ -275,6 +303,11 @@ _REGISTRY = {
         flow as (select request, min(units) max_flow from (select request, mask, sum(units) units from cuts group by all) group by request) select request, cast(sum(ordered) as bigint) demand, cast(any_value(max_flow) as bigint) max_flow, round(any_value(max_flow) / sum(ordered), 4) coverage from requests join flow using (request) group by request""",
     ),
     "min_cut_edges": (lambda s, d: flows.min_cut(_requests(s, d), base._options(s, d)), None),
+    "network_cut_edges": (lambda s, d: cuts.shared_cut(_demand(s, d), base._options(s, d)), None),
+    "network_max_flow": (_network_flow, None),
+    "shortest_path": (lambda s, d: paths.shortest_path(base._trade(s, d), *_ENDS), f"{_SHORTEST} select cast(step as bigint) step, node, n expanded from path, seen"),
+    "bidirectional_path": (lambda s, d: paths.bidirectional_path(base._trade(s, d), *_ENDS), None),
+    "path_comparison": (lambda s, d: paths.compare_searches(base._trade(s, d), *_ENDS), None),
     "saturated_suppliers": (lambda s, d: flows.saturated_suppliers(flows.min_cut(_requests(s, d), base._options(s, d))), None),
     "pagerank_converged": (lambda s, d: networks.pagerank_converged(base._trade(s, d)).select("node", F.round("rank", 7).alias("rank")), None),
     "top_ranked_products": (lambda s, d: _top_ranked(s, d), None),
@@ -301,10 +334,10 @@ _REGISTRY = {
         f"""with recursive {base._PLACES}, walk(s, node, path) as (select 'S' || s_suppkey, 'S' || s_suppkey, ['S' || s_suppkey] from supplier union all select s, v, list_append(path, v) from walk join both_ways on u = node where not list_contains(path, v)),
         through as (select unnest(path[2:-2]) node from walk where len(path) > 2), counts as (select node, count(*) / 2 b from through group by node) select node, coalesce(b, 0) betweenness from (select distinct u node from both_ways) left join counts using (node)""",
     ),
-    "communities": (lambda s, d: networks.communities(_words(s, d)), None),
-    "community_quality": (lambda s, d: networks.modularity(_words(s, d), networks.communities(_words(s, d))), None),
-    "community_terms": (lambda s, d: (lambda m: networks.describe_communities(m, m.select("node", F.col("node").alias("label"))))(networks.communities(_words(s, d))), None),
-    "answer_families": (lambda s, d: answers.family_of(networks.communities(_words(s, d)), _words(s, d).select(F.col("source").alias("node"))), None),
+    "communities": (lambda s, d: communities.product_communities(base._edges(s, d)), None),
+    "community_quality": (lambda s, d: communities.community_quality(base._edges(s, d)), None),
+    "community_terms": (_community_terms, None),
+    "answer_families": (_answer_families, None),
     "answer_profile": (lambda s, d: _profiles(s, d), None),
     "answer_supplier": (lambda s, d: answers.convenient_suppliers(purchases(s, d), _supplier_between(s, d)), None),
     "answer_offers": (lambda s, d: answers.offer_summary(supply.offer_candidates(base._options(s, d))), f"with {base._PURCHASES}, {base._OPTIONS}, {base._OFFERS}, b as (select min(edge_weight) w from offers group by product_id) select case when w < 0 then 'OFFER' when w > 0 then 'EXPENSIVE' else 'REFERENCE' end scenario, count(*) n_products, cast(-sum(w) as double) saving from b group by all"),

@@ -22,27 +22,44 @@ def attribute_degrees(edges: DataFrame) -> DataFrame:
     return edges.groupBy("attribute").agg(F.count_distinct("product_id").alias("degree"))
 
 
-def product_projection(edges: DataFrame, hub_share: float = 0.35, least_shared: int = 2, least_similarity: float = 0.3) -> DataFrame:
-    """Products that share attributes, by weighted Jaccard; attributes of too many products are left out first.
+def product_classes(edges: DataFrame, hub_share: float = 0.35) -> tuple[DataFrame, DataFrame]:
+    """Products with equal attributes and weights as one class: (class, n, mass, items), items being its attributes from rare to common, and (class, product_id). Attributes of too many products are left out first.
 
-    Products with equal attributes and weights are one class, so pairs are made and measured between classes; only pairs that are
-    similar enough are spelled out for their products, which is as large as the result itself.
+    A class is named by its least product. No row holds the members of a class.
     """
     n = edges.agg(F.count_distinct("product_id").alias("n"))
-    kept = attribute_degrees(edges).crossJoin(F.broadcast(n)).where(F.col("degree") <= F.greatest(F.lit(2), F.floor(F.lit(hub_share) * F.col("n")))).select("attribute")
-    used = edges.join(kept, "attribute").groupBy("product_id", "attribute").agg(F.max("weight").alias("w"))
-    sets = used.groupBy("product_id").agg(F.sort_array(F.collect_list(F.struct("attribute", "w"))).alias("items"))
-    named = stored(sets.select("items", F.struct("product_id").alias("p")).groupBy("items").agg(F.min("p.product_id").alias("class"), F.collect_list("p.product_id").alias("members")), "projection-classes")
-    members = named.select("class", F.explode("members").alias("product_id"))
+    kept = attribute_degrees(edges).crossJoin(F.broadcast(n)).where(F.col("degree") <= F.greatest(F.lit(2), F.floor(F.lit(hub_share) * F.col("n")))).select("attribute", "degree")
+    used = edges.join(kept, "attribute").groupBy("product_id", "attribute", "degree").agg(F.max("weight").alias("w"))
+    sets = stored(used.groupBy("product_id").agg(F.sort_array(F.collect_list(F.struct("degree", "attribute", "w"))).alias("items")), "projection-sets")
+    classes = stored(sets.groupBy("items").agg(F.min("product_id").alias("class"), F.count("*").alias("n")), "projection-classes")
     mass = F.aggregate("items", F.lit(0).cast("long"), lambda a, i: a + i["w"])
-    classes = named.select("class", mass.alias("mass"), F.explode("items").alias("i")).select("class", "mass", "i.*")
-    both = classes.alias("x").join(classes.alias("y"), (F.col("x.attribute") == F.col("y.attribute")) & (F.col("x.class") < F.col("y.class")))
-    shared = both.groupBy(F.col("x.class").alias("a"), F.col("y.class").alias("b")).agg(F.sum(F.least("x.w", "y.w")).alias("shared_weight"), F.count("*").alias("n_shared"), F.first("x.mass").alias("mass_a"), F.first("y.mass").alias("mass_b"))
-    similar = F.col("shared_weight") / (F.col("mass_a") + F.col("mass_b") - F.col("shared_weight"))
-    near = shared.where(F.col("n_shared") >= least_shared).select("a", "b", "n_shared", "shared_weight", similar.alias("similarity")).where(F.col("similarity") >= least_similarity)
-    own = named.where((F.size("items") >= least_shared) & (F.size("members") > 1)).select(F.col("class").alias("a"), F.col("class").alias("b"), F.size("items").cast("long").alias("n_shared"), mass.alias("shared_weight"), F.lit(1.0).alias("similarity"))
+    return classes.select("class", "n", mass.alias("mass"), "items"), sets.join(classes.select("items", "class"), "items").select("class", "product_id")
+
+
+def class_pairs(classes: DataFrame, least_shared: int = 2, least_similarity: float = 0.3) -> DataFrame:
+    """a, b (a < b), n_shared, shared_weight, similarity of classes that are alike enough by weighted Jaccard.
+
+    Two alike classes share weight of at least least_similarity times the mass of either. All that they share comes from their rarest
+    shared attribute on, so that attribute has at least this much weight from itself on in both: only attributes that have are joined on,
+    which leaves out the most common ones, and only where the smaller mass allows the similarity. Pairs are then measured on all attributes.
+    """
+    behind = F.col("mass") - F.aggregate(F.slice("items", F.lit(1), F.col("i")), F.lit(0).cast("long"), lambda a, x: a + x["w"])
+    front = classes.select("class", "mass", "items", F.posexplode("items").alias("i", "item")).where(behind >= F.col("mass") * least_similarity).select("class", "mass", "item.attribute")
+    both = front.alias("x").join(front.alias("y"), (F.col("x.attribute") == F.col("y.attribute")) & (F.col("x.class") < F.col("y.class")) & (F.least("x.mass", "y.mass") >= F.greatest("x.mass", "y.mass") * least_similarity))
+    tried = both.select(F.col("x.class").alias("a"), F.col("y.class").alias("b")).distinct()
+    side = lambda c: classes.select(F.col("class").alias(c), F.col("mass").alias(f"mass_{c}"), F.map_from_arrays("items.attribute", "items.w").alias(f"w_{c}"))
+    pairs = tried.join(side("a"), "a").join(side("b"), "b").withColumn("common", F.array_intersect(F.map_keys("w_a"), F.map_keys("w_b")))
+    shared = F.aggregate("common", F.lit(0).cast("long"), lambda s, t: s + F.least(F.col("w_a")[t], F.col("w_b")[t]))
+    near = pairs.where(F.size("common") >= least_shared).select("a", "b", F.size("common").cast("long").alias("n_shared"), shared.alias("shared_weight"), (F.col("mass_a") + F.col("mass_b")).alias("mass"))
+    return near.select("a", "b", "n_shared", "shared_weight", (F.col("shared_weight") / (F.col("mass") - F.col("shared_weight"))).alias("similarity")).where(F.col("similarity") >= least_similarity)
+
+
+def product_projection(edges: DataFrame, hub_share: float = 0.35, least_shared: int = 2, least_similarity: float = 0.3) -> DataFrame:
+    """Products that share attributes, by weighted Jaccard. Pairs are found between classes of equal products and spelled out here, which is as large as the result itself."""
+    classes, members = product_classes(edges, hub_share)
+    own = classes.where((F.size("items") >= least_shared) & (F.col("n") > 1)).select(F.col("class").alias("a"), F.col("class").alias("b"), F.size("items").cast("long").alias("n_shared"), F.col("mass").alias("shared_weight"), F.lit(1.0).alias("similarity"))
     side = lambda c: members.select(F.col("class").alias(c), F.col("product_id").alias(f"p_{c}"))
-    pairs = near.unionByName(own).join(side("a"), "a").join(side("b"), "b").where("a != b or p_a < p_b")
+    pairs = class_pairs(classes, least_shared, least_similarity).unionByName(own).join(side("a"), "a").join(side("b"), "b").where("a != b or p_a < p_b")
     return pairs.select(F.least("p_a", "p_b").alias("product_a"), F.greatest("p_a", "p_b").alias("product_b"), "n_shared", "shared_weight", "similarity")
 
 

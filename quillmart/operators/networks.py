@@ -66,16 +66,21 @@ def co_documents(edges: DataFrame, product: str) -> DataFrame:
 def find_nodes(texts: DataFrame, nodes: DataFrame) -> DataFrame:
     """text, node_id of every text that names a node: by id, by its whole normalised label, or by a part of it (each the least id).
 
-    Parts are looked up by runs of three characters of the labels, so that is a hash join too; shorter texts only match whole.
+    Parts are looked up by runs of as many characters as the text has, three at most, so that is a hash join too.
     """
     asked = texts.select("text").where("text is not null").distinct().withColumn("plain", normalized(F.col("text")))
     named = nodes.select("node_id", normalized(F.col("label")).alias("name")).where("name != ''")
     hit = lambda df, tier: df.select("text", F.lit(tier).alias("tier"), "node_id")
     by_id = hit(asked.join(nodes.select("node_id"), F.col("text") == F.col("node_id")), 1)
     whole = hit(asked.join(named, F.col("plain") == F.col("name")), 2)
-    runs = named.where(F.length("name") >= 3).select("node_id", "name", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("name") - 2), lambda i: F.col("name").substr(i, F.lit(3))))).alias("run"))
-    part = hit(asked.where(F.length("plain") >= 3).withColumn("run", F.substring("plain", 1, 3)).join(runs, "run").where(F.contains("name", "plain")), 3)
+    # of all names that hold a run the least id is enough where the text is the run itself
+    cut = lambda n: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("name") - (n - 1)), lambda i: F.col("name").substr(i, F.lit(n))))
+    runs = lambda n: named.where(F.length("name") >= n).select("node_id", "name", F.explode(cut(n)).alias("run"))
+    part = hit(asked.where(F.length("plain") >= 3).withColumn("run", F.substring("plain", 1, 3)).join(runs(3), "run").where(F.contains("name", "plain")), 3)
     best = F.min(F.struct("tier", "node_id")).alias("best")
+    for n in (1, 2):
+        least = runs(n).groupBy("run").agg(F.min("node_id").alias("node_id"))
+        part = part.unionByName(hit(asked.where(F.length("plain") == n).join(least, F.col("plain") == F.col("run")), 3))
     return by_id.unionByName(whole).unionByName(part).groupBy("text").agg(best).select("text", "best.node_id")
 
 
@@ -138,37 +143,6 @@ def betweenness(around: DataFrame, sources: DataFrame | None = None) -> DataFram
     return nodes.groupBy("node").agg((F.sum("owed") / 2).alias("betweenness"))
 
 
-def communities(edges: DataFrame, most_rounds: int = 20) -> DataFrame:
-    """node, community of an undirected weighted graph (source, target, weight): local moves that raise modularity, then connected parts.
-
-    In each round the nodes of one half (by a hash that changes from round to round) move to the neighbouring community that gains
-    most, if any gains. At the end a community that is not connected falls into its parts, and a community is named by its least node.
-    """
-    both = stored(both_ways(edges).where("u != v").groupBy("u", "v").agg(F.sum("w").alias("w")), "community-edges")
-    degree = stored(both.groupBy("u").agg(F.sum("w").alias("k")), "community-degree")
-    total = degree.agg(F.coalesce(F.sum("k"), F.lit(0.0))).first()[0]
-    held = stored(degree.select(F.col("u").alias("node"), F.col("u").alias("community"), "k"), "community")
-    still = 0
-    for i in range(most_rounds):
-        mass = held.groupBy("community").agg(F.sum("k").alias("mass"))
-        links = both.join(held.select(F.col("node").alias("v"), "community"), "v").groupBy(F.col("u").alias("node"), "community").agg(F.sum("w").alias("w"))
-        mine = held.select("node", F.col("community").alias("own"), "k").where(F.pmod(F.xxhash64(F.lit(i // 2), "node"), F.lit(2)) == i % 2)
-        # what a community is worth to a node: its links there less what chance would give, its own weight taken out at home
-        worth = F.col("w") - F.col("k") * (F.col("mass") - F.when(F.col("community") == F.col("own"), F.col("k")).otherwise(0.0)) / F.lit(total or 1.0)
-        options = mine.join(links, "node").join(mass, "community").select("node", "own", "community", worth.alias("worth"))
-        best = options.groupBy("node", "own").agg(F.max(F.struct("worth", F.col("community").alias("to"))).alias("best"), F.max(F.when(F.col("community") == F.col("own"), F.col("worth"))).alias("home"))
-        home = F.coalesce("home", F.lit(0.0))
-        moves = stored(best.where((F.col("best.to") != F.col("own")) & (F.col("best.worth") > home + 1e-12)).select("node", F.col("best.to").alias("to")), "community-moves")
-        still = still + 1 if moves.isEmpty() else 0
-        if still == 2:
-            break
-        held = stored(held.join(moves, "node", "left").select("node", F.coalesce("to", "community").alias("community"), "k"), "community")
-    end = lambda c: held.select(F.col("node").alias(c), F.col("community").alias(f"community_{c}"))
-    inside = both.join(end("u"), "u").join(end("v"), "v").where("community_u = community_v").select("u", "v")
-    parts = components(inside)
-    return held.select("node").join(parts, "node", "left").select("node", F.coalesce("label", "node").alias("community"))
-
-
 def modularity(edges: DataFrame, membership: DataFrame) -> DataFrame:
     """One row: n_communities, largest, modularity of a membership (node, community)."""
     both = both_ways(edges).where("u != v")
@@ -183,7 +157,10 @@ def modularity(edges: DataFrame, membership: DataFrame) -> DataFrame:
 def describe_communities(membership: DataFrame, labels: DataFrame, least: int = 3, k: int = 5) -> DataFrame:
     """community, size, top_terms, samples of communities of `least` nodes or more. labels: node, label."""
     named = membership.join(labels, "node")
-    sizes = named.groupBy("community").agg(F.count("*").alias("size"), F.array_join(F.slice(F.array_sort(F.collect_set("label")), 1, 3), " | ").alias("samples")).where(F.col("size") >= least)
+    sizes = named.groupBy("community").agg(F.count("*").alias("size")).where(F.col("size") >= least)
+    place = F.row_number().over(Window.partitionBy("community").orderBy("label"))
+    shown = named.select("community", "label").distinct().withColumn("place", place).where("place <= 3")
+    sizes = sizes.join(shown.groupBy("community").agg(F.array_join(F.array_sort(F.collect_list("label")), " | ").alias("samples")), "community", "left")
     words = named.select("community", F.explode(F.filter(F.split(normalized(F.col("label")), " "), lambda t: F.length(t) > 2)).alias("word")).groupBy("community", "word").agg(F.count("*").alias("n"))
     rank = F.row_number().over(Window.partitionBy("community").orderBy(F.col("n").desc(), "word"))
     terms = words.withColumn("rank", rank).where(F.col("rank") <= k).groupBy("community").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "word"))), lambda x: x["word"]), " ").alias("top_terms"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quillmart.functions.similarity import token_set_ratio
 from quillmart.functions.text import day
-from quillmart.operators import extraction, flows, networks, normalize, retrieval
+from quillmart.operators import communities, extraction, flows, networks, normalize, retrieval
 from quillmart.sources import files
 
 
@@ -84,7 +84,7 @@ def test_ranks_and_communities(spark):
         rank = 0.15 / 8 + 0.85 * (w / w.sum(axis=1, keepdims=True)).T @ rank
     got = {r.node: r["rank"] for r in networks.pagerank_converged(networks.both_ways(edges)).collect()}
     assert all(got[n] == pytest.approx(v, abs=1e-7) for n, v in zip(names, rank, strict=True))
-    members = networks.communities(edges)
+    members = communities.communities(edges)
     groups = {}
     for r in members.collect():
         groups.setdefault(r.community, set()).add(r.node)
