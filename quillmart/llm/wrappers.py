@@ -53,6 +53,10 @@ _BOILERPLATE = frozenset("nav header footer aside form dialog menu head".split()
 _PART = r"(?:ads?|advert\w*|banner|breadcrumbs?|comments?|cookies?|disqus|footer|header|masthead|menu|nav|navbar|navigation|newsletter|notice|popup|promo\w*|related|share|sharing|sidebar|social|sponsor\w*|subscribe|widget|contentinfo|complementary|search)"
 #: Whole names made of such words; other names that hold one say nothing sure.
 _WORDS = re.compile(rf"(?:^|\s){_PART}(?:[_-]{_PART})*(?=$|\s)", re.I)
+#: How an element is marked as boilerplate.
+BY_TAG, BY_NAME = 1, 2
+#: Elements that an article or main element cannot be meant to lie in.
+_NEVER_AROUND = frozenset("nav header menu head".split())
 #: A new block closes an open paragraph up to these.
 _SCOPE = frozenset("p li article main section div td body".split())
 _MARKUP = frozenset("abcdefghijklmnopqrstuvwxyz/!?")
@@ -63,14 +67,17 @@ class Node:
 
     __slots__ = ("children", "label", "marked", "parent", "skipped", "tag", "texts")
 
-    def __init__(self, tag: str, label: str, parent: Node | None, skipped: bool, marked: bool = False):
+    def __init__(self, tag: str, label: str, parent: Node | None, skipped: bool, marked: int = 0):
         self.tag, self.label, self.parent, self.skipped, self.marked = tag, label, parent, skipped, marked
         self.children: list[Node] = []
         self.texts: list[int] = []
 
 
 def parse(source: str) -> tuple[Node, list[tuple[Node, str]]]:
-    """The element tree and the blocks (their element and their text, white space made single) in page order. Boilerplate has no blocks."""
+    """The element tree and the blocks (their element and their text, white space made single) in page order. Boilerplate has no blocks.
+
+    The start of an article or main element ends an open nav, header, menu or head, which no page means to hold it.
+    """
     source = _UNREAD.sub("", source)
     root = node = Node("", "", None, False)
     nodes: list[Node] = []
@@ -113,11 +120,13 @@ def parse(source: str) -> tuple[Node, list[tuple[Node, str]]]:
             continue
         if tag in _BLOCK and (before := up_to(_SCOPE)) and (before.tag == "p" or before.tag == tag == "li"):
             node = before.parent
+        while tag in ("article", "main") and (before := up_to(_NEVER_AROUND)) and before is up_to(_NEVER_AROUND | {"article", "main"}):
+            node = before.parent
         if tag in _VOID:
             continue
         marks = " ".join(a or b or c for _, a, b, c in _ATTRIBUTE.findall(found[3])) if found[3] else ""
-        marked = bool(marks and tag not in ("html", "body") and _WORDS.search(marks))
-        inner = Node(tag, f"{tag}.{marks}" if marks else tag, node, node.skipped or tag in _BOILERPLATE or tag in _RAW, marked)
+        named = marks and tag not in ("html", "body") and _WORDS.search(marks)
+        inner = Node(tag, f"{tag}.{marks}" if marks else tag, node, node.skipped or tag in _RAW, BY_NAME if named else BY_TAG if tag in _BOILERPLATE else 0)
         nodes.append(inner)
         node.children.append(inner)
         node = inner
@@ -134,35 +143,55 @@ def parse(source: str) -> tuple[Node, list[tuple[Node, str]]]:
 
 
 def _settle(nodes: list[Node], found: list[tuple[Node, list[tuple[Node, str]]]]) -> None:
-    """Skip elements whose names mark them, with all inside them, but none that a page's content lies in.
+    """Skip elements that their tag or name marks, with all inside them, but none that a page's content lies in.
 
-    That is one with the page's article or main elements, or without any its h1, where all of those lie in marked elements;
-    and, on a page without article and main, one with four fifths of the text.
+    The page's keys are its article and main elements, or without any its only h1. A header inside an article, or inside main where
+    it has the h1 or the page has no article, is no page header, and a form with a key in it is just around the page. If all keys lie in
+    marked elements, those are kept; so is, on a page without article and main, an element with four fifths of the text.
     """
     if not any(n.marked and not n.skipped for n in nodes):
         return
+    articles = [n for n in nodes if n.tag in ("article", "main") and not n.skipped]
+    heads = [n for n in nodes if n.tag == "h1" and not n.skipped]
+    keys = articles or (heads if len(heads) == 1 else [])
+    holds_key, holds_head = _around(keys), _around(heads)
+    is_single = not any(n.tag == "article" for n in articles)
+    inside: dict[int, str] = {}
+    for n in nodes:
+        outer = inside.get(id(n.parent), "")
+        inside[id(n)] = "article" if n.tag == "article" else outer or (n.tag if n.tag == "main" else "")
+        if n.marked == BY_TAG and (n.tag == "header" and (outer == "article" or outer == "main" and (is_single or id(n) in holds_head)) or n.tag == "form" and id(n) in holds_key):
+            n.marked = 0
+    under: dict[int, int] = {}
+    for n in nodes:
+        under[id(n)] = n.marked | under.get(id(n.parent), 0)
+    holds = holds_key if all(under[id(n)] for n in keys) else set()
+    # characters in all, and those outside elements that their tag marks
     chars: dict[int, int] = defaultdict(int)
+    plain: dict[int, int] = defaultdict(int)
     for _, pieces in found:
         for at, piece in pieces:
             chars[id(at)] += len(piece.strip())
-    total = sum(chars.values())
-    under: dict[int, bool] = {}
-    for n in nodes:
-        under[id(n)] = n.marked or under.get(id(n.parent), False)
-    articles = [n for n in nodes if n.tag in ("article", "main") and not n.skipped]
-    keys = articles or [n for n in nodes if n.tag == "h1" and not n.skipped]
-    holds = set()
-    if all(under[id(n)] for n in keys):
-        for n in keys:
-            at = n
-            while at is not None and id(at) not in holds:
-                holds.add(id(at))
-                at = at.parent
+            if not under.get(id(at), 0) & BY_TAG:
+                plain[id(at)] += len(piece.strip())
+    total, total_plain = sum(chars.values()), sum(plain.values())
     for n in reversed(nodes):
         chars[id(n.parent)] += chars[id(n)]
+        plain[id(n.parent)] += plain[id(n)]
     for n in nodes:
-        content = id(n) in holds or (not articles and 5 * chars[id(n)] >= 4 * total)
-        n.skipped = n.skipped or n.parent.skipped or (n.marked and not content)
+        most = 5 * chars[id(n)] >= 4 * total if n.marked == BY_TAG else plain[id(n)] and 5 * plain[id(n)] >= 4 * total_plain
+        content = id(n) in holds or (not articles and most)
+        n.skipped = n.skipped or n.parent.skipped or bool(n.marked and not content)
+
+
+def _around(nodes: list[Node]) -> set[int]:
+    """The nodes and all elements around them."""
+    out: set[int] = set()
+    for at in nodes:
+        while at is not None and id(at) not in out:
+            out.add(id(at))
+            at = at.parent
+    return out
 
 
 class Tree:
