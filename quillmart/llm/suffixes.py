@@ -8,7 +8,9 @@ extend the matches to the left in the same way. A window of a words before and 5
 another suffix shares that much on both sides. Overlapping windows merge into spans. So a word is in a span exactly if it lies in a
 fifty-word window that occurs at two places.
 
-A suffix that very many places share is dealt over several tasks; what each finds once there is compared once more by hash.
+Windows that one text holds twice are found within it, by hash, and only the first of them has a suffix, so a text of repeated words is no
+larger group than another. A suffix that very many places share is dealt over several tasks, by text and place; what each finds once
+there is compared once more by hash.
 
 Rows in: `doc_id`, `text`; words are `[^\\x20\\x09-\\x0D]+`. Null, empty and short texts have no passages and no result row. Rows
 equal in doc_id and text count as one document. The first place of a passage is that with the least doc_id (null last), then the
@@ -25,12 +27,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import SPACE, Words, as_bytes, gram_hashes, packed_schema, row_key, row_seed, steps, stored, word_hashes
+from .common import SPACE, Words, as_bytes, gram_hashes, packed_schema, range_hashes, row_key, row_seed, steps, stored, word_hashes
 
 PASSAGE = 50
 PREFIX = 8
 #: Places of one suffix prefix that one task takes.
 MOST_PLACES = 10_000
+#: Prefixes with more than one of FREQUENT places are broadcast to their suffixes; there are fewer than FREQUENT.
+FREQUENT = 50_000
 #: Rows that a task compares at once, cut between prefixes.
 TOGETHER = 10_000
 #: A text of 2^31 bytes has at most 2^30 words.
@@ -53,22 +57,57 @@ def minimisers(grams: np.ndarray) -> np.ndarray:
     return (np.minimum(back[:n], ahead[width - 1 : width - 1 + n]) & low).astype(np.int64)
 
 
+def _runs(starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of consecutive windows as starts and ends of their words."""
+    cut = np.flatnonzero(np.diff(starts) != 1)
+    return starts[np.append(0, cut + 1)], starts[np.append(cut, len(starts) - 1)] + PASSAGE
+
+
+def _own_copies(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the windows of one text those that an earlier one equals, as flags, and those that only later ones equal, as places."""
+    n = len(words) - PASSAGE + 1
+    names = range_hashes(words, np.arange(n), np.arange(n) + PASSAGE)
+    order = np.argsort(names, kind="stable")
+    same = names[order[1:]] == names[order[:-1]]
+    again = np.zeros(n, bool)
+    again[order[1:][same]] = True
+    held = order[:-1][same]
+    return again, np.sort(held[~again[held]])
+
+
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Kept suffixes of each text (prefix, row, at), and the runs of words that it repeats within itself (row, doc_id, start, end, later).
+
+    Windows that an earlier one of their text equals need no suffix, so a text of one word over and over has one.
+    """
     for batch in steps(batches, "text"):
         words = Words(as_bytes(batch.column("text")), SPACE, False)
         grams = gram_hashes(words.hashes, PREFIX)
-        found, keys, rows = [], [], batch.column("row").to_pylist()
+        columns: list[list[np.ndarray]] = [[] for _ in _ANCHOR_TYPES]
+        rows, docs = batch.column("row").to_pylist(), batch.column("doc_id")
         for i, (low, high) in enumerate(zip(words.first[:-1].tolist(), words.first[1:].tolist(), strict=True)):
-            if high - low >= PASSAGE:
-                at = minimisers(grams[low : high - PREFIX + 1])
-                at = at[np.concatenate([[True], at[1:] != at[:-1]])]
-                found.append(at)
-                keys.append(grams[low + at])
-                rows[i] = np.full(len(at), rows[i], np.int64)
-            else:
-                rows[i] = np.empty(0, np.int64)
-        if found:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(rows)), pa.array(np.concatenate(found))], ["prefix", "row", "at"])
+            if high - low < PASSAGE:
+                continue
+            again, copied = _own_copies(words.hashes[low:high])
+            at = minimisers(grams[low : high - PREFIX + 1])[~again]
+            at = at[np.concatenate([[True], at[1:] != at[:-1]])]
+            parts = [(grams[low + at].view(np.int64), at, None, None, None)]
+            for starts, later in ((np.flatnonzero(again), True), (copied, False)):
+                if len(starts):
+                    parts.append((None, None, *_runs(starts), later))
+            for prefix, place, start, end, later in parts:
+                n = len(place if start is None else start)
+                none = lambda kind, n=n: pa.nulls(n, kind)
+                values = (none(pa.int64()) if prefix is None else prefix, np.full(n, rows[i], np.int64), none(pa.int64()) if place is None else place, docs.take(pa.array(np.full(n, i))), none(pa.int64()) if start is None else start, none(pa.int64()) if end is None else end, none(pa.bool_()) if later is None else np.full(n, later))
+                for column, value, kind in zip(columns, values, _ANCHOR_TYPES, strict=True):
+                    column.append(value if isinstance(value, pa.Array) else pa.array(value, kind))
+        if columns[0]:
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in columns], _ANCHOR_NAMES)
+
+
+_ANCHOR = "prefix long, row long, at long, doc_id long, start long, end long, later boolean"
+_ANCHOR_NAMES = [f.split()[0] for f in _ANCHOR.split(", ")]
+_ANCHOR_TYPES = [*[pa.int64()] * 6, pa.bool_()]
 
 
 def _extended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,11 +234,17 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeats(docs: DataFrame, most_places: int = MOST_PLACES, seed: int | None = None) -> DataFrame:
     """Runs of repeated words: row (row_key of doc_id and text), doc_id, start, end, later (not the first place). Runs may overlap."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), row_key(row_seed(docs) if seed is None else seed).alias("row"))
-    anchors = stored(texts.select("row", "text").mapInArrow(_anchors, "prefix long, row long, at long"), "suffix-anchors")
-    shared = anchors.groupBy("prefix").agg(F.count("*").alias("n")).where("n > 1").select("prefix", F.ceil(F.col("n") / most_places).cast("int").alias("salts"))
-    hits = anchors.join(shared, "prefix").groupBy("row").agg(F.collect_set(F.struct("at", "prefix", "salts")).alias("hits"))
+    anchors = stored(texts.mapInArrow(_anchors, _ANCHOR), "suffix-anchors")
+    own = anchors.where("prefix is null").select("row", "doc_id", "start", "end", "later")
+    anchors = anchors.where("prefix is not null").select("prefix", "row", "at")
+    shared = stored(anchors.groupBy("prefix").agg(F.count("*").alias("n")).where("n > 1").select("prefix", F.ceil(F.col("n") / most_places).cast("int").alias("salts"), "n"), "suffix-prefixes")
+    limit = F.broadcast(shared.agg((F.sum("n") / FREQUENT).alias("limit")))
+    often = F.broadcast(shared.crossJoin(limit).where("n > limit").select("prefix", "salts"))
+    seldom = shared.crossJoin(limit).where("n <= limit").select("prefix", "salts")
+    kept = anchors.join(often, "prefix").unionByName(anchors.join(often.select("prefix"), "prefix", "left_anti").join(seldom, "prefix"))
+    hits = kept.groupBy("row").agg(F.collect_set(F.struct("at", "prefix", "salts")).alias("hits"))
     suffixes = texts.join(hits, "row").mapInArrow(_extended, _EXTENDED)
-    dealt = suffixes.withColumn("salt", F.pmod(F.xxhash64("row"), F.col("salts").cast("long")))
+    dealt = suffixes.withColumn("salt", F.pmod(F.xxhash64("row", "start"), F.col("salts").cast("long")))
     found = dealt.repartition("prefix", "salt").sortWithinPartitions("prefix", "salt").mapInArrow(_compared, _FOUND)
     found = stored(found, "suffix-found")
 
@@ -208,7 +253,7 @@ def repeats(docs: DataFrame, most_places: int = MOST_PLACES, seed: int | None =
     firsts = opened.groupBy("hash").agg(F.sum("places").alias("total"), F.min(place).alias("first")).where("total > 1")
     closed = opened.drop("later").join(firsts, "hash").withColumn("later", place != F.col("first"))
     columns = ["row", "doc_id", "start", "end", "later"]
-    return found.where("later is not null").select(columns).union(closed.select(columns))
+    return found.where("later is not null").select(columns).union(closed.select(columns)).union(own.select(columns))
 
 
 def _spans(runs: DataFrame) -> DataFrame:
