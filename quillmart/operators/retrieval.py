@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillmart.functions.similarity import similarity
+from quillmart.functions.similarity import Names, similarity
 from quillmart.functions.text import normalized, query_words, value_words
 from quillmart.operators.linkage import link_products
 
@@ -17,20 +20,36 @@ ATTRIBUTE_HIT, NAME_HIT, FUZZY, EXACT, BREADTH = 1.1, 1.4, 0.35, 1.0, 0.01
 SEARCHED = ("product_type", "subtype", "accessory", "shape", "feature", "material", "color", "capacity_text", "mouth_size_text", "use_category", "material_family")
 
 
-def _pairs_of_letters(name: Column) -> Column:
-    """Pairs of neighbouring letters in the words of a name; a word of one letter stands for itself."""
-    of = lambda w: F.when(F.length(w) < 2, F.array(w)).otherwise(F.transform(F.sequence(F.lit(1), F.length(w) - 1), lambda i: w.substr(i, F.lit(2))))
-    return F.array_distinct(F.flatten(F.transform(F.split(name, " "), of)))
+#: Texts and names that one row of the comparison holds, about.
+BLOCK, CHUNK = 500, 5_000
+
 
+def _in_rows(df: DataFrame, column: str, size: int, name: str) -> tuple[DataFrame, int]:
+    """Distinct texts of a column in rows (name, texts) of about `size`, and the number of rows."""
+    texts = df.select(column).where(F.col(column) != "").distinct()
+    n = max(1, -(-texts.count() // size))
+    return texts.groupBy(F.pmod(F.xxhash64(column), F.lit(n)).cast("int").alias(name)).agg(F.collect_list(column).alias(f"{name}_texts")), n
 
-def scored_names(asked: DataFrame, names: DataFrame) -> DataFrame:
-    """asked, name, score of normalised texts (column asked) and names (column name) that share a quarter of the letter pairs of either.
 
-    What is alike enough to be accepted or ambiguous does; both sides are distinct names, so copies cost nothing.
+def best_names(asked: DataFrame, names: DataFrame, k: int, least: float) -> DataFrame:
+    """asked, name, score, rank: of every normalised text (column asked) the k names (column name) most like it, from a least score on; equal scores by name.
+
+    Texts are asked of all names, block by block: no pair that scores enough shares anything that could be joined on. Each block
+    of texts meets each chunk of names in one row, which gives back k names a text at most; a bound on the score keeps most pairs from being compared.
     """
-    split = lambda df, c: df.select(c).where(F.col(c) != "").distinct().withColumn("pairs", _pairs_of_letters(F.col(c))).select(c, F.size("pairs").alias(f"n_{c}"), F.explode("pairs").alias("pair"))
-    both = split(asked, "asked").join(split(names, "name"), "pair").groupBy("asked", "name").agg(F.count("*").alias("n"), F.first("n_asked").alias("n_asked"), F.first("n_name").alias("n_name"))
-    return both.where("4 * n >= least(n_asked, n_name)").select("asked", "name").withColumn("score", F.round(similarity("asked", "name"), 4))
+    blocks, _ = _in_rows(asked, "asked", BLOCK, "block")
+    chunks, n = _in_rows(names, "name", CHUNK, "chunk")
+    met = blocks.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).join(chunks, "chunk").select("block_texts", "chunk_texts").repartition("block_texts", "chunk_texts")
+
+    def compared(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for texts, held in frame.itertuples(index=False):
+                known = Names(sorted(held))
+                yield pd.DataFrame([(t, name, score) for t in texts for name, score in known.best(t, k, least)], columns=["asked", "name", "score"])
+
+    found = met.mapInPandas(compared, "asked string, name string, score double")
+    rank = F.row_number().over(Window.partitionBy("asked").orderBy(F.col("score").desc(), "name"))
+    return found.withColumn("rank", rank.cast("long")).where(F.col("rank") <= k)
 
 
 def link_fuzzy(lines: DataFrame, products: DataFrame, accept: float = ACCEPT, lead: float = LEAD) -> DataFrame:
@@ -42,9 +61,9 @@ def link_fuzzy(lines: DataFrame, products: DataFrame, accept: float = ACCEPT, le
     exact = link_products(lines, products)
     names = products.select("product_id", normalized(F.col("product_name")).alias("name")).where("name != ''").groupBy("name").agg(F.min("product_id").alias("m_id"))
     rest = exact.where("product_id is null").withColumn("asked", normalized(F.col("source_name")))
-    pairs = scored_names(rest, names)
-    order = Window.partitionBy("asked").orderBy(F.col("score").desc(), "name")
-    best = pairs.withColumns({"rank": F.row_number().over(order), "second": F.coalesce(F.lead("score").over(order), F.lit(0.0))}).where("rank = 1").join(names, "name")
+    pairs = best_names(rest, names, 2, 0.0001)
+    second = F.coalesce(F.lead("score").over(Window.partitionBy("asked").orderBy("rank")), F.lit(0.0))
+    best = pairs.withColumn("second", second).where("rank = 1").join(names, "name")
     status = F.when(F.col("score").isNull(), "rejected").when((F.col("score") >= accept) & (F.col("score") - F.col("second") >= lead), "accepted").when(F.col("score") >= AMBIGUOUS, "ambiguous").otherwise("rejected")
     found = rest.join(best, "asked", "left").withColumn("status", status)
     fuzzy = found.select("source_id", "source_name", F.when(F.col("status") != "rejected", F.col("m_id")).alias("product_id"), F.coalesce("score", F.lit(0.0)).alias("confidence"), F.when(F.col("score").isNotNull(), "fuzzy_name").otherwise("none").alias("method"), "status")
@@ -63,11 +82,10 @@ def link_all(tables: dict[str, DataFrame], products: DataFrame) -> DataFrame:
 
 
 def suggestions(texts: DataFrame, names: DataFrame, k: int = 5, least: float = SUGGEST) -> DataFrame:
-    """text, name, score: the k most similar names of each text, from a least score on, among those that scored_names() finds."""
+    """text, name, score, rank: the k most similar names of each text, from a least score on."""
     asked = texts.select("text").where("text is not null").distinct().withColumn("asked", normalized(F.col("text")))
-    pairs = scored_names(asked, names.select(normalized(F.col("name")).alias("name"))).where(F.col("score") >= least)
-    rank = F.row_number().over(Window.partitionBy("asked").orderBy(F.col("score").desc(), "name"))
-    return asked.join(pairs.withColumn("rank", rank).where(F.col("rank") <= k), "asked").select("text", "name", "score", F.col("rank").cast("long").alias("rank"))
+    found = best_names(asked, names.select(normalized(F.col("name")).alias("name")), k, least)
+    return asked.join(found, "asked").select("text", "name", "score", "rank")
 
 
 def resolve_parties(texts: DataFrame, parties: DataFrame) -> DataFrame:

@@ -48,17 +48,22 @@ def test_fuzzy_linkage(spark):
     assert token_set_ratio("A B", "B A C") == 1.0 and token_set_ratio("", "A") == 0.0 and 0 < token_set_ratio("ABCD", "ABCE") < 1
 
 
-def test_candidates_find_every_good_match(spark):
-    """Every pair alike enough to be ambiguous is among the candidates, against all pairs."""
+@pytest.mark.parametrize(("k", "least"), [(1000, 0.35), (5, 0.35), (2, 0.0)])
+def test_best_names_are_those_of_all_pairs(spark, monkeypatch, k, least):
+    """No pair is lost, however little two names share, against all pairs; in several blocks and chunks."""
+    monkeypatch.setattr(retrieval, "BLOCK", 40)
+    monkeypatch.setattr(retrieval, "CHUNK", 50)
     r = random.Random(3)
     words = ["frasco", "gotero", "tapa", "rosca", "pote", "bolsa", "vidrio", "ambar"]
-    names = sorted({" ".join(r.sample(words, r.randint(1, 3))).upper() for _ in range(60)})
-    asked = sorted({n.replace(r.choice(n), "", 1) for n in names})
-    found = {(x.asked, x.name): x.score for x in retrieval.scored_names(spark.createDataFrame([(a,) for a in asked], "asked string"), spark.createDataFrame([(n,) for n in names], "name string")).collect()}
+    names = sorted({" ".join(r.sample(words, r.randint(1, 3))).upper() for _ in range(60)} | {"".join(r.choice("ABCDE ") for _ in range(r.randint(1, 12))).strip() or "A" for _ in range(60)})
+    asked = sorted({n.replace(r.choice(n), "", 1).strip() for n in names} - {""})
+    found = {}
+    for x in retrieval.best_names(spark.createDataFrame([(a,) for a in asked], "asked string"), spark.createDataFrame([(n,) for n in names], "name string"), k, least).collect():
+        found.setdefault(x.asked, []).append((x["rank"], x.name, x.score))
     for a in asked:
-        for n in names:
-            if (score := token_set_ratio(a, n)) >= retrieval.AMBIGUOUS:
-                assert found[a, n] == pytest.approx(score, abs=1e-4)
+        want = sorted((-round(token_set_ratio(a, n), 4), n) for n in names)
+        want = [(i + 1, n, -s) for i, (s, n) in enumerate(want[:k]) if -s >= least]
+        assert sorted(found.get(a, [])) == want
 
 
 def test_routing(spark):
