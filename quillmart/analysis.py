@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from quillmart import queries as base
 from quillmart.operators import answers, budget, communities, cuts, extraction, flows, graph, networks, normalize, paths, reports, retrieval, supply
-from quillmart.operators.attributes import CONFIDENCE, search
+from quillmart.operators.attributes import CONFIDENCE, search, search_batch, search_index
 from quillmart.plans.canonical import products, purchases, sales, stored, table
 
 #: Mapping of the raw sales table: canonical field to its header.
@@ -171,6 +171,26 @@ def _demand(spark, sf_dir):
     return sales(spark, sf_dir).where("is_active and quantity > 0").groupBy("product_id").agg(F.sum("quantity").alias("ordered"))
 
 
+def _identities(spark, sf_dir):
+    """Purchases by unit cost, sales by list price, and gross amounts with tax."""
+    l = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_retailprice"), "l_partkey")
+    net = F.col("l_extendedprice") * (1 - F.col("l_discount"))
+    return reports.amount_identities(
+        {
+            "purchases": (l, F.col("l_quantity"), F.col("l_extendedprice") / F.col("l_quantity"), F.col("l_extendedprice")),
+            "sales": (l, F.col("l_quantity"), F.col("p_retailprice"), F.col("l_extendedprice")),
+            "gross": (l, F.lit(1.0), net * (1 + F.col("l_tax")), F.col("l_extendedprice")),
+        }
+    )
+
+
+_IDENTITIES = """with l as (select * from lineitem join part on p_partkey = l_partkey), a as (
+  select 'purchases' dataset, l_quantity * (l_extendedprice / l_quantity) expected, l_extendedprice total from l union all select 'sales', l_quantity * p_retailprice, l_extendedprice from l union all
+  select 'gross', l_extendedprice * (1 - l_discount) * (1 + l_tax), l_extendedprice from l),
+v as (select dataset, count(*) valid_rows, count(*) filter (abs(expected - total) / abs(total) <= 0.03) n_match from a where total <> 0 and expected is not null group by dataset)
+select dataset, valid_rows, round(n_match / valid_rows, 4) match_rate, n_match / valid_rows >= 0.85 passes from v"""
+
+
 def _network_flow(spark, sf_dir):
     demand, options = stored(_demand(spark, sf_dir), "demand"), stored(base._options(spark, sf_dir), "options")
     return cuts.shared_flow(demand, options, cuts.shared_cut(demand, options))
@@ -303,8 +323,30 @@ _REGISTRY = {
         flow as (select request, min(units) max_flow from (select request, mask, sum(units) units from cuts group by all) group by request) select request, cast(sum(ordered) as bigint) demand, cast(any_value(max_flow) as bigint) max_flow, round(any_value(max_flow) / sum(ordered), 4) coverage from requests join flow using (request) group by request""",
     ),
     "min_cut_edges": (lambda s, d: flows.min_cut(_requests(s, d), base._options(s, d)), None),
+    "semantic_search_batch": (
+        lambda s, d: search_batch(search_index(base._edges(s, d)), table(s, d, "part").where("p_partkey % 50 = 0").select(F.col("p_partkey").alias("query_id"), F.concat_ws(" ", "p_name", "p_brand").alias("text"))),
+        f"""with recursive {base._PRODUCTS}, {base._ATTRIBUTES}, e as (select product_id, attribute, max(weight) w from edges group by all), q as (select p_partkey query_id, concat_ws(' ', p_name, p_brand) t from part where p_partkey % 50 = 0),
+        word as (select query_id, unnest({base._tokens('t')}) x from q), wanted as (select query_id, x from word union select query_id, case when ends_with(x, 'ES') and length(x) > 4 then x[:-3] when ends_with(x, 'S') and length(x) > 3 then x[:-2] else x end from word),
+        seeds as (select distinct query_id, attribute from wanted join (select distinct attribute, string_split(attribute, ':')[-1] x from e) using (x)),
+        second as (select distinct query_id, y.attribute from seeds join e x using (attribute) join e y on y.product_id = x.product_id),
+        reached(query_id, attribute) as (select query_id, attribute from seeds union select query_id, y.attribute from reached r join e x on x.attribute = r.attribute join e y on y.product_id = x.product_id),
+        decay as (select r.query_id, r.attribute, case when s.attribute is not null then 5 when n.attribute is not null then 3 else 1 end d from reached r left join seeds s using (query_id, attribute) left join second n using (query_id, attribute)),
+        scored as (select query_id, product_id, sum(d * w) base, count(*) filter (d = 5) seed_coverage from e join decay using (attribute) group by all), t as (select query_id, count(*) total_seeds from seeds group by all)
+        select query_id, product_id, round(base * (power(seed_coverage / total_seeds, 2) * 20 + 1), 2) relevance, seed_coverage, total_seeds from scored join t using (query_id)
+        qualify row_number() over (partition by query_id order by round(base * (power(seed_coverage / total_seeds, 2) * 20 + 1), 2) desc, product_id) <= 10""",
+    ),
     "network_cut_edges": (lambda s, d: cuts.shared_cut(_demand(s, d), base._options(s, d)), None),
     "network_max_flow": (_network_flow, None),
+    "top_tokens": (
+        lambda s, d: extraction.top_tokens(products(s, d)),
+        f"""with {base._PRODUCTS}, t as (select product_id, unnest({base._tokens('product_name')}) token from products) select token, count(*) token_count, count(distinct product_id) product_count, round(count(distinct product_id) / (select count(*) from products), 4) product_coverage
+        from t group by token order by token_count desc, token limit 100""",
+    ),
+    "offer_savings": (
+        lambda s, d: supply.savings(supply.offer_candidates(base._options(s, d))),
+        f"""with {base._PURCHASES}, {base._OPTIONS}, {base._OFFERS} select product_id, supplier, unit_cost, reference_cost, edge_weight, saving, round(saving / reference_cost, 6) saving_pct, edge_weight < 0 is_negative_edge, case when edge_weight < 0 then 'historical_saving' else 'at_or_above_reference' end scenario_type from offers where reference_cost > 0""",
+    ),
+    "amount_identities": (_identities, _IDENTITIES),
     "shortest_path": (lambda s, d: paths.shortest_path(base._trade(s, d), *_ENDS), f"{_SHORTEST} select cast(step as bigint) step, node, n expanded from path, seen"),
     "bidirectional_path": (lambda s, d: paths.bidirectional_path(base._trade(s, d), *_ENDS), None),
     "path_comparison": (lambda s, d: paths.compare_searches(base._trade(s, d), *_ENDS), None),

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from typing import NamedTuple
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quillmart.functions.text import normalized, tokens
 from quillmart.operators.graph import components
+from quillmart.plans.canonical import stored
 
 #: Patterns of capacities and sizes, and the confidence of each.
 CAPACITY = r"\b(\d+(?:[\.,]\d+)?)\s*(ML|CC|L|LT|LTR|GR|G|KG|MG|W|V)\b"
@@ -89,38 +93,79 @@ def focus_subgraph(edges: DataFrame, n_attributes: int = 16, n_products: int = 1
     return near.join(F.broadcast(chosen), "product_id").select("product_id", "attribute")
 
 
-def singular(word: str) -> str:
+def singular(word: Column) -> Column:
     """Without a plural ending."""
-    return word[:-2] if word.endswith("ES") and len(word) > 4 else word[:-1] if word.endswith("S") and len(word) > 3 else word
+    shorter = lambda n: F.left(word, F.length(word) - n)
+    return F.when(F.endswith(word, F.lit("ES")) & (F.length(word) > 4), shorter(2)).when(F.endswith(word, F.lit("S")) & (F.length(word) > 3), shorter(1)).otherwise(word)
 
 
-def search(edges: DataFrame, query: str, k: int = 10, required: tuple[str, ...] = ()) -> DataFrame:
-    """The k products nearest to the words of a query, over product-attribute edges with weights.
+class SearchIndex(NamedTuple):
+    """What any number of searches over one attribute graph share; all tables are stored.
+
+    edges: product_id, attribute, weight, each pair once. near: attribute, other, if some product has both. parts: attribute,
+    component. heads: component, product_id, weight of the products of most weight in each component.
+    """
+
+    edges: DataFrame
+    near: DataFrame
+    parts: DataFrame
+    heads: DataFrame
+    most: int
+
+
+def search_index(edges: DataFrame, most: int = 100) -> SearchIndex:
+    """most: the largest number of results that a search can ask for."""
+    e = stored(edges.groupBy("product_id", "attribute").agg(F.max("weight").alias("weight")), "search-edges")
+    near = stored(e.select("product_id", "attribute").join(e.select("product_id", F.col("attribute").alias("other")), "product_id").select("attribute", "other").distinct(), "search-near")
+    label = components(near.where("attribute != other").select(F.col("attribute").alias("u"), F.col("other").alias("v")))
+    parts = stored(near.select("attribute").distinct().join(label.withColumnRenamed("node", "attribute"), "attribute", "left").select("attribute", F.coalesce("label", "attribute").alias("component")), "search-parts")
+    whole = e.join(parts, "attribute").groupBy("component", "product_id").agg(F.sum("weight").alias("weight"))
+    place = F.row_number().over(Window.partitionBy("component").orderBy(F.round("weight", 2).desc(), "product_id"))
+    heads = stored(whole.withColumn("place", place).where(F.col("place") <= most).drop("place"), "search-heads")
+    return SearchIndex(e, near, parts, heads, most)
+
+
+def search_batch(index: SearchIndex, queries: DataFrame, k: int = 10, required: DataFrame | None = None) -> DataFrame:
+    """query_id, product_id, relevance, seed_coverage, total_seeds: the k products nearest to the words of each query (query_id, text).
 
     An attribute gives its edges' weight times 5 if the query names it, 3 if it shares a product with one that the query names, 1
-    if it is connected at all; having a share c of the named attributes multiplies that by 20 c^2 + 1. `required` attributes must
-    all be there. A query that names no attribute finds nothing.
+    if it is connected at all; having a share c of the named attributes multiplies that by 20 c^2 + 1. A query that names no
+    attribute finds nothing. required: query_id, attribute that each result of the query must have. All queries go through the same joins: what
+    is near to the named attributes is summed, and what is only connected enters by the products of most weight.
     """
-    words = tokens_of(edges.sparkSession, query)
-    wanted = sorted({w for t in words for w in (t, singular(t))})
-    edges = edges.groupBy("product_id", "attribute").agg(F.max("weight").alias("weight"))
-    label = F.substring_index("attribute", ":", -1)
-    seeds = edges.select("attribute").distinct().where(label.isin(*wanted) if wanted else F.lit(False))
-    direct = edges.join(F.broadcast(seeds), "attribute", "left_semi")
-    second = edges.join(direct.select("product_id").distinct(), "product_id", "left_semi").select("attribute").distinct()
-    node = edges.select(F.concat(F.lit("P|"), "product_id").alias("u"), F.concat(F.lit("A|"), "attribute").alias("v"))
-    groups = components(node.union(node.select("v", "u")).distinct())
-    lit = groups.join(seeds.select(F.concat(F.lit("A|"), "attribute").alias("node")), "node").select("label").distinct()
-    reached = groups.join(lit, "label", "left_semi").where("node like 'A|%'").select(F.expr("substr(node, 3)").alias("attribute"))
-    decay = reached.join(seeds.withColumn("s", F.lit(DECAY[0])), "attribute", "left").join(second.withColumn("t", F.lit(DECAY[1])), "attribute", "left").select("attribute", F.coalesce("s", "t", F.lit(DECAY[2])).alias("decay"))
-    score = edges.join(decay, "attribute").groupBy("product_id").agg(F.sum(F.col("decay") * F.col("weight")).alias("base"), F.count_if(F.col("decay") == DECAY[0]).alias("seed_coverage"))
-    found = score.crossJoin(F.broadcast(seeds.agg(F.count("*").alias("total_seeds"))))
-    for attribute in required:
-        found = found.join(edges.where(F.col("attribute") == attribute).select("product_id"), "product_id", "left_semi")
-    c = F.col("seed_coverage") / F.col("total_seeds")
-    return found.select("product_id", F.round(F.col("base") * (c * c * 20 + 1), 2).alias("relevance"), "seed_coverage", "total_seeds").orderBy(F.col("relevance").desc(), "product_id").limit(k)
-
-
-def tokens_of(spark: SparkSession, query: str) -> list[str]:
-    """The words of one query."""
-    return spark.range(1).select(tokens(F.lit(query)).alias("t")).first()["t"]
+    if k > index.most:
+        raise ValueError("the index keeps fewer products than are asked for")
+    words = queries.select("query_id", F.explode(tokens(F.col("text"))).alias("word"))
+    wanted = words.select("query_id", F.explode(F.array("word", singular(F.col("word")))).alias("word")).distinct()
+    named = index.parts.withColumn("word", F.substring_index("attribute", ":", -1))
+    seeds = stored(wanted.join(named, "word").select("query_id", "attribute", "component").distinct(), "search-seeds")
+    near = seeds.join(index.near, "attribute").select("query_id", F.col("other").alias("attribute"), F.lit(DECAY[1] - DECAY[2]).alias("more"), F.lit(0).alias("seed")).distinct()
+    gains = near.unionByName(seeds.select("query_id", "attribute", F.lit(DECAY[0] - DECAY[1]).alias("more"), F.lit(1).alias("seed")))
+    gained = gains.join(index.edges, "attribute").groupBy("query_id", "product_id").agg(F.sum(F.col("more") * F.col("weight")).alias("gain"), F.sum("seed").alias("seed_coverage"))
+    lit = seeds.select("query_id", "component").distinct()
+    connected = lit.join(index.heads, "component").select("query_id", "product_id")
+    tried = gained.select("query_id", "product_id").unionByName(connected)
+    if required is not None:
+        has = required.select("query_id", "attribute").distinct().withColumn("n", F.count("*").over(Window.partitionBy("query_id")))
+        allowed = has.join(index.edges, "attribute").groupBy("query_id", "product_id").agg((F.count("*") == F.first("n")).alias("allowed")).where("allowed").select("query_id", "product_id")
+        # a required attribute may be in none of the components that the query's words light up
+        inside = allowed.join(index.edges.select("product_id", "attribute"), "product_id").join(index.parts, "attribute").join(lit, ["query_id", "component"], "left_semi").select("query_id", "product_id")
+        free = tried.join(has.select("query_id").distinct(), "query_id", "left_anti")
+        tried = free.unionByName(inside)
+    weight = index.edges.groupBy("product_id").agg(F.sum("weight").alias("weight"))
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    totals = seeds.groupBy("query_id").agg(F.count_distinct("attribute").alias("total_seeds"))
+    scored = tried.distinct().join(weight, "product_id").join(gained, ["query_id", "product_id"], "left").join(totals, "query_id")
+    c = zero("seed_coverage") / F.col("total_seeds")
+    relevance = F.round((DECAY[2] * F.col("weight") + zero("gain")) * (c * c * 20 + 1), 2)
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("relevance").desc(), "product_id"))
+    found = scored.select("query_id", "product_id", relevance.alias("relevance"), zero("seed_coverage").cast("long").alias("seed_coverage"), "total_seeds")
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).drop("rank")
+
+
+def search(edges: DataFrame, query: str, k: int = 10, required: tuple[str, ...] = ()) -> DataFrame:
+    """search_batch() for one query; results of any further one should share an index instead."""
+    spark = edges.sparkSession
+    asked = spark.createDataFrame([(0, query)], "query_id long, text string")
+    must = spark.createDataFrame([(0, a) for a in required], "query_id long, attribute string") if required else None
+    return search_batch(search_index(edges, k), asked, k, must).drop("query_id")

@@ -196,3 +196,11 @@ def uncovered_tokens(profile: DataFrame, rules: list | None = None, k: int = 50)
         plain = plain | F.col("token").rlike(p)
     left = profile.where(~F.col("token").isin(*covered, *STOP_WORDS) & ~plain & (F.length("token") > 2))
     return left.orderBy(F.col("n").desc(), "token").limit(k)
+
+
+def top_tokens(products: DataFrame, k: int = 100) -> DataFrame:
+    """token, token_count, product_count, product_coverage of the k most frequent words of product names; equal counts by word."""
+    words = products.select("product_id", F.explode(tokens(F.col("product_name"))).alias("token"))
+    n = products.agg(F.greatest(F.count("*"), F.lit(1)).alias("n"))
+    counts = words.groupBy("token").agg(F.count("*").alias("token_count"), F.count_distinct("product_id").alias("product_count")).crossJoin(F.broadcast(n))
+    return counts.select("token", "token_count", "product_count", F.round(F.col("product_count") / F.col("n"), 4).alias("product_coverage")).orderBy(F.col("token_count").desc(), "token").limit(k)

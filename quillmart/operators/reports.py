@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -123,6 +123,20 @@ def amount_identity(lines: DataFrame, tolerance: float = 0.03) -> DataFrame:
     return lines.where("total > 0").agg(F.count("*").alias("n_rows"), F.count_if(holds).alias("n_hold"), (F.count_if(holds) / F.count("*")).alias("rate"))
 
 
+def amount_identities(checks: dict[str, tuple[DataFrame, Column, Column, Column]], tolerance: float = 0.03, passes: float = 0.85) -> DataFrame:
+    """dataset, valid_rows, match_rate, passes: of each table (rows, quantity, unit price, total) the share of rows whose quantity times unit price is their total, up to a share of it.
+
+    Rows with a null or a total of 0 are not valid; a table without valid rows has a rate of 0 and does not pass.
+    """
+    out = None
+    for name, (rows, quantity, unit, total) in checks.items():
+        off = F.abs(quantity * unit - total) / F.abs(total)
+        valid = (total != 0) & quantity.isNotNull() & unit.isNotNull() & total.isNotNull()
+        row = rows.agg(F.count_if(valid).alias("valid_rows"), F.count_if(valid & (off <= tolerance)).alias("n")).select(F.lit(name).alias("dataset"), "valid_rows", (F.col("n") / F.greatest("valid_rows", F.lit(1))).alias("rate"))
+        out = row if out is None else out.unionByName(row)
+    return out.select("dataset", "valid_rows", F.round("rate", 4).alias("match_rate"), (F.col("rate") >= passes).alias("passes"))
+
+
 def demand(sales: DataFrame) -> DataFrame:
     return sales.where("is_active").groupBy("product_id").agg(F.sum("quantity").alias("units")).where("units > 0")
 

@@ -29,6 +29,13 @@ def offer_candidates(options: DataFrame) -> DataFrame:
     return options.join(reference, "product_id").select("product_id", "supplier", "unit_cost", "reference_cost", "n_suppliers", saving.alias("saving"), (F.col("unit_cost") - F.col("reference_cost")).alias("edge_weight"), scenario.alias("scenario"))
 
 
+def savings(candidates: DataFrame) -> DataFrame:
+    """Offer candidates with the saving as a share of the reference cost and whether it is one; a reference cost of 0 has no share and is left out."""
+    negative = F.col("edge_weight") < 0
+    kind = F.when(negative, "historical_saving").otherwise("at_or_above_reference")
+    return candidates.where("reference_cost > 0").select("product_id", "supplier", "unit_cost", "reference_cost", "edge_weight", "saving", F.round(F.col("saving") / F.col("reference_cost"), 6).alias("saving_pct"), negative.alias("is_negative_edge"), kind.alias("scenario_type"))
+
+
 def best_offers(candidates: DataFrame) -> DataFrame:
     """The least edge weight of each product: the shortest path source, product, option, sink of the offer network."""
     best = F.min(F.struct("edge_weight", "supplier", "unit_cost")).alias("best")
