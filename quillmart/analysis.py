@@ -166,6 +166,10 @@ def _answer_families(spark, sf_dir):
     return answers.families(found, _described(spark, sf_dir, found))
 
 
+#: Classes of products with equal attributes and weights.
+_CLASSES = "sets as (select product_id, list(attribute || '=' || w order by attribute) items from used group by all), classes as (select items, min(product_id) class from sets group by items)"
+
+
 def _demand(spark, sf_dir):
     """Units sold of every product: what the whole network is asked for."""
     return sales(spark, sf_dir).where("is_active and quantity > 0").groupBy("product_id").agg(F.sum("quantity").alias("ordered"))
@@ -265,7 +269,12 @@ _REGISTRY = {
         union all select 'products_total', count(*) from nodes where node_type = 'PRODUCT' union all select 'products_with_edges', count(*) from nodes where node_id like 'PRODUCT:%' and node_id in (select u from degree) union all select 'products_without_edges', count(*) from nodes where node_type = 'PRODUCT' and node_id not in (select u from degree)
         union all (select 'degree:' || u, n from degree order by n desc, u limit 20)""",
     ),
-    "threshold_components": (lambda s, d: networks.components_by_threshold(extraction.graph_edges(_rows(s, d), 0.0), (0.6, 0.75, 0.9)), None),
+    "threshold_components": (
+        lambda s, d: networks.components_by_threshold(extraction.graph_edges(_rows(s, d), 0.0), (0.6, 0.75, 0.9)),
+        f"""with recursive {_ROWS}, {_GRAPH_EDGES.replace("o.wt >= 0.75", "o.wt >= 0.0")}, t as (select unnest([0.6, 0.75, 0.9])::double threshold), b as (select threshold, source u, target v from edges, t where weight >= threshold union select threshold, target, source from edges, t where weight >= threshold),
+        reach(threshold, root, node) as (select distinct threshold, u, u from b where u not like 'PRODUCT:%' union select r.threshold, r.root, b.v from reach r join b on b.threshold = r.threshold and b.u = r.node), parts as (select threshold, node, min(root) label from reach group by all),
+        sizes as (select threshold, label, count(*) n from parts group by all) select threshold, cast(sum(n) as bigint) n_nodes, count(*) n_components, max(n) largest from sizes group by threshold""",
+    ),
     "coverage_report": (
         lambda s, d: extraction.coverage_report(_rows(s, d)),
         f"""with {_ROWS}, l as ({_long_sql('x', _LONG)}), c as (select attribute, value, count(*) n from l group by all), r as (select *, row_number() over (partition by attribute order by value is null, n desc, value) i from c)
@@ -335,6 +344,11 @@ _REGISTRY = {
         select query_id, product_id, round(base * (power(seed_coverage / total_seeds, 2) * 20 + 1), 2) relevance, seed_coverage, total_seeds from scored join t using (query_id)
         qualify row_number() over (partition by query_id order by round(base * (power(seed_coverage / total_seeds, 2) * 20 + 1), 2) desc, product_id) <= 10""",
     ),
+    "projection_class_pairs": (
+        lambda s, d: graph.class_pairs(graph.product_classes(base._edges(s, d))[0]),
+        f"with {base._PRODUCTS}, {base._ATTRIBUTES}, {base._PROJECTION}, {_CLASSES} select product_a a, product_b b, n_shared, shared_weight, similarity from projection where product_a in (select class from classes) and product_b in (select class from classes)",
+    ),
+    "projection_members": (lambda s, d: graph.product_classes(base._edges(s, d))[1], f"with {base._PRODUCTS}, {base._ATTRIBUTES}, {base._PROJECTION}, {_CLASSES} select class, product_id from sets join classes using (items)"),
     "network_cut_edges": (lambda s, d: cuts.shared_cut(_demand(s, d), base._options(s, d)), None),
     "network_max_flow": (_network_flow, None),
     "top_tokens": (
@@ -383,7 +397,11 @@ _REGISTRY = {
     "answer_profile": (lambda s, d: _profiles(s, d), None),
     "answer_supplier": (lambda s, d: answers.convenient_suppliers(purchases(s, d), _supplier_between(s, d)), None),
     "answer_offers": (lambda s, d: answers.offer_summary(supply.offer_candidates(base._options(s, d))), f"with {base._PURCHASES}, {base._OPTIONS}, {base._OFFERS}, b as (select min(edge_weight) w from offers group by product_id) select case when w < 0 then 'OFFER' when w > 0 then 'EXPENSIVE' else 'REFERENCE' end scenario, count(*) n_products, cast(-sum(w) as double) saving from b group by all"),
-    "answer_budget": (lambda s, d: answers.budget_answers(budget.greedy_budget(base._lots(s, d)), budget.knapsack(base._lots(s, d))), None),
+    "answer_budget": (
+        lambda s, d: answers.budget_answers(budget.greedy_budget(base._lots(s, d)), budget.knapsack(base._lots(s, d))),
+        f"select a.customer, a.budget, a.units greedy_units, a.cost greedy_cost, b.units best_units, b.cost best_cost, b.units - a.units gain from ({base.ORACLE_SQL['greedy_budget']}) a join ({base.ORACLE_SQL['knapsack']}) b using (customer)",
+    ),
+    "personal_ranks": (lambda s, d: paths.personal_ranks(base._trade(s, d), table(s, d, "supplier").where("s_suppkey % 50 = 0").select(F.concat(F.lit("S|"), F.col("s_name")).alias("node"))).select("seed", "node", F.round("rank", 6).alias("rank")), None),
     "answer_cross_sell": (
         lambda s, d: answers.cross_sell_answers(reports.association_rules(sales(s, d), 2, 0.0001, 0.01), reports.co_sales(sales(s, d)), products(s, d), reports.frequent_products(sales(s, d), 3)),
         f"""with {base._PRODUCTS}, {base._SALES}, {base._BASKETS}, asked as (select product_id from baskets group by product_id order by count(*) desc, product_id limit 3), big as (select customer, date from baskets group by all having count(*) > 1), every as (select * from baskets join big using (customer, date)), n as (select count(*) n from big),
@@ -407,7 +425,7 @@ def _profiles(spark, sf_dir, k=20):
     """Profiles of the k customers who spent most."""
     chosen = reports.client_top_products(sales(spark, sf_dir), 1).orderBy(F.col("value").desc(), "customer").limit(k).select("customer")
     e = sales(spark, sf_dir).where("is_active").groupBy(F.concat(F.lit("C|"), "customer").alias("u"), F.col("product_id").alias("v")).agg(F.sum("total").alias("w"))
-    ranks = paths.personalised_pagerank(e.union(e.select("v", "u", "w")), chosen.select(F.concat(F.lit("C|"), "customer").alias("node")), 3)
+    ranks = paths.personal_ranks(e.union(e.select("v", "u", "w")), chosen.select(F.concat(F.lit("C|"), "customer").alias("node")))
     mine = sales(spark, sf_dir).join(F.broadcast(chosen), "customer", "left_semi")
     return answers.customer_profile(mine, ranks.select(F.expr("substr(seed, 3)").alias("seed"), "node", F.round("rank", 9).alias("rank")))
 

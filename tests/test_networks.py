@@ -188,3 +188,25 @@ def test_shared_cut_is_the_plain_one(spark):
         row = cuts.shared_flow(asked, offered, cut).first()
         assert sorted(tuple(x) for x in cut.collect()) == arcs and row.max_flow == flow and row.products == sum(n > 0 for p, n in demand if p != "unknown")
     assert cuts.shared_cut(asked.limit(0), offered).count() == 0 and cuts.shared_cut(asked, offered.limit(0)).count() == 0
+
+
+def test_personal_ranks_converge(spark):
+    """Against power iteration, for all seeds at once; a seed outside the graph."""
+    import numpy as np
+
+    r = random.Random(6)
+    edges = [(f"n{i}", f"n{j}", 1.0 + r.random()) for i in range(40) for j in range(i) if r.random() < 0.1] + [("x", "y", 1.0)]
+    near = weights(edges)
+    names = sorted(near)
+    walk = np.array([[near[a][b] / sum(near[a].values()) for b in names] for a in names])
+    both = spark.createDataFrame([(a, b, w) for a in near for b, w in near[a].items()], "u string, v string, w double")
+    seeds = ["n3", "x", "n7"]
+    got = {(x.seed, x.node): x["rank"] for x in paths.personal_ranks(both, spark.createDataFrame([(n,) for n in [*seeds, "n3", "none", None]], "node string")).collect()}
+    assert got.pop(("none", "none")) == 1.0
+    for seed in seeds:
+        start = np.array([float(n == seed) for n in names])
+        rank = start
+        for _ in range(400):
+            rank = 0.15 * start + 0.85 * rank @ walk
+        assert max(abs(got.pop((seed, n), 0.0) - v) for n, v in zip(names, rank, strict=True)) < 1e-6
+    assert not got
