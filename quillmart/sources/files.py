@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import csv
 import io
 import re
+import uuid
 import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
@@ -43,6 +45,47 @@ def write_delimited(df: DataFrame, path: str, mark: bool = False) -> None:
     df.select([F.col(f"`{c}`").cast("string").alias(n) for c, n in zip(df.columns, names, strict=True)]).write.csv(path, header=True, escape='"', encoding="UTF-8")
 
 
+def write_one_delimited(df: DataFrame, path: str, mark: bool = True) -> None:
+    """One CSV file behind a byte order mark, with one header: tasks write parts beside it, then these are joined in the order of partitions.
+
+    A failing task or join leaves nothing at the path; a file that is there already raises FileExistsError and stays. Bytes go from part
+    to file in the driver's store client, none are held.
+    """
+    spark = df.sparkSession
+    hadoop = spark._jvm.org.apache.hadoop
+    target, parts, whole = (hadoop.fs.Path(p) for p in (path, *(f"{path}.{kind}-{uuid.uuid4().hex}" for kind in ("parts", "whole"))))
+    store = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    if store.exists(target):
+        raise FileExistsError(path)
+    header = io.StringIO()
+    csv.writer(header, lineterminator="\n").writerow(df.columns)
+    try:
+        df.select([F.col(f"`{c}`").cast("string").alias(f"c{i}") for i, c in enumerate(df.columns)]).write.csv(parts.toString(), escape='"', encoding="UTF-8")
+        out = store.create(whole)
+        try:
+            out.write(bytearray((MARK * mark + header.getvalue()).encode()))
+            for part in sorted(f.getPath().getName() for f in store.listStatus(parts)):
+                if part.startswith("part-"):
+                    from_ = store.open(hadoop.fs.Path(parts, part))
+                    hadoop.io.IOUtils.copyBytes(from_, out, 1 << 16, False)
+                    from_.close()
+        finally:
+            out.close()
+        if not store.rename(whole, target):
+            raise FileExistsError(path)
+    finally:
+        for left in (parts, whole):
+            store.delete(left, True)
+
+
+def export_tables(tables: dict[str, DataFrame], folder: str) -> dict[str, str]:
+    """Each table as one CSV file with a mark, named after it, in a folder; returns the paths by file name."""
+    paths = {f"{name}.csv": f"{folder.rstrip('/')}/{name}.csv" for name in tables}
+    for df, path in zip(tables.values(), paths.values(), strict=True):
+        write_one_delimited(df, path)
+    return paths
+
+
 def write_json(df: DataFrame, path: str) -> None:
     """One JSON object a line, nulls kept."""
     df.write.json(path, ignoreNullFields=False)
