@@ -214,10 +214,20 @@ def _sales_graph(spark, sf_dir):
     return graph.transaction_edges(sales(spark, sf_dir), "customer", "SOLD_TO")
 
 
+#: Questions; {} stands for a product's name.
+_FORMS = ["¿Qué proveedor conviene para {}?", "Tengo S/ 500 para comprar {}, ¿cuánto me alcanza?", "Necesito 20 {} y 30 tapas", "¿Con qué se vende junto {}?", "Busca {}", "¿De dónde suelo comprar lo que pide el cliente {}?", "Hola, gracias", "xyz {}"]
+_QUESTIONS = "select case p_partkey % 8 " + " ".join(f"when {j} then '{f}'".replace("{}", "' || p_name || '") for j, f in enumerate(_FORMS)) + " end as text from part"
+
+
+def _names(spark, sf_dir):
+    one = lambda t, kind, c: table(spark, sf_dir, t).select(F.lit(kind).alias("kind"), F.col(c).alias("name"))
+    return one("part", "product", "p_name").unionByName(one("customer", "customer", "c_name")).unionByName(one("supplier", "supplier", "s_name"))
+
+
 def _questions(spark, sf_dir):
     """Questions about products, customers and suppliers, in turn."""
     p = table(spark, sf_dir, "part").select(F.col("p_name").alias("n"), F.col("p_partkey").alias("i"))
-    forms = ["¿Qué proveedor conviene para {}?", "Tengo S/ 500 para comprar {}, ¿cuánto me alcanza?", "Necesito 20 {} y 30 tapas", "¿Con qué se vende junto {}?", "Busca {}", "¿De dónde suelo comprar lo que pide el cliente {}?", "Hola, gracias", "xyz {}"]
+    forms = _FORMS
     pick = F.pmod(F.col("i"), F.lit(len(forms)))
     text = F.coalesce(*[F.when(pick == j, F.concat(F.lit(f.partition("{}")[0]), F.when(F.lit("{}" in f), F.col("n")).otherwise(""), F.lit(f.partition("{}")[2]))) for j, f in enumerate(forms)])
     return p.select(text.alias("text"))
@@ -317,6 +327,11 @@ _REGISTRY = {
         lambda s, d: retrieval.resolve_parties(table(s, d, "customer").select(F.explode(F.array(F.lower("c_name"), F.expr("substring(c_name, 12)"), F.substring("c_name", 1, 8))).alias("text")), _customers(s, d)),
         f"with {_CUSTOMERS}, q as (select text, {base._norm('text')} t from asked), c as (select c_name party, {base._norm('c_name')} n from customer), h as (select text, 1 tier, party from q join c on t = n where t <> '' union all select text, 2, party from q join c on contains(n, t) where t <> '') select text, party from h qualify row_number() over (partition by text order by tier, party) = 1",
     ),
+    "question_names": (
+        lambda s, d: retrieval.named_in(_questions(s, d), _names(s, d)).select("text", "kind", "name"),
+        f"""with asked as (select distinct text, ' ' || {base._norm('text')} || ' ' t from ({_QUESTIONS})), names as (select kind, {base._norm('name')} n, min(name) as name from (select 'product' kind, p_name as name from part union all select 'customer', c_name from customer union all select 'supplier', s_name from supplier) group by all)
+        select text, kind, name from asked join names on n <> '' and contains(t, ' ' || n || ' ') qualify row_number() over (partition by text, kind order by length(n) - length(replace(n, ' ', '')) desc, instr(t, ' ' || n || ' '), name) = 1""",
+    ),
     "intent_routing": (lambda s, d: retrieval.route(_questions(s, d)), None),
     "min_cost_flow": (lambda s, d: flows.min_cost_flow(_requests(s, d), base._options(s, d)), None),
     "flow_vs_baseline": (lambda s, d: answers.optimal_orders(_requests(s, d), base._options(s, d)), None),

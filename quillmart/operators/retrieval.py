@@ -193,3 +193,32 @@ def route(texts: DataFrame) -> DataFrame:
     sure = F.col("r")[0]["points"] >= 2
     confidence = F.least(F.round(F.col("r")[0]["points"] / (F.col("r")[0]["points"] + F.col("r")[1]["points"] + 1.0), 2), F.lit(0.99))
     return best.select("text", F.when(sure, F.col("r")[0]["intent"]).otherwise(UNKNOWN).alias("intent"), F.when(sure, confidence).otherwise(0.0).alias("confidence"), "amount", "n_items")
+
+
+def named_in(texts: DataFrame, names: DataFrame) -> DataFrame:
+    """text, kind, name, place: of each kind the name that a text holds as whole words, the longest one, of those the first, of names alike when normalised the least. names: kind, name.
+
+    A name is looked up by its rarest word among all names, so common words such as a prefix of all customers join nothing; the words around it are then compared.
+    """
+    words = lambda c: F.filter(F.split(normalized(F.col(c)), " "), lambda w: w != "")
+    held = names.where("name is not null").withColumn("words", words("name")).where(F.size("words") > 0).groupBy("kind", "words").agg(F.min("name").alias("name"))
+    each = held.select("kind", "words", "name", F.posexplode("words").alias("offset", "word"))
+    often = each.groupBy("word").agg(F.count("*").alias("n"))
+    keyed = each.join(often, "word").groupBy("kind", "words", "name").agg(F.min(F.struct("n", "word", "offset")).alias("key"))
+    asked = texts.select("text").where("text is not null").distinct().withColumn("said", words("text"))
+    spots = asked.select("text", "said", F.posexplode("said").alias("at", "word"))
+    size, place = F.size("words"), F.col("at") - F.col("key.offset")
+    met = spots.join(keyed, F.col("word") == F.col("key.word")).where((place >= 0) & (F.slice("said", F.greatest(place, F.lit(0)) + 1, size) == F.col("words")))
+    best = met.groupBy("text", "kind").agg(F.min(F.struct((-size).alias("size"), place.alias("place"), "name")).alias("least"))
+    return best.select("text", "kind", "least.name", F.col("least.place").cast("long").alias("place"))
+
+
+def route_with_names(texts: DataFrame, products: DataFrame, customers: DataFrame, suppliers: DataFrame) -> DataFrame:
+    """route() with the product, customer and supplier that each question names (null for none). Each of the three has its names in a column `name`."""
+    kinds = {"product": products, "customer": customers, "supplier": suppliers}
+    names = None
+    for kind, df in kinds.items():
+        part = df.select(F.lit(kind).alias("kind"), "name")
+        names = part if names is None else names.unionByName(part)
+    found = named_in(texts, names).groupBy("text").agg(*[F.min(F.when(F.col("kind") == k, F.col("name"))).alias(k) for k in kinds])
+    return route(texts).join(found, "text", "left")

@@ -74,6 +74,15 @@ def test_routing(spark):
     assert got[asked[1]].amount == 1500.5 and got[asked[2]].n_items == 2 and got[""].confidence == 0 and None not in got
 
 
+def test_names_in_questions(spark):
+    """The longest name of whole words, then the first; names of common words, prefixes of all names, and names that are parts of words."""
+    frame = lambda names: spark.createDataFrame([(n,) for n in names], "name string")
+    products, customers, suppliers = frame(["Tapa", "Tapa Rosca", "Pote", None, ""]), frame([f"Cliente {i}" for i in range(30)] + ["Tapa"]), frame(["Proveedor #7", "Proveedor #77"])
+    asked = ["Necesito 20 tapa rosca y 30 pote para el cliente 12", "proveedor 77 me vende tapas", "¿el proveedor #7, o cliente 1?", "pote tapa", "cliente", None, ""]
+    got = {r.text: (r.product, r.customer, r.supplier) for r in retrieval.route_with_names(spark.createDataFrame([(a,) for a in asked], "text string"), products, customers, suppliers).collect()}
+    assert got == {asked[0]: ("Tapa Rosca", "Cliente 12", None), asked[1]: (None, None, "Proveedor #77"), asked[2]: (None, "Cliente 1", "Proveedor #7"), asked[3]: ("Pote", "Tapa", None), asked[4]: (None, None, None), "": (None, None, None)}
+
+
 def test_ranks_and_communities(spark):
     import numpy as np
 
