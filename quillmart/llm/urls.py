@@ -26,7 +26,9 @@ from .common import stored
 #: Fixed values: (host, path) to verdict.
 RULES = {("com", "/en/"): "block", ("example.com", "/en/7"): "allow", ("net", "/de/"): "block", ("example.net", "/de/8"): "block", ("org", "/es/"): "block"}
 BITS_PER_KEY, PROBES, LEAST_BITS = 10, 7, 1024
-#: Bits of one broadcast cascade; more listed keys are split by hash into several, looked up one after the other.
+#: Share of keys that a level lets through in error, rounded up.
+PASSED = 0.01
+#: Bits of one broadcast cascade; if listed keys and false positives of the others need more, keys are split by hash into several cascades, looked up one after the other.
 MOST_BITS = 1 << 28
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -104,6 +106,12 @@ def build_cascade(universe: DataFrame) -> list[tuple[int, np.ndarray]]:
     return levels
 
 
+def cascades(listed: int, universe: int, most_bits: int) -> int:
+    """How many cascades keep their levels together below most_bits: level 0 has the listed keys, level 1 what it lets through of the others, and so on in turn."""
+    needed = (listed + PASSED * (universe - listed)) * BITS_PER_KEY / (1 - PASSED)
+    return max(1, -(-int(needed) // most_bits))
+
+
 def url_filter(pages: DataFrame, rules: dict = RULES, most_bits: int = MOST_BITS) -> DataFrame:
     """`row` (all columns of pages), host, path, rule and verdict of every page."""
     spark = pages.sparkSession
@@ -118,8 +126,8 @@ def url_filter(pages: DataFrame, rules: dict = RULES, most_bits: int = MOST_BITS
     h1, h2 = _hashes(F.col("key"))
     universe = stored(seen.join(copies, "key", "left").select("key", h1.alias("h1"), h2.alias("h2"), (F.col("key").isin(listed_rules) | F.coalesce("copying", F.lit(False))).alias("listed")), "cascade-universe")
 
-    n = universe.where("listed").count()
-    shards = max(1, -(-n * BITS_PER_KEY // most_bits))
+    counts = universe.agg(F.count_if("listed").alias("listed"), F.count("*").alias("all")).first()
+    shards = cascades(counts["listed"], counts["all"], most_bits)
     out = keyed.withColumn("listed", F.array().cast("array<boolean>"))
     names = keyed.columns
     for shard in range(shards):
