@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillmart import queries as base
+from quillmart.functions.text import normalized
 from quillmart.operators import answers, budget, communities, cuts, extraction, flows, graph, networks, normalize, paths, reports, retrieval, supply
 from quillmart.operators.attributes import CONFIDENCE, search, search_batch, search_index
 from quillmart.plans.canonical import products, purchases, sales, stored, table
@@ -170,6 +171,23 @@ def _answer_families(spark, sf_dir):
 _CLASSES = "sets as (select product_id, list(attribute || '=' || w order by attribute) items from used group by all), classes as (select items, min(product_id) class from sets group by items)"
 
 
+def _search_queries(spark, sf_dir):
+    """Searches for names and brands, and the brand as an attribute that results may have to have."""
+    brand = F.concat(F.lit("BRAND:"), normalized(F.col("p_brand")))
+    return table(spark, sf_dir, "part").where("p_partkey % 50 = 0").select(F.col("p_partkey").alias("query_id"), F.concat_ws(" ", "p_name", "p_brand").alias("text"), brand.alias("attribute"))
+
+
+_SEARCHES = f"""with recursive {base._PRODUCTS}, {base._ATTRIBUTES}, e as (select product_id, attribute, max(weight) w from edges group by all), q as (select p_partkey query_id, concat_ws(' ', p_name, p_brand) t, 'BRAND:' || {base._norm('p_brand')} attribute from part where p_partkey % 50 = 0),
+        word as (select query_id, unnest({base._tokens('t')}) x from q), wanted as (select query_id, x from word union select query_id, case when ends_with(x, 'ES') and length(x) > 4 then x[:-3] when ends_with(x, 'S') and length(x) > 3 then x[:-2] else x end from word),
+        seeds as (select distinct query_id, attribute from wanted join (select distinct attribute, string_split(attribute, ':')[-1] x from e) using (x)),
+        second as (select distinct query_id, y.attribute from seeds join e x using (attribute) join e y on y.product_id = x.product_id),
+        reached(query_id, attribute) as (select query_id, attribute from seeds union select query_id, y.attribute from reached r join e x on x.attribute = r.attribute join e y on y.product_id = x.product_id),
+        decay as (select r.query_id, r.attribute, case when s.attribute is not null then 5 when n.attribute is not null then 3 else 1 end d from reached r left join seeds s using (query_id, attribute) left join second n using (query_id, attribute)),
+        scored as (select query_id, product_id, sum(d * w) base, count(*) filter (d = 5) seed_coverage from e join decay using (attribute) group by all), t as (select query_id, count(*) total_seeds from seeds group by all)
+        select query_id, product_id, round(base * (power(seed_coverage / total_seeds, 2) * 20 + 1), 2) relevance, seed_coverage, total_seeds from scored join t using (query_id) where {{required}}
+        qualify row_number() over (partition by query_id order by round(base * (power(seed_coverage / total_seeds, 2) * 20 + 1), 2) desc, product_id) <= 10"""
+
+
 def _demand(spark, sf_dir):
     """Units sold of every product: what the whole network is asked for."""
     return sales(spark, sf_dir).where("is_active and quantity > 0").groupBy("product_id").agg(F.sum("quantity").alias("ordered"))
@@ -347,17 +365,10 @@ _REGISTRY = {
         flow as (select request, min(units) max_flow from (select request, mask, sum(units) units from cuts group by all) group by request) select request, cast(sum(ordered) as bigint) demand, cast(any_value(max_flow) as bigint) max_flow, round(any_value(max_flow) / sum(ordered), 4) coverage from requests join flow using (request) group by request""",
     ),
     "min_cut_edges": (lambda s, d: flows.min_cut(_requests(s, d), base._options(s, d)), None),
-    "semantic_search_batch": (
-        lambda s, d: search_batch(search_index(base._edges(s, d)), table(s, d, "part").where("p_partkey % 50 = 0").select(F.col("p_partkey").alias("query_id"), F.concat_ws(" ", "p_name", "p_brand").alias("text"))),
-        f"""with recursive {base._PRODUCTS}, {base._ATTRIBUTES}, e as (select product_id, attribute, max(weight) w from edges group by all), q as (select p_partkey query_id, concat_ws(' ', p_name, p_brand) t from part where p_partkey % 50 = 0),
-        word as (select query_id, unnest({base._tokens('t')}) x from q), wanted as (select query_id, x from word union select query_id, case when ends_with(x, 'ES') and length(x) > 4 then x[:-3] when ends_with(x, 'S') and length(x) > 3 then x[:-2] else x end from word),
-        seeds as (select distinct query_id, attribute from wanted join (select distinct attribute, string_split(attribute, ':')[-1] x from e) using (x)),
-        second as (select distinct query_id, y.attribute from seeds join e x using (attribute) join e y on y.product_id = x.product_id),
-        reached(query_id, attribute) as (select query_id, attribute from seeds union select query_id, y.attribute from reached r join e x on x.attribute = r.attribute join e y on y.product_id = x.product_id),
-        decay as (select r.query_id, r.attribute, case when s.attribute is not null then 5 when n.attribute is not null then 3 else 1 end d from reached r left join seeds s using (query_id, attribute) left join second n using (query_id, attribute)),
-        scored as (select query_id, product_id, sum(d * w) base, count(*) filter (d = 5) seed_coverage from e join decay using (attribute) group by all), t as (select query_id, count(*) total_seeds from seeds group by all)
-        select query_id, product_id, round(base * (power(seed_coverage / total_seeds, 2) * 20 + 1), 2) relevance, seed_coverage, total_seeds from scored join t using (query_id)
-        qualify row_number() over (partition by query_id order by round(base * (power(seed_coverage / total_seeds, 2) * 20 + 1), 2) desc, product_id) <= 10""",
+    "semantic_search_batch": (lambda s, d: search_batch(search_index(base._edges(s, d)), _search_queries(s, d)), _SEARCHES.format(required="true")),
+    "semantic_search_required": (
+        lambda s, d: search_batch(search_index(base._edges(s, d)), _search_queries(s, d), required=_search_queries(s, d).select("query_id", "attribute")),
+        _SEARCHES.format(required="product_id in (select product_id from e join q using (attribute) where q.query_id = scored.query_id)"),
     ),
     "projection_class_pairs": (
         lambda s, d: graph.class_pairs(graph.product_classes(base._edges(s, d))[0]),
