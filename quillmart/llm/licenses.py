@@ -23,10 +23,13 @@ GRAM = 3
 NEAR_DIAGONALS = 3
 #: Share of a template's three-word windows that a span must cover.
 LEAST_COVERED = 0.75
-#: Phrases and their labels, matched as consecutive words.
-BASE = {"the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
+#: The query's phrases and their labels, matched as consecutive words.
+BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
+#: Phrases of the operator when it is given none: names alone, whatever leads to them.
+NAMES = {"the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 #: Passages that name a licence, grant it, state its conditions or disclaim, as plain words.
 TEMPLATES = {
+    "the mit license": "mit",
     "this work is licensed under the gnu general public license": "gpl",
     "gnu general public license version 3": "gpl-3",
     "gnu lesser general public license": "lgpl",
@@ -63,24 +66,24 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(plain, " "), "")
 
 
-def _templates() -> list[tuple[int, str, str, bool]]:
-    return [(i, p, k, b) for i, (p, k, b) in enumerate([*((p, k, True) for p, k in BASE.items()), *((p, k, False) for p, k in TEMPLATES.items())])]
+def _templates(base: dict[str, str]) -> list[tuple[int, str, str, bool]]:
+    return [(i, p, k, b) for i, (p, k, b) in enumerate([*((p, k, True) for p, k in base.items()), *((p, k, False) for p, k in TEMPLATES.items())])]
 
 
-def template_grams(spark) -> DataFrame:
+def template_grams(spark, base: dict[str, str]) -> DataFrame:
     """One row per template position: its three words and their hash. The list is fixed, so its size is."""
     rows = []
-    for i, phrase, label, base in _templates():
+    for i, phrase, label, base in _templates(base):
         w = phrase.split()
         rows += [(i, label, base, len(w) - GRAM + 1, at, w[at : at + GRAM]) for at in range(len(w) - GRAM + 1)]
     frame = spark.createDataFrame(rows, "template int, label string, base boolean, n_grams int, template_pos int, gram array<string>")
     return frame.withColumn("hash", F.xxhash64(*[F.col("gram")[j] for j in range(GRAM)]))
 
 
-def license_scan(docs: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score of every row."""
+def license_scan(docs: DataFrame, base: dict[str, str] = NAMES) -> DataFrame:
+    """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score of every row; base: phrases of three words or more, and their labels."""
     spark = docs.sparkSession
-    grams = template_grams(spark)
+    grams = template_grams(spark, base)
     wanted = [r.hash for r in grams.select("hash").distinct().collect()]
     rolling = lambda w: F.transform(F.sequence(F.lit(0), F.size(w) - GRAM), lambda i: F.struct(i.alias("pos"), F.xxhash64(*[F.get(w, i + j) for j in range(GRAM)]).alias("hash")))
     found = docs.select(F.col("doc_id"), words(F.col("text").cast("string")).alias("words")).select(
@@ -97,7 +100,7 @@ def license_scan(docs: DataFrame) -> DataFrame:
         .agg(F.collect_set("template_pos").alias("covered"))
     )
     places = votes.where(F.col("base") & (F.size("covered") == F.col("n_grams")))
-    base = places.groupBy("row").agg(F.count("*").alias("n_base"), F.min("diagonal").cast("long").alias("first_word"), F.max("diagonal").cast("long").alias("last_word"), F.collect_set("label").alias("base_set"))
+    counted = places.groupBy("row").agg(F.count("*").alias("n_base"), F.min("diagonal").cast("long").alias("first_word"), F.max("diagonal").cast("long").alias("last_word"), F.collect_set("label").alias("base_set"))
 
     along = Window.partitionBy("row", "template").orderBy("diagonal")
     apart = F.coalesce((F.col("diagonal") - F.lag("diagonal").over(along) > NEAR_DIAGONALS).cast("int"), F.lit(1))
@@ -108,7 +111,7 @@ def license_scan(docs: DataFrame) -> DataFrame:
     none = F.array().cast("array<string>")
     listed = lambda c: F.array_join(F.sort_array(F.array_distinct(c)), ",")
     base_set, method_set = F.coalesce("base_set", none), F.coalesce("method_set", none)
-    return rows.join(base, "row", "left").join(method, "row", "left").select(
+    return rows.join(counted, "row", "left").join(method, "row", "left").select(
         "doc_id", "n_words", F.coalesce("n_base", F.lit(0)).cast("long").alias("n_base"), "first_word", "last_word",
         listed(base_set).alias("base_labels"), listed(F.concat(base_set, method_set)).alias("labels"),
         F.when(F.col("n_base") > 0, 1.0).otherwise(F.coalesce("share", F.lit(0.0))).cast("double").alias("score"),
