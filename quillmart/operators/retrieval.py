@@ -89,13 +89,18 @@ def suggestions(texts: DataFrame, names: DataFrame, k: int = 5, least: float = S
 
 
 def resolve_parties(texts: DataFrame, parties: DataFrame) -> DataFrame:
-    """text, party of texts that name a customer or supplier (column party): its whole normalised name, else the least name that holds the text."""
+    """text, party of texts that name a customer or supplier (column party): its whole normalised name, else the least name that holds the text.
+
+    Names give their parts of every length that is asked, so that a part is looked up by itself: no common start of texts joins all names.
+    """
     asked = texts.select("text").where("text is not null").distinct().withColumn("plain", normalized(F.col("text"))).where("plain != ''")
     named = parties.select("party", normalized(F.col("party")).alias("name")).where("name != ''").distinct()
     whole = asked.join(named, F.col("plain") == F.col("name")).select("text", F.lit(1).alias("tier"), "party")
-    head = F.when(F.length("plain") < 3, F.col("plain")).otherwise(F.substring("plain", 1, 3))
-    short = named.withColumn("run", F.explode(F.flatten(F.transform(F.sequence(F.lit(1), F.length("name")), lambda i: F.array(*[F.col("name").substr(i, F.lit(n)) for n in (1, 2, 3)]))))).distinct()
-    part = asked.withColumn("run", head).join(short, "run").where(F.contains("name", "plain")).select("text", F.lit(2).alias("tier"), "party")
+    lengths = F.broadcast(asked.agg(F.collect_set(F.length("plain")).alias("lengths")))
+    cut = lambda n: F.transform(F.sequence(F.lit(1), F.length("name") - n + 1), lambda i: F.col("name").substr(i, n))
+    parts = F.flatten(F.transform(F.filter("lengths", lambda n: n <= F.length("name")), cut))
+    least = named.crossJoin(lengths).select("party", F.explode(F.array_distinct(parts)).alias("run")).groupBy("run").agg(F.min("party").alias("party"))
+    part = asked.join(least, F.col("plain") == F.col("run")).select("text", F.lit(2).alias("tier"), "party")
     return whole.unionByName(part).groupBy("text").agg(F.min(F.struct("tier", "party")).alias("best")).select("text", "best.party")
 
 
