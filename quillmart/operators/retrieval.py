@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 from quillmart.functions.similarity import Names, similarity
 from quillmart.functions.text import normalized, query_words, value_words
 from quillmart.operators.linkage import link_products
+from quillmart.plans.canonical import stored
 
 #: Least scores of an accepted and of an ambiguous match, the lead over the second that acceptance needs, and the least score of a suggestion.
 ACCEPT, AMBIGUOUS, LEAD, SUGGEST = 0.82, 0.65, 0.05, 0.35
@@ -122,20 +123,28 @@ def retrievability(documents: DataFrame) -> DataFrame:
     """product_id, retrievability, n_matched, n_words, rank, top1, top5, top10: how well each product's own name finds it.
 
     Names and attributes that are equal are one class: classes are scored against each other where they share a word, so the
-    join grows with distinct descriptions, and a product's rank counts the members of better classes and those of its own with a lesser id.
+    work grows with distinct descriptions, and a product's rank counts the members of better classes and those of its own with a lesser id.
+    A class that is better than the own one must have almost all words of the name in its own: it is found by the rarest of them. No likeness
+    is above 1, so only pairs that would be as good as the own class with 1 are compared by it.
     """
     key = ["plain", "name_words", "attribute_words"]
-    sorted_words = documents.withColumns({c: F.array_sort(c) for c in key[1:]}).withColumn("class", F.xxhash64(*key))
-    classes = sorted_words.groupBy("class", *key).agg(F.count("*").alias("members"))
-    asked = classes.select(F.col("class").alias("q"), F.col("plain").alias("q_plain"), F.col("name_words").alias("q_words"), F.explode("name_words").alias("word"))
-    held = classes.select("class", "plain", "members", "name_words", "attribute_words", F.explode(F.array_union("name_words", "attribute_words")).alias("word"))
-    n = F.size("q_words")
-    hits = lambda c: F.size(F.array_intersect("q_words", c))
-    pairs = asked.join(held, "word").drop("word").dropDuplicates(["q", "class"])
-    score = (hits("attribute_words") * ATTRIBUTE_HIT + hits("name_words") * NAME_HIT) / n + similarity("q_plain", "plain") * FUZZY + F.when(F.col("q_plain") == F.col("plain"), EXACT).otherwise(0.0) + F.log1p(F.size("attribute_words").cast("double")) * BREADTH
-    scored = pairs.select("q", "class", "members", F.round(score, 9).alias("score"))
-    own = scored.where("q = class").select("q", F.col("score").alias("own"))
-    better = scored.join(own, "q").where("score > own or (score = own and class < q)").groupBy("q").agg(F.sum("members").alias("before"))
+    # read four times below, each time with all rules of extraction if it were not stored
+    sorted_words = stored(documents.select("product_id", "plain", *[F.array_sort(c).alias(c) for c in key[1:]]).withColumn("class", F.xxhash64(*key)), "retrieved")
+    classes = stored(sorted_words.groupBy("class", *key).agg(F.count("*").alias("members")), "retrieved-classes")
+    hits = lambda q, c: F.size(F.array_intersect(q, c))
+    score = lambda q_plain, q, alike: F.round((hits(q, "attribute_words") * ATTRIBUTE_HIT + hits(q, "name_words") * NAME_HIT) / F.size(q) + alike * FUZZY + F.when(F.col(q_plain) == F.col("plain"), EXACT).otherwise(0.0) + F.log1p(F.size("attribute_words").cast("double")) * BREADTH, 9)
+    own = score("plain", "name_words", F.lit(1.0))
+    # what words and breadth can give at most leaves so many words of the own name that a better class must have in its name, too
+    most = F.broadcast(classes.agg(F.coalesce(F.max(F.log1p(F.size("attribute_words").cast("double"))), F.lit(0.0)).alias("most")))
+    need = F.greatest(F.lit(1), F.ceil(F.size("q_words") * (F.col("own") - FUZZY - F.col("most") * BREADTH - ATTRIBUTE_HIT) / NAME_HIT - 1e-6)).cast("int")
+    asked = classes.where(F.size("name_words") > 0).crossJoin(most).select(F.col("class").alias("q"), F.col("plain").alias("q_plain"), F.col("name_words").alias("q_words"), own.alias("own"), "most").withColumn("tried", F.size("q_words") - need + 1).drop("most")
+    named = classes.select("class", "plain", "members", "name_words", "attribute_words", F.explode("name_words").alias("word"))
+    often = named.groupBy("word").agg(F.count("*").alias("n"))
+    keyed = asked.select("q", "tried", F.explode("q_words").alias("word")).join(often, "word").withColumn("place", F.row_number().over(Window.partitionBy("q").orderBy("n", "word"))).where("place <= tried").select("q", "word")
+    met = keyed.join(named.select("word", "class"), "word").select("q", "class").union(asked.join(classes, F.col("q_plain") == F.col("plain")).select("q", "class")).distinct()
+    pairs = met.join(asked, "q").join(classes, "class")
+    scored = pairs.where(score("q_plain", "q_words", F.lit(1.0)) >= F.col("own")).withColumn("score", score("q_plain", "q_words", similarity("q_plain", "plain")))
+    better = scored.where("score > own or (score = own and class < q)").groupBy("q").agg(F.sum("members").alias("before"))
     place = F.row_number().over(Window.partitionBy("class").orderBy("product_id"))
     ranked = sorted_words.withColumn("place", place).join(better.withColumnRenamed("q", "class"), "class", "left")
     size, matched = F.size("name_words"), F.size(F.array_intersect("name_words", "attribute_words"))

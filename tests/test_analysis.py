@@ -143,6 +143,38 @@ def test_retrievability_against_all_pairs(spark):
             assert got[i]["rank"] is None and not got[i].top10
 
 
+def test_retrievability_reads_documents_once_and_compares_few(spark, monkeypatch):
+    """Rows of the documents are made once; only pairs that can be better than the own class are compared by likeness."""
+    from pyspark.sql import functions as F
+
+    made, compared = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+
+    def noted(i):
+        made.add(1)
+        return i
+
+    def alike(a, b):
+        compared.add(1)
+        return token_set_ratio(a, b)
+
+    monkeypatch.setattr(retrieval, "similarity", F.udf(alike, "double"))
+    rows = [(str(i), f"PLATE {i}", ["PLATE", f"N{i}"], ["TAPA"]) for i in range(60)]
+    docs = spark.createDataFrame(rows, "id string, plain string, name_words array<string>, attribute_words array<string>")
+    got = retrieval.retrievability(docs.select(F.udf(noted, "string")("id").alias("product_id"), "plain", "name_words", "attribute_words")).collect()
+    assert len(got) == 60 and all(r["rank"] == 1 for r in got)
+    assert made.value == 60 and compared.value <= 60
+
+
+def test_parts_of_names_join_nothing_in_common(spark):
+    """Texts with one same start are looked up by themselves, not among all names that hold the start."""
+    names = [(f"Customer#{i:06d}",) for i in range(200)]
+    texts = spark.createDataFrame([(n[0][9:],) for n in names] + [("cust",), ("0",), ("zz",)], "text string")
+    found = retrieval.resolve_parties(texts, spark.createDataFrame(names, "party string"))
+    got = {r.text: r.party for r in found.collect()}
+    assert got == {n[0][9:]: n[0] for n in names} | {"cust": names[0][0], "0": names[0][0]}
+    assert "Contains(" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_default_rules_and_uncommon_products(spark):
     rows = {r.product_id: r for r in extraction.attribute_rows(spark.createDataFrame([("1", "Frasco gotero ámbar 30 ml PET"), ("2", None), ("3", "Bomba atomizador B24 no estéril")], "product_id string, product_name string")).collect()}
     a = rows["1"]
