@@ -69,6 +69,29 @@ def top_similar(projection: DataFrame, k: int = 5) -> DataFrame:
     return both.withColumn("rank", rank.cast("long")).where(F.col("rank") <= k)
 
 
+def top_similar_products(edges: DataFrame, k: int = 5, hub_share: float = 0.35, least_shared: int = 2, least_similarity: float = 0.3) -> DataFrame:
+    """top_similar() of product_projection(), without spelling its pairs out.
+
+    Products of a class are alike to the same others, so one ranking holds for the class: of each other class its first k members by
+    name can be among the best, and of its own class the first k + 1, as a product is none of its own best.
+    """
+    classes, members = product_classes(edges, hub_share)
+    members = stored(members, "similar-members")
+    place = F.row_number().over(Window.partitionBy("class").orderBy("product_id"))
+    first = stored(members.withColumn("place", place).where(F.col("place") <= k + 1).select(F.col("class").alias("b"), F.col("product_id").alias("other")), "similar-first")
+    pairs = stored(class_pairs(classes, least_shared, least_similarity).select("a", "b", "similarity"), "similar-pairs")
+    own = classes.where((F.size("items") >= least_shared) & (F.col("n") > 1)).select(F.col("class").alias("a"), F.col("class").alias("b"), F.lit(1.0).alias("similarity"))
+    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "similarity")).unionByName(own)
+    # the classes of the k + 1 best members are among the k + 1 best classes or as good as the last of them
+    near = F.rank().over(Window.partitionBy("a").orderBy(F.col("similarity").desc()))
+    best = both.withColumn("near", near).where(F.col("near") <= k + 1).join(first, "b")
+    order = F.row_number().over(Window.partitionBy("a").orderBy(F.col("similarity").desc(), "other"))
+    kept = best.withColumn("rank", order).where(F.col("rank") <= k + 1).select(F.col("a").alias("class"), "other", "similarity")
+    every = members.join(kept, "class").where("product_id != other").select("product_id", "other", "similarity")
+    rank = F.row_number().over(Window.partitionBy("product_id").orderBy(F.col("similarity").desc(), "other"))
+    return every.withColumn("rank", rank.cast("long")).where(F.col("rank") <= k)
+
+
 def attribute_cooccurrence(edges: DataFrame, least: int = 3) -> DataFrame:
     e = edges.select("product_id", "attribute").distinct()
     both = e.alias("x").join(e.alias("y"), (F.col("x.product_id") == F.col("y.product_id")) & (F.col("x.attribute") < F.col("y.attribute")))

@@ -210,3 +210,13 @@ def test_personal_ranks_converge(spark):
             rank = 0.15 * start + 0.85 * rank @ walk
         assert max(abs(got.pop((seed, n), 0.0) - v) for n, v in zip(names, rank, strict=True)) < 1e-6
     assert not got
+
+
+def test_top_similar_without_all_pairs(spark):
+    """Best partners by classes equal those of the spelled-out projection, also where many products are equal."""
+    r = random.Random(5)
+    sets = [sorted(r.sample(range(14), r.randint(2, 5))) for _ in range(12)]
+    rows = [(f"p{i:03d}", f"a{t}", 80 + t % 3) for i in range(90) for t in sets[r.randrange(12)]]
+    edges = spark.createDataFrame(rows, "product_id string, attribute string, weight int")
+    row = lambda df: sorted((x.product_id, x.other, round(x.similarity, 12), x["rank"]) for x in df.collect())
+    assert row(graph.top_similar_products(edges)) == row(graph.top_similar(graph.product_projection(edges)))
