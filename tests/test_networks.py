@@ -220,3 +220,12 @@ def test_top_similar_without_all_pairs(spark):
     edges = spark.createDataFrame(rows, "product_id string, attribute string, weight int")
     row = lambda df: sorted((x.product_id, x.other, round(x.similarity, 12), x["rank"]) for x in df.collect())
     assert row(graph.top_similar_products(edges)) == row(graph.top_similar(graph.product_projection(edges)))
+
+
+def test_ranks_of_a_star_converge(spark):
+    """A walk between two sides swings for over a hundred rounds; solved, the ranks are those that a step leaves as they are."""
+    star = [("c", f"l{i}") for i in range(9)]
+    both = spark.createDataFrame([*star, *[(b, a) for a, b in star]], "u string, v string").selectExpr("u", "v", "1.0D as w")
+    got = {r.node: r["rank"] for r in networks.pagerank_converged(both).collect()}
+    change = abs(0.015 + 0.85 * sum(got[f"l{i}"] for i in range(9)) - got["c"]) + sum(abs(0.015 + 0.85 * got["c"] / 9 - got[f"l{i}"]) for i in range(9))
+    assert len(got) == 10 and change < networks.STOP
