@@ -229,3 +229,46 @@ def test_ranks_of_a_star_converge(spark):
     got = {r.node: r["rank"] for r in networks.pagerank_converged(both).collect()}
     change = abs(0.015 + 0.85 * sum(got[f"l{i}"] for i in range(9)) - got["c"]) + sum(abs(0.015 + 0.85 * got["c"] / 9 - got[f"l{i}"]) for i in range(9))
     assert len(got) == 10 and change < networks.STOP
+
+
+def test_betweenness_of_equal_nodes(spark, monkeypatch):
+    """Against Brandes' way from every source, with many equal nodes, which take rows of their classes alone."""
+    r, sizes, store = random.Random(11), [], networks.stored
+
+    def counted(df, name):
+        out = store(df, name)
+        sizes.append(out.count() if name == "between-level" else 0)
+        return out
+
+    monkeypatch.setattr(networks, "stored", counted)
+    hubs = [(f"h{i}", f"h{j}") for i in range(6) for j in range(i) if r.random() < 0.5 or j == i - 1]
+    pairs = {*hubs, *((f"x{i}", f"h{i % 3}") for i in range(30)), *((f"y{i}", h) for i in range(12) for h in ("h1", "h4")), ("h0", "h0")}
+    near = defaultdict(set)
+    for a, b in pairs:
+        near[a].add(b)
+        near[b].add(a)
+    both = spark.createDataFrame([(a, b) for a in near for b in near[a]], "u string, v string")
+    for starts in (sorted(near), [f"x{i}" for i in range(0, 30, 2)] + ["y1", "h2", "none"]):
+        want = Counter()
+        for s in starts:
+            far, paths_, order, queue = {s: 0}, Counter({s: 1}), [], deque([s])
+            while queue:
+                u = queue.popleft()
+                order.append(u)
+                for v in near[u] - {u} if u in near else ():
+                    if v not in far:
+                        far[v] = far[u] + 1
+                        queue.append(v)
+                    if far[v] == far[u] + 1:
+                        paths_[v] += paths_[u]
+            owed = Counter()
+            for w in reversed(order):
+                for v in near[w] if w in near else ():
+                    if far[v] == far[w] - 1:
+                        owed[v] += paths_[v] / paths_[w] * (1 + owed[w])
+                if w != s:
+                    want[w] += owed[w] / 2
+        sizes.clear()
+        got = {x.node: x.betweenness for x in networks.betweenness(both, spark.createDataFrame([(n,) for n in starts], "node string")).collect()}
+        assert set(got) == set(near) and all(got[n] == pytest.approx(want[n]) for n in near)
+        assert sum(sizes) < 300
