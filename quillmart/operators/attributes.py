@@ -102,27 +102,36 @@ def singular(word: Column) -> Column:
 class SearchIndex(NamedTuple):
     """What any number of searches over one attribute graph share; all tables are stored.
 
-    edges: product_id, attribute, weight, each pair once. near: attribute, other, if some product has both. parts: attribute,
-    component. heads: component, product_id, weight of the products of most weight in each component.
+    Products with the same attributes and weights are found alike: they are one class, named by its least product, which stands for it.
+    edges: product_id, attribute, weight of these, each pair once. near: attribute, other, if some product has both. parts: attribute,
+    component. heads: component, product_id, weight of those of most weight in each component. members: class, product_id of the
+    first `most` products of each class.
     """
 
     edges: DataFrame
     near: DataFrame
     parts: DataFrame
     heads: DataFrame
+    members: DataFrame
     most: int
 
 
 def search_index(edges: DataFrame, most: int = 100) -> SearchIndex:
     """most: the largest number of results that a search can ask for."""
     e = stored(edges.groupBy("product_id", "attribute").agg(F.max("weight").alias("weight")), "search-edges")
+    # 128 bits name a set of attributes and weights
+    sets = e.groupBy("product_id").agg(F.bit_xor(F.xxhash64("attribute", "weight")).alias("h1"), F.bit_xor(F.xxhash64(F.lit(1), "attribute", "weight")).alias("h2"), F.count("*").alias("n"))
+    first = F.row_number().over(Window.partitionBy("h1", "h2", "n").orderBy("product_id"))
+    placed = sets.withColumn("place", first).where(F.col("place") <= most)
+    members = stored(placed.withColumn("class", F.min("product_id").over(Window.partitionBy("h1", "h2", "n"))).select("class", "product_id"), "search-members")
+    e = stored(e.join(members.select(F.col("class").alias("product_id")).distinct(), "product_id", "left_semi"), "search-class-edges")
     near = stored(e.select("product_id", "attribute").join(e.select("product_id", F.col("attribute").alias("other")), "product_id").select("attribute", "other").distinct(), "search-near")
     label = components(near.where("attribute != other").select(F.col("attribute").alias("u"), F.col("other").alias("v")))
     parts = stored(near.select("attribute").distinct().join(label.withColumnRenamed("node", "attribute"), "attribute", "left").select("attribute", F.coalesce("label", "attribute").alias("component")), "search-parts")
     whole = e.join(parts, "attribute").groupBy("component", "product_id").agg(F.sum("weight").alias("weight"))
     place = F.row_number().over(Window.partitionBy("component").orderBy(F.round("weight", 2).desc(), "product_id"))
     heads = stored(whole.withColumn("place", place).where(F.col("place") <= most).drop("place"), "search-heads")
-    return SearchIndex(e, near, parts, heads, most)
+    return SearchIndex(e, near, parts, heads, members, most)
 
 
 def search_batch(index: SearchIndex, queries: DataFrame, k: int = 10, required: DataFrame | None = None) -> DataFrame:
@@ -131,12 +140,20 @@ def search_batch(index: SearchIndex, queries: DataFrame, k: int = 10, required:
     An attribute gives its edges' weight times 5 if the query names it, 3 if it shares a product with one that the query names, 1
     if it is connected at all; having a share c of the named attributes multiplies that by 20 c^2 + 1. A query that names no
     attribute finds nothing. required: query_id, attribute that each result of the query must have. All queries go through the same joins: what
-    is near to the named attributes is summed, and what is only connected enters by the products of most weight.
+    is near to the named attributes is summed, and what is only connected enters by the products of most weight. Queries of the same words
+    (and required attributes) are answered once.
     """
     if k > index.most:
         raise ValueError("the index keeps fewer products than are asked for")
     words = queries.select("query_id", F.explode(tokens(F.col("text"))).alias("word"))
-    wanted = words.select("query_id", F.explode(F.array("word", singular(F.col("word")))).alias("word")).distinct()
+    wanted = stored(words.select("query_id", F.explode(F.array("word", singular(F.col("word")))).alias("word")).distinct(), "search-wanted")
+    said = wanted.groupBy("query_id").agg(F.sort_array(F.collect_set("word")).alias("said"))
+    must = None if required is None else required.groupBy("query_id").agg(F.sort_array(F.collect_set("attribute")).alias("must"))
+    said = said.withColumn("must", F.array().cast("array<string>")) if must is None else said.join(must, "query_id", "left").withColumn("must", F.coalesce("must", F.array().cast("array<string>")))
+    asked = stored(said.withColumn("head", F.min("query_id").over(Window.partitionBy("said", "must"))).select("query_id", "head"), "search-asked")
+    heads = asked.select(F.col("head").alias("query_id")).distinct()
+    wanted = wanted.join(heads, "query_id", "left_semi")
+    required = required if required is None else required.join(heads, "query_id", "left_semi")
     named = index.parts.withColumn("word", F.substring_index("attribute", ":", -1))
     seeds = stored(wanted.join(named, "word").select("query_id", "attribute", "component").distinct(), "search-seeds")
     near = seeds.join(index.near, "attribute").select("query_id", F.col("other").alias("attribute"), F.lit(DECAY[1] - DECAY[2]).alias("more"), F.lit(0).alias("seed")).distinct()
@@ -160,7 +177,10 @@ def search_batch(index: SearchIndex, queries: DataFrame, k: int = 10, required:
     relevance = F.round((DECAY[2] * F.col("weight") + zero("gain")) * (c * c * 20 + 1), 2)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("relevance").desc(), "product_id"))
     found = scored.select("query_id", "product_id", relevance.alias("relevance"), zero("seed_coverage").cast("long").alias("seed_coverage"), "total_seeds")
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).drop("rank")
+    # the first k products are in the first k classes, and of each class they are the first k members
+    classes = found.withColumn("rank", rank).where(F.col("rank") <= k).drop("rank").withColumnRenamed("product_id", "class")
+    spelled = classes.join(index.members, "class").drop("class").withColumn("rank", rank).where(F.col("rank") <= k).drop("rank")
+    return asked.join(spelled.withColumnRenamed("query_id", "head"), "head").select(*found.columns)
 
 
 def search(edges: DataFrame, query: str, k: int = 10, required: tuple[str, ...] = ()) -> DataFrame:

@@ -145,8 +145,6 @@ def test_retrievability_against_all_pairs(spark):
 
 def test_retrievability_reads_documents_once_and_compares_few(spark, monkeypatch):
     """Rows of the documents are made once; only pairs that can be better than the own class are compared by likeness."""
-    from pyspark.sql import functions as F
-
     made, compared = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
 
     def noted(i):
@@ -206,3 +204,22 @@ def test_spreadsheet(spark, tmp_path):
     assert spark.read.format("spreadsheet").load(str(path)).count() == 2
     (tmp_path / "b.csv").write_text('"a,b";c\n1;2\n')
     assert files.read_table(spark, str(tmp_path / "b.csv")).columns == ["a,b", "c"]
+
+
+def test_search_by_classes_of_equal_products(spark):
+    """Equal products are searched as one class and spelled out in order; queries of the same words are answered alike."""
+    from quillmart.operators import attributes
+
+    kinds = [("RED", "BOLT"), ("RED", "GEAR"), ("BLUE", "BOLT")]
+    rows = [(f"p{i:03d}", f"WORD:{w}", 90) for i in range(90) for w in kinds[i % 3]]
+    index = attributes.search_index(spark.createDataFrame(rows, "product_id string, attribute string, weight int"), 10)
+    assert sorted(r.product_id for r in index.edges.select("product_id").distinct().collect()) == ["p000", "p001", "p002"]
+    asked = spark.createDataFrame([(1, "red bolts"), (2, "Bolts RED"), (3, "blue"), (4, None)], "query_id long, text string")
+    found = {}
+    for r in attributes.search_batch(index, asked, 10).orderBy("query_id", (-F.col("relevance")), "product_id").collect():
+        found.setdefault(r.query_id, []).append(r.product_id)
+    red = [f"p{i:03d}" for i in range(0, 30, 3)]
+    assert found == {1: red, 2: red, 3: [f"p{i:03d}" for i in range(2, 32, 3)]}
+    must = spark.createDataFrame([(2, "WORD:GEAR")], "query_id long, attribute string")
+    both = attributes.search_batch(index, asked, 2, must).orderBy("query_id", "product_id").collect()
+    assert [(r.query_id, r.product_id) for r in both] == [(1, "p000"), (1, "p003"), (2, "p001"), (2, "p004"), (3, "p002"), (3, "p005")]
