@@ -223,3 +223,26 @@ def test_search_by_classes_of_equal_products(spark):
     must = spark.createDataFrame([(2, "WORD:GEAR")], "query_id long, attribute string")
     both = attributes.search_batch(index, asked, 2, must).orderBy("query_id", "product_id").collect()
     assert [(r.query_id, r.product_id) for r in both] == [(1, "p000"), (1, "p003"), (2, "p001"), (2, "p004"), (3, "p002"), (3, "p005")]
+
+
+def test_profiles_walk_over_reachable_lines_alone(spark, tmp_path, monkeypatch):
+    """Lines that no walk of three rounds can come to are not laid out as edges."""
+    from quillmart import analysis
+    from quillmart.operators import paths
+
+    put = lambda name, rows, columns: spark.createDataFrame(rows, columns).write.parquet(str(tmp_path / f"{name}.parquet"))
+    put("part", [(i, f"part {i}", "t", "b", 1.0) for i in (1, 2, 9)], "p_partkey long, p_name string, p_type string, p_brand string, p_retailprice double")
+    put("customer", [(1, "a"), (2, "b"), (3, "z")], "c_custkey long, c_name string")
+    put("orders", [(i, i, "1996-01-01") for i in (1, 2, 3)], "o_orderkey long, o_custkey long, o_orderdate string")
+    lines = [(1, 1, "N", 1.0, 90.0, 0.0), (2, 1, "N", 1.0, 5.0, 0.0), (2, 2, "N", 1.0, 5.0, 0.0), (3, 9, "N", 1.0, 5.0, 0.0)]
+    put("lineitem", lines, "l_orderkey long, l_partkey long, l_returnflag string, l_quantity double, l_extendedprice double, l_discount double")
+    walk, seen = paths.personalised_pagerank, []
+
+    def noted(edges, *rest):
+        seen.extend(edges.collect())
+        return walk(edges, *rest)
+
+    monkeypatch.setattr(paths, "personalised_pagerank", noted)
+    got = analysis._profiles(spark, str(tmp_path), 1).collect()
+    assert [(r.customer, r.product_id) for r in got] == [("a", "1")] and got[0].score > 0
+    assert {r.u for r in seen} == {"C|a", "C|b", "1", "2"}
